@@ -206,5 +206,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
     linked = found.withColumnRenamed("node", "fp").join(nodes, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = pinned(linked.join(least, "root").select("fp", "least"))
-    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    classes = pinned(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
