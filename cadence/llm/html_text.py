@@ -67,7 +67,7 @@ class Page:
         self.blocks: list[tuple[str, int, bool, int, int, bool]] = []
         self._parents, self._open = [0], defaultdict(int)
         self._paths: dict[tuple[int, str], int] = {}
-        # an element: (tag, number of path, apart, in a link, own number, in an article, in a heading)
+        # an element: (tag, number of path, apart, in a link, number of itself or the container around, in an article, in a heading)
         self._stack: list[tuple[str, int, bool, bool, int, bool, bool]] = [("", 0, False, False, 0, False, False)]
         self._held: list[str] = []
         self._linked, self._number = 0, 0
@@ -117,11 +117,14 @@ class Page:
         path = parent[1]
         if block or tag in APART:
             path = self._paths.setdefault((path, tag), len(self._paths) + 1)
-        self._number += 1
-        self._parents.append(parent[4])
         self._open[tag] += 1
+        number = parent[4]
+        if tag in SCOPES:
+            self._number += 1
+            self._parents.append(number)
+            number = self._number
         away = parent[2] or _apart(tag, attributes) or (tag == "header" and not parent[5])
-        self._stack.append((tag, path, away, parent[3] or tag == "a", self._number, parent[5] or tag in ("article", "main"), parent[6] or tag in HEADINGS))
+        self._stack.append((tag, path, away, parent[3] or tag == "a", number, parent[5] or tag in ("article", "main"), parent[6] or tag in HEADINGS))
 
     def _end(self, tag: str) -> None:
         if tag == "p" or tag in BLOCKS:
@@ -178,7 +181,7 @@ class Page:
         own = np.array([b[4] for b in blocks])
         size = len(self._parents)
         last = np.arange(size)
-        held, shut, whole = (np.bincount(own, w, size) for w in (length * core, length * ~open_, length))
+        held, shut, whole = (np.bincount(own, w, size) for w in (length * core, length * ~open_, length * ~headings))
         for e in range(size - 1, 0, -1):
             up = self._parents[e]
             last[up] = max(last[up], last[e])
