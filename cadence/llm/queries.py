@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import decontamination, edit_embedding, html_text, language_id, sentencepieces, simhash, token_counts, toxicity
+from cadence.llm import chat, decontamination, edit_embedding, html_text, language_id, sentencepieces, simhash, token_counts, toxicity
 from cadence.llm._common import fold
 from cadence.session import table
 
@@ -28,6 +28,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_edit_fingerprints, op4_html_text, op5_token_counts, op7_decontamination, op8_sentencepiece, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_edit_fingerprints, op4_html_text, op5_token_counts, op6_chat_rotation, op7_decontamination, op8_sentencepiece, op9_toxicity, op10_language_id)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat_rotation": chat.ORACLE}
