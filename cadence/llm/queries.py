@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, decontamination, edit_embedding, html_text, language_id, sentencepieces, simhash, token_counts, toxicity
+from cadence.llm import chat, decontamination, edit_embedding, html_text, language_id, lm, sentencepieces, simhash, token_counts, toxicity
 from cadence.llm._common import fold
 from cadence.session import table
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_edit_fingerprints, op4_html_text, op5_token_counts, op6_chat_rotation, op7_decontamination, op8_sentencepiece, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_edit_fingerprints, op4_html_text, op5_token_counts, op6_chat_rotation, op7_decontamination, op8_sentencepiece, op9_toxicity, op10_language_id)}
 
 ORACLES: dict[str, str] = {"op6_chat_rotation": chat.ORACLE}
