@@ -156,7 +156,7 @@ def quantize(t: Column, fps: float) -> Column:
 
 def ease(p: Column, curve: Column | float = 50.0, easing: str = "smooth") -> Column:
     """Eased progress in 0..1; curve 0..100 sharpens it."""
-    p = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    p = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
     c = F.least(F.greatest(F.lit(curve) if isinstance(curve, (int, float)) else curve, F.lit(0.0)), F.lit(100.0))
     if easing == "linear":
         return p
