@@ -138,7 +138,7 @@ def locale_text(text: Column, variant: str | None) -> Column:
         shown = f"{hour % 12 or 12}:$1 {'a' if hour < 12 else 'p'}. m."
         written = str(hour) if hour >= 10 else f"0?{hour}"
         # a mark keeps what is rewritten from being read again
-        text = F.regexp_replace(text, clock % written, "\\u0001" + shown.replace(":", "\\u0002"))
+        text = F.regexp_replace(text, clock % written, "\u0001" + shown.replace(":", "\u0002"))
     return F.replace(F.replace(text, F.lit("\u0001"), F.lit("")), F.lit("\u0002"), F.lit(":"))
 
 
