@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from cadence.functions.scalars import norm_token
 
@@ -79,7 +80,7 @@ def pack(words: DataFrame, keys: list[str], rate: float = 17.0) -> DataFrame:
     """
     held = islands(breaks(words, keys), keys).select(*keys, "island", "pos", "w", "s", "e", "good", "bad")
     held = held.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "pos")
-    schema = held.select(*keys, "island", "pos").schema.add("line", "int")
+    schema = held.select(*keys, "island", "pos").schema.add("line", IntegerType())
     n = len(keys) + 1
 
     def run(batches: Iterator) -> Iterator:

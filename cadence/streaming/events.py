@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cadence.pinning import pinned, shared_dir
 
@@ -65,7 +66,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def smooth_levels(rows: DataFrame, key: str, at: str, value: str, attack: float, release: float) -> DataFrame:
     """One-pole smoothing that follows rises by attack and falls by release (0..1), per key in order: rows stream sorted, one state is held."""
-    schema = rows.select(key, at, value).schema.add("smooth", "double")
+    schema = rows.select(key, at, value).schema.add("smooth", DoubleType())
     held = rows.select(key, at, value).repartition(key).sortWithinPartitions(key, at)
 
     def run(batches):
