@@ -133,12 +133,16 @@ def locale_text(text: Column, variant: str | None) -> Column:
     if variant != "es-LATAM":
         raise ValueError(f"unknown variant {variant}")
     text = F.regexp_replace(text, "([0-9]),([0-9])", "$1.$2")
-    clock = "(?<![0-9])%s:([0-9]{2})(?![:0-9])"
-    for hour in range(24):
-        shown = f"{hour % 12 or 12}:$1 {'a' if hour < 12 else 'p'}. m."
-        written = str(hour) if hour >= 10 else f"0?{hour}"
-        # a mark keeps what is rewritten from being read again
-        text = F.regexp_replace(text, clock % written, "\u0001" + shown.replace(":", "\u0002"))
+    hours = F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![0-9])([0-9]{1,2}):[0-9]{2}(?![:0-9])"), F.lit(1)))
+
+    def rewrite(t: Column, written: Column) -> Column:
+        h = written.cast("int")
+        shown = F.when(h == 0, 12).when(h <= 12, h).otherwise(h - 12).cast("string")
+        # marks keep what is rewritten from being read again
+        new = F.concat(F.lit("\u0001"), shown, F.lit("\u0002$1"), F.when(h < 12, " a. m.").otherwise(" p. m."))
+        return F.regexp_replace(t, F.concat(F.lit("(?<![0-9])"), written, F.lit(":([0-9]{2})(?![:0-9])")), new)
+
+    text = F.aggregate(hours, text, rewrite)
     return F.replace(F.replace(text, F.lit("\u0001"), F.lit("")), F.lit("\u0002"), F.lit(":"))
 
 
