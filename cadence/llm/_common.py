@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one slice of an Arrow batch holds at most (a single longer text is a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +47,17 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system: idle workers share an executor with those that work."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps its memory
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches again, in slices of at most limit bytes of text."""
     import numpy as np
@@ -63,6 +74,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, sizes
+        trim()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from cadence.llm._common import fold, slices, texts_of
 
 
+#: Text bytes scored at once: a window's presence row and its n-grams take some hundred bytes for each byte.
+BLOCK = 2 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     """bits: hashed n-grams; orders: longest n-gram; window: characters scored at once; sample: labelled
@@ -151,12 +155,12 @@ def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
     whole, at = docs.schema, docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, BLOCK):
             langs, _ = model.value.predict([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([x != "und" for x in langs]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BLOCK):
             langs, scores = model.value.predict(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores)], ["id", "lang_pred", "score"])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm._common import pinned, slices, staged, texts_of
+from cadence.llm._common import pinned, slices, staged, texts_of, trim
 from cadence.llm._graph import components
 
 #: Seed of the shingles' XXH64, number of pivots, and fingerprints of one key that a tile side holds.
@@ -151,6 +151,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[t
         tile, held = tile[whole:], rows.slice(whole).to_batches()
     if len(tile):
         yield tile, [c.combine_chunks() for c in pa.Table.from_batches(held).columns[keys:]]
+    del tile, held
+    trim()
 
 
 def bounds(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
