@@ -197,3 +197,34 @@ def fill(text: Column, values: Column) -> Column:
     """Every <name> in the text replaced by the map's value of that name; a name without a value fails."""
     full = F.aggregate(F.map_entries(values), text, lambda t, e: F.replace(t, F.concat(F.lit("<"), e["key"], F.lit(">")), e["value"]))
     return F.when(full.rlike("<[A-Za-z_][A-Za-z0-9_]*>"), F.raise_error(F.concat(F.lit("no value for a name in: "), text))).otherwise(full)
+
+
+#: Steps of scales from their root.
+SCALES = {"major": [0, 2, 4, 5, 7, 9, 11], "minor": [0, 2, 3, 5, 7, 8, 10]}
+
+
+def note_to_midi(name: Column, octave: Column) -> Column:
+    """Number of a note from its name (sharps) and octave; an unknown name is null."""
+    place = F.array_position(F.array(*[F.lit(n) for n in NOTES]), F.upper(F.trim(name)))
+    return F.when(place > 0, (octave + 1) * 12 + place - 1).cast("int")
+
+
+def scale(root: Column, mode: str, octaves: int = 1) -> Column:
+    """Notes of a scale over octaves, the root above them last."""
+    steps = [12 * o + s for o in range(octaves) for s in SCALES[mode]] + [12 * octaves]
+    return F.transform(F.array(*[F.lit(s) for s in steps]), lambda s: s + root)
+
+
+def triad(root: Column, mode: str) -> Column:
+    steps = SCALES[mode]
+    return F.transform(F.array(*[F.lit(steps[k]) for k in (0, 2, 4)]), lambda s: s + root)
+
+
+def voice_leading(a: Column, b: Column) -> Column:
+    """The inversion and octave of chord b nearest to chord a: least total movement, then least single step."""
+    def moved(turn: int, octave: int) -> Column:
+        notes = [F.element_at(b, (k + turn) % 3 + 1) + 12 * octave + (12 if k + turn >= 3 else 0) for k in range(3)]
+        steps = [F.abs(n - F.element_at(a, k + 1)) for k, n in enumerate(notes)]
+        return F.struct((steps[0] + steps[1] + steps[2]).alias("total"), F.greatest(*steps).alias("most"), F.array(*notes).alias("notes"))
+
+    return F.array_min(F.array(*[moved(t, o) for t in range(3) for o in (-1, 0, 1)]))["notes"]

@@ -131,3 +131,31 @@ def envelope(t: Column, start: float, end: float, fade: float, curve: float = 50
     """Wetness of a region: eased ramps at both ends, zero outside."""
     ramp = F.least(ease((t - start) / fade, curve, easing), ease((end - t) / fade, curve, easing))
     return F.when((t < start) | (t > end), 0.0).otherwise(ramp)
+
+
+def accumulate_similarity(rows: DataFrame, keys: list[str], at: str, a: str = "a", b: str = "b", tx: str = "tx", ty: str = "ty") -> DataFrame:
+    """Running product of the inverses of similarity transforms, as pa, pb, px, py.
+
+    A similarity is a complex factor and a shift. Factors multiply by adding logarithms and angles, and a shift is
+    turned by the factors before it, so the ordered product is three running sums.
+    """
+    order = Window.partitionBy(*keys).orderBy(at)
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    n = rows.withColumn("__n", invert(F.col(a), F.col(b), F.col(tx), F.col(ty)))
+    log, turn = F.log(F.hypot("__n.a", "__n.b")), F.atan2("__n.b", "__n.a")
+    size = lambda w: F.exp(F.coalesce(F.sum(log).over(w), F.lit(0.0)))
+    angle = lambda w: F.coalesce(F.sum(turn).over(w), F.lit(0.0))
+    n = n.withColumns({"pa": size(upto) * F.cos(angle(upto)), "pb": size(upto) * F.sin(angle(upto)), "__c": size(before) * F.cos(angle(before)), "__s": size(before) * F.sin(angle(before))})
+    x, y = F.col("__n.tx"), F.col("__n.ty")
+    n = n.withColumns({"__x": F.col("__c") * x - F.col("__s") * y, "__y": F.col("__s") * x + F.col("__c") * y})
+    return n.withColumns({"px": F.sum("__x").over(upto), "py": F.sum("__y").over(upto)}).drop("__n", "__c", "__s", "__x", "__y")
+
+
+def riser(n: int, length: float, shrink: float = 0.72) -> list[tuple[float, float]]:
+    """(start, duration) of notes that get shorter by a fixed factor and fill the length."""
+    share = [shrink**i for i in range(n)]
+    out, at = [], 0.0
+    for w in share:
+        out.append((at, length * w / sum(share)))
+        at += out[-1][1]
+    return out

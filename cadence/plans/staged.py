@@ -97,3 +97,34 @@ def manifest(rows: DataFrame, name: str, size: str) -> DataFrame:
     """A short fingerprint of a set of named sizes, whatever their order."""
     line = F.concat_ws(":", F.col(name), F.col(size).cast("string"))
     return rows.select(line.alias("m")).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("m")), "\n"), 256), 1, 16).alias("fingerprint"))
+
+
+# What each archetype of a clip needs, and where each platform differs.
+ARCHETYPES = ["talking_head", "tutorial", "product", "story", "montage"]
+BRIEF = ["platform", "objective", "archetype", "cta", "source_assets"]
+
+
+def edit_spec(briefs: DataFrame) -> DataFrame:
+    """Briefs with their resolved edit: archetype (talking_head if unknown), duration, switches, beats, end card and what is missing."""
+    from cadence.functions import scalars as S
+
+    d = bounded_duration(F.col("duration_s"))
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "[]"), F.lit(c)) for c in BRIEF]))
+    return briefs.select(
+        S.platform(F.col("platform")).alias("platform"), "objective", F.when(F.col("archetype").isin(*ARCHETYPES), F.col("archetype")).otherwise(ARCHETYPES[0]).alias("archetype"),
+        d.alias("duration_s"), *[S.as_bool(F.col(c), True).alias(c) for c in ("speech", "captions", "music")], timeline(d).alias("beats"), end_card(d).alias("end_card_s"), missing.alias("missing"),
+    )
+
+
+def rule_plan(words: DataFrame, keys: list[str], most: float = 60.0, level: str = "medium") -> DataFrame:
+    """The plain plan of a clip from its words: cut silences, a riser that ends with the last word, captions."""
+    last = words.groupBy(*keys).agg(F.round(F.max_by("e", "pos"), 2).alias("hit"))
+    effect = F.struct(F.lit("audio riser").alias("cmd"), F.create_map(F.lit("hit"), F.col("hit").cast("string")).alias("args"))
+    return last.select(*keys, F.lit(1).alias("version"), F.lit(level).alias("level"), F.array(effect).alias("effects"), F.lit(most).alias("max_dur"), F.lit(18).alias("crf"))
+
+
+def compare(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Where two plans of the same clips differ: keys, column, both values."""
+    held = a.select(*keys, *[F.to_json(F.struct(c)).alias(f"__a_{c}") for c in columns]).join(b.select(*keys, *[F.to_json(F.struct(c)).alias(f"__b_{c}") for c in columns]), keys, "full")
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__a_{c}").alias("a"), F.col(f"__b_{c}").alias("b")) for c in columns]))
+    return held.select(*keys, rows.alias("r")).select(*keys, "r.*").filter("not (a <=> b)")

@@ -210,7 +210,27 @@ def wet_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("i", r6(T.envelope(F.col("t"), 2.0, 8.0, 1.5)).alias("wet"), r6(T.lift(F.col("t"), 1.0, 80.0, 2.0, 5.0)).alias("lift"))
 
 
-QUERIES = {f.__name__: f for f in (interval_merge, gap_trim, keep_parts, cut_count, activity_runs, flag_runs, quantize_spans, packed_points, overlap_reject, greedy_spacing, frame_rms, snr_split, rolling_median_spikes, moving_avg_peaks, decay_fit, composite_score, noise_class, keyframe_lerp, ease_curves, phase_schedule, zoom_curve, path_accumulate, shake_stats, kernel_smooth, mask_align, positional_zip, carry_forward, timecode, tempo_chains, note_table, similarity_inverse, wet_envelope)}
+def frame_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power of three bins of frames of 50 events."""
+    from cadence.operators import signal
+
+    p = signal.spectrum(table(spark, sf_dir, "events"), [], "event_id", "value", 50, [1, 5, 12])
+    return p.select("frame", *[F.round(f"p{k}", 5).alias(f"p{k}") for k in (1, 5, 12)])
+
+
+def chord_voicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voicing of each major triad nearest to the minor triad on A3."""
+    r = spark.range(48, 72).select(F.col("id").cast("int").alias("root"))
+    return r.select("root", F.array_join(S.voice_leading(S.triad(F.lit(57), "minor"), S.triad(F.col("root"), "major")), ",").alias("notes"))
+
+
+def similarity_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered products of inverse similarities along each user's events."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.lit(1.0) + (F.col("event_id") % 7 - 3) / 200.0).alias("a"), ((F.col("event_id") % 5 - 2) / 100.0).alias("b"), (F.col("value") / 100).alias("tx"), (F.col("event_id") % 3 * 1.0).alias("ty"))
+    return T.accumulate_similarity(e, ["user_id"], "event_id").select("event_id", *[F.round(c, 5).alias(c) for c in ("pa", "pb", "px", "py")])
+
+
+QUERIES = {f.__name__: f for f in (interval_merge, gap_trim, keep_parts, cut_count, activity_runs, flag_runs, quantize_spans, packed_points, overlap_reject, greedy_spacing, frame_rms, snr_split, rolling_median_spikes, moving_avg_peaks, decay_fit, composite_score, noise_class, keyframe_lerp, ease_curves, phase_schedule, zoom_curve, path_accumulate, shake_stats, kernel_smooth, mask_align, positional_zip, carry_forward, timecode, tempo_chains, note_table, similarity_inverse, wet_envelope, frame_spectrum, chord_voicing, similarity_path)}
 
 _MERGE = """{name} as (select user_id, min(s) as s, max(e) as e from (select *, sum(fresh) over (partition by user_id order by s, e rows unbounded preceding) as g
   from (select *, case when s > max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) then 1 when row_number() over (partition by user_id order by s, e) = 1 then 1 else 0 end as fresh from {source})) group by user_id, g)"""
@@ -269,5 +289,7 @@ ORACLES = {
     "tempo_chains": "with t as (select i, i / 20.0::double as f from range(1, 41) r(i)), c as (select i, f, case when f = 1 then 0 when f >= 0.5 then 1 else cast(ceil(round(ln(f) / ln(0.5), 12)) as int) end as stages from t) select i, stages, case when stages = 0 then null when stages = 1 then round(f, 6) else round(pow(f, 1.0 / stages), 6) end as each from c",
     "note_table": "select i as midi, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][i % 12 + 1] || cast(i // 12 - 1 as varchar) as name, round(440.0 * pow(2.0::double, (i - 69) / 12.0::double), 6) as hz from range(21, 109) r(i)",
     "similarity_inverse": "with e as (select event_id, value / 100 + 0.5 as a, (event_id % 7) / 10.0::double as b, value as tx, (event_id % 11)::double as ty from events), d as (select *, a * a + b * b as d from e) select event_id, round(a / d, 6) as ia, round(-b / d, 6) as ib, round(-(a * tx + b * ty) / d, 5) as itx, round((b * tx - a * ty) / d, 5) as ity, round(sqrt(d), 6) as scale, round(degrees(atan2(b, a)), 6) as angle from d",
+    "frame_spectrum": "with f as (select event_id // 50 as frame, event_id % 50 as i, value from events), s as (select frame, count(*) as n, " + ", ".join(f"sum(value * cos(2 * pi() * {k} / 50 * i)) as c{k}, sum(value * sin(2 * pi() * {k} / 50 * i)) as s{k}" for k in (1, 5, 12)) + " from f group by 1) select frame, " + ", ".join(f"round((c{k} * c{k} + s{k} * s{k}) / 2500, 5) as p{k}" for k in (1, 5, 12)) + " from s where n = 50",
+    "chord_voicing": "with v as (select r as root, o, k, [r, r + 4, r + 7] as b from range(48, 72) t(r), range(-1, 2) u(o), range(3) w(k)), n as (select root, [b[k % 3 + 1] + 12 * o + case when k >= 3 then 12 else 0 end, b[(k + 1) % 3 + 1] + 12 * o + case when k + 1 >= 3 then 12 else 0 end, b[(k + 2) % 3 + 1] + 12 * o + case when k + 2 >= 3 then 12 else 0 end] as x from v), d as (select root, x, abs(x[1] - 57) + abs(x[2] - 60) + abs(x[3] - 64) as total, greatest(abs(x[1] - 57), abs(x[2] - 60), abs(x[3] - 64)) as most from n) select root::int as root, x[1] || ',' || x[2] || ',' || x[3] as notes from d qualify row_number() over (partition by root order by total, most, x) = 1",
     "wet_envelope": f"with t as (select i, i / 20.0::double as t from range(200) r(i)) select i, round(case when t < 2 or t > 8 then 0 else least({_ease('(t - 2) / 1.5')}, {_ease('(8 - t) / 1.5')}) end, 6) as wet, round(case when t <= 1 then 0 else 80 * ({_ease('(t - 1) / 2')}) + case when t > 3 then 5 * sin(2 * pi() * (t - 3) / 2) else 0 end end, 6) as lift from t",
 }
