@@ -14,6 +14,11 @@ ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ"
 PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
 
 
+def let(value: Column, then) -> Column:
+    """An expression of a value that is worked out once, however often the expression has it."""
+    return F.transform(F.array(value), lambda v: then(v))[0]
+
+
 def normalize_key(value: Column) -> Column:
     """A header or label as a key: lower case, accents folded, other characters one underscore, none at the ends."""
     text = F.translate(F.lower(F.trim(F.coalesce(value, F.lit("")))), ACCENTED, PLAIN)
@@ -36,24 +41,25 @@ def parse_number(value: Column) -> Column:
     One comma before exactly three digits groups thousands, any other comma is a decimal point unless there
     is a point too, in which case commas are dropped. What is no digit, sign, point or e is dropped.
     """
-    text = F.trim(value)
-    text = F.trim(F.regexp_replace(text, "%$", ""))
-    text = F.regexp_replace(text, "[\\u00a0 ]", "")
-    comma, point = text.contains(","), text.contains(".")
-    text = (
-        F.when(comma & ~point & text.rlike("^-*[0-9]+,[^,]{3}$"), F.replace(text, F.lit(","), F.lit("")))
-        .when(comma & ~point, F.replace(text, F.lit(","), F.lit(".")))
-        .when(comma & point, F.replace(text, F.lit(","), F.lit("")))
-        .otherwise(text)
-    )
-    digits = F.regexp_replace(text, "[^0-9eE+.\\-]", "")
-    return F.when(F.lower(F.trim(value)).isin(NO_NUMBER), None).when(digits.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), digits.try_cast("double"))
+    def number(text: Column) -> Column:
+        comma, point = text.contains(","), text.contains(".")
+        even = (
+            F.when(~comma, text).when(point | text.rlike("^-*[0-9]+,[^,]{3}$"), F.replace(text, F.lit(","), F.lit("")))
+            .otherwise(F.replace(text, F.lit(","), F.lit(".")))
+        )
+        return let(F.regexp_replace(even, "[^0-9eE+.\\-]", ""), lambda d: F.when(d.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), d.try_cast("double")))
+
+    def parsed(text: Column) -> Column:
+        plain = text.rlike("^[0-9]+(\\.[0-9]+)?$")  # most are: no further look
+        bare = F.regexp_replace(F.regexp_replace(text, "%$", ""), "[\\u00a0 ]", "")
+        return F.when(plain, text.try_cast("double")).when(~F.lower(text).isin(NO_NUMBER), let(bare, number))
+
+    return let(F.trim(value), parsed)
 
 
 def parse_rate(value: Column) -> Column:
     """A share from a percentage or a fraction: written with % or above 1 it is divided by 100."""
-    number = parse_number(value)
-    return F.when(is_percent(value) | (number > 1), number / 100).otherwise(number)
+    return let(parse_number(value), lambda n: F.when(is_percent(value) | (n > 1), n / 100).otherwise(n))
 
 
 def parse_duration(value: Column) -> Column:

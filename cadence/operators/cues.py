@@ -154,8 +154,10 @@ def times(events: DataFrame, keys: list[str], pad: float = 0.15, least: float =
 
 def anchors(words: DataFrame, hooks: DataFrame, keys: list[str], dur: float = 0.9) -> DataFrame:
     """Hooks (text, anchor, dur) at the first word of each clip that is their anchor: start a tenth of a second after it, 0.8 to 2 seconds long."""
-    first = words.withColumn("token", norm_token(F.col("w"))).groupBy(*keys, "token").agg(F.min_by("e", "pos").alias("__e"), F.min("pos").alias("pos"))
     asked = hooks.withColumn("token", norm_token(F.col("anchor")))
+    # words that are no anchor go before anything is grouped
+    said = words.withColumn("token", norm_token(F.col("w"))).join(asked.select("token").distinct(), "token", "left_semi")
+    first = said.groupBy(*keys, "token").agg(F.min_by("e", "pos").alias("__e"), F.min("pos").alias("pos"))
     length = F.least(F.lit(2.0), F.greatest(F.lit(0.8), F.coalesce(F.nullif("dur", F.lit(0.0)), F.lit(dur))))
     met = first.join(asked, "token")
     return met.withColumns({"start": F.col("__e") + 0.1, "end": F.col("__e") + 0.1 + length}).drop("__e")
