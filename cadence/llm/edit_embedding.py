@@ -7,8 +7,8 @@ the walk: in each of 64 bins the sampled step is the one of least random priorit
 walk has, so texts of like length sample the same steps. A sample is one byte, a hash of the step and of
 the characters from there on. Likeness is the share of equal samples.
 
-``bands`` and ``links`` find texts of like fingerprints: bit-sampled bands of the samples are the join keys,
-and pairs that share one are verified by likeness and banded edit distance.
+``links`` finds texts of like fingerprints: bit-sampled bands of the samples are the join keys, texts that share
+one are verified by likeness, and the links that remain by banded edit distance of the whole texts.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm._common import slices
+from cadence.llm._common import pinned, slices
 
-#: Samples of a fingerprint, period of the walk's table, characters that a sample hashes.
-BINS, PERIOD, GRAM = 64, 256, 4
+#: Samples of a fingerprint, walks that give them, period of a walk's table, characters that a sample hashes.
+BINS, WALKS, PERIOD, GRAM = 64, 2, 256, 4
 #: Most ranges of ids that a table is dealt into; bounds of them are what reaches the driver.
 PARTS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -38,10 +38,10 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def stay() -> tuple[np.ndarray, list[bytes]]:
+@lru_cache(maxsize=WALKS)
+def stay(which: int = 0) -> tuple[np.ndarray, list[bytes]]:
     """Steps that the walk stays on a character (by its low byte mix), by step modulo PERIOD: geometric, mean 2."""
-    moves = np.random.default_rng(33).integers(0, 2, (PERIOD, 256), dtype=np.uint8)
+    moves = np.random.default_rng(33 + which).integers(0, 2, (PERIOD, 256), dtype=np.uint8)
     moves[0] = 1  # every run ends
     out = np.zeros((PERIOD, 256), np.uint8)
     run = np.ones(256, np.uint8)
@@ -54,12 +54,13 @@ def stay() -> tuple[np.ndarray, list[bytes]]:
 @lru_cache(maxsize=None)
 def records(limit: int) -> list[np.ndarray]:
     """For each bin the steps below limit that are of least priority so far: a walk of n steps samples the last below n."""
-    best = np.full(BINS, np.uint64(2**64 - 1))
-    found: list[list[int]] = [[] for _ in range(BINS)]
+    bins = BINS // WALKS
+    best = np.full(bins, np.uint64(2**64 - 1))
+    found: list[list[int]] = [[] for _ in range(bins)]
     for a in range(0, limit, 1 << 20):
         j = np.arange(a, min(limit, a + (1 << 20)), dtype=np.uint64)
         h = _hash(j)
-        b, p = (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(6)
+        b, p = (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(6)
         hit = np.flatnonzero(p < best[b])
         for k in hit.tolist():
             if p[k] < best[b[k]]:
@@ -74,9 +75,9 @@ def classes(text: str) -> np.ndarray:
     return ((points * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
-def walk(texts: list[np.ndarray], starts: list[int] | None = None) -> list[np.ndarray]:
+def walk(texts: list[np.ndarray], starts: list[int] | None = None, which: int = 0) -> list[np.ndarray]:
     """The step at which the walk comes to each character, and at last its length; starts: the first step of each."""
-    flat, rows = stay()
+    flat, rows = stay(which)
     n = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-n, kind="stable")
     offset = np.zeros(len(texts) + 1, np.int64)
@@ -112,15 +113,19 @@ def walk(texts: list[np.ndarray], starts: list[int] | None = None) -> list[np.nd
     return out
 
 
-def sample(chars: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The samples of a walked text: BINS bytes, 0 where a short walk has no step."""
+def sample(chars: np.ndarray, walks: list[np.ndarray]) -> np.ndarray:
+    """The samples of a text by its walks: BINS bytes, 0 where a short walk has no step."""
+    return np.concatenate([_sample(chars, at, which) for which, at in enumerate(walks)])
+
+
+def _sample(chars: np.ndarray, at: np.ndarray, which: int) -> np.ndarray:
     total = int(at[-1])
     lists = records(1 << max(20, total.bit_length()))
     picked = np.array([(f[k - 1] if (k := np.searchsorted(f, total)) else -1) for f in lists], np.int64)
-    out = np.zeros(BINS, np.uint8)
+    out = np.zeros(len(lists), np.uint8)
     have = np.flatnonzero(picked >= 0)
     place = np.searchsorted(at, picked[have], side="right") - 1
-    gram = np.zeros(len(have), np.uint64)
+    gram = np.full(len(have), which, np.uint64)
     for g in range(GRAM):
         c = np.where(place + g < len(chars), chars[np.minimum(place + g, len(chars) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
         gram = gram * np.uint64(257) + c
@@ -134,13 +139,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b)[either].mean()) if either.any() else 1.0
 
 
-def _text(value: str | None) -> str:
-    return value or ""
-
-
 def fingerprint_texts(texts: list[str]) -> list[np.ndarray]:
     chars = [classes(t) for t in texts]
-    return [sample(c, w) for c, w in zip(chars, walk(chars))]
+    return [sample(c, list(w)) for c, w in zip(chars, zip(*[walk(chars, which=k) for k in range(WALKS)]))]
 
 
 def neighbours(docs: DataFrame, id_col: str, text_col: str, bytes_each: int = 24 << 20) -> DataFrame:
@@ -172,13 +173,13 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, bytes_each: int = 24
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and candidate of every row.
 
     The edited text of a row has its last half (rounded down) replaced by as many first code points of the next
     row by descending id, or by all of it; the last row's next is the first. A null text is empty; equal texts
     have equal fingerprints; two empty texts are alike (1.0). Rows with equal ids are ordered by their texts; a
-    table of one row is its own next; an empty one gives none. Other columns are not read. One shuffle of
-    the texts by ranges of ids.
+    table of one row is its own next; an empty one gives none. candidate: whether the text and its edited text share a
+    band, so that ``links`` would compare them. Other columns are not read. One shuffle of the texts by ranges of ids.
     """
     spark = docs.sparkSession
     first = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -203,7 +204,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for t in {*texts, *after}:
                 chars[t] = classes(t)
             names = list(chars)
-            walks = dict(zip(names, walk([chars[t] for t in names])))
+            walks = dict(zip(names, zip(*[walk([chars[t] for t in names], which=k) for k in range(WALKS)])))
             prints = {t: sample(chars[t], walks[t]) for t in names}
             edited, tails, begin, keep = [], [], [], []
             for t, u in zip(texts, after):
@@ -212,14 +213,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 edited.append(t[:k] + u[:h])
                 keep.append(k)
                 tails.append(np.concatenate([chars[u][:h]]))
-                begin.append(int(walks[t][k]))
-            moved = walk(tails, begin)
+                begin.append([int(w[k]) for w in walks[t]])
+            moved = list(zip(*[walk(tails, [b[k] for b in begin], k) for k in range(WALKS)]))
             out = []
             for t, u, e, k, tail, m in zip(texts, after, edited, keep, tails, moved):
-                p = sample(np.concatenate([chars[t][:k], tail]), np.concatenate([walks[t][:k], m]))
-                out.append((len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), prints[t].tobytes().hex(), p.tobytes().hex(), likeness(prints[t], p), likeness(prints[t], prints[u])))
+                p = sample(np.concatenate([chars[t][:k], tail]), [np.concatenate([w[:k], x]) for w, x in zip(walks[t], m)])
+                out.append((len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), prints[t].tobytes().hex(), p.tobytes().hex(), likeness(prints[t], p), likeness(prints[t], prints[u]), p))
+            both = [bands(np.array(x)) for x in ([prints[t] for t in texts], [r[-1] for r in out])]
+            out = [(*r[:-1], bool(c)) for r, c in zip(out, (both[0] == both[1]).any(1))]
             columns = [pa.array([r[1] for r in rows], kind_arrow)] + [pa.array(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays(columns, ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(columns, ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "candidate"])
 
         kind_arrow = None
         for batch in slices(batches):
@@ -246,22 +249,75 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held is not None:
             yield give([held], [(0, None, head_text.value, False)])
 
-    out = neighbours(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = neighbours(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, candidate boolean")
     return out.withColumnRenamed("id", id_col)
 
 
-def bands(prints: np.ndarray, count: int = 16, width: int = 4) -> np.ndarray:
-    """Bit-sampled bands: count keys, each of width samples' bits drawn once for all."""
+def bands(prints: np.ndarray, count: int = 24, width: int = 3) -> np.ndarray:
+    """Bit-sampled bands: count keys, each of the bits of width samples of one walk, drawn once for all."""
     draw = np.random.default_rng(44)
     keys = np.zeros((len(prints), count), np.uint64)
     for k in range(count):
         x = np.zeros(len(prints), np.uint64)
-        for s in draw.choice(BINS, width, replace=False):
+        own = BINS // WALKS
+        for s in k % WALKS * own + draw.choice(own, width, replace=False):
             x = x * np.uint64(256) + prints[:, s].astype(np.uint64)
         keys[:, k] = _hash(x + (np.uint64(k) << np.uint64(48)))
     return keys
 
 
+def links(docs: DataFrame, least: float = 0.3, most: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, edges): node and id of every row, and (a, b, likeness, distance) between texts that edits separate.
+
+    Equal texts are one node, whose smallest id names it. Nodes that share a band meet; groups of a common band are
+    dealt into tiles and each gives a forest of links of at least ``least`` likeness, never all pairs. Each link is
+    then verified on the whole texts: its edit distance is at most ``most`` of the longer text.
+    """
+    from cadence.llm.simhash import bounds, tiles, whole_groups
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.array(fingerprint_texts([t or "" for t in batch.column(1).to_pylist()])).reshape(-1, BINS)
+            keys = bands(found)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), lists], ["node", "print", "keys"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, (node, marks) in whole_groups(batches):
+            nodes, marks = node.to_numpy(), np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, BINS)
+            out: list[tuple] = []
+            for s, n in zip(*bounds(tile)):
+                left = np.arange(s, s + n)
+                while len(left) > 1:
+                    queue, left = [left[0]], left[1:]
+                    while queue and len(left):
+                        x = queue.pop()
+                        either = ((marks[left] > 0) | (marks[x] > 0)).sum(1)
+                        like = ((marks[left] == marks[x]) & (marks[x] > 0)).sum(1) / np.maximum(either, 1)
+                        near = np.flatnonzero(like >= least)
+                        out += [(int(nodes[left[k]]), int(nodes[x]), float(like[k])) for k in near]
+                        queue += left[near].tolist()
+                        left = np.delete(left, near)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "likeness"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
+    members = pinned(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("id").alias("node")))
+    named = rows.select("id", F.sha2("text", 256).alias("digest")).join(members, "digest").select("node", "id")
+    texts = rows.join(members.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    marked = pinned(texts.mapInArrow(prints, "node long, print binary, keys array<long>"))
+    tiled = tiles(marked.select("node", F.explode("keys").alias("key")), "node").join(marked.select("node", "print"), "node").select("key", "low", "high", "node", "print")
+    met = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(compare, "a long, b long, likeness double").distinct()
+    pairs = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [edit_distance(x, y, int(most * max(len(x), len(y)))) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            keep = [d <= int(most * max(len(x), len(y))) for d, x, y in zip(size, batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64())], ["a", "b", "likeness", "distance"]).filter(pa.array(keep, pa.bool_()))
+
+    return named, pairs.select("a", "b", "likeness", "x", "y").mapInArrow(verify, "a long, b long, likeness double, distance long")
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edit distance if at most ``most``, else most + 1; by diagonals, in time length x most at worst."""
     if abs(len(a) - len(b)) > most:

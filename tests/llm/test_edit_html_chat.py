@@ -70,6 +70,7 @@ def test_fingerprints_and_neighbours(spark, monkeypatch, bytes_each):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (p.tobytes().hex(), q.tobytes().hex())
+        assert r["candidate"] == (edit_embedding.bands(np.array([p])) == edit_embedding.bands(np.array([q]))).any()
         assert r["near_edited"] == edit_embedding.likeness(p, q) and r["near_next"] == edit_embedding.likeness(p, n)
 
 
@@ -83,11 +84,36 @@ def test_similar_texts_share_a_band():
     rng = np.random.default_rng(6)
     a = rng.integers(1, 256, (50, edit_embedding.BINS)).astype(np.uint8)
     b = a.copy()
-    b[:, :6] = 0
+    b[:, :12] = 0
     keys, other = edit_embedding.bands(a), edit_embedding.bands(b)
     assert (keys == other).any(1).mean() > 0.95 and not (keys == np.roll(other, 1, 0)).any()
 
 
+def test_links_are_edits(spark):
+    rng = random.Random(7)
+    rows, group = [], {}
+    for g in range(12):
+        base = [rng.choice("abcdefghijk ") for _ in range(600)]
+        for c in range(rng.choice([1, 3])):
+            own = list(base)
+            for _ in range(4 * c):
+                own[rng.randrange(600)] = rng.choice(["", "z", "yy"])
+            rows.append((len(rows), "".join(own)))
+            group[len(rows) - 1] = g
+    rows += [(100, rows[0][1]), (101, None), (None, "x")]
+    members, edges = edit_embedding.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["id"]: r["node"] for r in members.collect()}[100] == 0 and members.count() == len(rows) - 1
+    text = dict(rows)
+    from tests.llm.test_duplicates import classes
+
+    got = edges.collect()
+    found = classes(len(group), [(r["a"], r["b"]) for r in got])
+    # no link between groups; walks that don't catch up in time cost a few links within them
+    assert [group[i] for i in range(len(group))] == [group[c] for c in found] and len(set(found)) <= len(set(group.values())) + 2
+    for r in got[:10]:
+        assert r["distance"] == edit_embedding.edit_distance(text[r["a"]], text[r["b"]], 600) and r["likeness"] >= 0.3
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><p>Welcome to the site, dear reader.</p></header>
 <div id="cookie-notice">We use cookies, ok?</div><nav><a href=x>Home</a> <a href=y>About</a></nav><div class="ad">Buy now, buy more, buy often.</div>
 <div class="post"><h2>A title</h2><p><b>First para, with &amp; sign.<br><p>Second&nbsp; one, which
