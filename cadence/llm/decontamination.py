@@ -158,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_co
 
     With drop the input rows in which no item is found. Texts are read whole; a null or empty one holds no
     item; an item of fewer words than a seed is never found, and null items count as empty. Repeated rows give
-    repeated rows; repeated items give a row each; an empty benchmark or table gives none (drop: all rows). Other
+    repeated rows; repeated items count once; an empty benchmark or table gives none (drop: all rows). Other
     columns are not read (with drop they stay). Word counts cover all documents; two narrow passes, no shuffle of texts.
     """
     spark, whole = docs.sparkSession, docs.schema

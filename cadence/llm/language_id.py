@@ -27,13 +27,14 @@ BLOCK = 2 << 20
 @dataclass(frozen=True)
 class Settings:
     """bits: hashed n-grams; orders: longest n-gram; window: characters scored at once; sample: labelled
-    texts that the classifier is fitted on at most (drawn by hash, from each language alike); landmarks:
-    of the kernel; ridge: regularisation; sharpness: of the softmax that makes scores of margins."""
+    texts that the classifier is fitted on at most (drawn by hash, from each language alike); languages: the most
+    frequent ones, at most so many; landmarks: of the kernel; ridge: regularisation; sharpness: of the softmax that makes scores of margins."""
 
     bits: int = 12
     orders: int = 4
     window: int = 1500
     sample: int = 3000
+    languages: int = 1000
     landmarks: int = 256
     ridge: float = 0.3
     sharpness: float = 6.0
@@ -132,7 +133,7 @@ class Classifier:
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
     """Fit on at most s.sample texts drawn by hash, alike from every language, of the rows whose crc32(id) mod 3 is not 1 and lang is not null."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter((fold(F.col("id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()}
     if not counts:
         return Classifier([], [], s)
     each = max(1, s.sample // len(counts))
