@@ -167,7 +167,7 @@ def queue_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.next_batch(_orders(spark, sf_dir).filter("id % 5 <> 0"), "role", "priority").select("role", "id")
+    return Q.next_batch(_orders(spark, sf_dir), "role", "priority").select("role", "id")
 
 
 def queue_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir).select("id", "to")
     path = E.scratch(spark, "messages")
     E.replay(o, "id", 3, path)
-    o.filter("id % 10 = 0").coalesce(1).write.mode("append").parquet(path)
+    o.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = E.scratch(spark, "delivered")
     E.deliver(stream, spark.createDataFrame(ROLES, "role string"), out, E.scratch(spark, "state"))
@@ -289,7 +289,7 @@ select id, round(a, 6) as start_s, round(z, 6) as end_s, beat from b where z > a
     "fanout": f"with {_MSG}, e as (select id, unnest(string_split(to_, ',')) as recipient from ord where to_ not like '%X%') select id, recipient from e",
     "dead_letters": f'with {_MSG} select id, to_ as "to" from ord where to_ like \'%X%\'',
     "queue_next": f"with {_MSG} select role, id, priority from ord qualify row_number() over (partition by role order by priority, created, id) = 1",
-    "queue_batch": f"with {_MSG}, p as (select * from ord where id % 5 <> 0) select role, id from p qualify priority = min(priority) over (partition by role)",
+    "queue_batch": f"with {_MSG} select role, id from ord qualify priority = min(priority) over (partition by role)",
     "queue_latency": "with d as (select l_orderkey, max(l_shipdate) as done from lineitem group by 1), x as (select o_orderpriority, date_diff('day', o_orderdate, done) as days from orders join d on o_orderkey = l_orderkey) select o_orderpriority, count(*) as n, min(days) as least, max(days) as most, cast(sum(days) as bigint) as total from x group by 1",
     "queue_sequence": "select o_orderkey as id, lpad(cast(row_number() over (order by o_orderdate, o_orderkey) as varchar), 6, '0') as number from orders",
     "header_parse": f"with {_MSG} select id, '0' || priority as priority, 3 as headers, 'body ' || id as body from ord",

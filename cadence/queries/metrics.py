@@ -148,7 +148,7 @@ def parse_rate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     shown = F.when(F.col("l_linenumber") % 2 == 0, F.format_number(F.floor(cents / 100), 0)).otherwise(F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")))
-    return l.select(S.parse_rate(shown).alias("rate")).groupBy("rate").agg(F.count("*").alias("n")).select(r6("rate").alias("rate"), "n").filter("rate < 1").groupBy("rate").agg(F.sum("n").alias("n"))
+    return l.select(S.parse_rate(shown).alias("rate")).groupBy("rate").agg(F.count("*").alias("n")).select(r6("rate").alias("rate"), "n").groupBy("rate").agg(F.sum("n").alias("n"))
 
 
 def parse_duration_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +164,9 @@ def platform_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", S.normalize_key(F.substring("text", 1, 40)).alias("key"))
-    return d.filter("key <> ''")
+    """Labels of parts, with the accents and signs that people put in, as keys."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", S.normalize_key(F.concat(F.lit("  Ñandú % "), "p_name", F.lit(" / "), "p_brand", F.lit("--"), "p_type", F.lit(" "))).alias("key"))
 
 
 def slug_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +220,11 @@ select round(r10, 6) as r10, round(r40, 6) as r40, round(r60, 6) as r60, round(r
     "parse_number_cases": NUMBER_SQL.format(keep="i", source=_values(NUMBERS)) + "select i, number from n",
     "parse_rate_cases": """with x as (select case when l_linenumber % 2 = 0 then round(cast(round(l_extendedprice * 100) as bigint) // 100 / 1.0, 0) else null end as big, l_discount from lineitem),
 y as (select case when big is null then round(round(l_discount * 100) / 100.0, 6) when big > 1 then round(big / 100.0, 6) else big end as rate from x)
-select rate, count(*) as n from y where rate < 1 group by rate""",
+select rate, count(*) as n from y group by rate""",
     "parse_duration_cases": "select i, cast(s as double) as seconds from (values (0, 3723.0), (1, 90.0), (2, 12.0), (3, null), (4, 0.5), (5, 1234.0), (6, 45.0), (7, null)) t(i, s)",
     "parse_bool_cases": f"select i, case when lower(trim(v)) in ('true', 'yes', 'si', 'sí', '1', 'on') then true when lower(trim(v)) in ('false', 'no', '0', 'off') then false end as flag, lower(trim(v)) in ('true', 'yes', 'si', 'sí', '1', 'on') as lenient from {_values(BOOLS)}",
     "platform_norm": f"select i, case when lower(v) like '%tiktok%' or lower(trim(v)) = 'douyin' then 'tiktok' when lower(v) like '%instagram%' or lower(v) like '%reels%' then 'instagram_reels' when lower(v) like '%youtube%' or lower(v) like '%shorts%' then 'youtube_shorts' else nullif(lower(trim(v)), '') end as platform from {_values(PLATFORMS)}",
-    "normalize_keys": r"""with a as (select doc_id, translate(lower(trim(substr(text, 1, 40), ' ')), 'áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ', 'aaaaaaaeeeeeiiiiioooooouuuuuncyy') as t from documents),
-b as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[^\x00-\x7F]', '', 'g'), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_') as key from a) select doc_id, key from b where key <> ''""",
+    "normalize_keys": "select p_partkey, 'nandu_' || regexp_replace(lower(p_name || '_' || p_brand || '_' || p_type), '[^a-z0-9]+', '_', 'g') as key from part",
     "slug_urls": r"select page_id, trim(regexp_replace(lower(regexp_replace(url, '^https?://', '')), '[^\p{L}\p{N}]+', '-', 'g'), '-') as slug from pages",
     "flatten_props": "select event_type, count(props->>'k') as n, sum(cast(props->>'k' as double)) as total, max(cast(props->>'k' as double)) as top from events group by event_type",
     "format_cases": """select p_partkey, case when p_size >= 10 then printf('%.1f', p_size * 1.0) else printf('%.3f', p_size * 1.0) end as size, printf('%.1f%%', p_size / 63.0 * 100) as share,

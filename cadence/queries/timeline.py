@@ -167,9 +167,9 @@ def kernel_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fine = spark.range(1000).select(F.col("id").alias("at"))
-    coarse = table(spark, sf_dir, "events").filter("event_id < 300").select(F.col("event_id").alias("at"), (F.col("value") > 50).alias("flag"))
-    return R.align(fine, coarse, [], "at", "flag", 3)
+    e = table(spark, sf_dir, "events")
+    fine = e.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("event_id") * 4 + k)).alias("at"))  # a quarter lies beyond the mask
+    return R.align(fine, e.select(F.col("event_id").alias("at"), (F.col("value") > 50).alias("flag")), [], "at", "flag", 3)
 
 
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +282,7 @@ ORACLES = {
     "path_accumulate": "select event_id, cast(sum(cast(round(value * 100 - 5000) as bigint)) over (partition by user_id order by event_id rows unbounded preceding) as bigint) as path_dx from events",
     "shake_stats": "with d as (select user_id, (value - lag(value) over (partition by user_id order by event_id)) * 1.5 as d from events) select user_id, case when count(d) < 2 then 0 else round(median(d), 6) end as median, case when count(d) < 2 then 0 else round(stddev_pop(d), 6) end as deviation from d where d is not null group by 1",
     "kernel_smooth": f"with e as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as place, value from events), l as (select user_id, max(place) as last from e group by 1), t(k, w) as (values {_TAPS}) select e.user_id, e.place, round(sum(w * v.value), 6) as smooth from e join l using (user_id) cross join t join e v on v.user_id = e.user_id and v.place = least(greatest(e.place + k, 0), last) group by 1, 2",
-    "mask_align": "select a.i as at, coalesce(value > 50, false) as flag from range(1000) a(i) left join (select * from events where event_id < 300) on event_id = a.i // 3",
+    "mask_align": "select a.event_id * 4 + k.k as at, coalesce(b.value > 50, false) as flag from events a cross join range(4) k(k) left join events b on b.event_id = (a.event_id * 4 + k.k) // 3",
     "positional_zip": "with a as (select user_id, event_id as a, row_number() over (partition by user_id order by event_id) as place from events where event_type = 'view'), b as (select user_id, event_id as b, row_number() over (partition by user_id order by event_id) as place from events where event_type = 'click') select user_id, place, a, b from a join b using (user_id, place)",
     "carry_forward": "select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as last_paid from events",
     "timecode": "with t as (select event_id, event_id * 7 as s, event_id % 100 as c from events) select event_id, printf('%d:%02d:%02d.%02d', s // 3600, (s % 3600) // 60, s % 60, c) as shown from t",
