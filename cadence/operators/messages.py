@@ -52,7 +52,7 @@ def upsert(headers: Column, key: str, value: Column) -> Column:
 def fan_out(messages: DataFrame, roles: DataFrame, to: str = "to", role: str = "role") -> tuple[DataFrame, DataFrame]:
     """(delivered rows, failed messages): a row for each recipient; a message with an unknown recipient fails whole."""
     each = messages.withColumn("recipient", F.explode(F.split(to, ",")))
-    known = each.join(F.broadcast(roles.select(F.col(role).alias("__r")).distinct()), F.col("recipient") == F.col("__r"), "left")
+    known = each.join(roles.select(F.col(role).alias("__r")).distinct(), F.col("recipient") == F.col("__r"), "left")
     ids = messages.columns
     failed = known.filter("__r is null").select(*ids).distinct()
     bad = known.withColumn("__bad", F.max(F.col("__r").isNull().cast("int")).over(Window.partitionBy("id")))

@@ -70,5 +70,5 @@ def run(executions: DataFrame, handlers: dict, schema: str = "feature string, sc
 
 def first_match(rows: DataFrame, patterns: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """As ``route`` for handlers in a table (pattern, handler, ordinal): the least ordinal that matches."""
-    met = rows.join(F.broadcast(patterns), F.expr(f"{text} rlike concat('^(?:', pattern, ')$')"))
+    met = rows.join(patterns, F.expr(f"{text} rlike concat('^(?:', pattern, ')$')"))
     return met.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("ordinal"))).filter("__n = 1").drop("__n", "pattern", "ordinal")

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from cadence.functions.scalars import ease
 
 POSE = ["x", "y", "rotation", "scale"]
+#: Keyframes of a track at most.
+MOST = 10_000
 
 
 def interpolate(points: DataFrame, keyframes: DataFrame, progress: str, columns: list[str] = POSE) -> DataFrame:
     """Linear interpolation of keyframe columns at each point's progress, clamped to 0..1.
 
-    Keyframes (a bounded track: column ``progress``) become segments by ``lead``; a point meets its one segment.
+    Keyframes (column ``progress``; more than MOST fail, so what is broadcast is bounded) become segments by ``lead``;
+    a point meets its one segment.
     """
+    if keyframes.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"a track has at most {MOST} keyframes")
     order = Window.orderBy("progress")
     track = keyframes.select(F.col("progress").alias("__a"), F.lead("progress").over(order).alias("__b"), *[F.col(c).alias(f"__{c}0") for c in columns], *[F.lead(c).over(order).alias(f"__{c}1") for c in columns]).filter("__b is not null")
     held = points.withColumn("__p", F.least(F.greatest(F.col(progress), F.lit(0.0)), F.lit(1.0)))
