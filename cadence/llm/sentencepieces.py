@@ -10,6 +10,7 @@ difference raises.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,6 @@ class Pieces:
     """A merge-type sentencepiece model: encodes and decodes whole texts."""
 
     def __init__(self, path: str):
-        import regex
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -56,6 +56,8 @@ class Pieces:
                 self.byte_ids[int(p.piece[3:5], 16)] = i
                 self.byte_of[i] = int(p.piece[3:5], 16)
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
+        self.shown = [None if i in self.byte_of else t.replace(SPACE, " ") for i, t in enumerate(self.texts)]
+        self.names = [str(i) for i in range(len(self.texts))]
         # symbols: ids of pieces, then characters of pieces that are none themselves, then any other character
         self.symbol = {p: i for p, (i, _) in normal.items()}
         for p in normal:
@@ -70,13 +72,15 @@ class Pieces:
             raise ValueError("a piece has a space inside")
         # no piece has a space after another character, or a character that is in no longer piece: cut there
         apart = "".join(c for c in map(chr, range(1, 128)) if c not in inside and c != " ")
-        apart = regex.escape(apart, special_only=False) if apart else ""
-        self.units = regex.compile(rf"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        apart = re.escape(apart)
+        self.units = re.compile(rf"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.points = np.full(0x110000, self.other, np.int32)
         for c, i in self.symbol.items():
             if len(c) == 1:
                 self.points[ord(c)] = i
-        self.known: dict[str, tuple[int, str, str]] = {}
+        #: Of known units: their ids joined by commas, and what these decode to.
+        self.ids_of: dict[str, str] = {}
+        self.back_of: dict[str, str] = {}
 
     def merge(self, units: list[str]) -> list[list[int]]:
         """The ids of each unit."""
@@ -108,24 +112,37 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
     def _join(self, ids: list[int]) -> str:
+        parts = [self.shown[i] for i in ids]
+        if None not in parts:
+            return "".join(parts)
         return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
 
     def learn(self, units: set[str], check: bool) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [u for u in units if u not in self.known]
+        if len(self.ids_of) > REMEMBERED:
+            self.ids_of, self.back_of = {}, {}
+        new = sorted(units - self.ids_of.keys(), key=len)  # of like length, as they are merged
         if not new:
             return
         ids = self.merge(new)
         if check:
-            # a unit without a leading space can't be given to the library alone: "\n" before it cuts as the text does
-            want = self.library.encode([u[1:].replace(SPACE, " ") if u[0] == SPACE else "\n" + u for u in new], num_threads=1)
-            head = self.head
-            for u, own, theirs in zip(new, ids, want):
-                if own != (theirs if u[0] == SPACE else theirs[len(head) :]) and u != SPACE:
-                    raise Mismatch(f"{u!r}: {own} and {theirs}")
-        for u, own in zip(new, ids):
-            self.known[u] = (len(own), ",".join(map(str, own)), self._join(own))
+            self._verify(new, ids)
+        names = self.names
+        self.ids_of.update(zip(new, [",".join([names[i] for i in own]) for own in ids]))
+        self.back_of.update(zip(new, map(self._join, ids)))
+
+    def _verify(self, units: list[str], ids: list[list[int]]) -> None:
+        """Compare with the library. A unit without a leading space can't be given to it alone: "\n" before it cuts as the text does."""
+        spaced = [i for i, u in enumerate(units) if u[0] == SPACE and u != SPACE]
+        others = [i for i, u in enumerate(units) if u[0] != SPACE]
+        own = [ids[i] for i in spaced]
+        theirs = self.library.encode([units[i][1:].replace(SPACE, " ") for i in spaced], num_threads=1)
+        if others:
+            skip = len(self.head)
+            own += [ids[i] for i in others]
+            theirs += [x[skip:] for x in self.library.encode(["\n" + units[i] for i in others], num_threads=1)]
+        if own != theirs:
+            i, a, b = next((i, a, b) for i, a, b in zip(spaced + others, own, theirs) if a != b)
+            raise Mismatch(f"{units[i]!r}: {a} and {b}")
 
     @property
     def head(self) -> list[int]:
@@ -142,11 +159,11 @@ class Pieces:
         for u in cut:
             units.update(u)
         self.learn(units, check)
-        known = self.known
+        ids_of, back_of = self.ids_of.__getitem__, self.back_of.__getitem__
         whole = False
         for text, own in zip(texts, cut):
-            found = [known[u] for u in own]
-            n, ids, back = sum(f[0] for f in found), ",".join([f[1] for f in found]), "".join([f[2] for f in found])
+            ids, back = ",".join(map(ids_of, own)), "".join(map(back_of, own))
+            n = ids.count(",") + 1 if ids else 0
             back = back[1:] if back.startswith(" ") else back
             if check and not whole and text:
                 theirs = self.library.encode(text)

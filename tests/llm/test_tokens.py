@@ -75,13 +75,13 @@ def test_a_difference_raises(pieces):
             return [[0]] * len(x) if isinstance(x, list) else [0]
 
     real, pieces.library = pieces.library, Wrong()
-    pieces.known.clear()
+    pieces.ids_of.clear()
     try:
         with pytest.raises(sentencepieces.Mismatch):
             list(pieces.run(["something new"]))
     finally:
         pieces.library = real
-        pieces.known.clear()
+        pieces.ids_of.clear()
 
 
 def test_odd_rows(odd_docs, no_docs, library, pieces):
