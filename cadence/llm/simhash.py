@@ -25,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from cadence.llm._common import pinned, slices, staged, texts_of, trim
 from cadence.llm._graph import components
 
-#: Seed of the shingles' XXH64, number of pivots, and fingerprints of one key that a tile side holds.
-SEED, PIVOTS, TILE = 42, 16, 1024
+#: Seed of the shingles' XXH64, number of pivots, and fingerprints (and shingles, where sets are compared) of one key that a tile side holds.
+SEED, PIVOTS, TILE, LOAD = 42, 16, 1024, 1 << 21
 
 
 def fingerprints(texts: list[str], words: int = 3) -> np.ndarray:
@@ -186,11 +187,13 @@ def _linked(distance: int):
     return run
 
 
-def tiles(keys: DataFrame, node: str) -> DataFrame:
+def tiles(keys: DataFrame, node: str, weight: str | None = None) -> DataFrame:
     """(key, low, high, node) of the keys that several nodes share; many nodes are dealt into sides of about TILE, and each
-    pair of sides is a tile, so that no group, however large, meets in one task."""
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = keys.join(sizes, "key").withColumn("sides", F.ceil(F.col("n") / TILE).cast("long"))
+    pair of sides is a tile, so that no group, however large, meets in one task. With a column of weights (shingles) a side
+    also has about LOAD of them at most."""
+    load = F.sum(weight) / LOAD if weight else F.lit(0.0)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / TILE, load)).cast("long").alias("sides")).filter("n > 1")
+    held = keys.join(sizes, "key")
     own = F.pmod(F.xxhash64(node, F.lit(11)), F.col("sides"))
     tiled = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
     return tiled.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("n", "sides", "own", "other")
@@ -232,27 +235,46 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
     return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Bins of a shingle sketch, join keys of it, and bits beyond which fingerprints tell texts of the wanted similarity apart.
-BINS, KEYS, FAR = 256, 8, 24
+#: Bins of a shingle sketch, join keys of it, bits beyond which fingerprints tell texts of the wanted similarity apart, and how
+#: far below the wanted similarity a sketch must be to discard (six standard errors of 256 bins).
+BINS, KEYS, FAR, MARGIN = 256, 8, 28, 0.15
 
 
-def sketch(text: str, words: int) -> tuple[bytes, int, bytes, np.ndarray]:
-    """Of a text's word shingles: 128-bit digest of its words, SimHash, least hash of each bin (two bytes of it; empty bins 0), and keys."""
-    from xxhash import xxh3_128_digest, xxh64_digest
+def hashes(found: list[bytes], words: int) -> np.ndarray:
+    """The distinct XXH64 of the word shingles of a text, ascending."""
+    from xxhash import xxh64_digest
 
-    found = text.encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(found)
-    name = xxh3_128_digest(joined)
+    ends = list(accumulate(len(w) + 1 for w in found))
+    cuts = zip([0, *ends], ends[words - 1 :]) if len(found) > words else [(0, len(joined) + 1)] if found else []
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(joined[a : b - 1], SEED) for a, b in cuts]), ">u8").astype(np.uint64))
+
+
+def _split(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def digest(text: str) -> bytes:
+    """128-bit name of a text's words."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(_split(text)))
+
+
+def sketch(text: str, words: int) -> tuple[bytes, int, bytes, np.ndarray]:
+    """Of a text's distinct word shingles: 128-bit digest of its words, SimHash, least hash of each bin (two bytes of it; empty bins 0), and keys."""
+    from xxhash import xxh3_128_digest
+
+    found = _split(text)
+    name = xxh3_128_digest(b" ".join(found))
     if not found:
         return name, 0, bytes(2 * BINS), np.zeros(KEYS, np.uint64)
-    ends = list(accumulate(len(w) + 1 for w in found))
-    cuts = zip([0, *ends], ends[words - 1 :]) if len(found) > words else [(0, len(joined) + 1)]
-    raw = np.frombuffer(b"".join([xxh64_digest(joined[a : b - 1], SEED) for a, b in cuts]), np.uint8).reshape(-1, 8)
+    hashed = hashes(found, words)
+    raw = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(raw), 65536):
         ones += np.unpackbits(raw[a : a + 65536], axis=1).sum(0, dtype=np.int64)
     fp = int(np.packbits(2 * ones > len(raw)).view(">u8")[0])
-    hashed = np.unique(raw.view(">u8").reshape(-1).astype(np.uint64))
     bins = (hashed & np.uint64(BINS - 1)).astype(np.int64)
     order = np.argsort(bins, kind="stable")  # hashes ascend, so a bin's first is its least
     first = order[np.append(True, np.diff(bins[order]) > 0)]
@@ -271,17 +293,39 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a > 0)).sum(-1) / np.maximum(either, 1)
 
 
-def _similar(similarity: float):
-    """Rows of tiles (node, fp, sketch) -> edges between texts of at least that similarity."""
+def common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the other sets (ascending, not empty) shares with one."""
+    ends = np.cumsum([len(o) for o in others])
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), ends - [len(o) for o in others])
+
+
+def same_enough(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether the shingle sets' exact similarity is at least that wanted."""
+    out, start = np.zeros(len(others), bool), 0
+    sizes = np.array([len(o) for o in others], np.int64)
+    while start < len(others):  # about a million members at a time
+        stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), 1 << 20, side="right")))
+        both = common(own, others[start:stop])
+        out[start:stop] = both / (len(own) + sizes[start:stop] - both) >= similarity
+        start = stop
+    return out
+
+
+def _similar(similarity: float, exact: bool = False):
+    """Rows of tiles (node, fp, sketch) -> edges between texts that may have that similarity, by sketches with a margin;
+    exact: rows have their shingle sets as well, and edges are those of at least that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables(3)
-        for tile, (node, fp, marks) in whole_groups(batches):
+        for tile, (node, fp, marks, *sets) in whole_groups(batches):
             fp, names = fp.to_numpy().view(np.uint64), node.to_pylist()
             marks = np.frombuffer(b"".join(marks.to_pylist()), np.uint16).reshape(-1, BINS)
+            members = lambda k: np.frombuffer(sets[0][int(k)].as_buffer(), np.uint64)
             a, b = [], []
             for s, n in zip(*bounds(tile)):
-                # discard by the largest coordinate difference, then by bits; verify by sketches
+                # discard by the largest coordinate difference, by bits, then by sketches; what is left may be verified
                 where, left = t.distances(fp[s : s + n]), np.arange(n)
                 while len(left) > 1:
                     queue, left = [left[0]], left[1:]
@@ -289,7 +333,9 @@ def _similar(similarity: float):
                         x = queue.pop()
                         near = np.flatnonzero((np.abs(where[left] - where[x]) <= FAR).all(1))
                         near = near[np.bitwise_count(fp[s + left[near]] ^ fp[s + x]) <= FAR]
-                        near = near[alike(marks[s + left[near]], marks[s + x]) >= similarity]
+                        near = near[alike(marks[s + left[near]], marks[s + x]) >= similarity - MARGIN]
+                        if exact and len(near):
+                            near = near[same_enough(members(s + x), [members(s + k) for k in left[near]], similarity)]
                         if len(near):
                             a += [names[s + k] for k in left[near]]
                             b += [names[s + x]] * len(near)
@@ -300,13 +346,43 @@ def _similar(similarity: float):
     return run
 
 
+def _tiled_edges(keys: DataFrame, nodes: DataFrame, similarity: float, exact: bool = False) -> DataFrame:
+    columns = ["node", "fp", "marks", *(["shingles"] if exact else [])]
+    tiled = tiles(keys, "node", "weight" if exact else None).join(nodes.select(*columns), "node").select("key", "low", "high", *columns)
+    return tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_similar(similarity, exact), "a binary, b binary")
+
+
+def _sets(words: int):
+    """Rows (node, text) -> (node, shingles): the text's shingle hashes, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held = [hashes(_split(t), words).tobytes() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def named(docs: DataFrame, column: str, text_col: str = "text") -> DataFrame:
+    """The rows with the digest of their words."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            names = pa.array([digest(t or "") for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], [*batch.schema.names, column])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(column, BinaryType())]))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and class_id (the smallest id of the texts linked to it) of every row, by word shingles.
 
     Texts of the same words are one node. Others meet if the least hash of one of eight parts of their shingle
-    sets is the same (a pair of similarity 0.8 is missed once in 400,000); their fingerprints' pivot distances and
-    bits discard the unlike, and sketches of 256 bins verify the similarity (exact for short texts; standard
-    error 0.025 at 0.8 for long ones). Null and empty texts are copies of each other; null ids have the class of their text.
+    sets is the same (a pair of long texts of similarity 0.8 is missed once in 400,000). Their fingerprints' pivot
+    distances and bits, and sketches of 256 bins with a margin of MARGIN, discard the unlike; the shingle sets of what is
+    left are compared whole, and only pairs of at least the similarity are linked. Null and empty texts are copies of
+    each other; null ids have the class of their text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,14 +397,23 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     prints = staged(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node binary, fp long, marks binary, keys array<long>"))
     nodes = staged(prints.groupBy("node").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("marks").alias("marks"), F.min("keys").alias("keys")))
     keys = nodes.select("node", F.explode("keys").alias("key")).filter("key <> 0")
-    tiled = tiles(keys, "node").join(nodes.select("node", "fp", "marks"), "node").select("key", "low", "high", "node", "fp", "marks")
-    edges = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_similar(similarity), "a binary, b binary")
-    found = components(edges)
+    maybe = pinned(components(_tiled_edges(keys, nodes, similarity)))
+    # the sets of the texts that may be alike, once each, from one row of each text
+    one = nodes.select("node", "first").join(maybe, "node", "left_semi")
+    texts = named(rows, "node").select("id", "node", "text").alias("t").join(one.alias("o"), (F.col("t.node") == F.col("o.node")) & F.col("t.id").eqNullSafe(F.col("o.first")), "left_semi")
+    sets = staged(texts.select("node", "text").mapInArrow(_sets(words), "node binary, shingles binary").dropDuplicates(["node"]))
+    # members of a small class meet at its root, those of a large one by their keys again
+    weighed = sets.select("node", (F.octet_length("shingles") / 8).alias("weight")).join(maybe, "node")
+    sizes = maybe.groupBy("root").agg(F.count("*").alias("members"))
+    weighed = weighed.join(sizes, "root")
+    small = weighed.filter(F.col("members") <= TILE).select("node", F.xxhash64("root").alias("key"), "weight")
+    large = weighed.filter(F.col("members") > TILE).join(keys, "node").select("node", "key", "weight")
+    found = components(_tiled_edges(small.unionByName(large), nodes.join(sets, "node"), similarity, exact=True))
     firsts = nodes.select("node", "first")
     linked = found.join(firsts, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select("node", "least")
-    classes = pinned(firsts.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("class_id")))
+    by_node = linked.join(least, "root").select("node", "least")
+    classes = pinned(firsts.join(by_node, "node", "left").select("node", F.coalesce("least", "first").alias("class_id")))
     return prints.select("id", "node").join(classes, "node", "left").select(F.col("id").alias(id_col), "class_id")
 
 

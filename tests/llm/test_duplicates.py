@@ -125,3 +125,41 @@ def test_sketch_similarity():
     marks = [np.frombuffer(simhash.sketch(t, 5)[2], np.uint16) for t in (a, b)]
     sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in (a, b)]
     assert abs(simhash.alike(marks[0], marks[1]) - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.1
+
+
+def test_near_copies_at_exactly_the_similarity(spark):
+    """Sets of 900 shingles of which 800 (similarity 0.8) or 799 are shared: sketches can't tell these, sets do."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    rows, linked = [], {}
+    for g in range(60):
+        shared = 800 - g % 2
+        base = [word() for _ in range(904)]
+        other = base[: shared + 4] + [word() for _ in range(900 - shared)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        linked[2 * g], linked[2 * g + 1] = 2 * g, 2 * g + g % 2
+    # a line repeated often is one shingle set still
+    rows += [(200, " ".join(base := [word() for _ in range(60)])), (201, " ".join(base + ["buy this now and be glad"] * 300))]
+    linked |= {200: 200, 201: 200}
+    got = {r["doc_id"]: r["class_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 8])
+def test_near_copies_are_brute_force(spark, monkeypatch, tile):
+    """Groups of edited copies about the similarity, as components of exactly compared sets, in one tile and in many."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    rows = []
+    for _ in range(6):
+        base = [word() for _ in range(400)]
+        for _ in range(20):
+            own = list(base)
+            for _ in range(rng.randrange(4, 13)):
+                own[rng.randrange(400)] = word()
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = classes(len(rows), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) / len(a | b) >= 0.8])
+    got = {r["doc_id"]: r["class_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want and len(set(want)) > 6
