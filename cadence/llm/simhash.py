@@ -376,7 +376,13 @@ def named(docs: DataFrame, column: str, text_col: str = "text") -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and class_id (the smallest id of the texts linked to it) of every row, by word shingles.
+    """id and class_id (the smallest id of the texts linked to it) of every row, by word shingles; see classes()."""
+    return classes(docs, words, similarity, id_col, text_col).select(F.col("id").alias(id_col), "class_id")
+
+
+def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, node (digest of the words), class_id and class_node of every row: a class is named by its smallest id and, of the
+    texts with that id, the smallest digest.
 
     Texts of the same words are one node. Others meet if the least hash of one of eight parts of their shingle
     sets is the same (a pair of long texts of similarity 0.8 is missed once in 400,000). Their fingerprints' pivot
@@ -409,18 +415,23 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     small = weighed.filter(F.col("members") <= TILE).select("node", F.xxhash64("root").alias("key"), "weight")
     large = weighed.filter(F.col("members") > TILE).join(keys, "node").select("node", "key", "weight")
     found = components(_tiled_edges(small.unionByName(large), nodes.join(sets, "node"), similarity, exact=True))
-    firsts = nodes.select("node", "first")
+    # the row that a class is named by; null ids never name one that has others
+    firsts = nodes.select("node", F.when(F.col("first").isNotNull(), F.struct("first", "node")).alias("name"))
     linked = found.join(firsts, "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    least = linked.groupBy("root").agg(F.min("name").alias("least"))
     by_node = linked.join(least, "root").select("node", "least")
-    classes = pinned(firsts.join(by_node, "node", "left").select("node", F.coalesce("least", "first").alias("class_id")))
-    return prints.select("id", "node").join(classes, "node", "left").select(F.col("id").alias(id_col), "class_id")
+    by = pinned(firsts.join(by_node, "node", "left").select("node", F.coalesce("least", "name").alias("name")))
+    return prints.select("id", "node").join(by, "node", "left").select("id", "node", F.col("name.first").alias("class_id"), F.col("name.node").alias("class_node"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without near copies: of each class the row with the smallest id stays, once. Rows without id stay."""
-    classes = pinned(near_copies(docs, words, similarity, id_col, text_col))
-    gone = classes.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    again = classes.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if again else kept
+    """The input rows without near copies: of each class the row that names it stays, once. A row is its id and the words of its
+    text: of different texts with one id each stays or goes with its own class. Rows without id stay."""
+    rows = pinned(classes(docs, words, similarity, id_col, text_col).filter(F.col("id").isNotNull()))
+    gone = rows.filter((F.col("id") != F.col("class_id")) | (F.col("node") != F.col("class_node"))).select(F.col("id").alias("__gone"), F.col("node").alias("__text")).distinct()
+    own = named(docs, "__node", text_col)
+    kept = own.join(gone, (own[id_col] == gone["__gone"]) & (own["__node"] == gone["__text"]), "left_anti")
+    if rows.groupBy("id", "node").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        with_id = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__node"])
+        kept = with_id.unionByName(kept.filter(F.col(id_col).isNull()))
+    return kept.drop("__node")

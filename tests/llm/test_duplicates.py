@@ -163,3 +163,12 @@ def test_near_copies_are_brute_force(spark, monkeypatch, tile):
     want = classes(len(rows), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) / len(a | b) >= 0.8])
     got = {r["doc_id"]: r["class_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == want and len(set(want)) > 6
+
+
+def test_rows_are_kept_by_id_and_text(spark):
+    """Null ids stay beside a repeated row; of one id each text stays or goes with its own class."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (1, c), (2, c), (2, d), (3, e), (3, e), (4, a), (4, d)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, a), (None, b), (None, b), (1, c), (2, d), (3, e), (4, a)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
