@@ -11,7 +11,7 @@ import pytest
 from cadence.llm import decontamination, lm
 from cadence.session import table
 
-SMALL = lm.Settings(steps=40, batch=32, sample=100_000, block=1 << 14)
+SMALL = lm.Settings(steps=40, batch=32, share=2, least=1, first=20_000, learner=5_000, block=1 << 14)
 
 
 def held(i) -> bool:
@@ -38,11 +38,11 @@ def test_base_scores(spark):
 @pytest.fixture(scope="module")
 def model():
     counts = np.random.default_rng(0).integers(0, 50, 501).astype(float)
-    m = lm.Attention(counts, lm.Settings(window=8, fresh=5, width=6, classes=20, single=12, inputs=64, steps=30, batch=16))
+    m = lm.Attention(counts, lm.Settings(window=8, fresh=5, width=6, heads=20, widest=64, inputs=64, steps=30, batch=16))
     rng = np.random.default_rng(1)
     pieces = np.tile(np.arange(10), 200)[: 10 * 200 - 3] + rng.integers(0, 2, 1997)
     sizes = np.array([1000, 1, 7, 500, 489])
-    m.fit(pieces, np.cumsum(sizes) - sizes, sizes)
+    m.fit(pieces, sizes, np.ones(5, bool), steps=30)
     return m, pieces, np.cumsum(sizes) - sizes, sizes
 
 
@@ -53,6 +53,19 @@ def test_windows_score_each_piece_once(model):
     assert sorted(places) == list(range(len(pieces)))
 
 
+def spelt(m, w, h):
+    """The probability of every piece after a state."""
+    z = h @ w["u"] + w["b"]
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    out = np.zeros(m.size)
+    for g in range(m.many):
+        own = np.flatnonzero(m.group == g)
+        inner = np.exp(w["inner"][m.place[own]] @ np.append(h, 1.0))
+        out[own] = p[g] * inner / inner.sum()
+    return out
+
+
 def test_scores_are_one_at_a_time_and_causal(model):
     m, pieces, begins, sizes = model
     got = m.score(pieces, begins, sizes, rows=7)
@@ -64,8 +77,8 @@ def test_scores_are_one_at_a_time_and_causal(model):
             low = max(0, k0)
             x = w["emb"][ins[b + low : b + i + 1]] + w["pos"][np.arange(low, i + 1) - k0]
             a = np.exp((x @ w["k"]) @ (x[-1] @ w["q"]) * s.width**-0.5)
-            z = (x[-1] + (a / a.sum() @ (x @ w["v"])) @ w["o"]) @ w["u"] + w["b"]
-            assert abs(z[m.cls[pieces[b + i]]] - np.log(np.exp(z).sum()) + m.share[pieces[b + i]] - got[b + i]) < 1e-4
+            h = x[-1] + (a / a.sum() @ (x @ w["v"])) @ w["o"]
+            assert abs(np.log(spelt(m, w, h)[pieces[b + i]]) - got[b + i]) < 1e-4
     changed = pieces.copy()
     changed[500:1000] = 3  # what comes later must not matter
     assert np.array_equal(m.score(changed, begins, sizes)[:500], m.score(pieces, begins, sizes)[:500])
@@ -80,10 +93,73 @@ def test_probabilities_sum_to_one(model):
 def test_training_helps(model):
     _, pieces, begins, sizes = model
     counts = np.bincount(pieces, minlength=501).astype(float)
-    settings = lm.Settings(window=8, fresh=5, width=6, classes=20, single=12, inputs=64, steps=200, batch=32)
+    settings = lm.Settings(window=8, fresh=5, width=6, heads=20, widest=64, inputs=64, batch=32)
     trained, raw = lm.Attention(counts, settings), lm.Attention(counts, settings)
-    trained.fit(pieces, begins, sizes)
+    assert trained.fit(pieces, sizes, np.ones(5, bool), steps=200) == 200
     assert trained.score(pieces, begins, sizes).mean() > raw.score(pieces, begins, sizes).mean() + 0.3
+    once = trained.fit(pieces, sizes, np.array([True, True, False, False, True]), rate=0.001)
+    assert once == -(-sum((n - skip) // 5 for n, skip in zip(sizes, (0, 0, 3, 3, 0)) if n > skip) // 32)
+
+
+def test_gradients(model):
+    m, pieces, begins, sizes = model
+    back = m.s.window - m.s.fresh
+    at = np.arange(40, 44)[:, None] * 7 - back + np.arange(m.s.window)
+    i, y = m.inputs_of(pieces, begins)[at], pieces[at[:, back:]]
+    bias = np.broadcast_to(m.later, (4, *m.later.shape))
+
+    def loss() -> float:
+        _, _, _, _, _, _, h = m._forward(i, bias)
+        return -float(np.mean([np.log(spelt(m, m.w, x)[p]) for x, p in zip(h.reshape(-1, m.s.width), y.reshape(-1))]))
+
+    m.w, kept = {k: x.astype(np.float64) for k, x in m.w.items()}, m.w
+    try:
+        dense, inner = m._gradients(i, bias, y)
+        dense["inner"] = np.zeros_like(m.w["inner"])
+        for lo, hi, g in inner:
+            dense["inner"][lo:hi] += g
+        for name, g in dense.items():
+            spots = np.argsort(-np.abs(g).reshape(-1))[:3]
+            for spot in spots:
+                x = m.w[name].reshape(-1)
+                held_value = x[spot]
+                x[spot] = held_value + 1e-4
+                up = loss()
+                x[spot] = held_value - 1e-4
+                down = loss()
+                x[spot] = held_value
+                assert abs((up - down) / 2e-4 - g.reshape(-1)[spot]) < 1e-4 + 1e-3 * abs(g.reshape(-1)[spot]), name
+    finally:
+        m.w = kept
+
+
+def test_mixture_sums_to_one_and_is_chosen():
+    counts = np.array([5.0, 1, 1, 2, 3])
+    t = lm.Tally(12, 5, 3, lm.Tally.discount_of(2, 1), 0.3)
+    assert t.discount == 0.5
+    spelt_known, spelt_rest = np.full(5, 0.1), 0.5  # the pieces give half to words never seen
+    known = 10 ** lm.mixed(np.log(spelt_known), counts, t)
+    rest = 10 ** lm.mixed(np.log(np.array([spelt_rest])), np.zeros(1), t)
+    assert abs(known.sum() + rest.sum() - 1) < 1e-9
+    for c, p in zip(counts, known):
+        assert abs(p - (0.7 * ((c - 0.5) / 12 + 0.5 * 5 / 12 * 0.1) + 0.3 * 0.1)) < 1e-12
+    assert lm.choose_mix(np.log(np.full(5, 0.9)), np.ones(5), t).mix == 0.9 and lm.choose_mix(np.log(np.full(5, 1e-6)), np.full(5, 6.0), t).mix == 0.05
+
+
+def test_runs_take_a_share_of_every_text():
+    s, rng = lm.Settings(share=4, run=10), np.random.default_rng(5)
+    sizes = np.array([1, 3, 10, 50, 100_000])
+    taken = np.zeros(5)
+    for _ in range(400):
+        text, first, tokens = lm.runs(sizes, np.array([1, 1, 1, 1, 1]), s, rng)
+        assert (first + tokens <= sizes[text]).all() and (tokens <= 10).all()
+        taken += np.bincount(text, tokens, 5)
+    assert np.allclose(taken / 400 / sizes, 0.25, rtol=0.25) and not len(lm.runs(sizes, np.zeros(5, int), s, rng)[0])
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    got = lm.scores(table(spark, "/root/testdata/sf0.01", "documents")).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert got["s"] / got["n"] > got["b"] / got["n"] + 0.01
 
 
 def test_lm_odd_rows(odd_docs, no_docs):
