@@ -1,18 +1,21 @@
 """Toxicity by compression distance: two zstandard dictionaries, windows, calibrated thresholds.
 
-The ordinary dictionary is trained on windows of ordinary text. The toxic dictionary is that one and, in
-its last bytes, segments trained on toxic text: word starts that follow many different words in toxic
-documents and are rare in ordinary ones, found over the training texts themselves. Both have the same
-length, so a window that holds nothing toxic compresses to the same size with either. Whole texts are read in
-windows of whole words; a window's gain is what the toxic dictionary saves. A logistic model over a
+Dictionaries are trained by zstandard on windows of ordinary and of toxic text. Toxic text is ordinary text for the most part,
+and so is a dictionary trained on it. Two steps make the two differ in what matters. A second toxic dictionary is trained on
+the toxic windows that the first one compresses better than its ordinary counterpart does; and of its parts only those stay
+that save bytes in toxic windows far more often than in ordinary ones. Both steps judge a dictionary by windows of texts it
+was not trained on: half of the texts judges the other half's. Both final dictionaries begin with the same ordinary content and
+have the same length, so a window that holds nothing toxic compresses to the same size with either.
+
+Whole texts are read in windows of whole words; a window's gain is what the toxic dictionary saves. A logistic model over a
 document's gains, with the window threshold chosen on texts the dictionaries have not seen, gives the score.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,33 +27,33 @@ from cadence.llm._common import fold, slices, texts_of
 
 @dataclass(frozen=True)
 class Settings:
-    """toxic, ordinary: labelled texts to fit on at most, drawn by hash; longest: characters of such a text;
-    window: bytes of a window of whole words; content: bytes of the ordinary dictionary; starts: longest word
-    start that is a segment; odds: least log odds of a segment; support: least share of toxic texts, as contexts."""
+    """toxic, ordinary: labelled texts to fit on at most, drawn by hash; longest: characters of such a text (of a longer one, as many from a
+    place drawn by hash); samples: windows that train or judge a dictionary at most, taken evenly; window: bytes of a window of whole words;
+    taught: of one that trains; base: bytes of the ordinary dictionary; content: of a toxic one before it is cut; better: share of toxic
+    windows that train the second; saved: bytes that count as a saving; odds: least log odds of a part's savings in toxic windows."""
 
     toxic: int = 1500
     ordinary: int = 4500
     longest: int = 20_000
+    samples: int = 60_000
     window: int = 32
-    content: int = 4096
-    starts: int = 12
-    odds: float = 3.3
-    support: float = 0.02
+    taught: int = 16
+    base: int = 16_384
+    content: int = 6144
+    better: float = 0.06
+    saved: int = 3
+    odds: float = 3.7
     threshold: float = 0.7
 
 
-#: What follows a dictionary's content and every window.
+#: What follows a dictionary's content and every window: the library indexes no match that begins in the last bytes.
 PAD = b"\n" * 12
 
 
-def _lower(text: str) -> str:
-    return text.lower()
-
-
 def windows(text: str, size: int) -> list[bytes]:
-    """Consecutive windows of whole words, each of at least size bytes but the last."""
+    """Consecutive windows of whole lower-case words, each of at least size bytes but the last."""
     out, own, n = [], [], 0
-    for word in _lower(text).encode("utf-8", "surrogatepass").split():
+    for word in text.lower().encode("utf-8", "surrogatepass").split():
         own.append(word)
         n += len(word) + 1
         if n >= size:
@@ -61,87 +64,104 @@ def windows(text: str, size: int) -> list[bytes]:
     return out
 
 
-def _starts(word: str, most: int) -> list[str]:
-    return [word[:k] for k in range(4, min(most, len(word)) + 1)] + [word + " "]
-
-
-def segments(toxic: list[str], ordinary: list[str], s: Settings) -> list[bytes]:
-    """Word starts that tell toxic texts apart, the most common last."""
-    contexts: dict[str, set[str]] = defaultdict(set)
-    inside: Counter = Counter()
-    for text in toxic:
-        words = _lower(text).split()
-        for before, word in zip(["", *words], words):
-            if len(word) >= 4:
-                contexts[word].add(before)
-        inside.update({x for w in set(words) if len(w) >= 4 for x in _starts(w, s.starts)})
-    outside: Counter = Counter()
-    for text in ordinary:
-        outside.update({x for w in set(_lower(text).split()) if len(w) >= 4 for x in _starts(w, s.starts)} & inside.keys())
-    support: Counter = Counter()
-    for word, before in contexts.items():
-        for x in _starts(word, s.starts):
-            support[x] += len(before)
-    least = max(5, s.support * len(toxic))
-    # the share of toxic texts is taken low, by as much as chance may have raised it
-    low = {x: (n - 1.64 * n**0.5 + 0.5) / (len(toxic) + 1) for x, n in inside.items() if n >= 4 and support[x] >= least}
-    good = {x for x, n in low.items() if np.log(n) - np.log((outside[x] + 0.5) / (len(ordinary) + 1)) >= s.odds}
-    chosen: Counter = Counter()
-    for word, before in contexts.items():
-        found = [x for x in _starts(word, s.starts) if x in good]
-        if found:
-            best = found[0]
-            for x in found[1:]:
-                if support[x] >= 0.5 * support[best]:
-                    best = x
-            chosen[" " + best] += len(before)
-    return [x.encode("utf-8", "surrogatepass") for x, n in reversed(chosen.most_common(400)) if n >= least]
-
-
-def shared_fragments(own: list[bytes], ordinary: list[str], least: float = 0.002, texts: int = 600) -> list[bytes]:
-    """Parts of segments that ordinary texts have as well: they go into both dictionaries, so that they save nothing."""
-    held = [_lower(t).encode("utf-8", "surrogatepass").replace(b"\n", b" ") for t in ordinary[:texts]]
-    joined = [b" " + t + b" " for t in held]
-    found: set[bytes] = set()
-    for segment in own:
-        for size in range(len(segment) - 1, 3, -1):
-            for a in range(len(segment) - size + 1):
-                part = segment[a : a + size]
-                if not any(part in f for f in found) and sum(part in t for t in joined) >= max(1, least * len(joined)):
-                    found.add(part)
-    return sorted(found)
+def evenly(x: list, most: int) -> list:
+    """At most so many members, evenly from all."""
+    return x if len(x) <= most else [x[i * len(x) // most] for i in range(most)]
+
+
+def trained(samples: list[bytes], size: int, k: int = 16, d: int = 6) -> bytes:
+    """A dictionary that zstandard trains on the samples; of too few to train on, the samples themselves."""
+    import zstandard
+
+    samples = [w[: -len(PAD)] for w in samples]
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def compressor(content: bytes) -> Callable[[bytes], bytes]:
+    import zstandard
+
+    p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(compression_params=p)
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=p).compress
+
+
+def sizes(content: bytes, samples: list[bytes]) -> np.ndarray:
+    """Compressed bytes of each window with a dictionary."""
+    made = compressor(content + PAD)
+    return np.array([len(made(w)) for w in samples], np.int32)
+
+
+def gains(base: bytes, ordinary: bytes, toxic: bytes, samples: list[bytes]) -> np.ndarray:
+    """Bytes that the toxic dictionary saves in each window; both have the base's content before their own, and one length."""
+    n = max(len(ordinary), len(toxic))
+    return sizes(base + bytes(n - len(ordinary)) + ordinary, samples) - sizes(base + bytes(n - len(toxic)) + toxic, samples)
+
+
+def telling(base: bytes, dictionary: bytes, counter: bytes, toxic: list[bytes], ordinary: list[bytes], s: Settings) -> dict[bytes, int]:
+    """The parts of a toxic dictionary (what stands between spaces) that tell windows it was not trained on apart, with the toxic windows they save bytes in."""
+    most = s.samples // 10
+    hit = [[w for w, g in zip(x, gains(base, counter, dictionary, x)) if g >= s.saved] for x in (toxic, ordinary)]
+    drawn = [evenly(x, most) for x in hit]
+    scale = [len(x) / max(1, len(y)) for x, y in zip(hit, drawn)]
+    plain = [sizes(base, x) for x in drawn]
+    found = {}
+    for part in dict.fromkeys(dictionary.split(b" ")[1:-1]):
+        if not 3 <= len(part) <= 40:
+            continue
+        x, y = (m * int((p - sizes(base + b" " + part + b" ", w) >= s.saved).sum()) for m, p, w in zip(scale, plain, drawn))
+        # the share of toxic windows is taken low, by as much as chance may have raised it
+        if x >= 4 and np.log((x - 1.64 * x**0.5 + 0.5) / len(toxic)) - np.log((y + 0.5) / len(ordinary)) >= s.odds:
+            found[part] = int(x)
+    return found
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], s: Settings) -> tuple[bytes, bytes]:
+    """(ordinary, toxic): dictionaries of one length that begin with the same content."""
+    base = trained(evenly([w for t in ordinary for w in windows(t, 200)], s.samples), s.base, 64, 8)
+    halves = []
+    for texts in (toxic, ordinary):
+        one, two = (dict.fromkeys(chain.from_iterable(windows(t, s.taught) for t in texts[k::2])) for k in (0, 1))
+        halves.append([evenly(list(one), 2 * s.samples), evenly([w for w in two if w not in one], 2 * s.samples)])  # copies are in one half
+    bad, good = halves
+    if not all(map(all, halves)):
+        return base + PAD, base + PAD
+    # a dictionary of each half, judged by the other half's windows; the best of those train that half's second one
+    counter = [trained(evenly(x, s.samples), s.content // 2) for x in good]
+    first = [trained(evenly(x, s.samples), s.content) for x in bad]
+    found: dict[bytes, int] = {}
+    for own, other in ((0, 1), (1, 0)):
+        saved = gains(base, counter[other], first[other], bad[own])
+        best = [bad[own][i] for i in np.argsort(-saved, kind="stable")[: max(1, int(len(saved) * s.better))]]
+        second = trained(best, s.content // 2)
+        for part, n in telling(base, second, counter[own], bad[other], good[other], s).items():
+            found[part] = max(n, found.get(part, 0))
+    own = b"".join(b" " + part + b" " for part in sorted(found, key=lambda p: (found[p], p)))  # the most useful last
+    return base + bytes(len(own)) + PAD, base + own + PAD
 
 
 class Scorer:
     """Two compressors and the calibration; picklable, compressors are made where it is used."""
 
     def __init__(self, toxic: list[str], ordinary: list[str], s: Settings = Settings()):
-        import zstandard
-
         self.settings, self.compressors = s, None
         toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
         self.prior = len(toxic) / max(1, len(toxic) + len(ordinary))
         self.weights = None
-        # every third text calibrates what the others train
-        rest = [[t for i, t in enumerate(x) if i % 3] for x in (toxic, ordinary)]
-        held = [[t for i, t in enumerate(x) if not i % 3] for x in (toxic, ordinary)]
+        # every fourth text calibrates what the others train
+        rest = [[t for i, t in enumerate(x) if i % 4] for x in (toxic, ordinary)]
+        held = [[t for i, t in enumerate(x) if not i % 4] for x in (toxic, ordinary)]
         if not rest[0] or not rest[1]:
             return
-        samples = [w for t in rest[1] for w in windows(t, 200)][:60_000]
-        try:
-            base = zstandard.train_dictionary(s.content, samples, k=64, d=8).as_bytes()
-        except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-            base = b"".join(samples)[: s.content]
-        chosen = segments(*rest, s)
-        own = b"".join(chosen)
-        base += b"\n".join(shared_fragments(chosen, rest[1])) + b"\n"
-        # the library indexes no match that begins in the last bytes of a dictionary or a window: both are padded
-        self.ordinary, self.toxic = base + bytes(len(own)) + PAD, base + own + PAD
-        gains = [self.gains(t) for t in [*held[0], *held[1]]]
+        self.ordinary, self.toxic = dictionaries(*rest, s)
+        found = [self.gains(t) for t in [*held[0], *held[1]]]
         y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
         best = None
         for cut in range(1, 8):
-            x = self.features(gains, cut)
+            x = self.features(found, cut)
             w, loss = self._logistic(x, y)
             if best is None or loss < best[0]:
                 best = (loss, cut, w)
@@ -153,15 +173,7 @@ class Scorer:
     def gains(self, text: str) -> np.ndarray:
         """Bytes that the toxic dictionary saves in each window."""
         if self.compressors is None:
-            import zstandard
-
-            p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
-            made = []
-            for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=p)
-                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
-            self.compressors = made
+            self.compressors = compressor(self.ordinary), compressor(self.toxic)
         a, b = self.compressors
         return np.array([len(a(w)) - len(b(w)) for w in windows(text, self.settings.window)], np.int16)
 
@@ -191,7 +203,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
-    """Fit on a bounded sample, drawn by hash, of labelled rows whose crc32(id) mod 3 is not 1."""
+    """Fit on a bounded sample, drawn by hash, of labelled rows whose crc32(id) mod 3 is not 1; of rows that repeat an id one counts."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter((fold(F.col("id"), 3) != 1) & F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20))
@@ -200,8 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     for y, n in counts.items():
         keep = keep | ((F.col("y") == y) & (draw < F.lit(min(1.0, most[y] / n) * (1 << 20))))
     drawn = known.filter(keep)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= s.longest))
-    got = rows.join(F.broadcast(drawn), "id").select("id", "text", "y").toPandas().sort_values(["id", "text"])  # about s.toxic + s.ordinary ids
+    start = F.pmod(F.xxhash64("id", F.lit(10)), F.greatest(F.lit(1), F.length("text") - s.longest + 1)).cast("int") + 1
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    cut = rows.join(F.broadcast(drawn), "id").select("id", "y", F.substring("text", start, F.lit(s.longest)).alias("text"))
+    got = cut.groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values(["id", "text"])  # about s.toxic + s.ordinary ids, once each
     return Scorer(got.text[got.y == 1].tolist(), got.text[got.y == 0].tolist(), s)
 
 

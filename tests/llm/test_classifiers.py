@@ -24,12 +24,42 @@ def test_language_held_out(spark):
 
 def test_kernel_is_common_over_root_of_sizes():
     s = language_id.Settings(bits=16, orders=2)
-    have, _, _, size = language_id.windows(["abcd", "bcde"], s)
+    have, size = language_id.Windows(["abcd", "bcde"], s).presence(np.arange(2))
     grams = lambda t: {t[i : i + n] for n in (1, 2) for i in range(len(t) - n + 1)}
     a, b = grams("abcd"), grams("bcde")
     assert size.tolist() == [len(a), len(b)] and have[0] @ have[1] == len(a & b)
 
 
+def test_prediction_by_brute_force():
+    """Kernel ridge regression on landmarks, one language against the rest, with sets of n-grams."""
+    rng = np.random.default_rng(11)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklabcd"}
+    texts, langs = zip(*[("".join(rng.choice(list(alphabets[x] + " "), 60)), x) for x in alphabets for _ in range(12)])
+    s = language_id.Settings(bits=20, window=40, landmarks=20, sample=200)
+    model = language_id.Classifier(list(texts), list(langs), s)
+
+    def grams(t: str) -> set:
+        return {(n, t[i : i + n]) for n in range(1, 5) for i in range(len(t) - n + 1)}
+
+    cut = [(t[a : a + 40], k) for k, t in enumerate(texts) for a in range(0, len(t), 40)]
+    rows = [c for c in cut if c[0].strip()]
+    marks = [rows[i][0] for i in np.sort(np.random.default_rng(7).choice(len(rows), 20, replace=False))]
+    kernel = lambda x, y: np.array([[len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5 for b in y] for a in x])
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    x = np.hstack([kernel([r[0] for r in rows], marks) @ root, np.ones((len(rows), 1))])
+    truth = np.array([model.langs.index(langs[k]) for _, k in rows])
+    y = np.where(truth[:, None] == np.arange(3), 1.0, -1.0)
+    w = (len(truth) / (3 * np.bincount(truth)))[truth]
+    weights = np.linalg.solve((x * w[:, None]).T @ x + s.ridge * np.eye(x.shape[1]), (x * w[:, None]).T @ y)
+    for text in ["abc fgh ade", "ijkl klji"]:
+        margin = np.append(kernel([text], marks) @ root, [[1.0]], 1) @ weights
+        want = np.exp(s.sharpness * (margin - margin.max()))[0]
+        lang, score = model.predict([text])
+        assert lang == [model.langs[int(margin.argmax())]] and abs(score[0] - want.max() / want.sum()) < 1e-3
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     got = language_id.identify(odd_docs, language_id.fit(odd_docs)).toPandas()
     assert len(got) == 10 and set(got[got["doc_id"].isin([2, 3, 4])]["lang_pred"]) == {"und"}
@@ -67,6 +97,35 @@ def test_windows_are_whole_words():
     assert b" ".join(b"".join(p.replace(toxicity.PAD, b"") for p in parts).split()) == " ".join(text.lower().split()).encode()
 
 
+def test_gains_are_differences_of_compressed_windows(corpus):
+    import zstandard
+
+    toxic, plain = corpus
+    scorer = toxicity.Scorer(toxic[:220], plain[:500])
+    assert len(scorer.ordinary) == len(scorer.toxic) and scorer.ordinary[: scorer.settings.base // 2] == scorer.toxic[: scorer.settings.base // 2]
+
+    def size(content: bytes, window: bytes) -> int:
+        p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        whole = zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(window)
+        assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).decompress(whole, max_output_size=4096) == window
+        return len(whole)
+
+    for text in (toxic[0], plain[0]):
+        want = [size(scorer.ordinary, w) - size(scorer.toxic, w) for w in toxicity.windows(text, scorer.settings.window)]
+        assert scorer.gains(text).tolist() == want
+    held_bad, held_good = (np.concatenate([scorer.gains(t) for t in x]) for x in (toxic[220:], plain[500:]))
+    assert held_bad.max() >= 4 and (held_good >= scorer.cut).mean() < 0.02
+
+
+def test_dictionary_parts_tell_other_texts_apart(corpus):
+    toxic, plain = corpus
+    s = toxicity.Settings()
+    ordinary, bad = toxicity.dictionaries(toxic[:220], plain[:500], s)
+    parts = bad[len(ordinary.rstrip(b"\n\0")) :].replace(toxicity.PAD, b"").split()
+    assert parts and all(any(p[max(0, i) : i + 4] in b" zorgblat quixnak vompire " for i in range(len(p) - 3)) for p in parts)
+    assert toxicity.dictionaries([], plain[:5], s)[0] == toxicity.dictionaries([], plain[:5], s)[1]
+
+
 def test_toxicity_odd_rows(spark, corpus, odd_docs, no_docs):
     scorer = toxicity.Scorer(corpus[0][:80], corpus[1][:200])
     got = toxicity.classify(odd_docs, scorer).toPandas()
