@@ -30,7 +30,7 @@ class Settings:
     texts that the classifier is fitted on at most (drawn by hash, from each language alike); languages: the most
     frequent ones, at most so many; landmarks: of the kernel; ridge: regularisation; sharpness: of the softmax that makes scores of margins."""
 
-    bits: int = 12
+    bits: int = 16
     orders: int = 4
     window: int = 1500
     sample: int = 3000
@@ -49,35 +49,50 @@ def _letters_table() -> np.ndarray:
 _LETTERS: list[np.ndarray] = []
 
 
-def windows(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Presence of n-grams (float32, windows x bits) with each window's text number, letters and set size."""
-    if not _LETTERS:
-        _LETTERS.append(_letters_table())
-    joined = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t.lower()) for t in texts], np.int64)
-    n = np.maximum(1, -(-sizes // s.window))
-    owner = np.repeat(np.arange(len(texts)), n)
-    first = np.repeat(np.cumsum(sizes) - sizes, n) + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * s.window
-    ends = np.minimum(first + s.window, np.repeat(np.cumsum(sizes), n))
-    of = np.repeat(np.arange(len(owner), dtype=np.int64), ends - first)
-    letter = _LETTERS[0][joined]
-    letters = np.bincount(of, letter, len(owner))
-    have = np.zeros((len(owner), 1 << s.bits), np.uint8)
-    flat = have.reshape(-1)
-    base = of << s.bits
-    # runs of other characters are one space, so that digits and punctuation say nothing
-    code = np.where(letter, joined, np.uint32(32)).astype(np.uint32)
-    hashed = np.zeros(len(code), np.uint32)
-    for order in range(1, s.orders + 1):
-        m = len(code) - order + 1
-        if m <= 0:
-            break
-        hashed = (hashed[:m] + code[order - 1 :]) * np.uint32(0x9E3779B1)
-        hashed ^= hashed >> np.uint32(15)
-        whole = of[:m] == of[order - 1 :] if order > 1 else slice(None)
-        flat[(base[:m] + (((hashed + np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - s.bits)))[whole]] = 1
-    have = have.astype(np.float32)
-    return have, owner, letters, have.sum(1)
+#: Windows whose presence is held at once.
+ROWS = 128
+
+
+class Windows:
+    """Texts cut into windows, many times denser than the presence of their n-grams, which is given a few windows at a time."""
+
+    def __init__(self, texts: list[str], s: Settings):
+        """owner: each window's text; letters: how many each has."""
+        if not _LETTERS:
+            _LETTERS.append(_letters_table())
+        self.s = s
+        lower = [t.lower() for t in texts]
+        self.points = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) for t in lower], np.int64)
+        n = np.maximum(1, -(-sizes // s.window))
+        self.owner = np.repeat(np.arange(len(texts)), n)
+        self.first = np.repeat(np.cumsum(sizes) - sizes, n) + (np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n)) * s.window
+        self.ends = np.minimum(self.first + s.window, np.repeat(np.cumsum(sizes), n))
+        self.letter = _LETTERS[0][self.points]
+        sums = np.concatenate([[0], np.cumsum(self.letter)])
+        self.letters = (sums[self.ends] - sums[self.first]).astype(float)
+
+    def presence(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Presence of n-grams (float32, windows x bits) and set sizes of some windows."""
+        s = self.s
+        long = self.ends[rows] - self.first[rows]
+        of = np.repeat(np.arange(len(rows), dtype=np.int64), long)
+        at = np.repeat(self.first[rows] - (np.cumsum(long) - long), long) + np.arange(len(of))
+        have = np.zeros((len(rows), 1 << s.bits), np.float32)
+        flat = have.reshape(-1)
+        base = of << s.bits
+        # runs of other characters are one space, so that digits and punctuation say nothing
+        code = np.where(self.letter[at], self.points[at], np.uint32(32)).astype(np.uint32)
+        hashed = np.zeros(len(code), np.uint32)
+        for order in range(1, s.orders + 1):
+            m = len(code) - order + 1
+            if m <= 0:
+                break
+            hashed = (hashed[:m] + code[order - 1 :]) * np.uint32(0x9E3779B1)
+            hashed ^= hashed >> np.uint32(15)
+            whole = of[:m] == of[order - 1 :] if order > 1 else slice(None)
+            flat[(base[:m] + (((hashed + np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - s.bits)))[whole]] = 1
+        return have, have.sum(1)
 
 
 class Classifier:
@@ -88,28 +103,33 @@ class Classifier:
         if not texts or len(self.langs) == 0:
             self.langs = self.langs or []
             return
-        have, owner, letters, size = windows(texts, s)
+        found = Windows(texts, s)
         rng = np.random.default_rng(7)
-        rows = np.flatnonzero(letters > 0)
+        rows = np.flatnonzero(found.letters > 0)
         if len(rows) > 4 * s.sample:
             rows = np.sort(rng.choice(rows, 4 * s.sample, replace=False))
-        have, size = have[rows], size[rows]
-        truth = np.array([self.langs.index(x) for x in langs])[owner[rows]] if len(rows) else np.zeros(0, int)
         if not len(rows):
             self.langs = []
             return
-        marks = np.sort(rng.choice(len(rows), min(s.landmarks, len(rows)), replace=False))
-        self.marks = have[marks] / np.sqrt(np.maximum(size[marks], 1))[:, None]
+        truth = np.array([self.langs.index(x) for x in langs])[found.owner[rows]]
+        have, size = found.presence(rows[np.sort(rng.choice(len(rows), min(s.landmarks, len(rows)), replace=False))])
+        self.marks = have / np.sqrt(np.maximum(size, 1))[:, None]
         values, vectors = np.linalg.eigh((self.marks @ self.marks.T).astype(np.float64))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])  # Nystroem features are kernel @ root
-        x = self.kernel(have, size).astype(np.float64) @ root
+        x = np.concatenate([self.kernel(*found.presence(rows[a : a + ROWS])) for a in range(0, len(rows), ROWS)]).astype(np.float64) @ root
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.where(truth[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         share = np.bincount(truth, minlength=len(self.langs))
         w = (len(truth) / (len(self.langs) * np.maximum(share, 1)))[truth]  # languages count alike
         weights = np.linalg.solve((x * w[:, None]).T @ x + s.ridge * np.eye(x.shape[1]), (x * w[:, None]).T @ y)
         self.weights, self.bias = (root @ weights[:-1]).astype(np.float32), weights[-1].astype(np.float32)
+        # (presence x landmarks) x weights is presence x (landmarks x weights): the product with fewer columns is kept
+        self.whole = self.marks.T @ self.weights if len(self.langs) < len(self.marks) else None
+
+    def __getstate__(self):
+        # what predictions need: landmarks are larger than their product with the weights
+        return {k: v for k, v in self.__dict__.items() if k not in ("marks", "weights") or self.__dict__.get("whole") is None}
 
     def kernel(self, have: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (have @ self.marks.T) / np.sqrt(np.maximum(size, 1))[:, None]
@@ -119,10 +139,17 @@ class Classifier:
             return ["und"] * len(texts), np.zeros(len(texts))
         if not texts:
             return [], np.zeros(0)
-        have, owner, letters, size = windows(texts, self.settings)
-        margins = self.kernel(have, size) @ self.weights + self.bias
-        weight = np.bincount(owner, letters, len(texts))
-        mean = np.stack([np.bincount(owner, margins[:, k] * letters, len(texts)) for k in range(len(self.langs))], 1) / np.maximum(weight, 1)[:, None]
+        found = Windows(texts, self.settings)
+        margins = np.empty((len(found.owner), len(self.langs)), np.float32)
+        for a in range(0, len(margins), ROWS):
+            have, size = found.presence(np.arange(a, min(a + ROWS, len(margins))))
+            if self.whole is None:
+                margins[a : a + ROWS] = self.kernel(have, size) @ self.weights
+            else:
+                margins[a : a + ROWS] = (have @ self.whole) / np.sqrt(np.maximum(size, 1))[:, None]
+        margins += self.bias
+        weight = np.bincount(found.owner, found.letters, len(texts))
+        mean = np.stack([np.bincount(found.owner, margins[:, k] * found.letters, len(texts)) for k in range(len(self.langs))], 1) / np.maximum(weight, 1)[:, None]
         likely = np.exp(self.settings.sharpness * (mean - mean.max(1, keepdims=True)))
         likely /= likely.sum(1, keepdims=True)
         best = likely.argmax(1)
@@ -142,7 +169,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
     drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     start = F.pmod(F.xxhash64("id", F.lit(5)), F.greatest(F.lit(1), F.length("text") - s.window)).cast("int") + 1
     got = drawn.select(F.expr("lang"), F.substring(F.col("text"), start, F.lit(s.window)).alias("text")).toPandas()
-    got = got.sort_values(["lang", "text"], ignore_index=True).groupby("lang", group_keys=False).head(2 * each)
+    got = got.sort_values(["lang", "text"], ignore_index=True).sample(frac=1, random_state=8).groupby("lang", group_keys=False).head(2 * each).sort_values(["lang", "text"], ignore_index=True)
     return Classifier(got["text"].tolist(), got["lang"].tolist(), s)
 
 
@@ -150,7 +177,8 @@ def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
     """id, lang_pred and score of every whole text, or with keep the input rows that are not ``und``.
 
     Null texts and texts without a letter are ``und`` with score 0; so is every text where there was
-    nothing to learn from. Repeated rows, ties and null ids keep one row each. One narrow pass, no shuffle.
+    nothing to learn from. Repeated rows, ties and null ids keep one row each; an empty table gives none; other columns
+    are not read (with keep they stay). One narrow pass, no shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # landmarks x bits, whatever the input
     whole, at = docs.schema, docs.columns.index(text_col)
