@@ -3,8 +3,8 @@
 A page is read into blocks, each with the path of elements from the root to it. Text length and
 punctuation are summed over each path (so a short paragraph shares its path's figures), the two ratios are
 smoothed over neighbouring blocks, fused with what elements and their names say (menus, adverts, forms ...), and
-paths above a threshold are content. Blocks of the element that holds most of the content, such as its
-headings, complete it; all content blocks are kept whole, in page order.
+paths above a threshold are content. Inside the element that holds most of it a lower threshold holds, and headings
+complete it; all content blocks are kept whole, in page order.
 """
 
 from __future__ import annotations
@@ -35,47 +35,53 @@ NO_ARTICLE = frozenset(
     "overlay disclaimer copyright reactions replies reply".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
+#: A comment, a declaration, a tag (a value in quotes is taken whole if it isn't endless) or text; what fits none is a tag that breaks off.
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,1000}\"|'[^']{0,1000}')*+)>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORDS = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡()\"'«»“”—-]")
 
-#: Share of the strongest path's value from which a path is content, and share of a block's text in links above which it is a list of links.
-THRESHOLD, LINKS = 0.12, 0.6
+#: Share of the strongest path's value from which a path is content on its own, from which it is content inside the element that holds most
+#: content, share of a path's text in links above which it is a list of links, share of a page's text which no name sets apart and in how many
+#: blocks, and share of the content from which an article element is the article.
+THRESHOLD, INSIDE, LINKS, MOST, WRAPPED, ARTICLE = 0.5, 0.12, 0.6, 0.5, 4, 0.2
 
 
-def _apart(tag: str, attributes: str) -> bool:
-    """Does an element say of itself that it is no article?"""
+def _apart(tag: str, attributes: str) -> int:
+    """Does an element say of itself that it is no article? 2: by what it is; 1: by a name only; 0: no."""
     if tag in APART:
-        return True
+        return 2
     if not attributes:
-        return False
+        return 0
     if HIDDEN.search(attributes):
-        return True
+        return 2
     for found in NAMES.findall(attributes):
         name = re.sub(r"([a-z])([A-Z])", r"\1 \2", next(filter(None, found), ""))
         if not NO_ARTICLE.isdisjoint(WORDS.findall(name.lower())):
-            return tag not in ("html", "body", "article", "main")
-    return False
+            return int(tag not in ("html", "body", "article", "main"))
+    return 0
 
 
 class Page:
-    """Blocks of a page: text, path, whether something around is no article, text in links, element, whether a heading."""
+    """Blocks of a page: text, path, what is apart around (-1: by what it is; a number: the outermost element that only a name sets apart; 0: nothing),
+    text in links, element, whether a heading."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, bool, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, int, int, bool]] = []
         self._parents, self._open = [0], defaultdict(int)
         self._paths: dict[tuple[int, str], int] = {}
         # an element: (tag, number of path, apart, in a link, number of itself or the container around, in an article, in a heading)
-        self._stack: list[tuple[str, int, bool, bool, int, bool, bool]] = [("", 0, False, False, 0, False, False)]
+        self._stack: list[tuple[str, int, int, bool, int, bool, bool]] = [("", 0, 0, False, 0, False, False)]
+        self._named, self.articles = 0, {0}
         self._held: list[str] = []
         self._linked, self._number = 0, 0
         at, size = 0, len(html)
         while at < size:
             m = TOKEN.match(html, at)
-            if m is None:  # a tag that never ends: the rest is markup
-                break
+            if m is None:  # a tag that breaks off: markup up to the next end, or to the page's
+                at = html.find(">", at) + 1 or size
+                continue
             at = m.end()
             if m[4]:
                 self._held.append(m[4])
@@ -123,7 +129,14 @@ class Page:
             self._number += 1
             self._parents.append(number)
             number = self._number
-        away = parent[2] or _apart(tag, attributes) or (tag == "header" and not parent[5])
+            if tag in ("article", "main"):
+                self.articles.add(number)
+        away, own = parent[2], _apart(tag, attributes)
+        if own == 2 or (tag == "header" and not parent[5]):
+            away = -1
+        elif own and not away:
+            self._named += 1
+            away = self._named
         self._stack.append((tag, path, away, parent[3] or tag == "a", number, parent[5] or tag in ("article", "main"), parent[6] or tag in HEADINGS))
 
     def _end(self, tag: str) -> None:
@@ -158,25 +171,27 @@ class Page:
         blocks = self.blocks
         if not blocks:
             return []
-        # a block is no article by what is around it, or when it is links for the most part
-        open_ = np.array([not b[2] and b[3] <= LINKS * len(b[0]) for b in blocks])
+        length = np.array([len(b[0]) for b in blocks], float)
+        away = np.array([b[2] for b in blocks])
+        # a name sets an element apart unless it holds most of what text there is
+        by_name = np.bincount(np.maximum(away, 0), length * (away >= 0))
+        by_name[0] = 0
+        big = (by_name >= MOST * max(1, length[away >= 0].sum())) & (np.bincount(np.maximum(away, 0)) >= WRAPPED)
+        apart = (away < 0) | ((away > 0) & ~big[np.maximum(away, 0)])
+        paths = np.unique([b[1] for b in blocks], return_inverse=True)[1]
+        # paths of links for the most part are lists of links
+        links = np.bincount(paths, [b[3] for b in blocks]) / np.bincount(paths, length)
+        open_ = ~apart & (links <= LINKS)[paths]
         if not open_.any():
             return []
-        length = np.array([len(b[0]) for b in blocks], float)
         marks = np.array([len(PUNCTUATION.findall(b[0])) for b in blocks], float)
-        paths = np.unique([b[1] for b in blocks], return_inverse=True)[1]
-        nodes = np.bincount(paths)
-        by_length = (np.bincount(paths, length) / nodes)[paths]
-        by_marks = (np.bincount(paths, marks) / nodes)[paths]
-        kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
-        smooth = [np.convolve(np.pad(v, 2, mode="edge"), kernel / kernel.sum(), "valid") for v in (by_length, by_marks)]
-        # fused: ratios of the path and of the neighbourhood, length and punctuation; the path decides
-        value = np.sqrt(np.sqrt(by_length * smooth[0]) * (1 + np.sqrt(by_marks * smooth[1]))) * open_
-        weight = np.bincount(paths, value * length) / np.maximum(np.bincount(paths, length * open_), 1)
-        chosen = open_ & (weight[paths] >= THRESHOLD * weight.max())
+        weight = path_values(paths, length, marks, open_)
         headings = np.array([b[5] for b in blocks])
-        body = chosen & ~headings
-        core = body if body.any() else chosen
+        # headings are short: what is around them decides
+        strong = weight[paths[~headings]].max(initial=0) or weight.max()
+        content = open_ & (weight[paths] >= INSIDE * strong)
+        core = open_ & (weight[paths] >= THRESHOLD * strong) & ~headings
+        core = core if core.any() else content
         # elements are numbered in page order, so what one holds is a range of numbers
         own = np.array([b[4] for b in blocks])
         size = len(self._parents)
@@ -187,14 +202,29 @@ class Page:
             last[up] = max(last[up], last[e])
             for sums in (held, shut, whole):
                 sums[up] += sums[e]
-        # the innermost element that holds most of what was chosen; outwards while little comes in and nothing apart
+        # the innermost element that holds most of what is content on its own; outwards while nothing but headings comes in
         total = length[core].sum()
         most = np.flatnonzero(held >= 0.8 * total)
         container = int(most[-1]) if len(most) else 0
-        while container and not shut[self._parents[container]] and whole[self._parents[container]] - whole[container] <= 0.25 * total:
+        while container not in self.articles and not shut[self._parents[container]] and whole[self._parents[container]] <= whole[container]:
             container = self._parents[container]
+        # an article element that holds a good part of it is the article, whatever stands around
+        articles = [e for e in self.articles if e and held[e] >= ARTICLE * total]
+        if articles:
+            container = max(articles, key=lambda e: (held[e], e))
         inside = (own >= container) & (own <= last[container])
-        return [b[0] for b, keep in zip(blocks, open_ & (inside | (chosen & ~headings))) if keep]
+        return [b[0] for b, keep in zip(blocks, open_ & ((inside & (content | headings)) | (core & (not articles)))) if keep]
+
+
+def path_values(paths: np.ndarray, length: np.ndarray, marks: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """The value of each path: its ratios of text and punctuation to blocks, fused with those of the neighbourhood of its open blocks."""
+    nodes = np.bincount(paths)
+    by_length = (np.bincount(paths, length) / nodes)[paths]
+    by_marks = (np.bincount(paths, marks) / nodes)[paths]
+    kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
+    smooth = [np.convolve(np.pad(v, 2, mode="edge"), kernel / kernel.sum(), "valid") for v in (by_length, by_marks)]
+    value = np.sqrt(np.sqrt(by_length * smooth[0]) * (1 + np.sqrt(by_marks * smooth[1]))) * open_
+    return np.bincount(paths, value * length) / np.maximum(np.bincount(paths, length * open_), 1)
 
 
 def main_text(html: str) -> str:

@@ -132,6 +132,63 @@ def test_paths_tell_where_nothing_is_named():
     assert html_text.main_text(html) == "\n\n".join([text] * 5)
 
 
+def without_names(html: str) -> str:
+    import re
+
+    return re.sub(r"""\s(?:class|id|role|aria-label)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", html)
+
+
+def test_pages_without_names_give_the_same(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert all(html_text.main_text(h) == html_text.main_text(without_names(h)) for h in pages)
+
+
+def test_thresholds_decide_inside_the_article():
+    text = "A sentence of the story, which goes on; and on, until it ends."
+    cells = "".join(f"<div><div>{k}</div></div>" for k in range(20))
+    html = f"<article><h2>Title</h2>{f'<p>{text}</p>' * 8}<ul><li>one point</li></ul><p><a href=x>A paragraph that is one link, as a source.</a></p>{cells}</article>"
+    got = html_text.main_text(html).split("\n\n")
+    assert got == ["Title", *[text] * 8, "one point", "A paragraph that is one link, as a source."]
+
+
+def test_names_do_not_set_the_whole_article_apart():
+    text = "A sentence of the story, which goes on; and on, until it ends."
+    html = f'<body><div class="content with-sidebar">{f"<p>{text}</p>" * 6}</div><div class="sidebar"><p>Related, or not.</p></div></body>'
+    assert html_text.main_text(html) == "\n\n".join([text] * 6)
+
+
+def test_path_values_by_brute_force():
+    rng = random.Random(8)
+    n = 40
+    paths = [rng.randrange(6) for _ in range(n)]
+    paths[:6] = range(6)
+    length, marks, open_ = ([f() for _ in range(n)] for f in (lambda: rng.randrange(1, 400), lambda: rng.randrange(9), lambda: rng.random() < 0.8))
+    mean = {p: [sum(v[i] for i in range(n) if paths[i] == p) / paths.count(p) for v in (length, marks)] for p in range(6)}
+
+    def value(i: int) -> float:
+        near = [mean[paths[min(max(i + d, 0), n - 1)]] for d in (-2, -1, 0, 1, 2)]
+        smooth = [sum(w * x[k] for w, x in zip((1, 2, 4, 2, 1), near)) / 10 for k in (0, 1)]
+        own = mean[paths[i]]
+        return ((own[0] * smooth[0]) ** 0.5 * (1 + (own[1] * smooth[1]) ** 0.5)) ** 0.5
+
+    got = html_text.path_values(np.array(paths), np.array(length, float), np.array(marks, float), np.array(open_))
+    for p in range(6):
+        own = [i for i in range(n) if paths[i] == p and open_[i]]
+        want = sum(value(i) * length[i] for i in own) / max(1, sum(length[i] for i in own))
+        assert abs(got[p] - want) < 1e-9
+
+
+def test_broken_tags_are_dropped_in_linear_time():
+    import time
+
+    assert html_text.main_text('<article><p>One, two.</p><div class="x') == "One, two."
+    assert html_text.main_text('<p>One < two, a<3.</p><p title="a>b">Three</p>') == "One < two, a<3.\n\nThree"
+    began = time.perf_counter()
+    for odd in ('<a "', "<a \"'>", "<!", "<a \"><b '", "<!--", "<p title='"):
+        html_text.main_text(odd * 50_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_broken_pages(spark):
     assert [html_text.main_text(x) for x in ("", "<!-- x", "<p>a", "<div>" * 3000 + "deep", "</p></p>x<b>y", "a &lt;b&gt;")] == ["", "", "a", "deep", "xy", "a <b>"]
     rows = [(1, "u", None, "clash"), (2, None, "<p>Some text, here.</p>", "clash"), (2, None, "<p>Some text, here.</p>", "clash"), (None, "v", "", "clash")]
