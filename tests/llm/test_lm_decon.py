@@ -215,9 +215,39 @@ def test_leaks_are_found_and_clean_stays(spark):
     assert decontamination.leaks(docs, bench, small, drop=True).count() == kept.count()
 
 
+def test_scripts_without_spaces(spark):
+    rng = random.Random(14)
+    line = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(n))
+    item = line(40)
+    edited = "".join(line(1) if k % 9 == 4 else c for k, c in enumerate(item))
+    rows = [(1, line(100) + item + line(50)), (2, line(30) + edited), (3, line(300)), (4, "no such thing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2] and {r["score"] for r in got if r["doc_id"] == 1} == {1.0}
+    assert decontamination.words("Ab,c 日本x ü") == [b"ab", b"c", "日".encode(), "本".encode(), b"x", "ü".encode()]
+
+
+def test_items_are_held_in_arrays():
+    """What is broadcast: a few numbers for each word, not an object for each seed."""
+    import pickle
+
+    rng = random.Random(15)
+    words = [f"w{rng.randrange(5000)}".encode() for _ in range(60_000)]
+    items = decontamination.Items(decontamination.Settings(), list(range(2000)), [words[k : k + 30] for k in range(0, 60_000, 30)])
+    items.plant({}, 10**9)
+    assert len(items.place) == 2000 * 29 and len(pickle.dumps(items)) < 10 * sum(map(len, words))
+    found = {g: [] for g in items.seeds.tolist()}
+    for item in range(2000):
+        for at, g in enumerate(items.grams(items.words_of(item).astype(np.int64)).tolist()):
+            found[g].append((item, at))
+    k = rng.randrange(len(items.seeds))
+    own = slice(items.begin[k], items.begin[k + 1])
+    assert sorted(zip(items.item[own].tolist(), items.place[own].tolist())) == found[int(items.seeds[k])]
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and looked at the dog"), (2, None), (3, "word"), (4, "")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(odd_docs, bench).collect())
-    assert got == [(1, 1), (6, 1), (6, 1)]
+    assert got == [(1, 1), (5, 3), (6, 1), (6, 1)]  # one word is found wherever it stands
     assert decontamination.leaks(odd_docs, bench.limit(0)).count() == 0 and decontamination.leaks(odd_docs, bench.limit(0), drop=True).count() == 10
     assert decontamination.leaks(no_docs, bench).count() == 0
