@@ -6,7 +6,8 @@ of table rows. Two fingerprints at most D bits apart
 
 * agree in some blocks whole when there are more blocks than D, hence have the same pivot distances
   there: those are the join keys (distances to many pivots identify a block, which is checked when the
-  tables are made);
+  tables are made, so candidates meet as blocks do; of whole fingerprints pivot distances alone crowd round half
+  the bits and join nothing);
 * differ in no pivot distance by more than D: pairs with a larger coordinate difference are discarded,
   and the survivors are verified by their bits.
 

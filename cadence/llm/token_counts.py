@@ -33,6 +33,19 @@ def byte_alphabet() -> list[str]:
     return [chr(other.get(b, b)) for b in range(256)]
 
 
+def refuse(file: dict) -> None:
+    """Raise on settings of a tokenizer file that these counts don't follow, rather than count wrongly."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    fits = {
+        "normalizer": not file.get("normalizer"),
+        "pre_tokenizer": split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True),
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t.get(k) for t in file.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")),
+    }
+    if wrong := [k for k, ok in fits.items() if not ok]:
+        raise ValueError(f"these settings of the tokenizer file are not supported: {', '.join(wrong)}")
+
+
 @lru_cache(maxsize=4)
 def load(path: str):
     """(agenda, symbol of each byte, byte strings by id, pattern of special strings or None)."""
@@ -40,6 +53,7 @@ def load(path: str):
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    refuse(file)
     vocab, merges = file["model"]["vocab"], file["model"]["merges"]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
     a, b = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))

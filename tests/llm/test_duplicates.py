@@ -172,3 +172,16 @@ def test_rows_are_kept_by_id_and_text(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, a), (None, b), (None, b), (1, c), (2, d), (3, e), (4, a)]
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
+def test_rows_are_kept_by_id_and_text(spark):
+    """Null ids, an id with two texts, repeated rows, ties and clashing columns: no text without a copy is lost."""
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, line(0)), (None, line(1)), (1, line(2)), (2, line(3)), (2, line(4)), (3, line(5))]
+    docs = lambda r: spark.createDataFrame(r, "doc_id long, text string").selectExpr("*", "'clash' as node", "'clash' as class_id", "'clash' as key", "'clash' as id")
+    kept = simhash.keep_one(docs(rows))
+    assert kept.columns == docs(rows).columns and sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, rows))
+    # a copy of one of an id's two texts under a smaller id takes that text's place only; repeated rows stay once; null ids stay
+    more = rows + [(0, line(4)), (3, line(5)), (None, line(5)), (9, line(2)), (1, line(2))]
+    want = [(None, line(0)), (None, line(1)), (None, line(5)), (0, line(4)), (1, line(2)), (2, line(3)), (3, line(5))]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(more)).collect()))) == sorted(map(str, want))

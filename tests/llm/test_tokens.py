@@ -92,3 +92,19 @@ def test_odd_rows(odd_docs, no_docs, library, pieces):
     assert sorted(map(tuple, got["ids"])) == sorted(tuple(pieces.library.encode(r["text"] or "")) for r in odd_docs.select("text").collect())
     assert all(hashlib.sha256(d.encode()).hexdigest() == h for d, h in zip(got["decoded"], got["decoded_sha256"]))
     assert token_counts.token_counts(no_docs).count() == 0 and sentencepieces.encode_decode(no_docs).count() == 0
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    from cadence.llm import token_counts
+    from cadence.llm._common import tokenizer_path
+
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        token_counts.load(tokenizer_path("word_bpe_49k.json"))
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    token_counts.refuse(file)
+    file["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError, match="added_tokens"):
+        token_counts.refuse(file)
