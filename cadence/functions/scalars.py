@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +13,6 @@ from pyspark.sql import functions as F
 NO_NUMBER = ["", "na", "n/a", "null", "-", "—", "none"]
 TRUE = ["true", "yes", "si", "sí", "1", "on"]
 FALSE = ["false", "no", "0", "off"]
-#: Accented Latin letters and what they fold to.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
 
 
 def let(value: Column, then) -> Column:
@@ -19,10 +20,32 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), lambda v: then(v))[0]
 
 
+@lru_cache(maxsize=1)
+def folding() -> tuple[str, str, dict[str, str]]:
+    """What characters beyond ASCII leave in ASCII when Unicode takes them apart (NFKD): those that leave one character, what they leave, and
+    those that leave several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x30000)):
+        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else several)[c] = left
+    return "".join(one), "".join(one.values()), several
+
+
+def fold_ascii(text: Column) -> Column:
+    """Text with accents, ligatures and other forms of ASCII letters folded, and what is left beyond ASCII dropped."""
+    forms, plain, several = folding()
+    places = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(places, c), c)), "")
+    text = F.when(text.rlike(f"[{re.escape(''.join(several))}]"), spelt).otherwise(text)
+    return F.regexp_replace(F.translate(text, forms, plain), "[^\\x00-\\x7F]", "")
+
+
 def normalize_key(value: Column) -> Column:
     """A header or label as a key: lower case, accents folded, other characters one underscore, none at the ends."""
-    text = F.translate(F.lower(F.trim(F.coalesce(value, F.lit("")))), ACCENTED, PLAIN)
-    text = F.regexp_replace(text, "[^\\x00-\\x7F]", "")
+    text = F.coalesce(value, F.lit(""))
+    # plain ASCII, as nearly all are, takes the short way
+    text = F.lower(F.when(text.rlike("[^\\x00-\\x7F]"), fold_ascii(F.lower(F.trim(text)))).otherwise(F.trim(text)))
     return F.btrim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9_]+", "_"), "_+", "_"), F.lit("_"))
 
 

@@ -152,8 +152,37 @@ def times(events: DataFrame, keys: list[str], pad: float = 0.15, least: float =
     return held.filter("__n = 1").drop("__n")
 
 
-def anchors(words: DataFrame, hooks: DataFrame, keys: list[str], dur: float = 0.9) -> DataFrame:
-    """Hooks (text, anchor, dur) at the first word of each clip that is their anchor: start a tenth of a second after it, 0.8 to 2 seconds long."""
+#: Words that a hook has at most.
+HOOK_WORDS = 4
+
+
+def hook_errors(words: DataFrame, hooks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text, anchor, error) of hooks that can't be placed: longer than HOOK_WORDS (in every clip), or an anchor that no word of the clip is."""
+    asked = hooks.withColumn("token", norm_token(F.trim(F.coalesce("anchor", F.lit("")))))
+    clips = words.select(*keys).distinct()
+    said = words.withColumn("token", norm_token(F.col("w"))).join(asked.select("token").distinct(), "token", "left_semi").select(*keys, "token").distinct()
+    every = clips.join(F.broadcast(_few(asked)))  # each clip is asked for each hook: rows of the result unless they are placed
+    lost = every.join(said, [*keys, "token"], "left_anti")
+    long = F.size(F.split(F.trim("text"), "\\s+")) > HOOK_WORDS
+    return every.filter(long).select(*keys, "text", "anchor", F.lit("too long").alias("error")).unionByName(lost.filter(~long).select(*keys, "text", "anchor", F.lit("no such word").alias("error")))
+
+
+def _few(hooks: DataFrame, most: int = 10_000) -> DataFrame:
+    """Hooks of one edit; more than most fail."""
+    if hooks.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} hooks")
+    return hooks
+
+
+def anchors(words: DataFrame, hooks: DataFrame, keys: list[str], dur: float = 0.9, strict: bool = False) -> DataFrame:
+    """Hooks (text, anchor, dur) at the first word of each clip that is their anchor: start a tenth of a second after it, 0.8 to 2 seconds long.
+
+    Hooks that a clip has no word for, or that are too long, are no rows here but rows of hook_errors(); strict raises for the first of them.
+    """
+    if strict and (wrong := hook_errors(words, hooks, keys).limit(1).collect()):
+        raise ValueError(f"hook '{wrong[0]['text']}': {wrong[0]['error']}")
+    if "text" in hooks.columns:
+        hooks = hooks.filter(F.size(F.split(F.trim("text"), "\\s+")) <= HOOK_WORDS)
     asked = hooks.withColumn("token", norm_token(F.col("anchor")))
     # words that are no anchor go before anything is grouped
     said = words.withColumn("token", norm_token(F.col("w"))).join(asked.select("token").distinct(), "token", "left_semi")

@@ -44,9 +44,9 @@ def rolling_median(rows: DataFrame, keys: list[str], at: str, value: str, half:
 
 
 def moving_average(rows: DataFrame, keys: list[str], at: str, value: str, taps: int) -> DataFrame:
-    """Mean of the last ``taps`` rows, the row itself included."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-(taps - 1), 0)
-    return rows.withColumn("smooth", F.avg(value).over(w))
+    """Centred sum of ``taps`` rows over taps: taps // 2 before the row, the others from it on; beyond the ends stand zeros."""
+    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-(taps // 2), (taps - 1) // 2)
+    return rows.withColumn("smooth", F.sum(value).over(w) / taps)
 
 
 def emphasis(rows: DataFrame, keys: list[str], at: str, level: str, factor: float = 1.2, share: float = 0.35) -> DataFrame:

@@ -65,18 +65,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def smooth_levels(rows: DataFrame, key: str, at: str, value: str, attack: float, release: float) -> DataFrame:
-    """One-pole smoothing that follows rises by attack and falls by release (0..1), per key in order: rows stream sorted, one state is held."""
+    """One-pole smoothing of gains from 1 on: a fall below the state is followed by attack, a rise by release (0..1). Per key in order: rows
+    stream sorted, one state is held."""
     schema = rows.select(key, at, value).schema.add("smooth", DoubleType())
     held = rows.select(key, at, value).repartition(key).sortWithinPartitions(key, at)
 
     def run(batches):
-        now, state = None, 0.0
+        now, state = None, 1.0
         for batch in batches:
             out = []
             for k, v in zip(batch[key], batch[value]):
                 if k != now:
-                    now, state = k, float(v)
-                state += (attack if v > state else release) * (v - state)
+                    now, state = k, 1.0
+                state += (attack if v < state else release) * (v - state)
                 out.append(state)
             yield batch.assign(smooth=out)
 
