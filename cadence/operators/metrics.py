@@ -131,6 +131,41 @@ def confidence(n: Column, relative: bool = False) -> Column:
     return F.when(n >= 20, "high").when(n >= 8, "medium").otherwise("low" if relative else "preliminary")
 
 
+# Fixed: what each insight asks to do, what that should bring, and what to measure then.
+NEXT = {
+    "ranking": ("repeat what the best have in common and change one thing", "a higher median score", "the goal's metrics of the next variants"),
+    "platform": ("compare like pieces by rates and fit opening, captions and mix to each platform", "a higher rate on the weaker platform", "the main rate of each platform and early retention"),
+    "early_loss": ("open with the result or the conflict, context later", "higher retention at six seconds", "retention at two and six seconds of two openings over one body"),
+    "opening": ("make one variant of the first second and leave the rest", "more who stay, no fewer who finish", "early retention, watch time and completion of the variants"),
+    "missing_data": ("ask for the missing fields before anything final", "fewer other explanations", "how complete the asked fields are"),
+}
+
+
+def outcome(found: DataFrame) -> DataFrame:
+    """What to do first: the first insight's action, what it should bring, what to measure, how sure; one row, without insights ``insufficient_data``."""
+    text = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for name, told in NEXT.items() for x in (name, told[k])]), "insight")
+    first = found.groupBy().agg(F.min_by(F.struct("insight", "confidence"), "ordinal").alias("f")).select("f.*")
+    return first.select(text(0).alias("priority_action"), text(1).alias("expected_outcome"), text(2).alias("measure_next"), F.coalesce("confidence", F.lit("insufficient_data")).alias("confidence"))
+
+
+def next_questions(rows: DataFrame, goal: str = "all") -> DataFrame:
+    """(ordinal, question, detail): the fields to ask for (five at most, in the goal's order) and what changed at once; with none missing, what was varied."""
+    fields = NEEDS.get(goal, NEEDS["all"])
+    place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))
+    gap = missing_for_goal(rows, goal).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "field"))).alias("f"))
+    asked = F.array_join(F.slice(F.col("f.field"), 1, 5), ",")
+    row = lambda n, q, d: F.struct(F.lit(n).alias("ordinal"), F.lit(q).alias("question"), d.alias("detail"))
+    some = F.array(row(1, "fields", asked), row(2, "changes", F.lit("audience,date,audio,hook,spend")))
+    none = F.array(row(1, "variable", F.lit(goal)), row(2, "topic", F.lit("retention,hook,engagement,creative_editing,audio_captions,conversion,cross_platform")))
+    return gap.select(F.inline(F.when(F.size("f") > 0, some).otherwise(none)))
+
+
+def input_summary(rows: DataFrame) -> DataFrame:
+    """(rows, platforms, date_min, date_max) in one pass; platforms by name, dates as they are written."""
+    day = F.nullif(F.col("date").cast("string"), F.lit(""))
+    return rows.agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.coalesce(F.nullif("platform", F.lit("")), F.lit("unknown")))).alias("platforms"), F.min(day).alias("date_min"), F.max(day).alias("date_max"))
+
+
 def insights(rows: DataFrame, goal: str = "all", most: int = 8) -> DataFrame:
     """Rule rows (ordinal, insight, subject, value, confidence, detail): spread of the score, platforms apart, early loss, opening, missing data."""
     spread = rows.agg(F.count("goal_score").alias("n"), F.max("goal_score").alias("best"), F.min("goal_score").alias("worst")).filter("n >= 3")

@@ -11,8 +11,12 @@ def shared_dir(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; where it is unset (tests) a folder that is set here."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and held.isDefined():
+        named = held.get()
     if not named:
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="cadence-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="cadence-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

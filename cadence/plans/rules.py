@@ -65,6 +65,11 @@ def spec_errors(level: Column, aspect: Column, crf: Column, max_dur: Column) ->
     return errors([("level", ~level.isin(*LEVELS)), ("aspect", ~aspect.isin(*ASPECTS)), ("crf", out_of_range(crf, 0, 51, True)), ("max_dur", max_dur <= 0)])
 
 
+def unknown_entries(rows: DataFrame, keys: Column, known: list[str]) -> DataFrame:
+    """(key, n) of keys (a column of arrays) that are not known: what a strict reader would refuse, with how often it stands."""
+    return rows.select(F.explode(F.array_except(keys, F.array(*[F.lit(k) for k in known]))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 def message_errors(headers: Column, roles: list[str]) -> Column:
     """All that is wrong with a message's header map."""
     h = lambda k: F.try_element_at(headers, F.lit(k))

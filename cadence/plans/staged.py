@@ -9,11 +9,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Presets of the mastering chain (loudness target, equaliser gains in dB), by name.
+# What presets of the mastering chain have in common, and where each differs (loudness target, high-pass in Hz, equaliser gains and thresholds in dB).
+_PLAIN = {"lufs": -16.0, "highpass_hz": 70.0, "mud": 0.0, "boxiness": 0.0, "presence": 0.0, "air": 0.0, "comp_threshold": -24.0, "comp_ratio": 2.0, "deesser": False, "deesser_threshold": -8.0}
 PRESETS = {
-    "creator": {"lufs": -14.0, "eq": True, "comp": True, "limit": True},
-    "podcast": {"lufs": -16.0, "eq": True, "comp": True, "limit": True},
-    "broadcast": {"lufs": -23.0, "eq": True, "comp": True, "limit": True},
+    "creator": _PLAIN | {"mud": -2.0},
+    "youtube": _PLAIN | {"lufs": -14.0, "presence": 2.0, "air": 1.0, "comp_ratio": 2.5, "deesser": True},
+    "podcast": _PLAIN | {"mud": -3.0, "presence": 1.0, "comp_ratio": 3.0, "deesser": True},
+    "social": _PLAIN | {"lufs": -14.0, "air": 2.0, "comp_threshold": -22.0, "comp_ratio": 3.5, "deesser": True},
+    "bad-room": _PLAIN | {"highpass_hz": 90.0, "mud": -4.0, "boxiness": -2.0},
 }
 CHAIN = ["dc_block", "highpass", "dehum", "eq", "deesser", "compressor", "limiter", "loudness"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of the driver's folders.
@@ -10,6 +12,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def session(cores: int | str = "*", app: str = "cadence", memory: str = "8g", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller's own session is used as it is."""
+    if (held := SparkSession.getActiveSession()) is not None and not conf:
+        return held
+    if os.environ.get("PYSPARK_GATEWAY_PORT"):  # started by spark-submit, which has said where and how
+        return SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     n = 8 if cores == "*" else int(cores)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -13,13 +13,13 @@ HIT = "id long, type string, tags string, pageURL string, views long, downloads
 
 
 def conditions(text: str | None = None, equal: dict | None = None, ranges: dict | None = None, text_col: str = "tags") -> Column:
-    """All of: words of the text, equal columns, ranges (least, greatest) with None for an open end. What is None asks nothing."""
+    """All of: words of the text, equal columns (a list: one of it), ranges (least, greatest) with None for an open end. What is None asks nothing."""
     out = F.lit(True)
     for word in (text or "")[:100].lower().split():
         out = out & F.lower(text_col).contains(word)
     for column, value in (equal or {}).items():
         if value is not None:
-            out = out & (F.col(column) == value)
+            out = out & (F.col(column).isin(value) if isinstance(value, list) else F.col(column) == value)
     for column, (least, most) in (ranges or {}).items():
         if least is not None:
             out = out & (F.col(column) >= least)

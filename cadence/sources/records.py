@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +87,36 @@ def canonical(flat: DataFrame, column: str = "flat") -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON file (a list, or an object that holds a list): row_number and record (text)."""
-    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    return from_text(spark.read.text(path, wholetext=True))
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of files with an object a line, read in splits: row_number (ascending, with gaps) and record."""
+    return spark.read.text(path).filter(F.trim("value").startswith("{")).select((F.monotonically_increasing_id() + 1).alias("row_number"), F.col("value").alias("record"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical text columns of a file of records, whatever it is called: what begins with a bracket or brace is JSON, all else CSV. ``-`` is
+    standard input."""
+    if path == "-":
+        return canonical(flatten(of_input(spark, sys.stdin.read())))
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    if path.lower().endswith(".csv") or not first or not first[0]["value"].lstrip().startswith(("{", "[")):
+        return read_csv(spark, path)
+    return canonical(flatten(read_json(spark, path)))
+
+
+def of_input(spark: SparkSession, text: str) -> DataFrame:
+    """Records of a text at hand."""
+    if text.lstrip().startswith(("{", "[")):
+        return from_text(spark.createDataFrame([(text,)], "value string"))
+    rows = [(k, json.dumps(row, ensure_ascii=False)) for k, row in enumerate(csv.DictReader(io.StringIO(text)), 1)]
+    return spark.createDataFrame(rows, "row_number long, record string")
+
+
+def from_text(texts: DataFrame) -> DataFrame:
+    """Records of whole JSON texts (column value); a text that holds no list of records fails."""
+    whole = texts.select(F.trim("value").alias("value"))
     arrays = [F.get_json_object("value", f"$.{name}") for name in LISTS]
     body = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.coalesce(*[F.when(F.trim(a).startswith("["), a) for a in arrays]))
     items = F.from_json(body, "array<string>")

@@ -28,15 +28,48 @@ def report_json(report: dict) -> str:
     return json.dumps(rounded(report), indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
-def report_markdown(title: str, tables: dict[str, DataFrame], most: int = 50) -> str:
-    """Small frames as Markdown tables, at most ``most`` rows of each (a report, not a copy of the data)."""
+def report_markdown(title: str, tables: dict[str, DataFrame]) -> str:
+    """Frames as Markdown tables, every row; rows come partition by partition."""
     out = [f"# {title}"]
     for name, df in tables.items():
         out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("n/a" if v is None else str(rounded(v)) for v in row) + " |" for row in df.limit(most).collect()]
+        out += ["| " + " | ".join("n/a" if v is None else str(rounded(v)) for v in row) + " |" for row in df.toLocalIterator()]
     return "\n".join(out) + "\n"
 
 
+def terminal(title: str, tables: dict[str, DataFrame]) -> str:
+    """Frames as aligned columns under headings, for a terminal; numbers to the right."""
+    out = [title, "=" * len(title)]
+    for name, df in tables.items():
+        rows = [["n/a" if v is None else str(rounded(v)) for v in row] for row in df.toLocalIterator()]
+        wide = [max(map(len, column)) for column in zip(df.columns, *rows)]
+        right = [kind in ("int", "bigint", "double", "float") for _, kind in df.dtypes]
+        lines = [" ".join(c.rjust(w) if r else c.ljust(w) for c, w, r in zip(row, wide, right)).rstrip() for row in [df.columns, *rows]]
+        out += ["", name, "-" * len(name), *lines]
+    return "\n".join(out) + "\n"
+
+
+def manifest_json(name: str, config: dict, inputs: list[str], stages: list[dict], outputs: list[str]) -> str:
+    """A run's manifest: what ran with what, on what, and what each stage did; the digest names the configuration."""
+    import hashlib
+
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    return report_json({"name": name, "config": config, "config_sha256": digest, "inputs": sorted(inputs), "stages": stages, "outputs": sorted(outputs), "ok": all(s.get("ok", False) for s in stages)})
+
+
+def write_wav(samples, rate: int, path: str) -> None:
+    """One clip as a file of 16-bit samples."""
+    import wave
+
+    import numpy as np
+
+    with wave.open(path, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(np.asarray(samples, float), -1, 1) * 32767).round().astype("<i2").tobytes())
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     """Rows as JSON with keys in order and nulls left out."""
     df.select(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).alias("value")).write.mode("overwrite").text(path)
