@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.pinning import pinned
+
 
 def runs(rows: DataFrame, keys: list[str], at: str, flag: Column) -> DataFrame:
     """Stretches of consecutive rows for which flag holds: keys, first, last (both inclusive) and length."""
@@ -94,14 +96,26 @@ def reject_overlaps(spans: DataFrame, busy: DataFrame, keys: list[str], most: fl
     return spans.join(other, [*same, F.least("end", "__e") - F.greatest("start", "__s") > most], "left_anti")
 
 
+def overlap_notes(spans: DataFrame, busy: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """All spans with ``overlap``: the longest time above most by which they overlap a busy span of their key; null: they stay."""
+    held = pinned(spans.withColumn("__id", F.monotonically_increasing_id()))
+    other = busy.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"))
+    met = held.join(other, keys).select("__id", (F.least("end", "__e") - F.greatest("start", "__s")).alias("o")).filter(F.col("o") > most)
+    return held.join(met.groupBy("__id").agg(F.max("o").alias("overlap")), "__id", "left").drop("__id")
+
+
 def self_apart(spans: DataFrame, keys: list[str], order: str, schema: str) -> DataFrame:
     """Greedy: in the given order, a span stays unless it overlaps one that stayed (touching is allowed)."""
 
     def run(batch):
-        kept, rows = [], []
+        from bisect import bisect
+
+        starts, ends, rows = [], [], []  # of what stays, in order of time
         for row in batch.sort_values(order, kind="stable").itertuples(index=False):
-            if all(row.end <= a or row.start >= b for a, b in kept):
-                kept.append((row.start, row.end))
+            k = bisect(starts, row.start)
+            if (k == 0 or ends[k - 1] <= row.start) and (k == len(starts) or row.end <= starts[k]):
+                starts.insert(k, row.start)
+                ends.insert(k, row.end)
                 rows.append(row)
         return type(batch)(rows, columns=batch.columns)
 

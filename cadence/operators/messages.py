@@ -81,6 +81,18 @@ def in_process(held: DataFrame, role: str) -> DataFrame:
     return held.groupBy(role).agg(F.count("*").alias("n"), F.min("id").alias("id")).withColumn("state", F.when(F.col("n") > 1, "ambiguous").otherwise("again"))
 
 
+def complete(held: DataFrame, done: DataFrame, key: str, begun: str, ended: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(completed, waiting): what was worked on and is done, with the days that took, and what is not done yet. A key that ends twice ends the last time."""
+    last = done.groupBy(key).agg(F.max(ended).alias(ended))
+    own = held.select(key, begun, *by)
+    return own.join(last, key).withColumn("days", F.date_diff(ended, begun)), own.join(last, key, "left_anti")
+
+
+def latency(completed: DataFrame, by: list[str], days: str = "days") -> DataFrame:
+    """How long completed work took: n, least, most and total days by group."""
+    return completed.groupBy(*by).agg(F.count("*").alias("n"), F.min(days).alias("least"), F.max(days).alias("most"), F.sum(days).alias("total"))
+
+
 def sequence(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Six-digit numbers in arrival order, without sorting all rows in one task: ranges of the order are numbered apart and shifted by those before."""
     sorted_ = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())

@@ -13,10 +13,12 @@ from cadence.operators import votes as V
 from cadence.plans import rules as P
 from cadence.plans import staged as D
 from cadence.session import table
+from cadence.sources import catalogue as K
 from cadence.streaming import events as E
 
 r6 = lambda c: F.round(c, 6)
 KEYS = ["conv_id", "turn"]
+HOOKS = [("now see", "The", 1.0), ("one two three four five", "the", 1.0), ("never", "xyzzy", 0.0)]
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +132,8 @@ def message_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_type", F.map_keys(F.from_json("props", "map<string,string>")).alias("k"))
-    return e.select("event_type", F.explode(F.array_except(F.concat("k", F.array("event_type")), F.array(F.lit("k"), F.lit("view")))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    e = table(spark, sf_dir, "events")
+    return P.unknown_entries(e, F.concat(F.map_keys(F.from_json("props", "map<string,string>")), F.array("event_type")), ["k", "view"])
 
 
 def mastering_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +174,9 @@ def queue_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days from order to last shipment, by priority."""
-    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
-    done = l.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("done"))
-    held = o.join(done, o["o_orderkey"] == done["l_orderkey"]).select("o_orderpriority", F.date_diff("done", "o_orderdate").alias("days"))
-    return held.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.min("days").alias("least"), F.max("days").alias("most"), F.sum("days").alias("total"))
+    done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    completed, _ = Q.complete(table(spark, sf_dir, "orders"), done, "o_orderkey", "o_orderdate", "l_shipdate", ["o_orderpriority"])
+    return Q.latency(completed, ["o_orderpriority"])
 
 
 def queue_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,8 +216,20 @@ def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second page of 25 parts by name, kind and size bounds, dearest first."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_name").contains("ring") & F.col("p_type").isin("ECONOMY", "SMALL") & F.col("p_size").between(5, 40))
-    return p.orderBy(F.desc("p_retailprice"), "p_partkey").offset(25).limit(25).select("p_partkey", "p_name", "p_retailprice")
+    asked = {"text": "ring", "text_col": "p_name", "equal": {"p_type": ["ECONOMY", "SMALL"]}, "ranges": {"p_size": (5, 40)}}
+    return K.search(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), "p_partkey"], page=2, per_page=25, **asked).select("p_partkey", "p_name", "p_retailprice")
+
+
+def hook_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hooks that a conversation's turns have no anchor for, or that are too long."""
+    hooks = spark.createDataFrame(HOOKS, "text string, anchor string, dur double")
+    return C.hook_errors(words(spark, sf_dir), hooks, KEYS).groupBy("text", "error").agg(F.count("*").alias("n"))
+
+
+def in_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer's open orders say of being worked on."""
+    held = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("role"), F.col("o_orderkey").alias("id"))
+    return Q.in_process(held, "role").select("role", "n", "id", "state")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,10 +258,10 @@ def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attack_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.smooth_levels(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 0.5, 0.1).select("event_id", r6("smooth").alias("smooth"))
+    return E.smooth_levels(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 0.5, 0.1).select("event_id", "smooth")
 
 
-QUERIES = {f.__name__: f for f in (cue_breaks, cue_islands, cue_pack, cue_pairs, cue_audit, event_timing, subtitle_lines, first_anchor, locale_rewrite, scenario_expand, placeholder_fill, first_match_route, spec_violations, message_violations, unknown_keys, mastering_chain, beat_timeline, fanout, dead_letters, queue_next, queue_batch, queue_latency, queue_sequence, header_parse, cosine_pairs, vote_preference, vote_mos, manifest_hash, catalog_search, stream_sessions, stream_queue, attack_release)}
+QUERIES = {f.__name__: f for f in (cue_breaks, cue_islands, cue_pack, cue_pairs, cue_audit, event_timing, subtitle_lines, first_anchor, locale_rewrite, scenario_expand, placeholder_fill, first_match_route, spec_violations, message_violations, unknown_keys, mastering_chain, beat_timeline, fanout, dead_letters, queue_next, queue_batch, queue_latency, queue_sequence, header_parse, cosine_pairs, vote_preference, vote_mos, manifest_hash, catalog_search, hook_gaps, in_process, stream_sessions, stream_queue, attack_release)}
 
 
 def _list(names: list[str]) -> str:
@@ -263,11 +276,38 @@ _ISLE = _WORDS + """, iw as (select *, sum(case when s - pe > 0.5 then 1 else 0
 isle as (select conv_id, turn, island, min(pos) as pos, count(*) as words, cast(sum(length(w)) as bigint) as chars, round(min(s), 3) as s, round(max(e), 3) as e from iw group by 1, 2, 3)"""
 _TIMES = _ISLE + """, tm as (select *, least(greatest(e + 0.15, s + 0.83), lead(s) over (partition by conv_id, turn order by s, pos) - 2 / 30.0::double) as x from isle), te as (select *, case when x <= s then s + 0.04 else x end as stop from tm)"""
 _TOKEN = "regexp_replace(lower(trim({w})), '[.,!?;:]+$', '')"
+
+_BREAKS = f"""{_WORDS}, bn as (select *, lead(w) over (partition by conv_id, turn order by pos) as nx, lag(e) over (partition by conv_id, turn order by pos) as pe from word),
+bt as (select *, {_TOKEN.format(w='w')} as a, {_TOKEN.format(w='nx')} as b from bn),
+bf as (select conv_id, turn, pos, w, s, e, sum(case when s - pe > 0.5 then 1 else 0 end) over (partition by conv_id, turn order by pos rows unbounded preceding) as island,
+  coalesce(regexp_matches(w, '[.,!?;:]$') or b in ({_list([*C.CONJUNCTIONS, *C.PREPOSITIONS])}), false) as good,
+  coalesce(a in ({_list([*C.ARTICLES, *C.PREPOSITIONS, *C.AUXILIARIES])}) or (length(trim(w)) > 1 and regexp_matches(trim(w), '^\\p{{Lu}}') and length(trim(nx)) > 1 and regexp_matches(trim(nx), '^\\p{{Lu}}') and a not in ({_list(C.CONJUNCTIONS)})), false) as bad from bt)"""
+#: Lines, one after another: from a line's first word, the first word that makes it too long; where the line should not end there, the words after its last good end go along.
+_CUES = _BREAKS + """, wi as (select *, row_number() over i as i, sum(length(w)) over (i rows unbounded preceding) as upto from bf window i as (partition by conv_id, turn, island order by pos)),
+wl as (select *, lag(e) over i as pe, lag(bad) over i as pbad, max(case when good then i end) over (i rows between unbounded preceding and 2 preceding) as lastgood from wi window i as (partition by conv_id, turn, island order by pos)),
+ln as (select conv_id, turn, island, i as first, 2 as look from wl where i = 1
+  union all
+  select conv_id, turn, island, start, i + 1 from (
+    select x.conv_id, x.turn, x.island, x.i, case when x.pbad and x.lastgood >= f.i then x.lastgood + 1 else x.i end as start, row_number() over (partition by x.conv_id, x.turn, x.island order by x.i) as k
+    from ln join wl f on f.conv_id = ln.conv_id and f.turn = ln.turn and f.island = ln.island and f.i = ln.first
+    join wl x on x.conv_id = ln.conv_id and x.turn = ln.turn and x.island = ln.island and x.i >= ln.look and x.i > ln.first
+    where x.upto - f.upto + length(f.w) > 34 or (x.upto - f.upto + length(f.w)) / 17.0::double > x.pe - f.s + 0.5) where k = 1),
+wn as (select wl.*, (select max(first) from ln where ln.conv_id = wl.conv_id and ln.turn = wl.turn and ln.island = wl.island and ln.first <= wl.i) as line from wl),
+cue as (select conv_id, turn, min(pos) as pos, count(*) as words, cast(sum(length(w)) as bigint) as chars, max_by(good, pos) as good, string_agg(w, ' ' order by pos) as text, min(s) as s, max(e) as e from wn group by conv_id, turn, island, line)"""
+_PAIRS = _CUES + """, cn as (select *, row_number() over t as n, lead(chars) over t as chars2, lead(s) over t as s2, lead(e) over t as e2 from cue window t as (partition by conv_id, turn order by pos)),
+cc as (select *, coalesce(good and s2 - e <= 0.5 and chars <= 25 and chars2 <= 25 and e2 - s > 0 and (chars + chars2) / 17.0::double <= e2 - s + 0.5, false) as can from cn),
+ev as (select conv_id, turn, n, pos as event, can from cc where n = 1
+  union all select c.conv_id, c.turn, c.n, c.pos, c.can from ev join cc c on c.conv_id = ev.conv_id and c.turn = ev.turn and c.n = ev.n + case when ev.can then 2 else 1 end)"""
 _MSG = "ord as (select o_orderkey as id, substr(o_orderpriority, 1, 1) as priority, o_orderdate as created, case when o_orderkey % 97 = 0 then 'O,X' when o_orderkey % 3 = 0 then 'O,P' else o_orderstatus end as to_, o_orderstatus as role from orders)"
 _CLOCK = "case when h = 0 then '12' when h <= 12 then cast(h as varchar) else cast(h - 12 as varchar) end || ':' || lpad(cast(m as varchar), 2, '0') || case when h < 12 then ' a. m.' else ' p. m.' end"
 
 ORACLES = {
     "cue_breaks": f"with {_WORDS}, n as (select *, lead(w) over (partition by conv_id, turn order by pos) as nx from word), t as (select *, {_TOKEN.format(w='w')} as a, {_TOKEN.format(w='nx')} as b from n), f as (select conv_id, coalesce(regexp_matches(w, '[.,!?;:]$') or b in ({_list([*C.CONJUNCTIONS, *C.PREPOSITIONS])}), false) as good, coalesce(a in ({_list([*C.ARTICLES, *C.PREPOSITIONS, *C.AUXILIARIES])}) or (length(trim(w)) > 1 and regexp_matches(trim(w), '^\\p{{Lu}}') and length(trim(nx)) > 1 and regexp_matches(trim(nx), '^\\p{{Lu}}') and a not in ({_list(C.CONJUNCTIONS)})), false) as bad from t) select conv_id, count(*) filter (where good) as good, count(*) filter (where bad) as bad, count(*) as words from f group by 1",
+    "cue_pack": f"with recursive {_CUES} select conv_id, turn, pos, words, chars, good, text from cue",
+    "cue_pairs": f"with recursive {_PAIRS} select conv_id, turn, event, count(*) as lines, cast(sum(chars) as bigint) as chars from (select c.conv_id, c.turn, c.chars, (select max(ev.event) from ev where ev.conv_id = c.conv_id and ev.turn = c.turn and ev.n <= c.n) as event from cc c) group by 1, 2, 3",
+    "attack_release": "with recursive x as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as n from events), r as (select user_id, event_id, n, 1.0::double + case when value < 1 then 0.5::double else 0.1::double end * (value - 1.0::double) as st from x where n = 1 union all select x.user_id, x.event_id, x.n, r.st + case when x.value < r.st then 0.5::double else 0.1::double end * (x.value - r.st) from r join x on x.user_id = r.user_id and x.n = r.n + 1) select event_id, st as smooth from r",
+    "hook_gaps": f"with {_WORDS}, h(text, anchor) as (values ('now see', 'the'), ('one two three four five', 'the'), ('never', 'xyzzy')), c as (select distinct conv_id, turn from word), t as (select distinct conv_id, turn, {_TOKEN.format(w='w')} as a from word) select text, error, count(*) as n from (select h.text, case when h.text like 'one%' then 'too long' else 'no such word' end as error from c cross join h where h.text like 'one%' or not exists (select 1 from t where t.conv_id = c.conv_id and t.turn = c.turn and t.a = h.anchor)) group by 1, 2",
+    "in_process": "select o_custkey as role, count(*) as n, min(o_orderkey) as id, case when count(*) > 1 then 'ambiguous' else 'again' end as state from orders where o_orderstatus = 'P' group by 1",
     "cue_islands": f"with {_ISLE} select conv_id, turn, cast(island as bigint) as island, words, chars, s, e from isle",
     "cue_audit": f"with {_ISLE}, p as (select *, chars / (e - s) as pace, e - s as dur from isle) select conv_id, turn, pos, case when pace > 12.5 then 'fail' else 'warn' end as severity, 'pace' as rule from p where pace > 11.5 union all select conv_id, turn, pos, 'warn', 'short' from p where dur < 0.83",
     "event_timing": f'with {_TIMES} select conv_id, turn, pos, round(stop, 6) as "end" from te',

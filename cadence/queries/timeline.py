@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cadence.functions import scalars as S
 from cadence.operators import frames as R
 from cadence.operators import intervals as I  # noqa: E741
+from cadence.operators import mastering as M
+from cadence.operators import signal
 from cadence.operators import trajectory as T
 from cadence.session import table
 
@@ -73,6 +75,39 @@ def overlap_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.reject_overlaps(own, busy, ["user_id"], HOUR // 3).select("event_id")
 
 
+def overlap_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    own = e.filter("event_type = 'purchase'").select("user_id", "event_id", F.col("us").alias("start"), (F.col("us") + HOUR).alias("end"))
+    busy = e.filter("event_type = 'error'").select("user_id", (F.col("us") - HOUR // 2).alias("start"), (F.col("us") + HOUR // 2).alias("end"))
+    return I.overlap_notes(own, busy, ["user_id"], HOUR // 3).select("event_id", "overlap")
+
+
+def gain_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of frames of eight samples, from events, at every sample."""
+    e = table(spark, sf_dir, "events").withColumn("frame", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    g = M.spread_gains(e, ["user_id"], "frame", "value", 8)
+    return g.select("user_id", "sample", r6("gain").alias("gain"))
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tone burst for each user: 1.5 s at the events' number and mean value, quiet for its last third."""
+    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
+    t = F.sequence(F.lit(0), F.lit(71_999))
+    level = F.least(F.lit(0.9), F.lit(0.05) + F.col("v") / 200)
+    return u.select("user_id", F.transform(t, lambda i: (F.when(i < 48_000, level).otherwise(level / 200) * F.sin(i * (F.lit(100.0) + F.col("n") * 40) * F.lit(6.283185307179586 / 48_000))).cast("float")).alias("samples"))
+
+
+def speech_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = M.speech_frames(clips(spark, sf_dir), ["user_id"])
+    return f.groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if("active").alias("active"))
+
+
+def mastered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The podcast chain over a burst for each user: loudness and true peak afterwards."""
+    done = M.master(clips(spark, sf_dir), "podcast")
+    return M.measures(done, ["user_id"]).join(signal.measure(done, ["user_id"]).select("user_id", "lufs"), "user_id").select("user_id", F.round("lufs", 2).alias("lufs"), (F.col("true_peak_db") <= -0.99).alias("below_peak"))
+
+
 def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.spaced(events(spark, sf_dir), ["user_id"], "us", "value", 24 * HOUR, 3).select("user_id", "us", "value")
 
@@ -212,8 +247,6 @@ def wet_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power of three bins of frames of 50 events."""
-    from cadence.operators import signal
-
     p = signal.spectrum(table(spark, sf_dir, "events"), [], "event_id", "value", 50, [1, 5, 12])
     return p.select("frame", *[F.round(f"p{k}", 5).alias(f"p{k}") for k in (1, 5, 12)])
 
@@ -230,7 +263,7 @@ def similarity_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.accumulate_similarity(e, ["user_id"], "event_id").select("event_id", *[F.round(c, 5).alias(c) for c in ("pa", "pb", "px", "py")])
 
 
-QUERIES = {f.__name__: f for f in (interval_merge, gap_trim, keep_parts, cut_count, activity_runs, flag_runs, quantize_spans, packed_points, overlap_reject, greedy_spacing, frame_rms, snr_split, rolling_median_spikes, moving_avg_peaks, decay_fit, composite_score, noise_class, keyframe_lerp, ease_curves, phase_schedule, zoom_curve, path_accumulate, shake_stats, kernel_smooth, mask_align, positional_zip, carry_forward, timecode, tempo_chains, note_table, similarity_inverse, wet_envelope, frame_spectrum, chord_voicing, similarity_path)}
+QUERIES = {f.__name__: f for f in (interval_merge, gap_trim, keep_parts, cut_count, activity_runs, flag_runs, quantize_spans, packed_points, overlap_reject, overlap_notes, gain_spread, speech_levels, mastered, greedy_spacing, frame_rms, snr_split, rolling_median_spikes, moving_avg_peaks, decay_fit, composite_score, noise_class, keyframe_lerp, ease_curves, phase_schedule, zoom_curve, path_accumulate, shake_stats, kernel_smooth, mask_align, positional_zip, carry_forward, timecode, tempo_chains, note_table, similarity_inverse, wet_envelope, frame_spectrum, chord_voicing, similarity_path)}
 
 _MERGE = """{name} as (select user_id, min(s) as s, max(e) as e from (select *, sum(fresh) over (partition by user_id order by s, e rows unbounded preceding) as g
   from (select *, case when s > max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) then 1 when row_number() over (partition by user_id order by s, e) = 1 then 1 else 0 end as fresh from {source})) group by user_id, g)"""
@@ -271,7 +304,12 @@ ORACLES = {
     "frame_rms": "with f as (select event_id // 50 as frame, count(*) as n, sqrt(avg(value * value)) as rms, max(abs(value)) as peak from events group by 1) select frame, round(20 * log10(rms + 1e-12), 6) as level_db, peak, round(20 * log10(peak / rms), 6) as crest_db from f where n = 50",
     "snr_split": "with f as (select user_id, avg(value * value) filter (where event_type in ('view', 'click')) as s, avg(value * value) filter (where event_type not in ('view', 'click')) as n, avg(case when event_type in ('view', 'click') then 1.0 else 0 end) as share from events group by 1) select user_id, round(least(greatest(10 * log10(s / nullif(n, 0)), -10), 40), 6) as snr_db, case when s / nullif(n, 0) is not null then round(least(0.3 + share, 0.95), 6) end as confidence from f",
     "rolling_median_spikes": "with m as (select event_id, value, median(value) over (partition by event_type order by event_id rows between 5 preceding and 5 following) as med from events) select event_id, round(med, 6) as median from m where value > 4 * med",
-    "moving_avg_peaks": "with s as (select user_id, event_id, round(avg(value) over (partition by user_id order by event_id rows between 5 preceding and current row), 6) as sm from events), l as (select user_id, greatest(avg(sm) * 1.2, max(sm) * 0.35) as lim from s group by 1), f as (select s.*, lim, sm > lim as on_ from s join l using (user_id)), g as (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, on_ order by event_id) as g from f) select user_id, min(event_id) as first, max(event_id) as last, max(sm) as peak, round(sum((sm - lim) * event_id) / sum(sm - lim), 3) as centre from g where on_ group by user_id, g",
+    "overlap_notes": f"with ev as (select *, epoch_us(ts) as us from events), o as (select a.event_id, max(least(a.us + {HOUR}, b.us + {HOUR // 2}) - greatest(a.us, b.us - {HOUR // 2})) as overlap from ev a join ev b on a.user_id = b.user_id and a.event_type = 'purchase' and b.event_type = 'error' and least(a.us + {HOUR}, b.us + {HOUR // 2}) - greatest(a.us, b.us - {HOUR // 2}) > {HOUR // 3} group by 1) select event_id, overlap from ev left join o using (event_id) where event_type = 'purchase'",
+    "gain_spread": "with f as (select user_id, value as g, row_number() over w - 1 as frame, lag(value) over w as b, lead(value) over w as a from events window w as (partition by user_id order by event_id)), s as (select *, unnest(range(8)) as k from f) select user_id, cast(frame * 8 + k as bigint) as sample, round(case when k < 4 then g + (4 - k) / 8.0::double * (coalesce(b, g) - g) else g + (k - 4) / 8.0::double * (coalesce(a, g) - g) end, 6) as gain from s",
+    "speech_levels": "with u as (select user_id, count(*) as n from events group by 1) select user_id, cast(50 as bigint) as frames, cast(34 as bigint) as active from u",
+    "greedy_spacing": f"with recursive x as (select user_id, epoch_us(ts) as us, value, row_number() over (partition by user_id order by value desc, epoch_us(ts) desc) as n from events), r as (select user_id, us, value, n, 1 as k, [us] as chosen from x where n = 1 union all select user_id, us, value, n, k, chosen from (select x.user_id, x.us, x.value, x.n, r.k + 1 as k, list_append(r.chosen, x.us) as chosen, row_number() over (partition by x.user_id order by x.n) as f from r join x on x.user_id = r.user_id and x.n > r.n and r.k < 3 and list_min(list_transform(r.chosen, lambda c: abs(c - x.us))) >= {24 * HOUR}) where f = 1) select user_id, us, value from r",
+    "similarity_path": "with recursive e as (select user_id, event_id, 1.0::double + (event_id % 7 - 3) / 200.0::double as a, (event_id % 5 - 2) / 100.0::double as b, value / 100 as tx, (event_id % 3)::double as ty, row_number() over (partition by user_id order by event_id) as n from events), i as (select user_id, event_id, n, a / (a * a + b * b) as a, -b / (a * a + b * b) as b, -(a * tx + b * ty) / (a * a + b * b) as tx, (b * tx - a * ty) / (a * a + b * b) as ty from e), p as (select user_id, event_id, n, a as pa, b as pb, tx as px, ty as py from i where n = 1 union all select i.user_id, i.event_id, i.n, p.pa * i.a - p.pb * i.b, p.pa * i.b + p.pb * i.a, p.px + p.pa * i.tx - p.pb * i.ty, p.py + p.pb * i.tx + p.pa * i.ty from p join i on i.user_id = p.user_id and i.n = p.n + 1) select event_id, round(pa, 5) + 0.0::double as pa, round(pb, 5) + 0.0::double as pb, round(px, 5) + 0.0::double as px, round(py, 5) + 0.0::double as py from p",
+    "moving_avg_peaks": "with s as (select user_id, event_id, round(sum(value) over (partition by user_id order by event_id rows between 3 preceding and 2 following) / 6, 6) as sm from events), l as (select user_id, greatest(avg(sm) * 1.2, max(sm) * 0.35) as lim from s group by 1), f as (select s.*, lim, sm > lim as on_ from s join l using (user_id)), g as (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, on_ order by event_id) as g from f) select user_id, min(event_id) as first, max(event_id) as last, max(sm) as peak, round(sum((sm - lim) * event_id) / sum(sm - lim), 3) as centre from g where on_ group by user_id, g",
     "decay_fit": "with x as (select user_id, value, cast(row_number() over (partition by user_id order by event_id) as double) as x from events), f as (select user_id, count(*) as n, regr_slope(value, x) as slope, regr_r2(value, x) as r2 from x group by 1) select user_id, n, round(slope, 6) as slope, round(r2, 6) as r2 from f where n >= 5 and slope < 0",
     "composite_score": f"with {_STATS}, p as (select user_id, least(greatest(30 + 3 * (mean / 4), 0), 100) as a, least(greatest(100 * (seen / n), 0), 100) as b, least(greatest(100 - 5 * abs(-mean / 3 + 14), 0), 100) as c, errors / 20.0 as rt, case when user_id % 2 = 0 then 100 - least(50, 8 * abs(dev / 6 - 8)) end as d1, 100 - least(50, 3 * abs(top / 30 - 11)) as d2 from st), q as (select *, least(greatest(60 * (1 - case when rt > 2 then 0.15 else 0.5 end) + (100 - least(70, greatest(0, (least(rt, 2) - 0.25) * 150))) * case when rt > 2 then 0.15 else 0.5 end, 0), 100) as e, least(greatest(case when d1 is null then d2 else (d1 + d2) / 2 end, 0), 100) as f from p), t as (select user_id, round(a, 1) * 0.25 + round(b, 1) * 0.25 + round(c, 1) * 0.2 + round(e, 1) * 0.15 + round(f, 1) * 0.15 as t from q) select user_id, round(t, 4) as score, case when t >= 80 then 'good' when t >= 60 then 'fair' else 'poor' end as verdict from t",
     "noise_class": f"with {_STATS}, b as (select user_id, top > 400 as hum, top > 6 * mean as tonal, n > 4 and dev / 3 / (abs(mean) + 1e-9) < 0.35 as still, seen > 13 as broad, errors > 13 as rumble, 1.0 * seen / n as speech, errors from st) select user_id, case when hum then 'hum' when tonal and still then 'fan' when broad and still and rumble then 'ac' when broad and still then 'hiss' when speech < 0.1 and errors >= 8 then 'keyboard' when not still and broad and rumble then 'traffic' when not still and speech > 0.5 then 'people' when not still and tonal then 'music' when not still then 'non-stationary' when still then 'stationary' else 'unknown' end as kind from b",
