@@ -19,7 +19,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm._common import pinned, slices
@@ -27,7 +27,7 @@ from cadence.llm._common import pinned, slices
 #: Samples of a fingerprint, walks that give them, period of a walk's table, characters that a sample hashes.
 BINS, WALKS, PERIOD, GRAM = 64, 2, 256, 4
 #: Most ranges of ids that a table is dealt into; bounds of them are what reaches the driver.
-PARTS = 4096
+PARTS = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,6 +144,16 @@ def fingerprint_texts(texts: list[str]) -> list[np.ndarray]:
     return [sample(c, list(w)) for c, w in zip(chars, zip(*[walk(chars, which=k) for k in range(WALKS)]))]
 
 
+def above(bounds: list, value: Column) -> Column:
+    """How many of the descending bounds are above a value, by halving."""
+    if not bounds:
+        return F.when(value.isNotNull(), 0)
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    held = F.lit(bounds)
+    take = lambda n, step: F.when((n + step <= len(bounds)) & (F.element_at(held, F.least(n + step, F.lit(len(bounds)))) > value), n + step).otherwise(n)
+    return F.when(value.isNotNull(), F.aggregate(F.lit(steps), F.lit(0), take))
+
+
 def neighbours(docs: DataFrame, id_col: str, text_col: str, bytes_each: int = 24 << 20) -> DataFrame:
     """(part, id, text, lead): ranges of ids, each with the first row of the next range below (lead) after its own rows.
 
@@ -153,22 +163,19 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, bytes_each: int = 24
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(PARTS, max(1, int(size // bytes_each), docs.sparkSession.sparkContext.defaultParallelism))
-    bounds = sorted(set(rows.select(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("q")).first()[0] or []), reverse=True)
-    # part 0 has the largest ids: the number of bounds that are above the id
-    part = F.coalesce(F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<long>"), lambda b: b > F.col("id"))), F.lit(len(bounds) + 1))
-    rows = rows.withColumn("part", part)
+    bounds = sorted(set(rows.select(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], max(10_000, 10 * parts)).alias("q")).first()[0] or []), reverse=True)
+    rows = rows.withColumn("part", F.coalesce(above(bounds, F.col("id")), F.lit(len(bounds) + 1)))
     heads = {r["part"]: r["id"] for r in rows.groupBy("part").agg(F.max("id").alias("id")).collect()}
     order = sorted(heads)
-    if len(order) > 1:
-        above = {order[k]: order[k - 1] for k in range(1, len(order))}
-        table = F.create_map(*[x for p in above for x in (F.lit(p), F.lit(above[p]))])
-        ids = F.create_map(*[x for p in above if heads[p] is not None for x in (F.lit(p), F.lit(heads[p]))]) if any(heads[p] is not None for p in above) else None
-        head = F.col("id").isNull() if ids is None else F.coalesce(F.col("id") == ids[F.col("part")], F.col("id").isNull())
-        lead = F.when(head & table[F.col("part")].isNotNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("lead")), F.struct(table[F.col("part")].alias("part"), F.lit(True).alias("lead"))))
-        spread = F.explode(F.coalesce(lead, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("lead")))))
-        rows = rows.select("id", "text", spread.alias("at")).select("at.part", "id", "text", "at.lead")
-    else:
+    if len(order) < 2:
         rows = rows.select("part", "id", "text", F.lit(False).alias("lead"))
+    else:
+        # a part's first rows go to the part above as well: a row for each part, broadcast
+        firsts = docs.sparkSession.createDataFrame([(p, q, heads[p]) for q, p in zip(order, order[1:])], f"part int, up int, first {rows.schema['id'].dataType.simpleString()}")
+        held = rows.join(F.broadcast(firsts), "part", "left")
+        own, lead = F.struct(F.col("part").alias("part"), F.lit(False).alias("lead")), F.struct(F.col("up").alias("part"), F.lit(True).alias("lead"))
+        at = F.when(F.col("up").isNotNull() & F.col("id").eqNullSafe(F.col("first")), F.array(own, lead)).otherwise(F.array(own))
+        rows = held.select("id", "text", F.explode(at).alias("at")).select("at.part", "id", "text", "at.lead")
     return rows.repartition(len(order) or 1, "part").sortWithinPartitions("part", "lead", F.desc_nulls_last("id"), "text")
 
 
@@ -267,9 +274,9 @@ def bands(prints: np.ndarray, count: int = 24, width: int = 3) -> np.ndarray:
 
 
 def links(docs: DataFrame, least: float = 0.3, most: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, edges): node and id of every row, and (a, b, likeness, distance) between texts that edits separate.
+    """(members, edges): node and id of every row, and (a, b, likeness, distance) between nodes whose texts edits separate.
 
-    Equal texts are one node, whose smallest id names it. Nodes that share a band meet; groups of a common band are
+    Equal texts are one node (60 bits of their digest), whatever their ids: rows without id, and rows of one id with different texts, are all there. Nodes that share a band meet; groups of a common band are
     dealt into tiles and each gives a forest of links of at least ``least`` likeness, never all pairs. Each link is
     then verified on the whole texts: its edit distance is at most ``most`` of the longer text.
     """
@@ -300,14 +307,13 @@ def links(docs: DataFrame, least: float = 0.3, most: float = 0.2, id_col: str =
                         left = np.delete(left, near)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "likeness"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
-    members = pinned(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("id").alias("node")))
-    named = rows.select("id", F.sha2("text", 256).alias("digest")).join(members, "digest").select("node", "id")
-    texts = rows.join(members.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    digest = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", digest)
+    texts = rows.select("node", "text").dropDuplicates(["node"])
     marked = pinned(texts.mapInArrow(prints, "node long, print binary, keys array<long>"))
     tiled = tiles(marked.select("node", F.explode("keys").alias("key")), "node").join(marked.select("node", "print"), "node").select("key", "low", "high", "node", "print")
     met = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(compare, "a long, b long, likeness double").distinct()
-    pairs = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    pairs = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +321,7 @@ def links(docs: DataFrame, least: float = 0.3, most: float = 0.2, id_col: str =
             keep = [d <= int(most * max(len(x), len(y))) for d, x, y in zip(size, batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64())], ["a", "b", "likeness", "distance"]).filter(pa.array(keep, pa.bool_()))
 
-    return named, pairs.select("a", "b", "likeness", "x", "y").mapInArrow(verify, "a long, b long, likeness double, distance long")
+    return rows.select("node", "id"), pairs.select("a", "b", "likeness", "x", "y").mapInArrow(verify, "a long, b long, likeness double, distance long")
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
