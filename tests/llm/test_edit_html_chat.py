@@ -101,17 +101,26 @@ def test_links_are_edits(spark):
             rows.append((len(rows), "".join(own)))
             group[len(rows) - 1] = g
     rows += [(100, rows[0][1]), (101, None), (None, "x")]
+    rows.append((None, rows[1][1] + "z"))  # a second row without id, near a text that has one
+    rows.append((0, "another text of the same id"))
     members, edges = edit_embedding.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert {r["id"]: r["node"] for r in members.collect()}[100] == 0 and members.count() == len(rows) - 1
-    text = dict(rows)
+    node: dict = {}
+    for r in members.collect():
+        node.setdefault(r["id"], []).append(r["node"])
+    assert members.count() == len(rows) and node[100][0] in node[0] and len(node[0]) == len(node[None]) == 2
+    linked = [(r["a"], r["b"]) for r in edges.collect()]
+    assert any({x, y} == {n, node[1][0]} for x, y in linked for n in node[None])
+    names = {r["node"]: i for i, r in ((r["id"], r) for r in members.filter("id < 90").collect()) if r["node"] != next(n for n in node[0] if n != node[100][0])}
     from tests.llm.test_duplicates import classes
 
     got = edges.collect()
-    found = classes(len(group), [(r["a"], r["b"]) for r in got])
+    got = [r for r in got if r["a"] in names and r["b"] in names]
+    found = classes(len(group), [(names[r["a"]], names[r["b"]]) for r in got])
     # no link between groups; walks that don't catch up in time cost a few links within them
     assert [group[i] for i in range(len(group))] == [group[c] for c in found] and len(set(found)) <= len(set(group.values())) + 2
     for r in got[:10]:
-        assert r["distance"] == edit_embedding.edit_distance(text[r["a"]], text[r["b"]], 600) and r["likeness"] >= 0.3
+        x, y = (rows[names[r[k]]][1] for k in "ab")
+        assert r["distance"] == edit_embedding.edit_distance(x, y, 600) and r["likeness"] >= 0.3
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><p>Welcome to the site, dear reader.</p></header>
@@ -201,10 +210,18 @@ def brute_rotation(rows: list[tuple], most: int) -> set:
     out = set()
     for conv in {r[0] for r in rows}:
         own = [(t, s or "unknown", (x or "").replace("<|", "< |")) for c, t, s, x in rows if c == conv]
+        buckets = -(-sum(t is None for t, _, _ in own) // most)
+
+        def part_of(r):
+            return r[0] // most if r[0] is not None else -1 - int(hashlib.md5(f"{r[1]}\n{r[2]}".encode()).hexdigest()[:8], 16) % buckets  # noqa: B023
+
+        first = min(((t, x) for t, s, x in own if s == "system" and t is not None), default=None)
         for who in {s for _, s, _ in own if s != "system"}:
-            for part in {-1 if t is None else t // most for t, _, _ in own}:
+            for part in {part_of(r) for r in own}:
                 text, mask, n = "", [], 0
-                for _, s, x in sorted((r for r in own if (-1 if r[0] is None else r[0] // most) == part), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+                if first and first[0] // most != part:
+                    text = f"<|im_start|>system\n{first[1]}<|im_end|>\n"
+                for _, s, x in sorted((r for r in own if part_of(r) == part), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
                     text += "<|im_start|>" + ("assistant" if s == who else "system" if s == "system" else f"user name={s}") + "\n"
                     a = len(text)
                     text += x + "<|im_end|>\n"
@@ -216,7 +233,7 @@ def brute_rotation(rows: list[tuple], most: int) -> set:
 
 
 def test_rotation(spark):
-    rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hé 🙂"), (1, 2, "ann", None), (1, 3, "bob", ""), (1, 3, "bob", ""), (2, 0, None, "who?"), (None, 5, "eve", "alone"), (1, None, "ann", "when"), (3, 0, "system", "only")]
+    rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hé 🙂"), (1, 2, "ann", None), (1, 3, "bob", ""), (1, 3, "bob", ""), (2, 0, None, "who?"), (None, 5, "eve", "alone"), (1, None, "ann", "when"), (3, 0, "system", "only")] + [(4, None, "ann", f"n{k}") for k in range(7)] + [(4, 9, "system", "late"), (4, 9, "system", "later")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, part string")
     for most in (256, 2):
         got = {tuple(r) for r in chat.rotate(df, most).collect()}
