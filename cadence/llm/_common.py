@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that one slice of an Arrow batch holds at most (a single longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
-
+from cadence.pinning import pinned, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what spark.checkpoint.dir names, else (tests) a local one set here."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="cadence-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+__all__ = ["fold", "pinned", "shared_dir", "slices", "staged", "texts_of", "tokenizer_path", "trim"]
 
-
-def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Text bytes that one slice of an Arrow batch holds at most (a single longer text is a slice of its own).
+SLICE_BYTES = 4 << 20
 
 
 def staged(df: DataFrame) -> DataFrame:
