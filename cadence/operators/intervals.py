@@ -82,18 +82,36 @@ def quantize(spans: DataFrame, keys: list[str], fps: float) -> DataFrame:
 
 
 def inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Points that lie in a span, with ``packed``: their place on the timeline that only has the spans (disjoint)."""
+    """Points that lie in a span, with ``packed``: their place on the timeline that only has the spans (disjoint).
+
+    Points and spans are sorted into one line of each key, where a point sees the last span that began: no point meets every span.
+    """
     order = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = spans.select(*keys, "start", "end", (F.coalesce(F.sum(F.col("end") - F.col("start")).over(order), F.lit(0)) - F.col("start")).alias("__shift"))
-    held = points.join(shifted, keys).filter((F.col(at) >= F.col("start")) & (F.col(at) < F.col("end")))
-    return held.withColumn("packed", F.col(at) + F.col("__shift")).drop("start", "end", "__shift")
+    shift = F.coalesce(F.sum(F.col("end") - F.col("start")).over(order), F.lit(0)) - F.col("start")
+    point = F.struct(*[F.col(c) for c in points.columns])
+    kind = points.select(point.alias("p")).schema["p"].dataType
+    line = spans.select(*keys, F.col("start").alias("__t"), F.struct("end", shift.alias("shift")).alias("__span"), F.lit(None).cast(kind).alias("__point"))
+    line = line.unionByName(points.select(*keys, F.col(at).alias("__t"), F.lit(None).cast(line.schema["__span"].dataType).alias("__span"), point.alias("__point")))
+    before = Window.partitionBy(*keys).orderBy("__t", F.col("__point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("__span", F.last("__span", True).over(before)).filter(F.col("__point").isNotNull() & (F.col("__t") < F.col("__span.end")))
+    return met.select("__point.*", (F.col("__t") + F.col("__span.shift")).alias("packed"))
 
 
 def reject_overlaps(spans: DataFrame, busy: DataFrame, keys: list[str], most: float) -> DataFrame:
-    """Spans that overlap no busy span of their key by more than most."""
-    other = busy.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start").alias("__s"), F.col("end").alias("__e"))
-    same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    return spans.join(other, [*same, F.least("end", "__e") - F.greatest("start", "__s") > most], "left_anti")
+    """Spans that overlap no busy span of their key by more than most.
+
+    A span does if, of the busy spans (longer than most) that begin before its end less most, one ends after its start and most: a running
+    maximum over one sorted line of each key.
+    """
+    row = F.struct(*[F.col(c) for c in spans.columns])
+    kind = spans.select(row.alias("r")).schema["r"].dataType
+    line = busy.filter(F.col("end") - F.col("start") > most).select(*keys, F.col("start").cast("double").alias("__t"), F.col("end").alias("__e"), F.lit(None).cast(kind).alias("__row"))
+    line = line.unionByName(spans.select(*keys, (F.col("end") - most).cast("double").alias("__t"), F.lit(None).cast(line.schema["__e"].dataType).alias("__e"), row.alias("__row")))
+    # of equal times the span comes first: a busy span that begins just there does not overlap by more
+    before = Window.partitionBy(*keys).orderBy("__t", F.col("__row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("__e", F.max("__e").over(before)).filter(F.col("__row").isNotNull())
+    hit = (F.col("__e") > F.col("__row.start") + most) & (F.col("__row.end") - F.col("__row.start") > most)
+    return met.filter(~F.coalesce(hit, F.lit(False))).select("__row.*")
 
 
 def overlap_notes(spans: DataFrame, busy: DataFrame, keys: list[str], most: float) -> DataFrame:

@@ -15,15 +15,23 @@ MOST = 10_000
 def interpolate(points: DataFrame, keyframes: DataFrame, progress: str, columns: list[str] = POSE) -> DataFrame:
     """Linear interpolation of keyframe columns at each point's progress, clamped to 0..1.
 
-    Keyframes (column ``progress``; more than MOST fail, so what is broadcast is bounded) become segments by ``lead``;
-    a point meets its one segment.
+    Keyframes (column ``progress``; more than MOST fail) are held in order as arrays, where a point finds its segment by halving:
+    the work of a point grows with the logarithm of the track. Points before the first or after the last keyframe give no row.
     """
-    if keyframes.limit(MOST + 1).count() > MOST:
+    held = keyframes.select("progress", *columns).orderBy("progress").limit(MOST + 1).collect()
+    if len(held) > MOST:
         raise ValueError(f"a track has at most {MOST} keyframes")
-    order = Window.orderBy("progress")
-    track = keyframes.select(F.col("progress").alias("__a"), F.lead("progress").over(order).alias("__b"), *[F.col(c).alias(f"__{c}0") for c in columns], *[F.lead(c).over(order).alias(f"__{c}1") for c in columns]).filter("__b is not null")
-    held = points.withColumn("__p", F.least(F.greatest(F.col(progress), F.lit(0.0)), F.lit(1.0)))
-    met = held.join(F.broadcast(track), ((F.col("__p") > F.col("__a")) | (F.col("__p") <= 0) & (F.col("__a") <= 0)) & (F.col("__p") <= F.col("__b")))
+    starts = [float(r["progress"]) for r in held]
+    p = F.least(F.greatest(F.col(progress), F.lit(0.0)), F.lit(1.0))
+    steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+    at = lambda values, n: F.element_at(F.lit(values), F.greatest(F.least(n, F.lit(len(starts))), F.lit(1)))
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda n, step: F.when((n + step <= len(starts)) & (at(starts, n + step) < F.col("__p")), n + step).otherwise(n))
+    met = points.withColumn("__p", p).withColumn("__k", below if len(starts) > 1 else F.lit(0))
+    met = met.withColumn("__k", F.when((F.col("__p") <= 0) & F.lit(bool(starts) and starts[0] <= 0), F.greatest("__k", F.lit(1))).otherwise(F.col("__k"))).filter((F.col("__k") >= 1) & (F.col("__k") < len(starts)))
+    parts = {"__a": starts} | {f"__{c}": [float(r[c]) for r in held] for c in columns}
+    for name, values in parts.items():
+        first, second = (name, "__b") if name == "__a" else (f"{name}0", f"{name}1")
+        met = met.withColumns({first: at(values, F.col("__k")), second: at(values, F.col("__k") + 1)}) if len(starts) > 1 else met.withColumns({first: F.lit(None).cast("double"), second: F.lit(None).cast("double")})
     share = (F.col("__p") - F.col("__a")) / (F.col("__b") - F.col("__a"))
     return met.select(*points.columns, *[(F.col(f"__{c}0") + (F.col(f"__{c}1") - F.col(f"__{c}0")) * share).alias(c) for c in columns])
 
@@ -83,16 +91,18 @@ def residual(rows: DataFrame, keys: list[str], at: str, value: str, scale: float
 def smooth(rows: DataFrame, keys: list[str], place: str, value: str, sigma: float) -> DataFrame:
     """Gaussian smoothing over dense places (0, 1, 2 ... of a key), cut at four sigma, ends repeated.
 
-    Each row goes to the places within reach with its weight; what reaches beyond an end counts there.
+    Neighbours come by lag and lead of one window: the rows are shuffled and sorted once.
     """
     reach = int(4 * sigma + 0.5)
     weights = [2.718281828459045 ** (-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     total = sum(weights)
-    taps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-reach, reach + 1), weights)]))
-    last = rows.groupBy(*keys).agg(F.max(place).alias("__last"))
-    asked = rows.select(*keys, F.col(place).alias("__to")).join(last, keys).select(*keys, "__to", "__last", taps.alias("t"))
-    asked = asked.select(*keys, "__to", F.least(F.greatest(F.col("__to") + F.col("t.k"), F.lit(0)), F.col("__last")).alias(place), F.col("t.w").alias("__w"))
-    return asked.join(rows.select(*keys, place, value), [*keys, place]).groupBy(*keys, F.col("__to").alias(place)).agg(F.sum(F.col("__w") * F.col(value)).alias("smooth"))
+    order = Window.partitionBy(*keys).orderBy(place)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = {f"__{k + reach}": F.lead(value, k).over(order) if k > 0 else F.lag(value, -k).over(order) if k < 0 else F.col(value) for k in range(-reach, reach + 1)}
+    held = rows.select(*keys, place, value, F.first(value).over(whole).alias("__first"), F.last(value).over(whole).alias("__end"), F.max(place).over(whole).alias("__last")).withColumns(near)
+    taken = lambda k: F.when(F.col(place) + k < 0, F.col("__first")).when(F.col(place) + k > F.col("__last"), F.col("__end")).otherwise(F.col(f"__{k + reach}"))
+    smoothed = sum((taken(k) * F.lit(w / total) for k, w in zip(range(-reach, reach + 1), weights)), F.lit(0.0))
+    return held.select(*keys, place, smoothed.alias("smooth"))
 
 
 def zip_places(left: DataFrame, right: DataFrame, keys: list[str], order_left: str, order_right: str) -> DataFrame:
