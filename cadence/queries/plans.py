@@ -10,7 +10,6 @@ from cadence.operators import frames as R
 from cadence.operators import intervals as I  # noqa: E741
 from cadence.operators import messages as Q
 from cadence.operators import metrics as M
-from cadence.operators import trajectory as T
 from cadence.operators import voice as V
 from cadence.plans import options as O  # noqa: E741
 from cadence.plans import rules as P
@@ -169,11 +168,6 @@ def prefix_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.resolve_prefix(asked, nations, "prefix", "n_name").select("prefix", "matches", "n_name")
 
 
-def levitation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", r6(T.lift(F.col("event_id") % 100 / 10.0, 2.0, 30.0, 1.5, 4.0)).alias("y"), r6(T.centred_zoom(F.col("value"), 400.0, 1.6)).alias("zoom"))
-
-
 def frame_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("cell"))
     return O.waypoints(cells, None, ["region"], 2.0, 0.5).select("region", "cell", "at")
@@ -185,7 +179,7 @@ def rounded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", r6(V.count_confidence(F.col("n") % 20)).alias("confidence"), r6(R.clip(F.col("v") * 2 - 30, 0.0, 50.0)).alias("share"), S.is_percent(F.lit("5 %")).alias("percent"))
 
 
-QUERIES = {f.__name__: f for f in (report_questions, report_input, report_outcome, speech_gate, plosive_onsets, breath_runs, stationary_noise, self_apart, inspection_advice, brief_specs, rule_plans, plan_differences, effect_options, segments_kept, result_quality, size_choice, cache_answers, header_render, message_files, draft_errors, prefix_objects, levitation, frame_waypoints, rounded_rates)}
+QUERIES = {f.__name__: f for f in (report_questions, report_input, report_outcome, speech_gate, plosive_onsets, breath_runs, stationary_noise, self_apart, inspection_advice, brief_specs, rule_plans, plan_differences, effect_options, segments_kept, result_quality, size_choice, cache_answers, header_render, message_files, draft_errors, prefix_objects, frame_waypoints, rounded_rates)}
 
 _FRAMES = "fr as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as frame, value, event_id, value > 12 as active, event_id % 37 - 40.0::double as sub_db, event_id % 29 - 40.0::double as mid_db from events)"
 ORACLES = {
