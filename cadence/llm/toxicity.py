@@ -13,6 +13,7 @@ document's gains, with the window threshold chosen on texts the dictionaries hav
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -108,11 +109,21 @@ def telling(base: bytes, dictionary: bytes, counter: bytes, toxic: list[bytes],
     drawn = [evenly(x, most) for x in hit]
     scale = [len(x) / max(1, len(y)) for x, y in zip(hit, drawn)]
     plain = [sizes(base, x) for x in drawn]
+    # a part saves nothing where none of its fives stands: the library finds no shorter match
+    places: list[dict[bytes, set[int]]] = [defaultdict(set), defaultdict(set)]
+    for own, x in zip(places, drawn):
+        for i, w in enumerate(x):
+            for k in range(len(w) - len(PAD) - 4):
+                own[w[k : k + 5]].add(i)
     found = {}
     for part in dict.fromkeys(dictionary.split(b" ")[1:-1]):
         if not 3 <= len(part) <= 40:
             continue
-        x, y = (m * int((p - sizes(base + b" " + part + b" ", w) >= s.saved).sum()) for m, p, w in zip(scale, plain, drawn))
+        spelt, counts = b" " + part + b" ", []
+        for own, x, p, m in zip(places, drawn, plain, scale):
+            met = sorted(set().union(*(own.get(spelt[k : k + 5], ()) for k in range(len(spelt) - 4))))
+            counts.append(m * int((p[met] - sizes(base + spelt, [x[i] for i in met]) >= s.saved).sum()) if met else 0.0)
+        x, y = counts
         # the share of toxic windows is taken low, by as much as chance may have raised it
         if x >= 4 and np.log((x - 1.64 * x**0.5 + 0.5) / len(toxic)) - np.log((y + 0.5) / len(ordinary)) >= s.odds:
             found[part] = int(x)
