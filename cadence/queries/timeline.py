@@ -79,7 +79,7 @@ def overlap_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     own = e.filter("event_type = 'purchase'").select("user_id", "event_id", F.col("us").alias("start"), (F.col("us") + HOUR).alias("end"))
     busy = e.filter("event_type = 'error'").select("user_id", (F.col("us") - HOUR // 2).alias("start"), (F.col("us") + HOUR // 2).alias("end"))
-    return I.overlap_notes(own, busy, ["user_id"], HOUR // 3).select("event_id", "overlap")
+    return I.overlap_notes(own, busy, ["user_id"], HOUR // 3).select("event_id", F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
 
 
 def gain_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +304,7 @@ ORACLES = {
     "frame_rms": "with f as (select event_id // 50 as frame, count(*) as n, sqrt(avg(value * value)) as rms, max(abs(value)) as peak from events group by 1) select frame, round(20 * log10(rms + 1e-12), 6) as level_db, peak, round(20 * log10(peak / rms), 6) as crest_db from f where n = 50",
     "snr_split": "with f as (select user_id, avg(value * value) filter (where event_type in ('view', 'click')) as s, avg(value * value) filter (where event_type not in ('view', 'click')) as n, avg(case when event_type in ('view', 'click') then 1.0 else 0 end) as share from events group by 1) select user_id, round(least(greatest(10 * log10(s / nullif(n, 0)), -10), 40), 6) as snr_db, case when s / nullif(n, 0) is not null then round(least(0.3 + share, 0.95), 6) end as confidence from f",
     "rolling_median_spikes": "with m as (select event_id, value, median(value) over (partition by event_type order by event_id rows between 5 preceding and 5 following) as med from events) select event_id, round(med, 6) as median from m where value > 4 * med",
-    "overlap_notes": f"with ev as (select *, epoch_us(ts) as us from events), o as (select a.event_id, max(least(a.us + {HOUR}, b.us + {HOUR // 2}) - greatest(a.us, b.us - {HOUR // 2})) as overlap from ev a join ev b on a.user_id = b.user_id and a.event_type = 'purchase' and b.event_type = 'error' and least(a.us + {HOUR}, b.us + {HOUR // 2}) - greatest(a.us, b.us - {HOUR // 2}) > {HOUR // 3} group by 1) select event_id, overlap from ev left join o using (event_id) where event_type = 'purchase'",
+    "overlap_notes": f"with ev as (select *, epoch_us(ts) as us from events), o as (select a.event_id, max(least(a.us + {HOUR}, b.us + {HOUR // 2}) - greatest(a.us, b.us - {HOUR // 2})) as overlap from ev a join ev b on a.user_id = b.user_id and a.event_type = 'purchase' and b.event_type = 'error' and least(a.us + {HOUR}, b.us + {HOUR // 2}) - greatest(a.us, b.us - {HOUR // 2}) > {HOUR // 3} group by 1) select event_id, cast(coalesce(overlap, 0) as bigint) as overlap from ev left join o using (event_id) where event_type = 'purchase'",
     "gain_spread": "with f as (select user_id, value as g, row_number() over w - 1 as frame, lag(value) over w as b, lead(value) over w as a from events window w as (partition by user_id order by event_id)), s as (select *, unnest(range(8)) as k from f) select user_id, cast(frame * 8 + k as bigint) as sample, round(case when k < 4 then g + (4 - k) / 8.0::double * (coalesce(b, g) - g) else g + (k - 4) / 8.0::double * (coalesce(a, g) - g) end, 6) as gain from s",
     "speech_levels": "with u as (select user_id, count(*) as n from events group by 1) select user_id, cast(50 as bigint) as frames, cast(34 as bigint) as active from u",
     "greedy_spacing": f"with recursive x as (select user_id, epoch_us(ts) as us, value, row_number() over (partition by user_id order by value desc, epoch_us(ts) desc) as n from events), r as (select user_id, us, value, n, 1 as k, [us] as chosen from x where n = 1 union all select user_id, us, value, n, k, chosen from (select x.user_id, x.us, x.value, x.n, r.k + 1 as k, list_append(r.chosen, x.us) as chosen, row_number() over (partition by x.user_id order by x.n) as f from r join x on x.user_id = r.user_id and x.n > r.n and r.k < 3 and list_min(list_transform(r.chosen, lambda c: abs(c - x.us))) >= {24 * HOUR}) where f = 1) select user_id, us, value from r",
