@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, decontamination, edit_embedding, html_text, language_id, lm, sentencepieces, simhash, token_counts, toxicity
+from cadence.llm import chat, decontamination, edit_embedding, html_text, language_id, lm, merkle, periodic, sentencepieces, simhash, superminhash, token_counts, toxicity
 from cadence.llm._common import fold
 from cadence.session import table
 
@@ -56,6 +56,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_edit_fingerprints, op4_html_text, op5_token_counts, op6_chat_rotation, op7_decontamination, op8_sentencepiece, op9_toxicity, op10_language_id)}
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op6_chat_rotation": chat.ORACLE}
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.runs(periodic.with_refrain(table(spark, sf_dir, "documents"))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.tampered(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_edit_fingerprints, op4_html_text, op5_token_counts, op6_chat_rotation, op7_decontamination, op8_sentencepiece, op9_toxicity, op10_language_id, op11_superminhash, op12_periodic_runs, op13_merkle_manifest)}
+
+ORACLES: dict[str, str] = {"op6_chat_rotation": chat.ORACLE, "op11_superminhash": superminhash.ORACLE, "op13_merkle_manifest": merkle.oracle()}
