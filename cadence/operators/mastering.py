@@ -37,11 +37,14 @@ def admit(clips: DataFrame, rate: str = "rate") -> DataFrame:
     return held.withColumn("samples", F.when(F.col(rate) == RATE, F.col("samples")).otherwise(fn("samples", rate))).withColumn(rate, F.lit(RATE))
 
 
-def vocal_eq(x: np.ndarray, rate: int = RATE, mud: float = 0.0, boxiness: float = 0.0, presence: float = 0.0, air: float = 0.0) -> np.ndarray:
+def eq_sections(rate: int = RATE, mud: float = 0.0, boxiness: float = 0.0, presence: float = 0.0, air: float = 0.0) -> list[tuple]:
     """Bells at 180, 450 and 3200 Hz and a shelf at 9 kHz, each held to four decibels; those of zero are left out."""
     sections = [K.peaking(f, rate, q, float(np.clip(g, -4, 4))) for f, q, g in ((180.0, 0.9, mud), (450.0, 1.0, boxiness), (3200.0, 0.8, presence)) if g]
-    if air:
-        sections.append(K.highshelf(9000.0, rate, float(np.clip(air, -4, 4))))
+    return [*sections, *([K.highshelf(9000.0, rate, float(np.clip(air, -4, 4)))] if air else [])]
+
+
+def vocal_eq(x: np.ndarray, rate: int = RATE, mud: float = 0.0, boxiness: float = 0.0, presence: float = 0.0, air: float = 0.0) -> np.ndarray:
+    sections = eq_sections(rate, mud, boxiness, presence, air)
     return K.apply_filter(x, *sections) if sections else np.asarray(x, float)
 
 
@@ -69,19 +72,23 @@ def spread_gains(frames: DataFrame, keys: list[str], frame: str, gain: str, size
     return held.select(*keys, (F.col(frame) * size + F.col("__k")).cast("long").alias("sample"), value.alias("gain"))
 
 
+def sharpness_gains(x: np.ndarray, rate: int = RATE, threshold: float = -8.0, most: float = 6.0) -> np.ndarray:
+    """Gains of the whole frames of 10 ms: the share of 4 to 10 kHz in 0.1 to 10 kHz above the threshold, at most ``most``, is taken off."""
+    size = rate // 100
+    frames = x[: len(x) // size * size].reshape(-1, size)
+    power, f = np.abs(np.fft.rfft(frames, axis=1)) ** 2, np.fft.rfftfreq(size, 1 / rate)
+    sharp, whole = (power[:, (f >= low) & (f < 10_000)].sum(1) + 1e-12 for low in (4000, 100))
+    loud = 20 * np.log10(np.sqrt((frames**2).mean(1)) + 1e-12) > -50
+    return 10 ** (-np.where(loud, np.clip(10 * np.log10(sharp / whole) - threshold, 0, most), 0.0) / 20)
+
+
 def deess(x: np.ndarray, rate: int = RATE, threshold: float = -8.0, most: float = 6.0, attack: float = 0.001, release: float = 0.075) -> np.ndarray:
     """Frames of 10 ms whose share of 4 to 10 kHz in 0.1 to 10 kHz is above the threshold are turned down by the excess, at most by ``most``."""
     x, size = np.asarray(x, float), rate // 100
-    n = len(x) // size
-    if len(x) < 256 or not n:
+    if len(x) < max(256, size):
         return x
-    frames = x[: n * size].reshape(n, size)
-    power, f = np.abs(np.fft.rfft(frames, axis=1)) ** 2, np.fft.rfftfreq(size, 1 / rate)
-    sharp, whole = (power[:, (f >= low) & (f < 10_000)].sum(1) + 1e-12 for low in (4000, 100))
-    loud = 20 * np.log10(np.sqrt((frames**2).mean(1)) + 1e-12) > -50
-    cut = np.where(loud, np.clip(10 * np.log10(sharp / whole) - threshold, 0, most), 0.0)
     step = size / rate
-    gains = follow(10 ** (-cut / 20), 1 - np.exp(-step / attack) if attack > 0 else 1.0, 1 - np.exp(-step / release))
+    gains = follow(sharpness_gains(x, rate, threshold, most), 1 - np.exp(-step / attack) if attack > 0 else 1.0, 1 - np.exp(-step / release))
     return x * spread(gains, size, len(x))
 
 
