@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators import ranges
+
 
 def decibels(rms: Column) -> Column:
     return 20 * F.log10(rms + F.lit(1e-12))
@@ -39,14 +41,12 @@ def ratio_split(rows: DataFrame, keys: list[str], value: str, flag: Column) -> D
 
 def rolling_median(rows: DataFrame, keys: list[str], at: str, value: str, half: int) -> DataFrame:
     """Centred median of up to 2 * half + 1 rows (fewer at the ends)."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-half, half)
-    return rows.withColumn("median", F.percentile(value, 0.5).over(w))
+    return ranges.windowed(rows, keys, [at], half, half, median=lambda around: F.percentile(value, 0.5).over(around))
 
 
 def moving_average(rows: DataFrame, keys: list[str], at: str, value: str, taps: int) -> DataFrame:
     """Centred sum of ``taps`` rows over taps: taps // 2 before the row, the others from it on; beyond the ends stand zeros."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-(taps // 2), (taps - 1) // 2)
-    return rows.withColumn("smooth", F.sum(value).over(w) / taps)
+    return ranges.windowed(rows, keys, [at], taps // 2, (taps - 1) // 2, smooth=lambda around: F.sum(value).over(around) / taps)
 
 
 def emphasis(rows: DataFrame, keys: list[str], at: str, level: str, factor: float = 1.2, share: float = 0.35) -> DataFrame:

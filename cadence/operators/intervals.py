@@ -11,21 +11,19 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators import ranges
 from cadence.pinning import pinned
 
 
 def runs(rows: DataFrame, keys: list[str], at: str, flag: Column) -> DataFrame:
     """Stretches of consecutive rows for which flag holds: keys, first, last (both inclusive) and length."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    held = rows.withColumn("__f", F.coalesce(flag, F.lit(False)))
-    held = held.withColumn("__g", F.row_number().over(order) - F.row_number().over(Window.partitionBy(*keys, "__f").orderBy(at)))
-    return held.filter("__f").groupBy(*keys, "__g").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("length")).drop("__g")
+    held = ranges.placed(rows.select(*keys, at, F.coalesce(flag, F.lit(False)).alias("__f")), keys, [at])
+    return ranges.islands(held.filter("__f").drop("__f"), keys, at)
 
 
 def consecutive(rows: DataFrame, keys: list[str], at: str, step: int = 1) -> DataFrame:
     """Stretches of values of ``at`` that follow each other by step: keys, first, last and length."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    held = rows.select(*keys, at).distinct().withColumn("__g", F.col(at) - F.row_number().over(order) * step)
+    held = ranges.placed(rows.select(*keys, at).distinct(), keys, [at]).withColumn("__g", F.col(at) - F.col("place") * step)
     return held.groupBy(*keys, "__g").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("length")).drop("__g")
 
 

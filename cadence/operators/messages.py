@@ -94,7 +94,7 @@ def latency(completed: DataFrame, by: list[str], days: str = "days") -> DataFram
 
 
 def sequence(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Six-digit numbers in arrival order, without sorting all rows in one task: ranges of the order are numbered apart and shifted by those before."""
+    """Numbers in arrival order, without sorting all rows in one task: ranges of the order are numbered apart and shifted by those before."""
     sorted_ = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     held = pinned(sorted_).withColumns({"__p": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = held.groupBy("__p").agg(F.count("*").alias("__n"))

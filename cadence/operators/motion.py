@@ -141,9 +141,14 @@ def escape_path(path: Column) -> Column:
 
 
 def archived(messages: DataFrame, taken: DataFrame, name: str = "name") -> DataFrame:
-    """Names for an archive: one that is taken gets a number that is not, in order of arrival (column ``at``)."""
-    again = F.row_number().over(Window.partitionBy(name).orderBy("at"))
-    have = taken.groupBy(name).agg(F.count("*").alias("__have"))
-    number = again - 1 + F.coalesce("__have", F.lit(0))
-    held = messages.join(have, name, "left").withColumn("__k", number)
-    return held.withColumn("archived", F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("."), F.col("__k").cast("string")))).drop("__have", "__k")
+    """Names for an archive, in order of arrival (column ``at``): a name that is not taken yet stays, the others get a number above all that
+    their name has, among the taken as among the arriving, and above how often it is taken: no two results are the same, and none is taken."""
+    numbered = F.regexp_extract(name, "^(.*)[.]([0-9]{1,18})$", 1), F.regexp_extract(name, "^(.*)[.]([0-9]{1,18})$", 2).try_cast("long")
+    every = taken.select(name).unionByName(messages.select(name)).select(numbered[0].alias("__n"), numbered[1].alias("__k"))
+    most = every.filter("__k is not null").groupBy("__n").agg(F.max("__k").alias("__most"))
+    have = taken.groupBy(F.col(name).alias("__t")).agg(F.count("*").alias("__have"))
+    held = messages.join(have, F.col(name) == F.col("__t"), "left").join(most, F.col(name) == F.col("__n"), "left")
+    place = F.row_number().over(Window.partitionBy(name).orderBy("at")) - F.when(F.col("__t").isNull(), 1).otherwise(0)
+    held = held.withColumn("__p", place)
+    number = (F.greatest(F.coalesce("__most", F.lit(0)), F.coalesce(F.col("__have") - 1, F.lit(0))) + F.col("__p")).cast("string")
+    return held.select(*messages.columns, F.when(F.col("__p") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("."), number)).alias("archived"))

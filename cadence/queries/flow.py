@@ -180,7 +180,7 @@ def queue_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.sequence(_orders(spark, sf_dir).select("id", "created"), ["created", "id"]).select("id", F.lpad(F.col("sequence").cast("string"), 6, "0").alias("number"))
+    return Q.sequence(_orders(spark, sf_dir).select("id", "created"), ["created", "id"]).select("id", F.format_string("%06d", F.col("sequence")).alias("number"))
 
 
 def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +331,7 @@ select id, round(a, 6) as start_s, round(z, 6) as end_s, beat from b where z > a
     "queue_next": f"with {_MSG} select role, id, priority from ord qualify row_number() over (partition by role order by priority, created, id) = 1",
     "queue_batch": f"with {_MSG} select role, id from ord qualify priority = min(priority) over (partition by role)",
     "queue_latency": "with d as (select l_orderkey, max(l_shipdate) as done from lineitem group by 1), x as (select o_orderpriority, date_diff('day', o_orderdate, done) as days from orders join d on o_orderkey = l_orderkey) select o_orderpriority, count(*) as n, min(days) as least, max(days) as most, cast(sum(days) as bigint) as total from x group by 1",
-    "queue_sequence": "select o_orderkey as id, lpad(cast(row_number() over (order by o_orderdate, o_orderkey) as varchar), 6, '0') as number from orders",
+    "queue_sequence": "select o_orderkey as id, printf('%06d', row_number() over (order by o_orderdate, o_orderkey)) as number from orders",
     "header_parse": f"with {_MSG} select id, '0' || priority as priority, 3 as headers, 'body ' || id as body from ord",
     "cosine_pairs": "select a.vec_id as a, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "vote_preference": "select * from (values ('AB', 'A', 1::bigint, 0.333333::double), ('AB', 'B', 1, 0.333333), ('AB', 'tie', 1, 0.333333), ('CD', 'D', 1, 0.5), ('CD', 'C', 1, 0.5)) t(pair, won, n, share)",

@@ -61,7 +61,8 @@ def role_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").alias("at"))
-    return M.archived(o.filter("at % 4 > 0"), o.filter("at % 4 = 0")).select("at", "archived")
+    taken = o.filter("at % 4 = 0").withColumn("name", F.when(F.col("at") % 8 == 0, F.concat("name", F.lit("."), (F.col("at") % 3 + 1).cast("string"))).otherwise(F.col("name")))
+    return M.archived(o.filter("at % 4 > 0"), taken).select("at", "archived")
 
 
 QUERIES = {f.__name__: f for f in (move_grammar, keyframe_checks, levitation, zoom_pulses, moments_kept, lens_geometry, path_corrections, role_names, archive_names)}
@@ -75,5 +76,5 @@ ORACLES = {
     "lens_geometry": "with x as (select p_partkey, greatest(cast(round_even(p_size / 100.0::double * 720, 0) as int), 4) as r, 1.25::double + (p_partkey % 8) / 4.0::double as z, (p_partkey % 5) / 10.0::double as f from part), y as (select *, greatest(cast(floor(2 * r + 2 * f * r + 4) as int) // 2 * 2, 2 * r) as w, greatest(cast(floor(2.0::double * r / z) as int) // 2 * 2, 4) as c from x) select p_partkey, r as radius, w as win, c as crop, round(2.0::double * r / c, 6) as zoom_eff, round(f * r, 6) as feather_px, round(greatest(1.0::double, 0.05::double * r), 6) as ring_px, w < 720 as fits from y",
     "path_corrections": "with e as (select user_id, event_id, (event_id % 5 - 2) / 100.0::double as b, value / 10 - 5 as x, (event_id % 9)::double - 4 as y from events), f as (select *, greatest(abs(320 - b * 180 + x - 320), abs(b * 320 + 180 + y - 180)) as far from e), z as (select user_id, max(far) as far from f group by 1) select event_id, 1.0::double as ca, round(b, 6) + 0.0::double as cb, round(x, 6) + 0.0::double as cx, round(y, 6) + 0.0::double as cy, round(least(greatest(360 / greatest(360 - 2 * z.far, 1e-6), 1), 1.3::double), 6) as zoom from f join z using (user_id)",
     "role_names": "with x as (select p_partkey, lower(p_type) as t from part) select p_partkey, upper(substr(t, 1, 1)) || substr(t, 2) || ' Size Lead' as shown, 'run-' || t || '_size-lead' as session, '''C\\:/' || t || '_size-lead\\''s''' as path from x",
-    "archive_names": "with o as (select o_custkey::varchar as name, o_orderkey as stored from orders), h as (select name, count(*) as have from o where stored % 4 = 0 group by 1), k as (select o.name, stored, row_number() over (partition by o.name order by stored) - 1 + coalesce(have, 0) as k from o left join h using (name) where stored % 4 > 0) select stored as at, case when k = 0 then name else name || '.' || k end as archived from k",
+    "archive_names": "with o as (select o_custkey::varchar as name, o_orderkey as stored from orders), h as (select name, count(*) filter (where stored % 8 > 0) as have, greatest(coalesce(max(stored % 3 + 1) filter (where stored % 8 = 0), 0), count(*) filter (where stored % 8 > 0) - 1) as most from o where stored % 4 = 0 group by 1), k as (select o.name, stored, row_number() over (partition by o.name order by stored) - case when coalesce(have, 0) > 0 then 0 else 1 end as k, coalesce(most, 0) as most from o left join h using (name) where stored % 4 > 0) select stored as at, case when k = 0 then name else name || '.' || (k + most) end as archived from k",
 }

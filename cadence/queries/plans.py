@@ -201,7 +201,7 @@ ORACLES = {
     "size_choice": "with x as (select p_partkey as n, p_partkey % 3 = 0 or p_partkey % 2 > 0 as l, p_partkey % 5 = 0 as m from part) select n as p_partkey, 1 + l::int + m::int as n, case when l then case when n % 3 = 0 then 'l' else '' end when m then 'm' else 's' end as url from x",
     "cache_answers": "with x as (select o_custkey::varchar as url, o_orderkey::varchar as payload, o_orderdate + to_seconds(o_orderkey % 86400) as stored from orders), n as (select max(stored) as now from x) select sha1(url) as key, max_by(payload, stored) as payload from x, n where stored >= now - interval 86400 second group by 1",
     "header_render": "select o_orderkey, 'id: m' || o_orderkey || chr(10) || 'about: ' || o_orderpriority || chr(10) || 'to: ' || o_orderstatus as text from orders",
-    "message_files": "select o_orderkey, substr(o_orderpriority, 1, 1) || '_' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '_' || case when o_orderkey < 1000000 then lpad(o_orderkey::varchar, 6, '0') else substr(o_orderkey::varchar, 1, 6) end || '_from_clerk_to_' || o_orderstatus as name from orders",
+    "message_files": "select o_orderkey, substr(o_orderpriority, 1, 1) || '_' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '_' || printf('%06d', o_orderkey) || '_from_clerk_to_' || o_orderstatus as name from orders",
     "draft_errors": "with o as (select o_orderkey as n from orders) select n as o_orderkey, 2 as line, 'reserved' as error from o where n % 2 = 0 union all select n, 3, case when n % 3 > 0 then 'not a header' else 'duplicate' end from o where n % 3 > 0 or n % 2 = 1 union all select n, 4, 'unknown' from o where n % 5 = 0",
     "prefix_objects": "with a as (select distinct substr(n_name, 1, 2) as prefix from nation union all select 'QQ'), m as (select prefix, count(n_name) as matches, min(n_name) as name from a left join nation on starts_with(n_name, prefix) group by 1) select prefix, matches, case when matches = 1 then name end as n_name from m",
     "frame_waypoints": "select n_regionkey as region, n_nationkey as cell, (row_number() over (partition by n_regionkey order by n_nationkey) - 1) * 2.5::double as at from nation",

@@ -95,7 +95,7 @@ def append_vote(vote: DataFrame, path: str) -> int:
 
 def message_name(priority: Column, at: Column, sequence: Column, sender: Column, to: Column) -> Column:
     """The name by which messages sort: priority, time, sequence."""
-    return F.concat_ws("_", priority, F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.lpad(sequence.cast("string"), 6, "0"), F.lit("from"), sender, F.lit("to"), to)
+    return F.concat_ws("_", priority, F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.format_string("%06d", sequence.cast("long")), F.lit("from"), sender, F.lit("to"), to)
 
 
 def publish(df: DataFrame, path: str) -> None:

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from cadence.operators import ranges
+from cadence.operators.blocks import followed
 from cadence.pinning import pinned, shared_dir
 
 
@@ -65,20 +66,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def smooth_levels(rows: DataFrame, key: str, at: str, value: str, attack: float, release: float) -> DataFrame:
-    """One-pole smoothing of gains from 1 on: a fall below the state is followed by attack, a rise by release (0..1). Per key in order: rows
-    stream sorted, one state is held."""
-    schema = rows.select(key, at, value).schema.add("smooth", DoubleType())
-    held = rows.select(key, at, value).repartition(key).sortWithinPartitions(key, at)
-
-    def run(batches):
-        now, state = None, 1.0
-        for batch in batches:
-            out = []
-            for k, v in zip(batch[key], batch[value]):
-                if k != now:
-                    now, state = k, 1.0
-                state += (attack if v < state else release) * (v - state)
-                out.append(state)
-            yield batch.assign(smooth=out)
-
-    return held.mapInPandas(run, schema)
+    """One-pole smoothing of gains from 1 on: a fall below the state is followed by attack, a rise by release (0..1). A key is as many
+    blocks of rows as it needs, and the state is carried over them by their maps. Keys are never null."""
+    held = ranges.placed(rows.select(key, at, value), [key], [at]).withColumn("block", F.floor(F.col("place") / ranges.CHUNK).cast("long"))
+    bounds = held.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    low, high = (1.0, 1.0) if bounds[0] is None else (min(1.0, bounds[0]), max(1.0, bounds[1]))
+    one = F.struct(F.col("place"), F.col(at), F.col(value))
+    blocks = pinned(held.groupBy(key, "block").agg(F.array_sort(F.collect_list(one)).alias("__r")))  # CHUNK rows each
+    gains = blocks.select(key, "block", F.transform("__r", lambda r: r[value].cast("double")).alias("samples"))
+    smooth = followed(gains, [key], attack, release, low, high).withColumnRenamed("samples", "__s")
+    both = blocks.join(smooth, [key, "block"]).select(key, F.explode(F.arrays_zip("__r", "__s")).alias("__x"))
+    return both.select(key, f"__x.__r.{at}", f"__x.__r.{value}", F.col("__x.__s").alias("smooth"))
