@@ -83,17 +83,24 @@ def locale_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", S.locale_text(comma, "es-LATAM").alias("latam"), S.locale_text(point, "es-ES").alias("spain"))
 
 
-FEATURE = """{"name": "orders", "background": [{"keyword": "Given", "text": "a shop"}], "scenarios": [
- {"name": "ship", "steps": [{"keyword": "When", "text": "nation <nation> orders"}, {"keyword": "Then", "text": "region <region> ships"}], "examples": [{"nation": "FRANCE", "region": "EUROPE"}, {"nation": "PERU", "region": "AMERICA"}]},
- {"name": "idle", "steps": [{"keyword": "Then", "text": "nothing happens"}], "examples": []}]}"""
-
-
-def _feature(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.from_json(F.lit(FEATURE.replace("\n", "")), N.FEATURE).alias("f")).select("f.*")
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature for each order, a scenario for each of its lines: a returned line has two examples, an accepted one has one, others have none."""
+    step = lambda keyword, text: F.struct(F.lit(keyword).alias("keyword"), F.lit(text).alias("text"))
+    example = lambda part, flag: F.create_map(F.lit("part"), part.cast("string"), F.lit("flag"), flag)
+    own, other = example(F.col("l_partkey"), F.col("l_returnflag")), example(F.lit(0), F.lit("X"))
+    examples = F.when(F.col("l_returnflag") == "R", F.array(own, other)).when(F.col("l_returnflag") == "A", F.array(own)).otherwise(F.array().cast("array<map<string,string>>"))
+    moving = F.array(step("When", "part <part> moves"), step("Then", "flag <flag> shows"))
+    steps = F.when(F.col("l_returnflag") == "N", F.array(step("Then", "nothing happens"))).otherwise(moving)
+    scenario = F.struct(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("name"), steps.alias("steps"), examples.alias("examples"))
+    held = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("order"), scenario.alias("s"))
+    first = held.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("order")))
+    whole = first.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", F.to_json("s").alias("s")))).alias("x"))
+    kind = N.FEATURE.split("scenarios array<")[1][:-1]
+    return whole.select(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("name"), F.array(step("Given", "a shop")).alias("background"), F.transform("x", lambda x: F.from_json(x["s"], kind)).alias("scenarios"))
 
 
 def scenario_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.expand(_feature(spark)).select("scenario_index", "example_index", "name", F.size("steps").alias("steps"))
+    return N.expand(_features(spark, sf_dir)).select("feature", "scenario_index", "example_index", "name", F.size("steps").alias("steps"))
 
 
 def placeholder_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,32 +110,37 @@ def placeholder_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("n_nationkey", S.fill(F.lit("nation <nation> of <region>, again <nation>"), F.col("m")).alias("text"))
 
 
-HANDLERS = [("shop", "a shop"), ("order", "nation [A-Z]+ orders"), ("ship", "region .* ships"), ("any_region", "region .*")]
+HANDLERS = [("shop", "a shop"), ("part", "part [0-9]+ moves"), ("flag", "flag [AR] shows"), ("any_flag", "flag .*")]
 
 
 def first_match_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.route(N.steps(N.expand(_feature(spark))), HANDLERS, ["scenario_index", "example_index", "step"]).select("scenario_index", "example_index", "step", "text", "handler")
-
-
-# Effects of edit specs and message headers with known faults.
-SPECS = [
-    (1, "video zoom", {"pct": "20", "easing": "smooth"}), (2, "video zoom", {"pct": "big", "easing": "wobble"}), (3, "audio riser", {"hit": "3.5", "colour": "red"}),
-    (4, "video magnify", {"center": "0.5,0.5"}), (5, "video magnify", {"center": "middle"}), (6, "video explode", {"x": "1"}), (7, "audio melody", {}),
-]
-MESSAGES = [
-    (1, {"type": "note", "to": "coder", "priority": "10", "message": "hello"}), (2, {"type": "note", "to": "coder,coder", "priority": "1", "message": "x" * 81}),
-    (3, {"type": "git_handoff", "to": "coder,tester", "priority": "00", "task": "t", "commit": "0123456789"}), (4, {"type": "git_handoff", "to": "nobody", "priority": "00", "commit": "xyz"}),
-    (5, {"to": "", "priority": "50"}), (6, {"type": "memo", "to": "big_boss", "priority": "50"}), (7, {"type": "note", "to": "tester", "priority": "20", "message": "m", "commit": "0123456789"}),
-]
+    return N.route(N.steps(N.expand(_features(spark, sf_dir))), HANDLERS, ["feature", "scenario_index", "example_index", "step"]).select("feature", "scenario_index", "example_index", "step", "text", "handler")
 
 
 def spec_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.argument_errors(spark.createDataFrame(SPECS, "id int, cmd string, args map<string,string>")).select("id", "arg", "error")
+    """Effects with arguments from events: some are no number, choice, point or argument of theirs."""
+    k, pct = F.col("event_id") % 7, F.when(F.col("value") > 50, "big").otherwise(F.floor("value").cast("string"))
+    given = lambda *pairs: F.create_map(*[v if not isinstance(v, str) else F.lit(v) for v in pairs])
+    args = (
+        F.when(k == 0, given("pct", pct, "easing", "smooth")).when(k == 1, given("pct", "5", "easing", F.col("event_type"))).when(k == 2, given("hit", "3.5", "colour", "red"))
+        .when(k == 3, given("center", "0.5,0.5")).when(k == 4, given("center", F.col("event_type"))).when(k == 5, given("x", "1")).otherwise(F.create_map().cast("map<string,string>"))
+    )
+    cmd = F.when(k < 2, "video zoom").when(k == 2, "audio riser").when(k < 5, "video magnify").when(k == 5, "video explode").otherwise("audio melody")
+    return P.argument_errors(table(spark, sf_dir, "events").select("event_id", cmd.alias("cmd"), args.alias("args"))).select("event_id", "arg", "error")
 
 
 def message_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame(MESSAGES, "id int, headers map<string,string>")
-    return m.select("id", F.array_join(P.message_errors(F.col("headers"), ["coder", "tester"]), "; ").alias("errors"))
+    """Headers of orders as messages: priorities of one to three digits, and a fault by the order's number."""
+    k = F.col("o_orderkey") % 7
+    own = [
+        {"type": "note", "to": "coder", "message": "hello"}, {"type": "note", "to": "coder,coder", "message": "x" * 81}, {"type": "git_handoff", "to": "coder,tester", "task": "t", "commit": "0123456789"},
+        {"type": "git_handoff", "to": "nobody", "commit": "xyz"}, {"to": ""}, {"type": "memo", "to": "big_boss"}, {"type": "note", "to": "tester", "message": "m", "commit": "0123456789"},
+    ]
+    headers = F.lit(None).cast("map<string,string>")
+    for i, h in enumerate(own):
+        headers = F.when(k == i, F.create_map(*[F.lit(x) for pair in h.items() for x in pair], F.lit("priority"), (F.col("o_orderkey") % 120).cast("string"))).otherwise(headers)
+    o = table(spark, sf_dir, "orders").withColumn("headers", headers)
+    return o.select("o_orderkey", F.array_join(P.message_errors(F.col("headers"), ["coder", "tester"]), "; ").alias("errors"))
 
 
 def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +149,13 @@ def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mastering_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.range(16).select("id", F.struct(F.when(F.col("id") % 2 == 1, F.lit(50)).alias("dehum"), (F.floor(F.col("id") / 2) % 2 == 1).alias("no_eq"), (F.floor(F.col("id") / 4) % 2 == 1).alias("no_comp"), (F.floor(F.col("id") / 8) % 2 == 1).alias("no_limit"), F.lit(False).alias("no_loudnorm")).alias("o"))
-    return e.select("id", F.array_join(D.chain(F.col("o")), ">").alias("stages"))
+    k = F.col("event_id") % 16
+    e = table(spark, sf_dir, "events").select("event_id", F.struct(F.when(k % 2 == 1, F.lit(50)).alias("dehum"), (F.floor(k / 2) % 2 == 1).alias("no_eq"), (F.floor(k / 4) % 2 == 1).alias("no_comp"), (F.floor(k / 8) % 2 == 1).alias("no_limit"), F.lit(False).alias("no_loudnorm")).alias("o"))
+    return e.select("event_id", F.array_join(D.chain(F.col("o")), ">").alias("stages"))
 
 
 def beat_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(1, 81).select(F.col("id"), (F.col("id") / 2.0).alias("d"))
+    d = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 80 + 1) / 2.0).alias("d"))
     return d.select("id", F.inline(D.timeline(F.col("d")))).select("id", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "beat")
 
 
@@ -198,16 +211,22 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "a").select("a", F.round(V.cosine(F.col("u"), F.col("v")), 5).alias("cosine"))
 
 
-VOTES = [("ann", "c1", "AB", "x_A.wav", "x_B.wav", "A", "4", "3"), ("ann", "c2", "AB", "y_B.wav", "y_A.wav", "A", "2", "5"), ("bob", "c1", "AB", "x_A.wav", "x_B.wav", "tie", "3", "3"), ("bob", "c3", "CD", "z_C.wav", "z_D.wav", "B", "", "4"), ("eve", "c3", "CD", "z_D.wav", "z_C.wav", "b", "1", "n/a")]
-_VOTE = "listener string, clip_id string, pair string, side_a_file string, side_b_file string, preferred string, mos_a string, mos_b string"
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as votes: sides change by number, scores are the value's, some are left out or no number."""
+    n = F.col("event_id")
+    pair = F.when(n % 3 == 0, "CD").otherwise("AB")
+    file = lambda k: F.concat(F.lit("x_"), F.substring(pair, k, 1), F.lit(".wav"))
+    score = lambda by: F.when(n % 7 == 0, "").when(n % 11 == 0, "n/a").otherwise((F.floor("value") % by + 1).cast("string"))
+    chosen = F.when(F.col("event_type") == "view", "A").when(F.col("event_type") == "click", "b").when(F.col("event_type") == "error", "B").otherwise("tie")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("listener"), (n % 50).cast("string").alias("clip_id"), pair.alias("pair"), F.when(n % 2 == 0, file(1)).otherwise(file(2)).alias("side_a_file"), F.when(n % 2 == 0, file(2)).otherwise(file(1)).alias("side_b_file"), chosen.alias("preferred"), score(5).alias("mos_a"), score(4).alias("mos_b"))
 
 
 def vote_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.preference(spark.createDataFrame(VOTES, _VOTE)).select("pair", "won", "n", r6("share").alias("share"))
+    return V.preference(_votes(spark, sf_dir)).select("pair", "won", "n", r6("share").alias("share"))
 
 
 def vote_mos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.opinion(spark.createDataFrame(VOTES, _VOTE)).select("condition", "n", r6("mos").alias("mos"))
+    return V.opinion(_votes(spark, sf_dir)).select("condition", "n", r6("mos").alias("mos"))
 
 
 def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +320,13 @@ ev as (select conv_id, turn, n, pos as event, can from cc where n = 1
 _MSG = "ord as (select o_orderkey as id, substr(o_orderpriority, 1, 1) as priority, o_orderdate as created, case when o_orderkey % 97 = 0 then 'O,X' when o_orderkey % 3 = 0 then 'O,P' else o_orderstatus end as to_, o_orderstatus as role from orders)"
 _CLOCK = "case when h = 0 then '12' when h <= 12 then cast(h as varchar) else cast(h - 12 as varchar) end || ':' || lpad(cast(m as varchar), 2, '0') || case when h < 12 then ' a. m.' else ' p. m.' end"
 
+_SCENARIOS = """line as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as scenario_index from lineitem),
+ex as (select 'order ' || l_orderkey as feature, cast(scenario_index as int) as scenario_index, e as example_index, 'line ' || l_linenumber || '/example_' || e as name, l_returnflag as flag, case when e = 2 then '0' else l_partkey::varchar end as part, case when e = 2 then 'X' else l_returnflag end as shown
+  from line join (values (1), (2)) x(e) on e = 1 or l_returnflag = 'R')"""
+_VOTES = """vt as (select case when event_id % 3 = 0 then 'CD' else 'AB' end as pair, event_id % 2 = 0 as straight, case when event_type = 'view' then 'a' when event_type in ('click', 'error') then 'b' else 'tie' end as side,
+case when event_id % 7 > 0 and event_id % 11 > 0 then floor(value) % 5 + 1 end as ma, case when event_id % 7 > 0 and event_id % 11 > 0 then floor(value) % 4 + 1 end as mb from events),
+vs as (select *, case when straight then pair[1] else pair[2] end as a, case when straight then pair[2] else pair[1] end as b from vt)"""
+
 ORACLES = {
     "cue_breaks": f"with {_WORDS}, n as (select *, lead(w) over (partition by conv_id, turn order by pos) as nx from word), t as (select *, {_TOKEN.format(w='w')} as a, {_TOKEN.format(w='nx')} as b from n), f as (select conv_id, coalesce(regexp_matches(w, '[.,!?;:]$') or b in ({_list([*C.CONJUNCTIONS, *C.PREPOSITIONS])}), false) as good, coalesce(a in ({_list([*C.ARTICLES, *C.PREPOSITIONS, *C.AUXILIARIES])}) or (length(trim(w)) > 1 and regexp_matches(trim(w), '^\\p{{Lu}}') and length(trim(nx)) > 1 and regexp_matches(trim(nx), '^\\p{{Lu}}') and a not in ({_list(C.CONJUNCTIONS)})), false) as bad from t) select conv_id, count(*) filter (where good) as good, count(*) filter (where bad) as bad, count(*) as words from f group by 1",
     "cue_pack": f"with recursive {_CUES} select conv_id, turn, pos, words, chars, good, text from cue",
@@ -314,14 +340,15 @@ ORACLES = {
     "subtitle_lines": f"with {_TIMES}, f as (select *, cast(floor(s) as bigint) as a, cast(floor(stop) as bigint) + 1 as b from te) select conv_id, turn, pos, printf('Dialogue: 0,%d:%02d:%02d.00,%d:%02d:%02d.00,Karaoke,,0,0,0,,cue\\N%d', a // 3600, a % 3600 // 60, a % 60, b // 3600, b % 3600 // 60, b % 60, pos) as line from f",
     "first_anchor": f"with d as (select doc_id, unnest(string_split_regex(text, '\\s+')) as w, generate_subscripts(string_split_regex(text, '\\s+'), 1) - 1 as pos from documents), f as (select doc_id, {_TOKEN.format(w='w')} as token, min(pos) as pos from d group by 1, 2), b as (select item_id, {_TOKEN.format(w=chr(115) + 'tring_split_regex(text, ' + chr(39) + chr(92) + 's+' + chr(39) + ')[1]')} as token from benchmark) select doc_id, item_id, pos from f join b using (token)",
     "locale_rewrite": f"with t as (select o_orderkey, o_orderkey % 1440 // 60 as h, o_orderkey % 60 as m, cast(floor(o_totalprice) as bigint) as p from orders) select o_orderkey, 'a las ' || {_CLOCK} || ' vale ' || p || '.5 euros' as latam, 'a las ' || h || ':' || lpad(cast(m as varchar), 2, '0') || ' vale ' || p || ',5 euros' as spain from t",
-    "scenario_expand": "select * from (values (0, 1, 'ship/example_1', 3), (0, 2, 'ship/example_2', 3), (1, 1, 'idle/example_1', 2)) t(scenario_index, example_index, name, steps)",
+    "scenario_expand": f"with {_SCENARIOS} select feature, scenario_index, example_index, name, case when flag = 'N' then 2 else 3 end as steps from ex",
     "placeholder_fill": "select n_nationkey, 'nation ' || n_name || ' of ' || r_name || ', again ' || n_name as text from nation join region on n_regionkey = r_regionkey",
-    "first_match_route": "select * from (values (0, 1, 0, 'a shop', 'shop'), (0, 1, 1, 'nation FRANCE orders', 'order'), (0, 1, 2, 'region EUROPE ships', 'ship'), (0, 2, 0, 'a shop', 'shop'), (0, 2, 1, 'nation PERU orders', 'order'), (0, 2, 2, 'region AMERICA ships', 'ship'), (1, 1, 0, 'a shop', 'shop'), (1, 1, 1, 'nothing happens', 'unsupported')) t(scenario_index, example_index, step, text, handler)",
-    "spec_violations": "select * from (values (2, 'pct', 'not a number'), (2, 'easing', 'not a choice'), (3, 'colour', 'unknown argument'), (5, 'center', 'not a point'), (6, 'x', 'unknown command')) t(id, arg, error)",
-    "message_violations": "select * from (values (1, ''), (2, 'priority not two digits; recipient twice; message too long'), (3, ''), (4, 'recipient unknown; commit not ten hex digits; task missing'), (5, 'type missing; to missing'), (6, 'type unknown; recipient has underscore; recipient unknown'), (7, 'header not allowed')) t(id, errors)",
+    "first_match_route": f"with {_SCENARIOS} select feature, scenario_index, example_index, 0 as step, 'a shop' as text, 'shop' as handler from ex union all select feature, scenario_index, example_index, 1, case when flag = 'N' then 'nothing happens' else 'part ' || part || ' moves' end, case when flag = 'N' then 'unsupported' else 'part' end from ex union all select feature, scenario_index, example_index, 2, 'flag ' || shown || ' shows', case when shown = 'X' then 'any_flag' else 'flag' end from ex where flag <> 'N'",
+    "spec_violations": "select event_id, case event_id % 7 when 0 then 'pct' when 1 then 'easing' when 2 then 'colour' when 4 then 'center' else 'x' end as arg, case event_id % 7 when 0 then 'not a number' when 1 then 'not a choice' when 2 then 'unknown argument' when 4 then 'not a point' else 'unknown command' end as error from events where event_id % 7 in (1, 2, 4, 5) or event_id % 7 = 0 and value > 50",
+    "message_violations": """select o_orderkey, array_to_string(list_concat(list_concat(case o_orderkey % 7 when 4 then ['type missing', 'to missing'] when 5 then ['type unknown'] else [] end, case when o_orderkey % 120 between 10 and 99 then [] else ['priority not two digits'] end),
+ case o_orderkey % 7 when 1 then ['recipient twice', 'message too long'] when 3 then ['recipient unknown', 'commit not ten hex digits', 'task missing'] when 5 then ['recipient has underscore', 'recipient unknown'] when 6 then ['header not allowed'] else [] end), '; ') as errors from orders""",
     "unknown_keys": "select event_type as key, count(*) as n from events where event_type <> 'view' group by 1",
-    "mastering_chain": "select i as id, 'dc_block>highpass' || case when i % 2 = 1 then '>dehum' else '' end || case when i // 2 % 2 = 0 then '>eq>deesser' else '' end || case when i // 4 % 2 = 0 then '>compressor' else '' end || case when i // 8 % 2 = 0 then '>limiter' else '' end || '>loudness' as stages from range(16) r(i)",
-    "beat_timeline": """with d as (select i as id, i / 2.0::double as d from range(1, 81) r(i)), h as (select *, least(0.7, d) as hook, case when d <= 10 then greatest(0, d - 0.8) when d <= 30 then greatest(0, d - 1.5) else greatest(0, d - 2) end as card from d),
+    "mastering_chain": "select event_id, 'dc_block>highpass' || case when i % 2 = 1 then '>dehum' else '' end || case when i // 2 % 2 = 0 then '>eq>deesser' else '' end || case when i // 4 % 2 = 0 then '>compressor' else '' end || case when i // 8 % 2 = 0 then '>limiter' else '' end || '>loudness' as stages from (select event_id, event_id % 16 as i from events)",
+    "beat_timeline": """with d as (select event_id as id, (event_id % 80 + 1) / 2.0::double as d from events), h as (select *, least(0.7, d) as hook, case when d <= 10 then greatest(0, d - 0.8) when d <= 30 then greatest(0, d - 1.5) else greatest(0, d - 2) end as card from d),
 p as (select *, least(2.5, greatest(hook + 0.1, d * 0.18)) as promise from h), q as (select *, greatest(promise, d - 1) as short, least(8, greatest(promise + 0.5, d * 0.38)) as proof from p), r as (select *, greatest(proof, card) as last from q),
 b as (select id, 0.0::double as a, hook as z, 'hook' as beat from r union all select id, hook, promise, 'promise' from r where d > 1 union all select id, promise, short, 'proof' from r where d > 1 and d <= 8 union all select id, short, d, 'payoff' from r where d > 1 and d <= 8
   union all select id, promise, proof, 'proof' from r where d > 8 union all select id, proof, last, 'progression' from r where d > 8 union all select id, last, d, 'payoff_cta' from r where d > 8)
@@ -334,8 +361,8 @@ select id, round(a, 6) as start_s, round(z, 6) as end_s, beat from b where z > a
     "queue_sequence": "select o_orderkey as id, printf('%06d', row_number() over (order by o_orderdate, o_orderkey)) as number from orders",
     "header_parse": f"with {_MSG} select id, '0' || priority as priority, 3 as headers, 'body ' || id as body from ord",
     "cosine_pairs": "select a.vec_id as a, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
-    "vote_preference": "select * from (values ('AB', 'A', 1::bigint, 0.333333::double), ('AB', 'B', 1, 0.333333), ('AB', 'tie', 1, 0.333333), ('CD', 'D', 1, 0.5), ('CD', 'C', 1, 0.5)) t(pair, won, n, share)",
-    "vote_mos": "select * from (values ('A', 3::bigint, 4.0::double), ('B', 3, 2.666667), ('D', 2, 2.5)) t(condition, n, mos)",
+    "vote_preference": f"with {_VOTES}, w as (select pair, case side when 'a' then a when 'b' then b else 'tie' end as won, count(*) as n from vs group by 1, 2) select pair, won, n, round(n / sum(n) over (partition by pair), 6) as share from w",
+    "vote_mos": f"with {_VOTES} select condition, count(*) as n, round(avg(mos), 6) as mos from (select a as condition, ma as mos from vs union all select b, mb from vs) where mos is not null group by 1",
     "manifest_hash": "select substr(sha256(string_agg(m, chr(10) order by m)), 1, 16) as fingerprint from (select p_name || '/' || p_partkey || ':' || p_size as m from part)",
     "catalog_search": "select p_partkey, p_name, p_retailprice from part where p_name like '%ring%' and p_type in ('ECONOMY', 'SMALL') and p_size between 5 and 40 order by p_retailprice desc, p_partkey limit 25 offset 25",
     "stream_sessions": "with e as (select user_id, epoch_us(ts) as us from events), g as (select *, case when us - lag(us) over (partition by user_id order by us) < 21600000000 then 0 else 1 end as fresh from e), s as (select *, sum(fresh) over (partition by user_id order by us rows unbounded preceding) as s from g) select user_id, min(us) as start_us, max(us) + 21600000000 as end_us, count(*) as events from s group by user_id, s",

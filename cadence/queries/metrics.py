@@ -114,19 +114,32 @@ def date_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("o_orderstatus").agg(F.min("d").alias("date_min"), F.max("d").alias("date_max"))
 
 
-# Texts that parsers meet, and what they give.
-NUMBERS = ["12,345", "3,5", "1,234,567", "1.234,56", "1,234.5", "1.2K", "1 view", "n/a", "70%", "-", "1e5", ".5", "-2,500", "", "  42 ", "1 000", "abc"]
-DURATIONS = ["1:02:03", "1:30", "12", "a:b", "0:0.5", "1:2:3:4", "45 s", ":"]
-BOOLS = ["true", "SI", "Sí", "on", "0", "off", "maybe", "", "No", "1"]
+# What people write before and after a number, or instead of one (None).
+NUMBERS = [("", "%"), ("", ",5"), ("-", ",250"), ("  ", "  "), ("", ".234,5"), ("", "K"), ("about ", " views"), ("n/a", None), ("-", None), ("", "e1"), ("1,", ",567"), ("", None), ("", " 000"), ("+", ".5"), ("12-", "")]
+DURATIONS = [("1:", ":03"), ("", ":30"), ("", ""), ("a:", ""), ("0:0.", ""), ("1:2:", ":4"), ("", " s"), (":", "")]
+BOOLS = ["true", "SI", "Sí", "on", "0", "off", "maybe", "", " No ", "1"]
 PLATFORMS = ["TikTok", "Douyin", "Instagram", "IG Reels", "YouTube Shorts", "  Vimeo ", "", "facebook"]
 
 
-def _cases(spark: SparkSession, values: list[str], **columns: Column) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", *[c.alias(n) for n, c in columns.items()])
+def _spelt(key: str, number: Column, forms: list[tuple[str, str | None]]) -> Column:
+    """A number between what stands before and after it, by the key's rest."""
+    out = F.lit(None).cast("string")
+    for k, (before, after) in enumerate(forms):
+        out = F.when(F.col(key) % len(forms) == k, F.lit(before) if after is None else F.concat(F.lit(before), number.cast("string"), F.lit(after))).otherwise(out)
+    return out
 
 
-def _values(values: list[str]) -> str:
-    return "(values " + ", ".join("({}, '{}')".format(i, v.replace("'", "''")) for i, v in enumerate(values)) + ") t(i, v)"
+def _spelt_sql(key: str, number: str, forms: list[tuple[str, str | None]]) -> str:
+    each = " ".join(f"when {k} then '{before}'" + ("" if after is None else f" || {number} || '{after}'") for k, (before, after) in enumerate(forms))
+    return f"case {key} % {len(forms)} {each} end"
+
+
+def _word(key: str, words: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.col(key) % len(words) + 1).cast("int"))
+
+
+def _word_sql(key: str, words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][{key} % {len(words)} + 1]"
 
 
 NUMBER_SQL = r"""
@@ -140,7 +153,9 @@ n as (select *, case when nothing then null when regexp_matches(t3, '^[+-]?([0-9
 
 
 def parse_number_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, NUMBERS, number=S.parse_number(F.col("v")))
+    """Prices of orders as people write them."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", S.parse_number(_spelt("o_orderkey", F.floor("o_totalprice").cast("long"), NUMBERS)).alias("number"))
 
 
 def parse_rate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,15 +167,23 @@ def parse_rate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_duration_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, DURATIONS, seconds=S.parse_duration(F.col("v")))
+    """Sizes of parts as clocks and seconds."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", S.parse_duration(_spelt("p_partkey", F.col("p_size"), DURATIONS)).alias("seconds"))
 
 
 def parse_bool_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, BOOLS, flag=S.parse_bool(F.col("v")), lenient=S.as_bool(F.col("v")))
+    """Words for yes and no, in capitals where the order is finished."""
+    w = _word("o_orderkey", BOOLS)
+    o = table(spark, sf_dir, "orders").withColumn("v", F.when(F.col("o_orderstatus") == "F", F.upper(w)).otherwise(w))
+    return o.select("o_orderkey", S.parse_bool(F.col("v")).alias("flag"), S.as_bool(F.col("v")).alias("lenient"))
 
 
 def platform_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, PLATFORMS, platform=S.platform(F.col("v")))
+    """Names of platforms, some with a part's brand behind them."""
+    w = _word("p_partkey", PLATFORMS)
+    p = table(spark, sf_dir, "part").withColumn("v", F.when(F.col("p_size") > 25, F.concat(w, F.lit(" "), "p_brand")).otherwise(w))
+    return p.select("p_partkey", S.platform(F.col("v")).alias("platform"))
 
 
 def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,13 +240,13 @@ select round(r10, 6) as r10, round(r40, 6) as r40, round(r60, 6) as r60, round(r
     "quality_nulls": """with j as (select quality, toxic from documents left join labels using (doc_id)) select 'quality' as field, count(*) as missing from j where quality is null having count(*) > 0 union all select 'toxic', count(*) from j where toxic is null having count(*) > 0""",
     "quality_duplicates": "select sha256(text) as digest, count(*) as n from documents group by 1 having count(*) > 1",
     "date_bounds": "select o_orderstatus, min(strftime(o_orderdate, '%Y-%m-%d')) as date_min, max(strftime(o_orderdate, '%Y-%m-%d')) as date_max from orders group by 1",
-    "parse_number_cases": NUMBER_SQL.format(keep="i", source=_values(NUMBERS)) + "select i, number from n",
+    "parse_number_cases": NUMBER_SQL.format(keep="o_orderkey", source="(select o_orderkey, " + _spelt_sql("o_orderkey", "cast(floor(o_totalprice) as bigint)", NUMBERS) + " as v from orders)") + "select o_orderkey, number from n",
     "parse_rate_cases": """with x as (select case when l_linenumber % 2 = 0 then round(cast(round(l_extendedprice * 100) as bigint) // 100 / 1.0, 0) else null end as big, l_discount from lineitem),
 y as (select case when big is null then round(round(l_discount * 100) / 100.0, 6) when big > 1 then round(big / 100.0, 6) else big end as rate from x)
 select rate, count(*) as n from y group by rate""",
-    "parse_duration_cases": "select i, cast(s as double) as seconds from (values (0, 3723.0), (1, 90.0), (2, 12.0), (3, null), (4, 0.5), (5, 1234.0), (6, 45.0), (7, null)) t(i, s)",
-    "parse_bool_cases": f"select i, case when lower(trim(v)) in ('true', 'yes', 'si', 'sí', '1', 'on') then true when lower(trim(v)) in ('false', 'no', '0', 'off') then false end as flag, lower(trim(v)) in ('true', 'yes', 'si', 'sí', '1', 'on') as lenient from {_values(BOOLS)}",
-    "platform_norm": f"select i, case when lower(v) like '%tiktok%' or lower(trim(v)) = 'douyin' then 'tiktok' when lower(v) like '%instagram%' or lower(v) like '%reels%' then 'instagram_reels' when lower(v) like '%youtube%' or lower(v) like '%shorts%' then 'youtube_shorts' else nullif(lower(trim(v)), '') end as platform from {_values(PLATFORMS)}",
+    "parse_duration_cases": "select p_partkey, cast(case p_partkey % 8 when 0 then 3603 + p_size * 60 when 1 then p_size * 60 + 30 when 4 then cast('0.' || p_size as double) when 5 then cast('12' || p_size || '4' as double) else p_size end as double) as seconds from part",
+    "parse_bool_cases": f"with w as (select o_orderkey, case when o_orderstatus = 'F' then upper({_word_sql('o_orderkey', BOOLS)}) else {_word_sql('o_orderkey', BOOLS)} end as v from orders) select o_orderkey, case when lower(trim(v)) in ('true', 'yes', 'si', 'sí', '1', 'on') then true when lower(trim(v)) in ('false', 'no', '0', 'off') then false end as flag, lower(trim(v)) in ('true', 'yes', 'si', 'sí', '1', 'on') as lenient from w",
+    "platform_norm": f"with w as (select p_partkey, {_word_sql('p_partkey', PLATFORMS)} || case when p_size > 25 then ' ' || p_brand else '' end as v from part) select p_partkey, case when lower(v) like '%tiktok%' or lower(trim(v)) = 'douyin' then 'tiktok' when lower(v) like '%instagram%' or lower(v) like '%reels%' then 'instagram_reels' when lower(v) like '%youtube%' or lower(v) like '%shorts%' then 'youtube_shorts' else nullif(lower(trim(v)), '') end as platform from w",
     "normalize_keys": "select p_partkey, 'nandu_' || regexp_replace(lower(p_name || '_' || p_brand || '_' || p_type), '[^a-z0-9]+', '_', 'g') as key from part",
     "slug_urls": r"select page_id, trim(regexp_replace(lower(regexp_replace(url, '^https?://', '')), '[^\p{L}\p{N}]+', '-', 'g'), '-') as slug from pages",
     "flatten_props": "select event_type, count(props->>'k') as n, sum(cast(props->>'k' as double)) as total, max(cast(props->>'k' as double)) as top from events group by event_type",

@@ -171,18 +171,18 @@ def keyframe_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ease_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.range(201).select(F.col("id").alias("i"), (F.col("id") / 160.0 - 0.1).alias("p"))
-    return p.select("i", *[r6(S.ease(F.col("p"), 40.0, k)).alias(k) for k in ("linear", "in", "out", "smooth")])
+    p = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 201) / 160.0 - 0.1).alias("p"))
+    return p.select("event_id", *[r6(S.ease(F.col("p"), 40.0, k)).alias(k) for k in ("linear", "in", "out", "smooth")])
 
 
 def phase_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.range(60).withColumnRenamed("id", "frame")
-    return f.select("frame", T.phase(F.col("frame"), F.lit(10), F.lit(60), 4, 7, 5).alias("shift"), T.phase(F.col("frame"), F.lit(10), F.lit(60), 4, 7, 5, True).alias("vanish"))
+    f = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 60).alias("frame"))
+    return f.select("event_id", T.phase(F.col("frame"), F.lit(10), F.lit(60), 4, 7, 5).alias("shift"), T.phase(F.col("frame"), F.lit(10), F.lit(60), 4, 7, 5, True).alias("vanish"))
 
 
 def zoom_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.range(101).select("id", (F.col("id") / 20.0).alias("t"))
-    return t.select(F.col("id").alias("i"), *[r6(T.zoom(F.col("t"), F.lit(4.0), direction=d)).alias(d) for d in ("grow", "pulse", "shrink")])
+    t = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 101 / 20.0).alias("t"))
+    return t.select("event_id", *[r6(T.zoom(F.col("t"), F.lit(4.0), direction=d)).alias(d) for d in ("grow", "pulse", "shrink")])
 
 
 def path_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,13 +224,14 @@ def timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tempo_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.range(1, 41).select(F.col("id").alias("i"), (F.col("id") / 20.0).alias("f"))
+    f = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 40 + 1) / 20.0).alias("f"))
     chain = S.atempo_chain(F.col("f"))
-    return f.select("i", F.size(chain).alias("stages"), r6(F.try_element_at(chain, F.lit(1))).alias("each"))
+    return f.select("event_id", F.size(chain).alias("stages"), r6(F.try_element_at(chain, F.lit(1))).alias("each"))
 
 
 def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(21, 109).select(F.col("id").alias("midi"), S.midi_to_name(F.col("id")).alias("name"), r6(S.midi_to_freq(F.col("id"))).alias("hz"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 88 + 21).alias("midi"))
+    return e.select("event_id", S.midi_to_name(F.col("midi")).alias("name"), r6(S.midi_to_freq(F.col("midi"))).alias("hz"))
 
 
 def similarity_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +242,8 @@ def similarity_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wet_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.range(200).select(F.col("id").alias("i"), (F.col("id") / 20.0).alias("t"))
-    return t.select("i", r6(T.envelope(F.col("t"), 2.0, 8.0, 1.5)).alias("wet"), r6(T.lift(F.col("t"), 1.0, 80.0, 2.0, 5.0)).alias("lift"))
+    t = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 200 / 20.0).alias("t"))
+    return t.select("event_id", r6(T.envelope(F.col("t"), 2.0, 8.0, 1.5)).alias("wet"), r6(T.lift(F.col("t"), 1.0, 80.0, 2.0, 5.0)).alias("lift"))
 
 
 def frame_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +253,9 @@ def frame_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chord_voicing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The voicing of each major triad nearest to the minor triad on A3."""
-    r = spark.range(48, 72).select(F.col("id").cast("int").alias("root"))
-    return r.select("root", F.array_join(S.voice_leading(S.triad(F.lit(57), "minor"), S.triad(F.col("root"), "major")), ",").alias("notes"))
+    """For each event a major triad, voiced as near as can be to the minor triad on A3."""
+    r = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 24 + 48).cast("int").alias("root"))
+    return r.select("event_id", "root", F.array_join(S.voice_leading(S.triad(F.lit(57), "minor"), S.triad(F.col("root"), "major")), ",").alias("notes"))
 
 
 def similarity_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,9 +315,9 @@ ORACLES = {
     "composite_score": f"with {_STATS}, p as (select user_id, least(greatest(30 + 3 * (mean / 4), 0), 100) as a, least(greatest(100 * (seen / n), 0), 100) as b, least(greatest(100 - 5 * abs(-mean / 3 + 14), 0), 100) as c, errors / 20.0 as rt, case when user_id % 2 = 0 then 100 - least(50, 8 * abs(dev / 6 - 8)) end as d1, 100 - least(50, 3 * abs(top / 30 - 11)) as d2 from st), q as (select *, least(greatest(60 * (1 - case when rt > 2 then 0.15 else 0.5 end) + (100 - least(70, greatest(0, (least(rt, 2) - 0.25) * 150))) * case when rt > 2 then 0.15 else 0.5 end, 0), 100) as e, least(greatest(case when d1 is null then d2 else (d1 + d2) / 2 end, 0), 100) as f from p), t as (select user_id, round(a, 1) * 0.25 + round(b, 1) * 0.25 + round(c, 1) * 0.2 + round(e, 1) * 0.15 + round(f, 1) * 0.15 as t from q) select user_id, round(t, 4) as score, case when t >= 80 then 'good' when t >= 60 then 'fair' else 'poor' end as verdict from t",
     "noise_class": f"with {_STATS}, b as (select user_id, top > 400 as hum, top > 6 * mean as tonal, n > 4 and dev / 3 / (abs(mean) + 1e-9) < 0.35 as still, seen > 13 as broad, errors > 13 as rumble, 1.0 * seen / n as speech, errors from st) select user_id, case when hum then 'hum' when tonal and still then 'fan' when broad and still and rumble then 'ac' when broad and still then 'hiss' when speech < 0.1 and errors >= 8 then 'keyboard' when not still and broad and rumble then 'traffic' when not still and speech > 0.5 then 'people' when not still and tonal then 'music' when not still then 'non-stationary' when still then 'stationary' else 'unknown' end as kind from b",
     "keyframe_lerp": "with k(a, b, x0, x1, y0, y1, r0, r1, s0, s1) as (values (0.0, 0.25, 0.0, 10.0, 0.0, -20.0, 0.0, 5.0, 100.0, 100.0), (0.25, 0.6, 10.0, 40.0, -20.0, 30.0, 5.0, -15.0, 100.0, 120.0), (0.6, 1.0, 40.0, 0.0, 30.0, 0.0, -15.0, 0.0, 120.0, 100.0)), e as (select event_id, least(greatest((event_id % 1201)::double / 1000.0 - 0.1, 0), 1) as p from events) select event_id, round(x0 + (x1 - x0) * ((p - a) / (b - a)), 6) as x, round(y0 + (y1 - y0) * ((p - a) / (b - a)), 6) as y, round(r0 + (r1 - r0) * ((p - a) / (b - a)), 6) as rotation, round(s0 + (s1 - s0) * ((p - a) / (b - a)), 6) as scale from e join (select a::double as a, b::double as b, x0::double x0, x1::double x1, y0::double y0, y1::double y1, r0::double r0, r1::double r1, s0::double s0, s1::double s1 from k) k on (p > a or (p <= 0 and a <= 0)) and p <= b",
-    "ease_curves": "with t as (select i, least(greatest(i / 160.0::double - 0.1, 0), 1) as p from range(201) r(i)) select i, round(p, 6) as linear, round(pow(p, 1.8), 6) as \"in\", round(1 - pow(1 - p, 1.8), 6) as out, round(pow(p, 2.6) / (pow(p, 2.6) + pow(1 - p, 2.6)), 6) as smooth from t",
-    "phase_schedule": f"select frame, {_phase('shift', False)}, {_phase('vanish', True)} from range(60) r(frame)",
-    "zoom_curve": f"with t as (select i, i / 20.0::double as t from range(101) r(i)) select i, {_zoom('grow')}, {_zoom('pulse')}, {_zoom('shrink')} from t",
+    "ease_curves": "with t as (select event_id, least(greatest((event_id % 201) / 160.0::double - 0.1, 0), 1) as p from events) select event_id, round(p, 6) as linear, round(pow(p, 1.8), 6) as \"in\", round(1 - pow(1 - p, 1.8), 6) as out, round(pow(p, 2.6) / (pow(p, 2.6) + pow(1 - p, 2.6)), 6) as smooth from t",
+    "phase_schedule": f"select event_id, {_phase('shift', False)}, {_phase('vanish', True)} from (select event_id, event_id % 60 as frame from events)",
+    "zoom_curve": f"with t as (select event_id, event_id % 101 / 20.0::double as t from events) select event_id, {_zoom('grow')}, {_zoom('pulse')}, {_zoom('shrink')} from t",
     "path_accumulate": "select event_id, cast(sum(cast(round(value * 100 - 5000) as bigint)) over (partition by user_id order by event_id rows unbounded preceding) as bigint) as path_dx from events",
     "shake_stats": "with d as (select user_id, (value - lag(value) over (partition by user_id order by event_id)) * 1.5 as d from events) select user_id, case when count(d) < 2 then 0 else round(median(d), 6) end as median, case when count(d) < 2 then 0 else round(stddev_pop(d), 6) end as deviation from d where d is not null group by 1",
     "kernel_smooth": f"with e as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as place, value from events), l as (select user_id, max(place) as last from e group by 1), t(k, w) as (values {_TAPS}) select e.user_id, e.place, round(sum(w * v.value), 6) as smooth from e join l using (user_id) cross join t join e v on v.user_id = e.user_id and v.place = least(greatest(e.place + k, 0), last) group by 1, 2",
@@ -324,10 +325,10 @@ ORACLES = {
     "positional_zip": "with a as (select user_id, event_id as a, row_number() over (partition by user_id order by event_id) as place from events where event_type = 'view'), b as (select user_id, event_id as b, row_number() over (partition by user_id order by event_id) as place from events where event_type = 'click') select user_id, place, a, b from a join b using (user_id, place)",
     "carry_forward": "select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as last_paid from events",
     "timecode": "with t as (select event_id, event_id * 7 as s, event_id % 100 as c from events) select event_id, printf('%d:%02d:%02d.%02d', s // 3600, (s % 3600) // 60, s % 60, c) as shown from t",
-    "tempo_chains": "with t as (select i, i / 20.0::double as f from range(1, 41) r(i)), c as (select i, f, case when f = 1 then 0 when f >= 0.5 then 1 else cast(ceil(round(ln(f) / ln(0.5), 12)) as int) end as stages from t) select i, stages, case when stages = 0 then null when stages = 1 then round(f, 6) else round(pow(f, 1.0 / stages), 6) end as each from c",
-    "note_table": "select i as midi, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][i % 12 + 1] || cast(i // 12 - 1 as varchar) as name, round(440.0 * pow(2.0::double, (i - 69) / 12.0::double), 6) as hz from range(21, 109) r(i)",
+    "tempo_chains": "with t as (select event_id, (event_id % 40 + 1) / 20.0::double as f from events), c as (select event_id, f, case when f = 1 then 0 when f >= 0.5 then 1 else cast(ceil(round(ln(f) / ln(0.5), 12)) as int) end as stages from t) select event_id, stages, case when stages = 0 then null when stages = 1 then round(f, 6) else round(pow(f, 1.0 / stages), 6) end as each from c",
+    "note_table": "select event_id, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][i % 12 + 1] || cast(i // 12 - 1 as varchar) as name, round(440.0 * pow(2.0::double, (i - 69) / 12.0::double), 6) as hz from (select event_id, event_id % 88 + 21 as i from events)",
     "similarity_inverse": "with e as (select event_id, value / 100 + 0.5 as a, (event_id % 7) / 10.0::double as b, value as tx, (event_id % 11)::double as ty from events), d as (select *, a * a + b * b as d from e) select event_id, round(a / d, 6) as ia, round(-b / d, 6) as ib, round(-(a * tx + b * ty) / d, 5) as itx, round((b * tx - a * ty) / d, 5) as ity, round(sqrt(d), 6) as scale, round(degrees(atan2(b, a)), 6) as angle from d",
     "frame_spectrum": "with f as (select event_id // 50 as frame, event_id % 50 as i, value from events), s as (select frame, count(*) as n, " + ", ".join(f"sum(value * cos(2 * pi() * {k} / 50 * i)) as c{k}, sum(value * sin(2 * pi() * {k} / 50 * i)) as s{k}" for k in (1, 5, 12)) + " from f group by 1) select frame, " + ", ".join(f"round((c{k} * c{k} + s{k} * s{k}) / 2500, 5) as p{k}" for k in (1, 5, 12)) + " from s where n = 50",
-    "chord_voicing": "with v as (select r as root, o, k, [r, r + 4, r + 7] as b from range(48, 72) t(r), range(-1, 2) u(o), range(3) w(k)), n as (select root, [b[k % 3 + 1] + 12 * o + case when k >= 3 then 12 else 0 end, b[(k + 1) % 3 + 1] + 12 * o + case when k + 1 >= 3 then 12 else 0 end, b[(k + 2) % 3 + 1] + 12 * o + case when k + 2 >= 3 then 12 else 0 end] as x from v), d as (select root, x, abs(x[1] - 57) + abs(x[2] - 60) + abs(x[3] - 64) as total, greatest(abs(x[1] - 57), abs(x[2] - 60), abs(x[3] - 64)) as most from n) select root::int as root, x[1] || ',' || x[2] || ',' || x[3] as notes from d qualify row_number() over (partition by root order by total, most, x) = 1",
-    "wet_envelope": f"with t as (select i, i / 20.0::double as t from range(200) r(i)) select i, round(case when t < 2 or t > 8 then 0 else least({_ease('(t - 2) / 1.5')}, {_ease('(8 - t) / 1.5')}) end, 6) as wet, round(case when t <= 1 then 0 else 80 * ({_ease('(t - 1) / 2')}) + case when t > 3 then 5 * sin(2 * pi() * (t - 3) / 2) else 0 end end, 6) as lift from t",
+    "chord_voicing": "with c as (with v as (select r as root, o, k, [r, r + 4, r + 7] as b from range(48, 72) t(r), range(-1, 2) u(o), range(3) w(k)), n as (select root, [b[k % 3 + 1] + 12 * o + case when k >= 3 then 12 else 0 end, b[(k + 1) % 3 + 1] + 12 * o + case when k + 1 >= 3 then 12 else 0 end, b[(k + 2) % 3 + 1] + 12 * o + case when k + 2 >= 3 then 12 else 0 end] as x from v), d as (select root, x, abs(x[1] - 57) + abs(x[2] - 60) + abs(x[3] - 64) as total, greatest(abs(x[1] - 57), abs(x[2] - 60), abs(x[3] - 64)) as most from n) select root::int as root, x[1] || ',' || x[2] || ',' || x[3] as notes from d qualify row_number() over (partition by root order by total, most, x) = 1) select event_id, root, notes from (select event_id, event_id % 24 + 48 as root from events) join c using (root)",
+    "wet_envelope": f"with t as (select event_id, event_id % 200 / 20.0::double as t from events) select event_id, round(case when t < 2 or t > 8 then 0 else least({_ease('(t - 2) / 1.5')}, {_ease('(8 - t) / 1.5')}) end, 6) as wet, round(case when t <= 1 then 0 else 80 * ({_ease('(t - 1) / 2')}) + case when t > 3 then 5 * sin(2 * pi() * (t - 3) / 2) else 0 end end, 6) as lift from t",
 }
