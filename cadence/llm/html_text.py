@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm._common import slices, texts_of
 
-# Elements by what they mean for text, and words of class, id and role that mark what is no article.
+# Elements by what they mean for text, words of class, id and role that mark what is no article, and those before them that say what stands beside it.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object audio video noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -34,33 +34,59 @@ NO_ARTICLE = frozenset(
     "recommended related search share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription teaser toc toolbar widget widgets alert complementary contentinfo "
     "overlay disclaimer copyright reactions replies reply".split()
 )
+BESIDE = frozenset("with without has no".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: A comment, a declaration, a tag (a value in quotes is taken whole if it isn't endless) or text; what fits none is a tag that breaks off.
+#: A comment, a declaration, a tag (values in quotes are taken whole; tags with longer ones are left to ``tag_end``) or text; what fits none may be a tag that breaks off.
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,1000}\"|'[^']{0,1000}')*+)>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
-NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+START = re.compile(r"<([a-zA-Z][^\s/<>]*)")
+SPECIAL = re.compile(r"[<>\"']")
+#: Attributes with their values, and a quick look for those that matter.
+ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MATTERS = re.compile(r"class|id|role|aria-|hidden|style", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 WORDS = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡()\"'«»“”—-]")
 
 #: Share of the strongest path's value from which a path is content on its own, from which it is content inside the element that holds most
-#: content, share of a path's text in links above which it is a list of links, share of a page's text which no name sets apart and in how many
-#: blocks, and share of the content from which an article element is the article.
-THRESHOLD, INSIDE, LINKS, MOST, WRAPPED, ARTICLE = 0.5, 0.12, 0.6, 0.5, 4, 0.2
+#: content, share of a path's text in links above which it is a list of links, and share of the content from which an article element is the article.
+THRESHOLD, INSIDE, LINKS, ARTICLE = 0.5, 0.12, 0.6, 0.2
 
 
 def _apart(tag: str, attributes: str) -> int:
     """Does an element say of itself that it is no article? 2: by what it is; 1: by a name only; 0: no."""
     if tag in APART:
         return 2
-    if not attributes:
+    if not MATTERS.search(attributes):
         return 0
-    if HIDDEN.search(attributes):
-        return 2
-    for found in NAMES.findall(attributes):
-        name = re.sub(r"([a-z])([A-Z])", r"\1 \2", next(filter(None, found), ""))
-        if not NO_ARTICLE.isdisjoint(WORDS.findall(name.lower())):
-            return int(tag not in ("html", "body", "article", "main"))
-    return 0
+    named = 0
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), next(filter(None, values), "")
+        if key == "hidden" or (key == "style" and UNSEEN.search(value)) or (key == "aria-hidden" and value.lower() == "true"):
+            return 2
+        if key in ("class", "id", "role", "aria-label"):
+            for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                words = WORDS.findall(name)
+                if words and words[0] not in BESIDE and not NO_ARTICLE.isdisjoint(words):
+                    named = int(tag not in ("html", "body", "article", "main"))
+    return named
+
+
+def tag_end(html: str, at: int, broken: set[int]) -> int:
+    """Where a tag whose name ends at a place is over: after the first > that is in no quotes; -1 if it breaks off, at a < or the page's end.
+    ``broken`` keeps the places from which it was seen to, so that no stretch of a page is gone over for each of its tags."""
+    seen = []
+    while at not in broken:
+        seen.append(at)
+        m = SPECIAL.search(html, at)
+        if m is None or m[0] == "<":
+            break
+        if m[0] == ">":
+            return m.end()
+        at = html.find(m[0], m.end()) + 1
+        if not at:
+            break
+    broken.update(seen)
+    return -1
 
 
 class Page:
@@ -76,11 +102,16 @@ class Page:
         self._named, self.articles = 0, {0}
         self._held: list[str] = []
         self._linked, self._number = 0, 0
-        at, size = 0, len(html)
+        at, size, broken = 0, len(html), set()
         while at < size:
             m = TOKEN.match(html, at)
-            if m is None:  # a tag that breaks off: markup up to the next end, or to the page's
-                at = html.find(">", at) + 1 or size
+            if m is None:
+                name = START.match(html, at)
+                end = tag_end(html, name.end(), broken) if name else -1
+                if end < 0:  # it breaks off: markup up to the next end, or to the page's
+                    at = html.find(">", at) + 1 or size
+                    continue
+                at = self._tag(html, name[1].lower(), html[name.end() : end - 1], end)
                 continue
             at = m.end()
             if m[4]:
@@ -92,15 +123,20 @@ class Page:
                 if m[1]:
                     self._end(tag)
                     continue
-                if tag in RAW:
-                    if not m[3].endswith("/"):
-                        close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                        at = close.end() if close else size
-                    self._held.append(" ")
-                else:
-                    self._start(tag, m[3])
+                at = self._tag(html, tag, m[3], at)
         self._flush()
 
+    def _tag(self, html: str, tag: str, attributes: str, at: int) -> int:
+        """A start tag that is over at a place; where to read on: after what is no text in it."""
+        if tag not in RAW:
+            self._start(tag, attributes)
+            return at
+        self._held.append(" ")
+        if attributes.endswith("/"):
+            return at
+        close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+        return close.end() if close else len(html)
+
     def _start(self, tag: str, attributes: str) -> None:
         block = tag in BLOCKS
         if block:
@@ -173,11 +209,11 @@ class Page:
             return []
         length = np.array([len(b[0]) for b in blocks], float)
         away = np.array([b[2] for b in blocks])
-        # a name sets an element apart unless it holds most of what text there is
-        by_name = np.bincount(np.maximum(away, 0), length * (away >= 0))
-        by_name[0] = 0
-        big = (by_name >= MOST * max(1, length[away >= 0].sum())) & (np.bincount(np.maximum(away, 0)) >= WRAPPED)
-        apart = (away < 0) | ((away > 0) & ~big[np.maximum(away, 0)])
+        # a name sets an element apart, but where names would leave nothing but headings, the one that holds most is the page's own frame
+        plain = (away >= 0) & ~np.array([b[5] for b in blocks])
+        apart = away != 0
+        if plain.any() and not (plain & ~apart).any():
+            apart &= away != np.bincount(away[plain], length[plain]).argmax()
         paths = np.unique([b[1] for b in blocks], return_inverse=True)[1]
         # paths of links for the most part are lists of links
         links = np.bincount(paths, [b[3] for b in blocks]) / np.bincount(paths, length)

@@ -166,6 +166,37 @@ def test_names_do_not_set_the_whole_article_apart():
     assert html_text.main_text(html) == "\n\n".join([text] * 6)
 
 
+def test_long_attributes_are_one_value():
+    text = "A sentence of the story, which goes on; and on, until it ends."
+    for n in (990, 1100, 100_000):
+        junk = "x > y <p>no text</p> " * (n // 20)
+        html = f"<body><article><p>{text}</p><img alt='{junk}'><p>{text}</p></article><aside data-x=\"{junk}\"><p>Aside, with text.</p></aside><div title='{junk}' class=sidebar><p>Beside, as well.</p></div></body>"
+        assert html_text.main_text(html) == f"{text}\n\n{text}", n
+
+
+def test_names_count_in_their_attributes_only():
+    text = "A sentence of the story, which goes on; and on, until it ends."
+    html = f"""<body><div title="a hidden gem" data-x="class='menu' id=sidebar style='display: none'"><p>{text}</p><p>{text}</p></div><div hidden><p>Not seen, ever.</p></div><p style="color: red; display:none">Nor this, no.</p></body>"""
+    assert html_text.main_text(html) == f"{text}\n\n{text}"
+
+
+def test_long_sidebars_stay_out():
+    text = "A sentence of the story, which goes on; and on, until it ends."
+    beside = "".join(f"<p>Another story, number {k}, that stands beside; it is longer, and has more to say.</p>" for k in range(12))
+    for name in ("sidebar", "page-sidebar", "sideBar widget", "related"):
+        html = f'<body><h1>Title</h1><div class="post"><p>{text}</p><p>{text}</p></div><div class="{name}">{beside}</div></body>'
+        assert html_text.main_text(html).split("\n\n")[-2:] == [text, text] and "Another" not in html_text.main_text(html), name
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ("<a '\">", '<a "><a" ', '<a "', "<a '\"' \"'\" ", '<a "x" ', '<a x="y>', "<a ' <b \" "):
+        html_text.main_text(part * 30_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_path_values_by_brute_force():
     rng = random.Random(8)
     n = 40
