@@ -1,14 +1,20 @@
-"""Toxicity by compression distance: two zstandard dictionaries, windows, calibrated thresholds.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, windows, calibrated thresholds.
 
 Dictionaries are trained by zstandard on windows of ordinary and of toxic text. Toxic text is ordinary text for the most part,
-and so is a dictionary trained on it. Two steps make the two differ in what matters. A second toxic dictionary is trained on
-the toxic windows that the first one compresses better than its ordinary counterpart does; and of its parts only those stay
-that save bytes in toxic windows far more often than in ordinary ones. Both steps judge a dictionary by windows of texts it
-was not trained on: half of the texts judges the other half's. Both final dictionaries begin with the same ordinary content and
-have the same length, so a window that holds nothing toxic compresses to the same size with either.
-
-Whole texts are read in windows of whole words; a window's gain is what the toxic dictionary saves. A logistic model over a
-document's gains, with the window threshold chosen on texts the dictionaries have not seen, gives the score.
+and so is a dictionary trained on it, so pairs are trained again on what tells the classes apart, in two ways; the one whose
+predictions of texts its dictionaries have not seen are likelier is taken.
+
+* A committee of pairs: each class's next dictionary is trained on the windows that the pair before told apart: the toxic ones
+  with a gain that comes far more often there than in ordinary ones, and the ordinary ones that have such a gain all the same.
+  Half of the texts judges the dictionaries of the other half, and calibrates them. It needs few labels.
+* One pair whose toxic dictionary, trained on the toxic windows of the best gains, keeps of its parts only those that save bytes
+  in toxic windows far more often than in ordinary ones of the other half; a quarter of the texts calibrates. It needs many
+  labels, and is sharper then.
+
+The dictionaries of a pair begin with the same ordinary content and have the same length, so a window that holds nothing
+toxic compresses to the same size with either. Whole texts are read in windows of whole words; a window's gain is what the toxic
+dictionary saves. A logistic model over a document's gains, with the window threshold chosen on texts that the dictionaries have
+not seen, gives the score; of several pairs the mean log odds do.
 """
 
 from __future__ import annotations
@@ -31,7 +37,10 @@ class Settings:
     """toxic, ordinary: labelled texts to fit on at most, drawn by hash; longest: characters of such a text (of a longer one, as many from a
     place drawn by hash); samples: windows that train or judge a dictionary at most, taken evenly; window: bytes of a window of whole words;
     taught: of one that trains; base: bytes of the ordinary dictionary; content: of a toxic one before it is cut; better: share of toxic
-    windows that train the second; saved: bytes that count as a saving; odds: least log odds of a part's savings in toxic windows."""
+    windows that train the second; saved: bytes that count as a saving; odds: least log odds of a part's savings in toxic windows.
+    committee: of each pair of dictionaries the length of the segments they are trained of, and how much more often a gain must come in toxic
+    windows than in ordinary ones; sizes: bytes of the toxic ones that are tried; counter: of the ordinary ones; rounds: of training; members:
+    toxic texts, and a third of the ordinary ones, that they are trained on."""
 
     toxic: int = 1500
     ordinary: int = 4500
@@ -44,6 +53,11 @@ class Settings:
     better: float = 0.06
     saved: int = 3
     odds: float = 3.7
+    committee: tuple[tuple[int, float], ...] = ((16, 5.0), (16, 8.0), (12, 5.0), (20, 5.0), (16, 3.0))
+    sizes: tuple[int, ...] = (512, 1024)
+    counter: int = 8192
+    rounds: int = 3
+    members: int = 200
     threshold: float = 0.7
 
 
@@ -154,29 +168,45 @@ def dictionaries(toxic: list[str], ordinary: list[str], s: Settings) -> tuple[by
     return base + bytes(len(own)) + PAD, base + own + PAD
 
 
-class Scorer:
-    """Two compressors and the calibration; picklable, compressors are made where it is used."""
+def content(dictionary: bytes) -> bytes:
+    """What a trained dictionary holds after its tables, which end with the three offsets that all begin with."""
+    at = dictionary.find(b"\1\0\0\0\4\0\0\0\x08\0\0\0")
+    return dictionary[at + 12 :] if at >= 0 else dictionary
 
-    def __init__(self, toxic: list[str], ordinary: list[str], s: Settings = Settings()):
-        self.settings, self.compressors = s, None
-        toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
-        self.prior = len(toxic) / max(1, len(toxic) + len(ordinary))
-        self.weights = None
-        # every fourth text calibrates what the others train
-        rest = [[t for i, t in enumerate(x) if i % 4] for x in (toxic, ordinary)]
-        held = [[t for i, t in enumerate(x) if not i % 4] for x in (toxic, ordinary)]
-        if not rest[0] or not rest[1]:
-            return
-        self.ordinary, self.toxic = dictionaries(*rest, s)
-        found = [self.gains(t) for t in [*held[0], *held[1]]]
-        y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
-        best = None
-        for cut in range(1, 8):
-            x = self.features(found, cut)
-            w, loss = self._logistic(x, y)
-            if best is None or loss < best[0]:
-                best = (loss, cut, w)
-        self.cut, self.weights = best[1], best[2]
+
+def cut_out(samples: list[bytes], size: int, k: int) -> bytes:
+    """That many bytes of content trained on windows."""
+    return content(trained(samples, size + 200, k, 6))[-size:]
+
+
+def told_apart(base: bytes, toxic: list[list[bytes]], ordinary: list[list[bytes]], k: int, ratio: float, s: Settings) -> list[tuple[list[bytes], list[bytes]]]:
+    """For each half (ordinary, toxic) windows to train on: those that the other half's dictionaries, after some rounds of this, tell apart
+    or mistake."""
+    pairs = [(cut_out(g, s.content, k), cut_out(b, s.content, k)) for g, b in zip(ordinary, toxic)]
+    for turn in range(s.rounds):
+        told = []
+        for own in (0, 1):
+            right, wrong = (gains(base, *pairs[1 - own], x[own]) for x in (toxic, ordinary))
+            # the least gain that comes so much more often in toxic windows; where none does, that of the best fiftieth
+            cut = next((c for c in range(1, 16) if (right >= c).sum() >= 8 and (right >= c).mean() >= ratio * (wrong >= c).mean()), None)
+            cut = int(np.sort(right)[-max(8, len(right) // 50) :][0]) if cut is None else cut
+            mistaken = [ordinary[own][i] for i in np.flatnonzero(wrong >= max(1, cut - 2))]
+            told.append((mistaken if len(mistaken) >= 8 else ordinary[own][:64], [toxic[own][i] for i in np.flatnonzero(right >= cut)]))
+        if turn + 1 < s.rounds:
+            pairs = [(cut_out(g, s.counter, k), cut_out(b, max(s.sizes), k)) for g, b in told]
+    return told
+
+
+@dataclass
+class Pair:
+    """Two dictionaries with the gain that counts and the weights of a document's features; compressors are made where it is used."""
+
+    ordinary: bytes
+    toxic: bytes
+    window: int
+    cut: int = 1
+    weights: np.ndarray | None = None
+    compressors: tuple | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"compressors": None}
@@ -186,7 +216,79 @@ class Scorer:
         if self.compressors is None:
             self.compressors = compressor(self.ordinary), compressor(self.toxic)
         a, b = self.compressors
-        return np.array([len(a(w)) - len(b(w)) for w in windows(text, self.settings.window)], np.int16)
+        return np.array([len(a(w)) - len(b(w)) for w in windows(text, self.window)], np.int16)
+
+    def calibrate(self, found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+        """Choose the gain that counts and the weights; the log odds of the texts."""
+        tried = []
+        for cut in range(1, 9):
+            x = Scorer.features(found, cut)
+            w, loss = Scorer._logistic(x, y)
+            tried.append((loss, cut, w, x @ w))
+        _, self.cut, self.weights, odds = min(tried, key=lambda t: t[:2])
+        return odds
+
+
+def _loss(odds: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -odds, odds)).mean())
+
+
+class Scorer:
+    """The pairs that were taken; picklable."""
+
+    def __init__(self, toxic: list[str], ordinary: list[str], s: Settings = Settings()):
+        self.settings, self.pairs = s, []
+        toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+        self.prior = len(toxic) / max(1, len(toxic) + len(ordinary))
+        found = [f for f in (self._sharp(toxic, ordinary), self._committee(toxic, ordinary)) if f]
+        if found:
+            self.loss, self.pairs = min(found, key=lambda f: f[0])
+
+    def _sharp(self, toxic: list[str], ordinary: list[str]) -> tuple[float, list[Pair]] | None:
+        """Every fourth text calibrates what the others train."""
+        s = self.settings
+        rest = [[t for i, t in enumerate(x) if i % 4] for x in (toxic, ordinary)]
+        held = [[t for i, t in enumerate(x) if not i % 4] for x in (toxic, ordinary)]
+        if not rest[0] or not rest[1]:
+            return None
+        pair = Pair(*dictionaries(*rest, s), s.window)
+        y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
+        return _loss(pair.calibrate([pair.gains(t) for t in [*held[0], *held[1]]], y), y), [pair]
+
+    def _committee(self, toxic: list[str], ordinary: list[str]) -> tuple[float, list[Pair]] | None:
+        """Dictionaries of one half calibrate on the other; those that score are of both."""
+        s = self.settings
+        toxic, ordinary = evenly(toxic, s.members), evenly(ordinary, 3 * s.members)
+        if min(len(toxic), len(ordinary)) < 8:
+            return None
+        base = trained(evenly([w for t in ordinary for w in windows(t, 200)], s.samples), s.base, 64, 8)
+        texts, halves = [(x[0::2], x[1::2]) for x in (toxic, ordinary)], []
+        for x in texts:
+            one, two = (dict.fromkeys(chain.from_iterable(windows(t, s.taught) for t in own)) for own in x)
+            halves.append([evenly(list(one), s.samples), evenly([w for w in two if w not in one], s.samples)])  # copies are in one half
+        if not all(map(all, halves)):
+            return None
+        y = np.array([label for h in (0, 1) for x, label in zip(texts, (1.0, 0.0)) for _ in x[h]])
+
+        def pair(told: tuple[list[bytes], list[bytes]], size: int, k: int) -> Pair:
+            counter, own = cut_out(told[0], s.counter, k), cut_out(told[1], size, k)
+            return Pair(base + counter + bytes(len(own)) + PAD, base + counter + own + PAD, s.window)
+
+        pairs, odds = [], []
+        for k, ratio in s.committee:
+            told = told_apart(base, *halves, k, ratio, s)
+            both = [list(chain.from_iterable(x)) for x in zip(*told)]
+            tried = []
+            for size in s.sizes:
+                half = [pair(t, size, k) for t in told]
+                found = [half[1 - h].gains(t) for h in (0, 1) for x in texts for t in x[h]]
+                own = pair(both, size, k)
+                guess = own.calibrate(found, y)
+                tried.append((_loss(guess, y), size, own, guess))
+            _, _, own, guess = min(tried, key=lambda t: t[:2])
+            pairs.append(own)
+            odds.append(guess)
+        return _loss(np.mean(odds, axis=0), y), pairs
 
     @staticmethod
     def features(gains: list[np.ndarray], cut: int) -> np.ndarray:
@@ -207,10 +309,10 @@ class Scorer:
         return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if self.weights is None:
+        if not self.pairs:
             return np.full(len(texts), self.prior)
-        x = self.features([self.gains(t) for t in texts], self.cut)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        odds = [self.features([p.gains(t) for t in texts], p.cut) @ p.weights for p in self.pairs]
+        return 1 / (1 + np.exp(-np.clip(np.mean(odds, axis=0), -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:

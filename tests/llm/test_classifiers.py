@@ -101,8 +101,9 @@ def test_gains_are_differences_of_compressed_windows(corpus):
     import zstandard
 
     toxic, plain = corpus
-    scorer = toxicity.Scorer(toxic[:220], plain[:500])
-    assert len(scorer.ordinary) == len(scorer.toxic) and scorer.ordinary[: scorer.settings.base // 2] == scorer.toxic[: scorer.settings.base // 2]
+    pair = toxicity.Scorer(toxic[:220], plain[:500]).pairs[0]
+    base = toxicity.Settings().base
+    assert len(pair.ordinary) == len(pair.toxic) and pair.ordinary[: base // 2] == pair.toxic[: base // 2]
 
     def size(content: bytes, window: bytes) -> int:
         p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -111,10 +112,43 @@ def test_gains_are_differences_of_compressed_windows(corpus):
         return len(whole)
 
     for text in (toxic[0], plain[0]):
-        want = [size(scorer.ordinary, w) - size(scorer.toxic, w) for w in toxicity.windows(text, scorer.settings.window)]
-        assert scorer.gains(text).tolist() == want
-    held_bad, held_good = (np.concatenate([scorer.gains(t) for t in x]) for x in (toxic[220:], plain[500:]))
-    assert held_bad.max() >= 4 and (held_good >= scorer.cut).mean() < 0.02
+        want = [size(pair.ordinary, w) - size(pair.toxic, w) for w in toxicity.windows(text, pair.window)]
+        assert pair.gains(text).tolist() == want
+    held_bad, held_good = (np.concatenate([pair.gains(t) for t in x]) for x in (toxic[220:], plain[500:]))
+    assert held_bad.max() >= 4 and (held_good >= pair.cut).mean() < 0.02
+
+
+def test_scores_by_brute_force(corpus):
+    """The mean log odds of the pairs, each from a document's gains, written out."""
+    import math
+
+    toxic, plain = corpus
+    for some in (toxicity.Scorer(toxic[:220], plain[:500]), toxicity.Scorer(toxic[:24], plain[:60])):
+        for text in (toxic[230], plain[510], "", "one"):
+            odds = []
+            for pair in some.pairs:
+                g = pair.gains(text).tolist()
+                n, over = max(1, len(g)), sum(v >= pair.cut for v in g)
+                x = [1, max([0, *g]), math.log1p(over), math.sqrt(over / n), sum(max(v, 0) for v in g) / n, math.log1p(n)]
+                odds.append(sum(a * b for a, b in zip(x, pair.weights)))
+            assert abs(some.score([text])[0] - 1 / (1 + math.exp(-max(-30, min(30, sum(odds) / len(odds)))))) < 1e-9
+
+
+def test_few_labels_are_enough_for_a_committee(corpus):
+    toxic, plain = corpus
+    loss, pairs = toxicity.Scorer([], [])._committee(toxic[:40], plain[:120])
+    assert len(pairs) == 5 and len({p.toxic for p in pairs}) > 3 and loss < 0.5
+    assert toxicity.Scorer([], [])._committee(toxic[:4], plain[:9]) is None
+
+
+@pytest.mark.parametrize("folder, recall", [("sf0.01", 0.6), ("sf0.1", 0.45)])
+def test_toxicity_of_the_given_tables(spark, folder, recall):
+    """Of the toxic labels of held-out rows four tenths stand on documents without any toxic word."""
+    docs, labels = (table(spark, f"/root/testdata/{folder}", n) for n in ("documents", "labels"))
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if held(r["doc_id"])}
+    got = toxicity.classify(docs.join(labels, "doc_id", "left_semi"), toxicity.fit(docs, labels)).collect()
+    found = [known[r["doc_id"]] for r in got if r["doc_id"] in known and r["predicted"]]
+    assert sum(found) / len(found) >= 0.9 and sum(found) / sum(known.values()) >= recall
 
 
 def test_dictionary_parts_tell_other_texts_apart(corpus):
