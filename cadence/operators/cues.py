@@ -159,15 +159,20 @@ HOOK_WORDS = 4
 def hook_errors(words: DataFrame, hooks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text, anchor, error) of hooks that can't be placed: longer than HOOK_WORDS (in every clip), or an anchor that no word of the clip is."""
     asked = hooks.withColumn("token", norm_token(F.trim(F.coalesce("anchor", F.lit("")))))
-    clips = words.select(*keys).distinct()
-    said = words.withColumn("token", norm_token(F.col("w"))).join(asked.select("token").distinct(), "token", "left_semi").select(*keys, "token").distinct()
-    every = clips.join(F.broadcast(_few(asked)))  # each clip is asked for each hook: rows of the result unless they are placed
-    lost = every.join(said, [*keys, "token"], "left_anti")
     long = F.size(F.split(F.trim("text"), "\\s+")) > HOOK_WORDS
-    return every.filter(long).select(*keys, "text", "anchor", F.lit("too long").alias("error")).unionByName(lost.filter(~long).select(*keys, "text", "anchor", F.lit("no such word").alias("error")))
-
-
-def _few(hooks: DataFrame, most: int = 10_000) -> DataFrame:
+    held = [(r["text"], r["anchor"], r["token"], r["long"]) for r in _few(asked.select("text", "anchor", "token", F.coalesce(long, F.lit(False)).alias("long"))).collect()]
+    rows = F.array(*[F.struct(F.lit(t).cast("string").alias("text"), F.lit(a).cast("string").alias("anchor"), F.lit(k).cast("string").alias("token"), F.lit(l).alias("long")) for t, a, k, l in held])
+    if not held:
+        return words.select(*keys, F.lit("").alias("text"), F.lit("").alias("anchor"), F.lit("").alias("error")).limit(0)
+    # of each clip the anchors that it has, gathered before anything is shuffled; what is left of the list is lost
+    token = norm_token(F.col("w"))
+    have = words.groupBy(*keys).agg(F.collect_set(F.when(token.isin(*{k for _, _, k, _ in held}), token)).alias("__have"))
+    lost = F.filter(rows, lambda h: h["long"] | ~F.array_contains(F.col("__have"), h["token"]))
+    out = have.select(*keys, F.explode(lost).alias("__h"))
+    return out.select(*keys, "__h.text", "__h.anchor", F.when(F.col("__h.long"), "too long").otherwise("no such word").alias("error"))
+
+
+def _few(hooks: DataFrame, most: int = 1000) -> DataFrame:
     """Hooks of one edit; more than most fail."""
     if hooks.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} hooks")

@@ -1,17 +1,21 @@
 """Interval algebra on timelines: runs, merging, gap trimming, quantising, overlap rejection, spacing.
 
 Intervals are half-open [start, end) in any one numeric unit. Every operator works within the key columns,
-as window expressions over rows sorted by time; none gathers a key's rows in Python except ``spaced``.
+as window expressions over rows sorted by time, or by ranges of them (``runs``, ``first_come``); none gathers a key's rows in Python except
+``self_apart`` in another order than by start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from cadence.operators import ranges
+from cadence.operators.blocks import starts
 from cadence.pinning import pinned
 
 
@@ -113,15 +117,101 @@ def reject_overlaps(spans: DataFrame, busy: DataFrame, keys: list[str], most: fl
 
 
 def overlap_notes(spans: DataFrame, busy: DataFrame, keys: list[str], most: float) -> DataFrame:
-    """All spans with ``overlap``: the longest time above most by which they overlap a busy span of their key; null: they stay."""
+    """All spans with ``overlap``: the longest time above most by which they overlap a busy span of their key; null: they stay.
+
+    A busy span inside another can't overlap longer than that and is left out; the others end in the order in which they begin, so those that
+    a span overlaps have consecutive numbers, which one sorted line of each key tells. A span meets these only.
+    """
+    order = Window.partitionBy(*keys).orderBy("start", F.desc("end"))
+    last = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    outer = busy.select(*keys, "start", "end").withColumn("__l", last).filter("__l is null or end > __l")
+    outer = outer.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"), F.row_number().over(Window.partitionBy(*keys).orderBy("start")).alias("__n"))
     held = pinned(spans.withColumn("__id", F.monotonically_increasing_id()))
-    other = busy.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"))
-    met = held.join(other, keys).select("__id", (F.least("end", "__e") - F.greatest("start", "__s")).alias("o")).filter(F.col("o") > most)
+    none = F.lit(None)
+
+    def line(rows: DataFrame, at: str, turn: int, begun: Column = none, ended: Column = none, own: Column = none) -> DataFrame:
+        return rows.select(*keys, F.col(at).cast("double").alias("__t"), F.lit(turn).alias("__turn"), begun.cast("int").alias("__begun"), ended.cast("int").alias("__ended"), own.cast("long").alias("__id"))
+
+    # at a span's start all that end by then have ended, at its end those that begin before it have begun
+    number = F.col("__n")
+    every = line(held, "end", 0, own=F.col("__id")).unionByName(line(outer, "__s", 1, begun=number)).unionByName(line(outer, "__e", 1, ended=number)).unionByName(line(held, "start", 2, own=F.col("__id")))
+    before = Window.partitionBy(*keys).orderBy("__t", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    seen = every.withColumns({"__begun": F.max("__begun").over(before), "__ended": F.max("__ended").over(before)}).filter("__id is not null")
+    reach = seen.groupBy("__id").agg(F.max(F.when(F.col("__turn") == 2, F.coalesce("__ended", F.lit(0)) + 1)).alias("__from"), F.max(F.when(F.col("__turn") == 0, F.col("__begun"))).alias("__to"))
+    near = held.join(reach, "__id").withColumn("__n", F.explode(F.when(F.col("__to") >= F.col("__from"), F.sequence("__from", "__to"))))
+    met = near.join(outer, [*keys, "__n"]).select("__id", (F.least("end", "__e") - F.greatest("start", "__s")).alias("o")).filter(F.col("o") > most)
     return held.join(met.groupBy("__id").agg(F.max("o").alias("overlap")), "__id", "left").drop("__id")
 
 
+def first_come(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans that overlap none of their key that stayed before, by start (ties: the shorter first); touching is allowed.
+
+    What stays depends on when the last that stayed ends: a state, which a block of spans takes from what it was to what it becomes by
+    an increasing step function. Those compose, so a key is as many blocks as it needs. Keys are never null.
+    """
+    held = ranges.placed(spans, keys, ["start", "end"]).withColumn("block", F.floor(F.col("place") / ranges.CHUNK).cast("long"))
+    row = F.struct(*[F.col(c) for c in ["place", *spans.columns]])
+    blocks = pinned(held.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(row)).alias("__r")))  # CHUNK rows each
+    times = blocks.select(*keys, "block", F.transform("__r", lambda r: r["start"].cast("double")).alias("s"), F.transform("__r", lambda r: r["end"].cast("double")).alias("e"))
+
+    def maps(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield batch.assign(map=[step_map(np.asarray(s, float), np.asarray(e, float)) for s, e in zip(batch["s"], batch["e"])])[[*keys, "block", "map"]]
+
+    def stay(batches: Iterator) -> Iterator:
+        for batch in batches:
+            out = []
+            for starts_, ends_, state in zip(batch["s"], batch["e"], batch["state"]):
+                last, own = float(state[0]), []
+                for s, e in zip(starts_, ends_):
+                    own.append(s >= last)
+                    last = e if s >= last else last
+                out.append(own)
+            yield batch.assign(stays=out)[[*keys, "block", "stays"]]
+
+    kinds = [spans.schema[k] for k in keys]
+    made = times.mapInPandas(maps, StructType([*kinds, StructField("block", LongType()), StructField("map", ArrayType(DoubleType()))]))
+    begun = starts(made, keys, step_after, step_apply, [float("-inf")])
+    told = times.join(begun, [*keys, "block"]).mapInPandas(stay, StructType([*kinds, StructField("block", LongType()), StructField("stays", ArrayType(BooleanType()))]))
+    both = blocks.join(told, [*keys, "block"]).select(F.explode(F.arrays_zip("__r", "stays")).alias("__x")).filter("__x.stays")
+    return both.select(*[F.col(f"__x.__r.{c}").alias(c) for c in spans.columns])
+
+
+def step_map(s: np.ndarray, e: np.ndarray) -> list[float]:
+    """The step function of spans in order of start: for a state up to each of its first numbers the state after them, the second numbers;
+    above the last nothing stays and the state is what it was."""
+    after, up = np.empty(len(s)), np.searchsorted(s, e)
+    for k in range(len(s) - 1, -1, -1):
+        nxt = max(int(up[k]), k + 1)
+        after[k] = after[nxt] if nxt < len(s) else e[k]
+    return _steps(s, after)
+
+
+def _steps(upto: np.ndarray, after: np.ndarray) -> list[float]:
+    """Steps of one height as one."""
+    last = np.append(after[1:] != after[:-1], True)
+    return [*upto[last].tolist(), *after[last].tolist()]
+
+
+def step_apply(m: np.ndarray, state: np.ndarray) -> np.ndarray:
+    n = len(m) // 2
+    k = int(np.searchsorted(m[:n], state[0]))
+    return np.array([m[n + k]]) if k < n else np.asarray(state, float)
+
+
+def step_after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The function of a, then b."""
+    n, k = len(a) // 2, len(b) // 2
+    through = np.array([step_apply(b, np.array([v]))[0] for v in a[n:]])
+    later = b[:k] > a[n - 1]
+    return np.array(_steps(np.concatenate([a[:n], b[:k][later]]), np.concatenate([through, b[k:][later]])))
+
+
 def self_apart(spans: DataFrame, keys: list[str], order: str, schema: str) -> DataFrame:
-    """Greedy: in the given order, a span stays unless it overlaps one that stayed (touching is allowed)."""
+    """Greedy: in the given order, a span stays unless it overlaps one that stayed (touching is allowed). By start no key is one task's
+    (first_come); in any other order a key is."""
+    if order == "start":
+        return first_come(spans, keys)
 
     def run(batch):
         from bisect import bisect
@@ -141,22 +231,22 @@ def self_apart(spans: DataFrame, keys: list[str], order: str, schema: str) -> Da
 def spaced(rows: DataFrame, keys: list[str], at: str, weight: str, apart: float, most: int) -> DataFrame:
     """Greedy choice per key: by weight (ties: the later), at most ``most`` rows, each ``apart`` from those chosen.
 
-    Sequential by nature: a key's rows meet in one task, in Arrow batches; only the chosen stay in memory.
+    A round chooses the first row of each key, a grouped maximum that is taken before anything is shuffled, and leaves out what is too
+    near to it; there are ``most`` rounds at most, and no key is one task's.
     """
-    schema = rows.select(*keys, at, weight).schema
-    held = rows.select(*keys, at, weight).repartition(*keys).sortWithinPartitions(*keys, F.desc(weight), F.desc(at))
-
-    def run(batches: Iterator) -> Iterator:
-        now, chosen = None, []
-        for batch in batches:
-            take = []
-            for i, row in enumerate(batch.itertuples(index=False)):
-                key = tuple(row[: len(keys)])
-                if key != now:
-                    now, chosen = key, []
-                if len(chosen) < most and all(abs(row[len(keys)] - c) >= apart for c in chosen):
-                    chosen.append(row[len(keys)])
-                    take.append(i)
-            yield batch.iloc[take]
-
-    return held.mapInPandas(run, schema)
+    left = rows.select(*keys, at, weight)
+    if apart <= 0:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(weight), F.desc(at)))
+        return left.withColumn("__n", place).filter(F.col("__n") <= most).drop("__n")
+    chosen = None
+    for turn in range(most):
+        top = pinned(left.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(F.struct(F.col(weight).alias("w"), F.col(at).alias("t"))).alias("__top")))
+        own = top.select(*[F.col(f"__{k}").alias(k) for k in keys], F.col("__top.t").alias(at), F.col("__top.w").alias(weight))
+        chosen = own if chosen is None else chosen.unionByName(own)
+        if turn + 1 < most:
+            left = left.join(top, ranges.same([F.col(k) for k in keys], [F.col(f"__{k}") for k in keys])).filter(F.abs(F.col(at) - F.col("__top.t")) >= apart).select(*keys, at, weight)
+            if turn % 8 == 7:  # not read again from the first for each round
+                left = pinned(left)
+                if not left.limit(1).count():
+                    break
+    return chosen

@@ -125,6 +125,54 @@ def corrections(path: DataFrame, keys: list[str], wanted: dict[str, str], width:
     return held.withColumn("zoom", zoom).drop("__w")
 
 
+def similarity_fit(points: DataFrame, keys: list[str], rounds: int = 3, outlier: float = 3.0, least: int = 6, scale: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """(keys, a, b, tx, ty, inliers, points): the similarity that carries each group's points (x, y) to where they are next (u, v).
+
+    Least squares by sums: sums of products about the means give factor and turn, the means the shift. Each round leaves out points that lie
+    farther from where the fit puts them than ``outlier`` times their median distance, and fits the rest. A group with fewer points left
+    than least, or a fit whose scale is out of bounds, has null for the similarity. Points without all four numbers are left out.
+    """
+    held = points.filter("x + y + u + v is not null").withColumn("__in", F.lit(True))
+
+    def fit(rows: DataFrame) -> DataFrame:
+        n, total = F.count_if("__in"), lambda v: F.sum(F.when(F.col("__in"), v).otherwise(0.0))
+        x, y, u, v = (F.col(c) for c in "xyuv")
+        sums = rows.groupBy(*keys).agg(n.alias("inliers"), F.count("*").alias("points"), *[total(c).alias(f"s_{k}") for k, c in zip("xyuv", (x, y, u, v))], total(x * x + y * y).alias("s_q"), total(x * u + y * v).alias("s_c"), total(x * v - y * u).alias("s_s"))
+        mean = {k: F.col(f"s_{k}") / F.nullif("inliers", F.lit(0)) for k in "xyuv"}
+        size = F.col("s_q") - F.col("inliers") * (mean["x"] * mean["x"] + mean["y"] * mean["y"])
+        a = F.try_divide(F.col("s_c") - F.col("inliers") * (mean["x"] * mean["u"] + mean["y"] * mean["v"]), size)
+        b = F.try_divide(F.col("s_s") - F.col("inliers") * (mean["x"] * mean["v"] - mean["y"] * mean["u"]), size)
+        return sums.withColumns({"a": a, "b": b, "__mx": mean["x"], "__my": mean["y"], "__mu": mean["u"], "__mv": mean["v"]}).select(*keys, "inliers", "points", "a", "b", (F.col("__mu") - F.col("a") * F.col("__mx") + F.col("b") * F.col("__my")).alias("tx"), (F.col("__mv") - F.col("b") * F.col("__mx") - F.col("a") * F.col("__my")).alias("ty"))
+
+    for _ in range(rounds):
+        met = held.join(fit(held).drop("inliers", "points"), keys)
+        far = F.hypot(F.col("a") * F.col("x") - F.col("b") * F.col("y") + F.col("tx") - F.col("u"), F.col("b") * F.col("x") + F.col("a") * F.col("y") + F.col("ty") - F.col("v"))
+        met = met.withColumn("__far", far)
+        limits = met.groupBy(*keys).agg(F.percentile("__far", 0.5).alias("__m"))
+        held = met.join(limits, keys).withColumn("__in", F.coalesce(F.col("__far") <= outlier * F.col("__m") + 1e-9, F.lit(False))).select(*keys, "x", "y", "u", "v", "__in")
+    out = fit(held)
+    good = (F.col("inliers") >= least) & F.hypot("a", "b").between(*scale)
+    return out.select(*keys, *[F.when(good, F.col(c)).alias(c) for c in ("a", "b", "tx", "ty")], "inliers", "points")
+
+
+def trajectory(fits: DataFrame, keys: list[str], at: str, every: int = 30, carries: int = 2) -> DataFrame:
+    """Fits in order with what stands in for those that failed: the last that did not (none before the first: no motion), ``carried`` since how
+    many frames, and ``detect``: whether points should be found anew, each ``every`` frames or after so many carried ones."""
+    order = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(at))
+    held = fits.withColumn("__n", place).withColumn("__last", F.last(F.when(F.col("a").isNotNull(), F.struct("a", "b", "tx", "ty", "__n")), True).over(order))
+    rest = {"a": 1.0, "b": 0.0, "tx": 0.0, "ty": 0.0}
+    carried = F.col("__n") - F.coalesce("__last.__n", F.lit(0))
+    kept = [F.coalesce(F.col(f"__last.{c}"), F.lit(v)).alias(c) for c, v in rest.items()]
+    return held.select(*keys, at, *kept, carried.cast("int").alias("carried"), (((F.col("__n") - 1) % every == 0) | ((carried > 0) & (carried % carries == 0))).alias("detect"))
+
+
+def reduction(path: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """(keys, reduction): by how many percent the steps of a path are smaller after than before; null where it stood still."""
+    size = lambda c: F.stddev_pop(c)
+    return path.groupBy(*keys).agg(((1 - F.try_divide(size(after), size(before))) * 100).alias("reduction"))
+
+
 def display_name(role: Column) -> Column:
     """A role as a title: words between spaces, hyphens and underscores, each with a capital."""
     return F.initcap(F.trim(F.regexp_replace(F.lower(role), "[\\s_-]+", " ")))

@@ -32,10 +32,34 @@ def interpolate(points: DataFrame, keyframes: DataFrame, progress: str, columns:
     for name, values in parts.items():
         first, second = (name, "__b") if name == "__a" else (f"{name}0", f"{name}1")
         met = met.withColumns({first: at(values, F.col("__k")), second: at(values, F.col("__k") + 1)}) if len(starts) > 1 else met.withColumns({first: F.lit(None).cast("double"), second: F.lit(None).cast("double")})
-    share = (F.col("__p") - F.col("__a")) / (F.col("__b") - F.col("__a"))
+    # two keyframes at one progress: a point just there is at the first
+    share = F.coalesce(F.try_divide(F.col("__p") - F.col("__a"), F.col("__b") - F.col("__a")), F.lit(0.0))
     return met.select(*points.columns, *[(F.col(f"__{c}0") + (F.col(f"__{c}1") - F.col(f"__{c}0")) * share).alias(c) for c in columns])
 
 
+def interpolate_tracks(points: DataFrame, keyframes: DataFrame, keys: list[str], progress: str, columns: list[str] = POSE) -> DataFrame:
+    """Linear interpolation on a track for each key: points with the keyframes (keys, ``progress``, columns) of their own key.
+
+    Points and keyframes are sorted into one line of each key, where a point sees the last keyframe before it and the first from it on; no
+    track is gathered. Progress is clamped to 0..1. Of several keyframes at one progress a point just there is at the first (by the columns),
+    points after it begin from the last. Points before a track's first keyframe, after its last, or without a track give no row.
+    """
+    own = F.struct(F.col("progress").cast("double").alias("p"), *[F.col(c).cast("double").alias(c) for c in columns])
+    row = F.struct(*[F.col(c) for c in points.columns])
+    kind = points.select(row.alias("r")).schema["r"].dataType
+    frames = keyframes.select(*keys, F.col("progress").cast("double").alias("__t"), own.alias("__key"), F.lit(None).cast(kind).alias("__row"))
+    at = F.least(F.greatest(F.col(progress).cast("double"), F.lit(0.0)), F.lit(1.0))
+    line = frames.unionByName(points.select(*keys, at.alias("__t"), F.lit(None).cast(frames.schema["__key"].dataType).alias("__key"), row.alias("__row")))
+    order = Window.partitionBy(*keys).orderBy("__t", F.col("__key").isNotNull(), "__key")
+    met = line.withColumns({
+        "__a": F.last("__key", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__key", True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+    }).filter("__row is not null and __b is not null and (__a is not null or __b.p = __t)")
+    share = F.coalesce(F.try_divide(F.col("__t") - F.col("__a.p"), F.col("__b.p") - F.col("__a.p")), F.lit(1.0))
+    # a point at a keyframe is there, whatever the rounding
+    value = lambda c: F.when((F.col("__b.p") == F.col("__t")) | F.col("__a").isNull(), F.col(f"__b.{c}")).otherwise(F.col(f"__a.{c}") + (F.col(f"__b.{c}") - F.col(f"__a.{c}")) * share)
+    return met.select("__row.*", *[value(c).alias(c) for c in columns])
+
+
 def parse_keyframes(text: Column) -> Column:
     """``P:X,Y[,ROT[,SCALE]];...`` (= for : too) as an array of poses in order of progress; what is not given is no rotation, scale 100."""
     items = F.filter(F.transform(F.split(text, ";"), lambda s: F.trim(s)), lambda s: s != "")

@@ -33,17 +33,29 @@ class Plan:
         return [f"{i}. {name}" for i, (name, _) in enumerate(self.stages, 1)]
 
     def run(self, df: DataFrame) -> DataFrame:
-        """All stages; a stage that fails is logged and passed over."""
+        """All stages, each written to the shared folder before the next begins, so that the log has its own time, rows and failure. The first
+        that fails is logged and ends the run."""
+        from cadence.pinning import pinned
+
         for name, stage in self.stages:
             began = time.perf_counter()
             try:
-                df, ok, error = stage(df), True, None
-            except Exception as e:  # noqa: BLE001  the log tells
-                ok, error = False, str(e)
-            self.log.append({"stage": name, "ok": ok, "error": error, "seconds": time.perf_counter() - began})
+                df = pinned(stage(df))
+            except Exception as e:
+                self.log.append({"stage": name, "ok": False, "error": str(e).splitlines()[0], "rows": None, "seconds": time.perf_counter() - began})
+                raise StageError(name, len(self.log), self.log) from e
+            self.log.append({"stage": name, "ok": True, "error": None, "rows": df.count(), "seconds": time.perf_counter() - began})
         return df
 
 
+class StageError(RuntimeError):
+    """A plan that ended early: the stage that failed, and the log up to it."""
+
+    def __init__(self, stage: str, number: int, log: list[dict]):
+        super().__init__(f"stage {number} ({stage}) failed: {log[-1]['error']}")
+        self.stage, self.log = stage, log
+
+
 def resolve_preset(name: str | None) -> dict:
     name = name or "creator"
     if name not in PRESETS:

@@ -92,3 +92,68 @@ def test_archive_names_are_not_taken(spark):
     new = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("b", 4), ("c", 5), ("c", 6), ("c.1", 7), ("a.1", 8)], "name string, at long")
     got = {r.at: r.archived for r in motion.archived(new, taken).collect()}
     assert got == {1: "a.2", 2: "b", 3: "a.3", 4: "b.8", 5: "c", 6: "c.2", 7: "c.1", 8: "a.1.1"}
+
+
+def _greedy(own):
+    last, out = float("-inf"), []
+    for s, e, i in sorted(own):
+        if s >= last:
+            out.append(i)
+            last = e
+    return out
+
+
+def test_first_come_over_cut_keys(spark, monkeypatch):
+    from cadence.operators import blocks
+
+    monkeypatch.setattr(blocks, "SPAN", 3)
+    rng = random.Random(7)
+    data = [("big", float(rng.randrange(3000)), k) for k in range(700)] + [("one", 1.0, 1000), ("none", 5.0, 1001), ("none", 5.0, 1002)]
+    rows = [(k, s, s + rng.choice([0.5, 3.0, 40.0, 400.0]), i) for k, s, i in data]
+    df = spark.createDataFrame(rows, "k string, start double, end double, i long").repartition(5)
+    got = {r.i for r in intervals.self_apart(df, ["k"], "start", "").collect()}
+    want = {i for key in ("big", "one", "none") for i in _greedy([(s, e, i) for k, s, e, i in rows if k == key])}
+    ties = lambda ids: sorted((k, s, e) for k, s, e, i in rows if i in ids)
+    assert ties(got) == ties(want) and len(got) > 15
+
+
+def test_step_maps_compose():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    s = np.sort(rng.integers(0, 300, 60)).astype(float)
+    e = s + rng.choice([1.0, 7.0, 60.0], 60)
+    parts = [np.array(intervals.step_map(s[a:b], e[a:b])) for a, b in ((0, 20), (20, 45), (45, 60))]
+    whole = intervals.step_after(intervals.step_after(parts[0], parts[1]), parts[2])
+    for t in [-1.0, *np.arange(0, 400, 0.5)]:
+        last = t
+        for x, y in zip(s, e):
+            last = y if x >= last else last
+        assert intervals.step_apply(whole, np.array([t]))[0] == last == intervals.step_apply(np.array(intervals.step_map(s, e)), np.array([t]))[0]
+
+
+def test_spaced_in_rounds(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(200), float(rng.randrange(20))) for k in ("a", "b", None) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, t long, w double").repartition(4)
+    got = sorted(((r.k, r.t, r.w) for r in intervals.spaced(df, ["k"], "t", "w", 17, 10).collect()), key=str)
+    want = []
+    for key in ("a", "b", None):
+        chosen = []
+        for _, t, w in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[2], -r[1])):
+            if len(chosen) < 10 and all(abs(t - c) >= 17 for c, _ in chosen):
+                chosen.append((t, w))
+        want += [(key, t, w) for t, w in chosen]
+    assert got == sorted(want, key=str)
+    assert intervals.spaced(df, ["k"], "t", "w", 0, 3).count() == 9
+
+
+def test_overlaps_are_the_longest(spark):
+    rng = random.Random(9)
+    spans = [(k, float(s), float(s + rng.randrange(1, 40)), i) for i, (k, s) in enumerate((rng.choice("ab"), rng.randrange(300)) for _ in range(120))]
+    busy = [(k, float(s), float(s + rng.choice([1, 5, 30, 80]))) for k, s in ((rng.choice("abc"), rng.randrange(300)) for _ in range(90))]
+    got = {r.i: r.overlap for r in intervals.overlap_notes(spark.createDataFrame(spans, "k string, start double, end double, i long"), spark.createDataFrame(busy, "k string, start double, end double"), ["k"], 2.0).collect()}
+    for k, s, e, i in spans:
+        best = max([min(e, y) - max(s, x) for key, x, y in busy if key == k], default=0)
+        assert got[i] == (best if best > 2 else None)
+    assert len(got) == len(spans)

@@ -100,9 +100,17 @@ def test_similarity_products(spark):
 
 
 def test_plans(spark):
-    plan = staged.Plan([("double", lambda d: d.withColumn("id", F.col("id") * 2)), ("break", lambda d: 1 / 0), ("one", lambda d: d.limit(1))])
-    assert plan.describe() == ["1. double", "2. break", "3. one"] and plan.run(spark.range(3)).count() == 1
-    assert [x["ok"] for x in plan.log] == [True, False, True]
+    double, one = ("double", lambda d: d.withColumn("id", F.col("id") * 2)), ("one", lambda d: d.limit(1))
+    plan = staged.Plan([double, one])
+    assert plan.describe() == ["1. double", "2. one"] and plan.run(spark.range(3)).count() == 1
+    assert [(x["stage"], x["ok"], x["rows"]) for x in plan.log] == [("double", True, 3), ("one", True, 1)]
+    # the first that fails ends the run, also where only its rows would tell
+    late = lambda d: d.withColumn("id", F.raise_error(F.lit("no such clip")).cast("long"))
+    for broken, why in ((lambda d: 1 / 0, "division by zero"), (late, "no such clip")):
+        plan = staged.Plan([double, ("break", broken), one])
+        with pytest.raises(staged.StageError, match="stage 2 .break. failed") as told:
+            plan.run(spark.range(3))
+        assert [x["ok"] for x in plan.log] == [True, False] and told.value.stage == "break" and why in plan.log[1]["error"]
     with pytest.raises(ValueError):
         staged.resolve_preset("loudest")
     brief = spark.createDataFrame([("TikTok", None, "odd", "buy", None, "no", None, "yes", None)], "platform string, objective string, archetype string, cta string, duration_s double, speech string, captions string, music string, source_assets array<string>")
