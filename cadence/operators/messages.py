@@ -88,6 +88,32 @@ def complete(held: DataFrame, done: DataFrame, key: str, begun: str, ended: str,
     return own.join(last, key).withColumn("days", F.date_diff(ended, begun)), own.join(last, key, "left_anti")
 
 
+def advance(messages: DataFrame, done: DataFrame, now: Column, order: list[str], role: str = "role", batch: str | None = None) -> DataFrame:
+    """The queue one step on: messages (id, role, ..., dequeued_at, completed_at) after what is done (id, ended).
+
+    What was worked on and is done is stamped with its (last) end. A role that works on nothing any more is given its next pending message,
+    or, with a column for batches, all pending ones that share the next one's value there; they are stamped with ``now``. The same steps again
+    change nothing but what is free by then. Of each role one row is kept while this is worked out.
+    """
+    ended = done.groupBy("id").agg(F.max("ended").alias("__ended"))
+    held = messages.join(ended, "id", "left").withColumn("completed_at", F.coalesce("completed_at", F.when(F.col("dequeued_at").isNotNull(), F.col("__ended")))).drop("__ended")
+    pending, busy = F.col("dequeued_at").isNull(), F.col("dequeued_at").isNotNull() & F.col("completed_at").isNull()
+    state = held.groupBy(F.col(role).alias("__role")).agg(F.max(busy).alias("__busy"), F.min(F.when(pending, F.struct(*order, "id"))).alias("__next"))
+    met = held.join(state, F.col(role).eqNullSafe(F.col("__role")))
+    own = (F.col(batch) == F.col(f"__next.{batch}")) if batch else (F.col("id") == F.col("__next.id"))
+    return met.select(*[F.when(pending & ~F.col("__busy") & own, now).otherwise(F.col(c)).alias(c) if c == "dequeued_at" else F.col(c) for c in messages.columns])
+
+
+def batch_text(messages: DataFrame, role: str, order: list[str], text: str = "text") -> DataFrame:
+    """(role, text): a role's messages as one text, each after its number from 1 and how many there are. An empty batch is no batch: it fails."""
+    if not messages.limit(1).count():
+        raise ValueError("an empty batch")
+    every = F.array_sort(F.collect_list(F.struct(*order, text)))
+    held = messages.groupBy(role).agg(every.alias("__m"))
+    shown = F.transform("__m", lambda m, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("/"), F.size("__m").cast("string"), F.lit("]\n"), m[text]))
+    return held.select(role, F.array_join(shown, "\n\n").alias("text"))
+
+
 def latency(completed: DataFrame, by: list[str], days: str = "days") -> DataFrame:
     """How long completed work took: n, least, most and total days by group."""
     return completed.groupBy(*by).agg(F.count("*").alias("n"), F.min(days).alias("least"), F.max(days).alias("most"), F.sum(days).alias("total"))

@@ -48,6 +48,16 @@ def windowed(rows: DataFrame, keys: list[str], order: list[str], before: int, af
     return led.filter("own").select(*rows.columns, *columns)
 
 
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median) of the values that are not null: the middle of each key's places, or the mean of its two middles. Nothing but counts is held
+    for a key, however many values it has."""
+    held = placed(rows.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+    sizes = held.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"))
+    met = held.join(sizes, same([F.col(k) for k in keys], [F.col(f"__{k}") for k in keys]))
+    middle = F.col("place").isin(F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2))
+    return met.filter(middle).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("median"))
+
+
 def islands(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Rows with ``place`` grouped where places follow each other: keys, first, last (of ``at``) and length. A key's rows are numbered again
     among those given; an island is a group, added up before it is shuffled."""

@@ -196,6 +196,46 @@ def queue_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.sequence(_orders(spark, sf_dir).select("id", "created"), ["created", "id"]).select("id", F.format_string("%06d", F.col("sequence")).alias("number"))
 
 
+def queue_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders as a queue: finished ones were worked on, shipped ones are done, and whoever is free takes the next open one."""
+    o = table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate")
+    taken = F.when(F.col("o_orderstatus") == "F", at)
+    queue = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("role"), F.substring("o_orderpriority", 1, 1).alias("priority"), at.alias("created"), taken.alias("dequeued_at"), F.lit(None).cast(o.schema["o_orderdate"].dataType).alias("completed_at"))
+    done = table(spark, sf_dir, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("ended"))
+    out = Q.advance(queue, done, F.lit("2030-01-01 00:00:00").cast(o.schema["o_orderdate"].dataType), ["priority", "created"])
+    return out.select("id", "role", F.date_format("dequeued_at", "yyyy-MM-dd").alias("dequeued"), F.date_format("completed_at", "yyyy-MM-dd").alias("completed"))
+
+
+def batch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's suppliers as one numbered batch of messages."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.concat(F.lit("to: "), "s_name").alias("text"))
+    return Q.batch_text(s, "s_nationkey", ["s_suppkey"])
+
+
+def mailbox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' messages published as files, twice, and read back: each stands once."""
+    from cadence.sources import mailbox, sinks
+
+    spark.dataSource.register(mailbox.Mailbox)
+    folder = E.scratch(spark, "mailbox")
+    s = table(spark, sf_dir, "supplier")
+    name = sinks.message_name(F.lit("1"), F.lit("2024-05-06 07:08:09").cast("timestamp"), F.col("s_suppkey") + 999_990, F.lit("clerk"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    rows = s.select(name.alias("name"), F.concat(F.lit("id: "), F.col("s_suppkey").cast("string"), F.lit("\nto: n"), F.col("s_nationkey").cast("string"), F.lit("\n\n"), "s_name").alias("text"))
+    for _ in range(2):
+        rows.write.format("mailbox").option("path", folder).mode("append").save()
+    back = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("name"), Q.parse(F.col("value")).alias("m"))
+    return back.select("name", F.try_element_at("m.headers", F.lit("id")).alias("id"), F.try_element_at("m.headers", F.lit("to")).alias("recipient"), F.col("m.body").alias("body"))
+
+
+def sorted_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median price of each part's lines, by places in one sort."""
+    from cadence.operators import ranges
+
+    m = ranges.medians(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_extendedprice")
+    return m.select("l_partkey", r6("median").alias("median"))
+
+
 def header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders rendered as messages and read again."""
     o = _orders(spark, sf_dir)
@@ -280,7 +320,7 @@ def attack_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.smooth_levels(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 0.5, 0.1).select("event_id", "smooth")
 
 
-QUERIES = {f.__name__: f for f in (cue_breaks, cue_islands, cue_pack, cue_pairs, cue_audit, event_timing, subtitle_lines, first_anchor, locale_rewrite, scenario_expand, placeholder_fill, first_match_route, spec_violations, message_violations, unknown_keys, mastering_chain, beat_timeline, fanout, dead_letters, queue_next, queue_batch, queue_latency, queue_sequence, header_parse, cosine_pairs, vote_preference, vote_mos, manifest_hash, catalog_search, hook_gaps, in_process, stream_sessions, stream_queue, attack_release)}
+QUERIES = {f.__name__: f for f in (cue_breaks, cue_islands, cue_pack, cue_pairs, cue_audit, event_timing, subtitle_lines, first_anchor, locale_rewrite, scenario_expand, placeholder_fill, first_match_route, spec_violations, message_violations, unknown_keys, mastering_chain, beat_timeline, fanout, dead_letters, queue_next, queue_batch, queue_latency, queue_sequence, queue_advance, batch_texts, mailbox_files, sorted_medians, header_parse, cosine_pairs, vote_preference, vote_mos, manifest_hash, catalog_search, hook_gaps, in_process, stream_sessions, stream_queue, attack_release)}
 
 
 def _list(names: list[str]) -> str:
@@ -359,6 +399,12 @@ select id, round(a, 6) as start_s, round(z, 6) as end_s, beat from b where z > a
     "queue_batch": f"with {_MSG} select role, id from ord qualify priority = min(priority) over (partition by role)",
     "queue_latency": "with d as (select l_orderkey, max(l_shipdate) as done from lineitem group by 1), x as (select o_orderpriority, date_diff('day', o_orderdate, done) as days from orders join d on o_orderkey = l_orderkey) select o_orderpriority, count(*) as n, min(days) as least, max(days) as most, cast(sum(days) as bigint) as total from x group by 1",
     "queue_sequence": "select o_orderkey as id, printf('%06d', row_number() over (order by o_orderdate, o_orderkey)) as number from orders",
+    "queue_advance": """with d as (select l_orderkey as id, max(l_shipdate) as ended from lineitem where l_linenumber > 1 group by 1), q as (select o_orderkey as id, o_custkey as role, substr(o_orderpriority, 1, 1) as priority, o_orderdate as created, case when o_orderstatus = 'F' then o_orderdate end as dq, case when o_orderstatus = 'F' then d.ended end as cp from orders left join d on d.id = o_orderkey),
+f as (select *, bool_or(dq is not null and cp is null) over (partition by role) as busy, case when dq is null then row_number() over (partition by role, dq is null order by priority, created, id) end as n from q)
+select id, role, strftime(case when not busy and n = 1 then timestamp '2030-01-01' else dq end, '%Y-%m-%d') as dequeued, strftime(cp, '%Y-%m-%d') as completed from f""",
+    "batch_texts": "with n as (select *, row_number() over (partition by s_nationkey order by s_suppkey) as k, count(*) over (partition by s_nationkey) as n from supplier) select s_nationkey, string_agg('[' || k || '/' || n || ']' || chr(10) || 'to: ' || s_name, chr(10) || chr(10) order by k) as text from n group by 1",
+    "mailbox_files": "select '1_20240506T070809Z_' || printf('%06d', s_suppkey + 999990) || '_from_clerk_to_n' || s_nationkey as name, s_suppkey::varchar as id, 'n' || s_nationkey as recipient, s_name as body from supplier",
+    "sorted_medians": "select l_partkey, round(median(l_extendedprice), 6) as median from lineitem group by 1",
     "header_parse": f"with {_MSG} select id, '0' || priority as priority, 3 as headers, 'body ' || id as body from ord",
     "cosine_pairs": "select a.vec_id as a, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "vote_preference": f"with {_VOTES}, w as (select pair, case side when 'a' then a when 'b' then b else 'tie' end as won, count(*) as n from vs group by 1, 2) select pair, won, n, round(n / sum(n) over (partition by pair), 6) as share from w",

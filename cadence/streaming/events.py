@@ -44,25 +44,19 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def deliver(stream: DataFrame, roles: DataFrame, out: str, checkpoint: str) -> None:
-    """Fan messages (id, to, ...) out to their recipients, each (id, recipient) once however often a message or a batch comes again."""
-    from cadence.operators.messages import fan_out, undelivered
-
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        good, _ = fan_out(rows.dropDuplicates(["id"]), roles)
-        # what this batch itself wrote before a restart is not held against it: its rows are overwritten
-        before = spark.read.schema("id long, recipient string, batch long").parquet(out).filter(F.col("batch") != number) if _exists(spark, out) else None
-        fresh = undelivered(good, before) if before is not None else good
-        fresh.select("id", "recipient").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(where) and len(fs.listStatus(where)) > 0
+def deliver(stream: DataFrame, roles: DataFrame, out: str, checkpoint: str, at: str | None = None, keep: str = "7 days") -> None:
+    """Fan messages (id, to, ...) out to their recipients, each (id, recipient) once however often a message or a batch comes again.
+
+    What was delivered is the stream's state, by key: a batch reads its own rows only, and a restart goes on from the checkpoint. With a column
+    of arrival times what is older than ``keep`` is forgotten; without one all is remembered. A message with an unknown recipient fails whole.
+    """
+    known = [r[0] for r in roles.select("role").distinct().limit(1001).collect()]
+    if len(known) > 1000:
+        raise ValueError("more than 1000 roles")
+    to = F.split("to", ",")
+    whole = stream.filter(F.size(F.array_except(to, F.array(*[F.lit(r) for r in known]))) == 0).withColumn("recipient", F.explode(F.array_distinct(to)))
+    once = whole.withWatermark(at, keep).dropDuplicatesWithinWatermark(["id", "recipient"]) if at else whole.select("id", "recipient").dropDuplicates()
+    run_once(once.select("id", "recipient"), out, checkpoint)
 
 
 def smooth_levels(rows: DataFrame, key: str, at: str, value: str, attack: float, release: float) -> DataFrame:
