@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators import blocks as B
 from cadence.operators import signal as K
+from cadence.operators import tones
 from cadence.session import table
 from cadence.sources import recordings
 from cadence.streaming import events as E
@@ -79,7 +80,26 @@ def catalogue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.filter("p_size >= 10 and p_size < 20 and p_type = 'ECONOMY' and p_name like '%ring%'").select("p_partkey", "p_name", "p_size")
 
 
-QUERIES = {f.__name__: f for f in (block_filter, block_follower, gated_loudness, true_peaks, wav_round_trip, catalogue_scan)} | {"resampled_tones": resampled}
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests for risers and melodies: some name their hit, tail or tempo, others leave it open."""
+    n = F.col("event_id")
+    mood = F.element_at(F.array(*[F.lit(m) for m in tones.MOODS]), (n % len(tones.MOODS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", mood.alias("mood"), F.when(n % 3 == 0, 2.0 + n % 5).alias("hit"), F.when(n % 2 == 0, (n % 4) / 4.0).alias("tail"), F.when(n % 5 == 0, 60.0 + n % 90).alias("bpm"), F.when(n % 7 == 0, F.col("value") / 50).alias("start"), F.lit(None).cast("double").alias("end"), (8.0 + n % 30).alias("duration_s"))
+
+
+def tone_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests leave open, from the mood and the clip."""
+    return tones.resolved(_requests(spark, sf_dir)).select("event_id", r6("hit").alias("hit"), r6("bpm").alias("bpm"), r6("segment_s").alias("segment_s"))
+
+
+def riser_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of every request's riser."""
+    r = tones.resolved(_requests(spark, sf_dir))
+    notes = r.select("event_id", F.inline(tones.riser_rows(F.col("mood"), F.col("hit"), F.coalesce("tail", F.lit(0.0)))))
+    return notes.groupBy("event_id").agg(F.count("*").alias("notes"), F.sum("midi").alias("pitches"), r6(F.max("t_on")).alias("last_on"), r6(F.sum("dur")).alias("sounding"))
+
+
+QUERIES = {f.__name__: f for f in (block_filter, block_follower, gated_loudness, true_peaks, wav_round_trip, catalogue_scan, tone_options, riser_notes)} | {"resampled_tones": resampled}
 
 _SAMPLES = """rec as (select label, row_number() over (partition by label order by vec_id) - 1 as block, embedding from embeddings),
 flat as (select label, block, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as k from rec),
@@ -114,6 +134,12 @@ win as (select label, hop, sum(e) over f as e4, count(*) over f as n4, sum(e) ov
 m as (select label, e4 / 64 as p, -0.691 + 10 * log10(e4 / 64 + 1e-30) as l from win where n4 = 4), s as (select label, e30 / 480 as p, -0.691 + 10 * log10(e30 / 480 + 1e-30) as l from win where n30 = 30),
 mg as (select label, -0.691 + 10 * log10(avg(p) + 1e-30) - 10 as gate from m where l > -70 group by 1), sg as (select label, -0.691 + 10 * log10(avg(p) + 1e-30) - 20 as gate from s where l > -70 group by 1)"""
 
+def _asked() -> str:
+    """The requests, with each mood's tempo and the pitches of its scale."""
+    moods = ", ".join(f"({k}, {m.bpm}::double, {[int(p) for p in tones.degrees(m, 2, 1)]})" for k, m in enumerate(tones.MOODS.values()))
+    return f"with m(k, tempo, pitches) as (values {moods}), q as (select event_id, tempo, pitches, case when event_id % 3 = 0 then 2.0::double + event_id % 5 end as hit, case when event_id % 2 = 0 then (event_id % 4) / 4.0::double end as tail, case when event_id % 5 = 0 then 60.0::double + event_id % 90 end as bpm, case when event_id % 7 = 0 then value / 50 end as start, 8.0::double + event_id % 30 as duration_s from events join m on k = event_id % {len(tones.MOODS)})"
+
+
 ORACLES = {
     "block_filter": _filter(),
     "block_follower": f"with recursive {_SAMPLES}, r as (select distinct label, -1 as place, 1.0::double as y from x union all select x.label, x.place, r.y + case when abs(x.v) < r.y then 0.3::double else 0.04::double end * (abs(x.v) - r.y) from r join x on x.label = r.label and x.place = r.place + 1) select label, cast(place as bigint) as place, round(y, 6) as value from r where place >= 0",
@@ -122,4 +148,6 @@ ORACLES = {
     "true_peaks": f"with {_resample(160, 640, 16)} select label, round(20 * log10(max(abs(y)) + 1e-12), 6) as true_peak_db from res group by 1",
     "wav_round_trip": f"with {_SAMPLES}, q as (select label, place, least(greatest(round_even(v * 8388608, 0), -8388608), 8388607) as w from x) select label, 'PCM_24' as bits, any_value(f.n) as frames, 16000 as rate, count(distinct place // 64) as blocks, cast(sum(w) as bigint) as total, round(max(abs(w)) / 8388608, 6) as peak from q join (select label, count(*) as n from x group by 1) f using (label) where place >= 192 group by 1",
     "catalogue_scan": "select p_partkey, p_name, p_size from part where p_size >= 10 and p_size < 20 and p_type = 'ECONOMY' and p_name like '%ring%'",
+    "tone_options": f"{_asked()} select event_id, round(coalesce(hit, duration_s - coalesce(tail, 0)), 6) as hit, round(coalesce(bpm, tempo), 6) as bpm, round(duration_s - coalesce(start, 0), 6) as segment_s from q",
+    "riser_notes": f"{_asked()}, n as (select event_id, len(pitches) as n, pitches, coalesce(hit, duration_s - coalesce(tail, 0)) as h, coalesce(tail, 0) as tail from q), k as (select *, unnest(range(n)) as k from n) select event_id, count(*) * 3 as notes, cast(sum(3 * pitches[k + 1] + 19) as bigint) as pitches, round(max(h * (1 - pow(0.72::double, k)) / (1 - pow(0.72::double, n))), 6) as last_on, round(3 * sum(0.9 * h * pow(0.72::double, k) * 0.28 / (1 - pow(0.72::double, n)) + case when k = n - 1 then tail else 0 end), 6) as sounding from k group by 1",
 }

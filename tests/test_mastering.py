@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadence import cli
 from cadence.operators import frames as R
@@ -127,7 +128,7 @@ def test_moving_average_is_centred(spark):
 
 def test_tones():
     for name, mood in T.MOODS.items():
-        x = T.voice(mood, 440.0, 0.2, 8000)
+        x = T.render(T.strands(mood, 0.0, 0.2, 69), 0.2, 8000)
         assert len(x) == 1600 and np.abs(x).max() <= 1.8 and abs(x[-1]) < 0.1, name
         notes = T.melody_notes(name, 2, seed=3)
         assert notes == T.melody_notes(name, 2, seed=3) and notes != T.melody_notes(name, 2, seed=4)
@@ -141,6 +142,32 @@ def test_tones():
         T.riser("bored", 1.0)
 
 
+def test_curves_go_through_their_points():
+    t = np.linspace(-1, 4, 501)
+    y = T.traced([(0, 0), (1, 1), (2, 1), (3, 0.5)], t)
+    assert np.allclose(np.interp([-1, 0, 0.5, 1, 1.5, 2, 2.5, 3, 4], t, y), [0, 0, 0.5, 1, 1, 1, 0.75, 0.5, 0.5], atol=1e-9)
+
+
+def test_notes_in_blocks_are_the_piece(spark):
+    rows = [{"id": 1} | r for r in T.riser_notes(T.MOODS["calm"], 1.0, 0.3)] + [{"id": 2} | r for r in T.transition_rows("calm", "hope", 0.7)]
+    df = spark.createDataFrame([tuple(r[c] for c in ["id", *T.COLUMNS]) for r in rows], "id long, " + T.NOTE).repartition(3)
+    got = {}
+    for r in sorted(T.rendered(df, ["id"], 0.25, 8000).collect(), key=lambda r: (r.id, r.block)):
+        got.setdefault(r.id, []).extend(r.samples)
+    for k, seconds in ((1, 1.3), (2, 0.7)):
+        want = T.render([r for r in rows if r["id"] == k], seconds, 8000)
+        assert np.allclose(got[k][: len(want)], want, atol=1e-6)
+
+
+def test_riser_notes_as_columns(spark):
+    asked = spark.createDataFrame([("hope", 2.0, 0.5), ("urgency", 1.0, 0.0)], "mood string, hit double, tail double")
+    for r in asked.select("*", T.riser_rows(F.col("mood"), F.col("hit"), F.col("tail")).alias("n")).collect():
+        own = T.riser_notes(T.MOODS[r.mood], r.hit, r.tail)[::2]
+        assert len(own) == len(r.n)
+        assert np.allclose([(n.t_on, n.dur, n.midi, n["size"]) for n in r.n], [(o["start"], o["length"], o["midi"] - T.MOODS[r.mood].detune_cents / 100, 2 * o["size"]) for o in own])
+        assert abs(max(n.t_on + n.dur for n in r.n) - r.hit - r.tail) < 0.1 * r.hit
+
+
 def test_resolved_options(spark):
     o = spark.createDataFrame([("hope", None, 0.5, None, None, None, 10.0), ("calm", 4.0, None, 99.0, 1.0, 3.0, 10.0)], "mood string, hit double, tail double, bpm double, start double, end double, duration_s double")
     assert [(r["hit"], r["bpm"], r["segment_s"]) for r in T.resolved(o).collect()] == [(9.5, 90.0, 10.0), (4.0, 99.0, 2.0)]
