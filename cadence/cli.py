@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators import mastering, signal, tones, voice
 from cadence.operators import metrics as M
+from cadence.plans.documents import edit_document, markdown
 from cadence.plans.staged import PRESETS, edit_spec
 from cadence.session import session
 from cadence.sources import documents, records, sinks
@@ -43,7 +44,12 @@ def metrics(spark: SparkSession, args: argparse.Namespace) -> str:
 
 
 def spec(spark: SparkSession, args: argparse.Namespace) -> str:
-    return shown("spec", {"spec": edit_spec(documents.briefs(spark, args.input))}, args.format)
+    """The short table of an edit and its whole document, one for each brief."""
+    held = documents.briefs(spark, args.input)
+    whole = edit_document(held).select("document")
+    if args.format == "markdown":
+        return "\n".join(markdown(r["document"].asDict(recursive=True)) for r in whole.toLocalIterator())
+    return shown("spec", {"spec": edit_spec(held), "document": whole if args.format == "json" else whole.select("document.platform_note", F.size("document.timeline").alias("beats"))}, args.format)
 
 
 def shown(title: str, tables: dict[str, DataFrame], form: str) -> str:
@@ -79,8 +85,11 @@ def score(spark: SparkSession, args: argparse.Namespace) -> str:
 
 
 def written(held: DataFrame, args: argparse.Namespace, title: str) -> str:
-    """One changed recording to the output, and what was done."""
-    row = held.first()
+    """One changed recording to the output, and what was done; several are an error."""
+    rows = held.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{'no' if not rows else 'more than one'} recording: name one file")
+    row = rows[0]
     if not args.output:
         raise ValueError("--output is needed")
     sinks.write_wav(row["samples"], mastering.RATE, args.output)
@@ -99,16 +108,8 @@ def master(spark: SparkSession, args: argparse.Namespace) -> str:
 
 
 def silence(spark: SparkSession, args: argparse.Namespace) -> str:
-    """Recordings without their long pauses: of a pause above 0.8 s half a second stays."""
-    import numpy as np
-
-    held = clips(spark, args.input)
-    active = [r["active"] for r in levels(held).orderBy("path", "frame").toLocalIterator()]  # of one recording
-    size, flags = mastering.RATE // 100, np.array(active, bool)
-    edge = np.flatnonzero(np.diff(np.concatenate([[1], flags.astype(np.int8), [1]])))
-    long = [(int(a * size + mastering.RATE * 0.5), int(b * size)) for a, b in zip(edge[::2], edge[1::2]) if (b - a) * size > 0.8 * mastering.RATE]
-    kernel = lambda x: mastering.remove_regions(x, long, mastering.RATE // 500)
-    return written(signal.transform(held, kernel), args, "silence")
+    """Recordings without their long pauses: of a pause above the level's trigger its target stays."""
+    return written(mastering.without_pauses(clips(spark, args.input), ["path"], *mastering.PAUSES[args.level]), args, "silence")
 
 
 def restore(spark: SparkSession, args: argparse.Namespace) -> str:
@@ -148,6 +149,7 @@ def parser() -> argparse.ArgumentParser:
     add("spec", spec, input=source)
     for name, run in (("inspect", inspect), ("analyze", analyze), ("score", score), ("silence", silence)):
         add(name, run, input=source)
+    commands.choices["silence"].add_argument("--level", default="medium", choices=list(mastering.PAUSES))
     add("master", master, input=source, preset={"choices": list(PRESETS)}, lufs=number, dehum={"type": int}, dry_run=flag)
     add("restore", restore, input=source, declip=flag, dehum={"type": int})
     mood = {"default": "hope", "choices": list(tones.MOODS)}

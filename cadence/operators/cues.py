@@ -15,15 +15,15 @@ from pyspark.sql.types import IntegerType
 from cadence.functions.scalars import norm_token
 
 # Word classes of Spanish that a line should not end on, or may break before.
-ARTICLES = "el la los las un una unos unas".split()
-PREPOSITIONS = "a ante bajo cabe con contra de desde durante en entre hacia hasta mediante para por según sin so sobre tras vía".split()
-CONJUNCTIONS = "y e o u ni pero sino aunque porque que cuando mientras si como pues además".split()
-AUXILIARIES = (
-    "he has ha hemos habéis han había habías habíamos habíais habían habré habrás habrá habremos habréis habrán hube hubiste hubo hubimos hubisteis hubieron "
-    "estoy estás está estamos estáis están estaba estabas estábamos estabais estaban estaré estarás estará estaremos estaréis estarán "
-    "seré serás será seremos seréis serán era eras éramos erais eran fui fuiste fue fuimos fuisteis fueron "
-    "voy vas va vamos vais van iba ibas íbamos ibais iban iré irás irá iremos iréis irán no tampoco nunca jamás"
-).split()
+ARTICLES = ["el", "la", "los", "las", "un", "una", "unos", "unas"]
+PREPOSITIONS = ["a", "ante", "bajo", "cabe", "con", "contra", "de", "desde", "durante", "en", "entre", "hacia", "hasta", "mediante", "para", "por", "según", "sin", "so", "sobre", "tras", "vía"]
+CONJUNCTIONS = ["y", "e", "o", "u", "ni", "pero", "sino", "aunque", "porque", "que", "cuando", "mientras", "si", "como", "pues", "además"]
+AUXILIARIES = [
+    "he", "has", "ha", "hemos", "habéis", "han", "había", "habías", "habíamos", "habíais", "habían", "habré", "habrás", "habrá", "habremos", "habréis", "habrán", "hube", "hubiste", "hubo", "hubimos", "hubisteis", "hubieron",
+    "estoy", "estás", "está", "estamos", "estáis", "están", "estaba", "estabas", "estábamos", "estabais", "estaban", "estaré", "estarás", "estará", "estaremos", "estaréis", "estarán",
+    "seré", "serás", "será", "seremos", "seréis", "serán", "era", "eras", "éramos", "erais", "eran", "fui", "fuiste", "fue", "fuimos", "fuisteis", "fueron",
+    "voy", "vas", "va", "vamos", "vais", "van", "iba", "ibas", "íbamos", "ibais", "iban", "iré", "irás", "irá", "iremos", "iréis", "irán", "no", "tampoco", "nunca", "jamás",
+]
 ENDINGS = ".,!?;:"
 #: Pause that ends a line, characters of a line, and of each line of a pair.
 PAUSE, LINE, PAIR = 0.5, 34, 25

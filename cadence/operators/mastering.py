@@ -206,6 +206,30 @@ def deplosive(x: np.ndarray, regions: list[tuple[int, int]], rate: int = RATE, a
     return out
 
 
+#: Of each level, the seconds above which a pause is cut, and what is left of it.
+PAUSES = {"light": (1.2, 0.8), "medium": (0.8, 0.5), "aggressive": (0.5, 0.3)}
+
+
+def without_pauses(clips: DataFrame, keys: list[str], trigger: float, target: float, rate: int = RATE) -> DataFrame:
+    """Clips (keys, samples) without the tails of their long pauses: each by its own frames of 10 ms, grouped by its keys. A clip without any
+    speech stays as it is."""
+    size = rate // 100
+    flags = speech_frames(clips, keys, rate, 10).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "active"))), lambda f: f["active"]).alias("__active"))
+    held = clips.join(flags, keys, "left")
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            out = []
+            for x, active in zip(batch["samples"], batch["__active"]):
+                on = np.asarray([] if active is None else active, bool)
+                edge = np.flatnonzero(np.diff(np.concatenate([[1], on.astype(np.int8), [1]]))) if on.any() else []
+                long = [(int(a * size + rate * target), int(b * size)) for a, b in zip(edge[::2], edge[1::2]) if (b - a) * size > trigger * rate]
+                out.append(remove_regions(np.asarray(x, float), long, rate // 500).astype(np.float32) if long else np.asarray(x, np.float32))
+            yield batch.drop(columns="__active").assign(samples=out)
+
+    return held.select(*clips.columns, "__active").mapInPandas(run, clips.schema)
+
+
 def remove_regions(x: np.ndarray, regions: list[tuple[int, int]], fade: int) -> np.ndarray:
     """Without the regions, faded where it is cut. Positions are the given signal's, however many go before."""
     out, at, x = [], 0, np.asarray(x, float)

@@ -2,38 +2,69 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.plans.rules import errors
 
-# Least and greatest (a leading > means above), or the choices, of each option of each effect.
-EASINGS = "smooth|out|in|linear"
+class Range(NamedTuple):
+    """Least and greatest value (None: no bound); above: the least itself is out."""
+
+    low: float | None
+    high: float | None
+    above: bool = False
+
+
+# The range, or the choices, of each option of each effect.
+EASINGS = ("smooth", "out", "in", "linear")
 RANGES = {
-    "zoom": {"pct": ">0..200", "curve": "0..100", "easing": EASINGS, "direction": "grow|shrink|pulse", "hold": "0..0.9", "pulse_dur": "1..30", "max_pulses": "1..12", "ss": "1|2|4", "crf": ">0..51"},
-    "magnify": {"size": "0.02..0.5", "zoom": "1.05..20", "feather": "0..0.5", "ring_width": "0..0.3", "motion": "static|scan|voice|auto", "hold": "0.2..20", "move_dur": "0.2..8", "min_gap": "0.5..15", "sharpen": "0..2", "crf": ">0..51"},
-    "levitate": {"at": "0..", "lift": "0..60", "dur": "0.05..30", "bob": "0..30", "motion": "static|float|drift", "move_x": "-100..100", "move_y": "-100..100", "rotate": "-180..180", "scale": "-75..300", "sway": "0..30", "sway_period": "0.2..30", "curve": "0..100", "subject": "auto|person|object", "plate_samples": "2..240", "feather": "0..20", "shadow_strength": "0..1", "crf": ">0..51"},
-    "teleport": {"time": "0..", "dilate": "0..50", "plate_samples": "2..240", "crf": ">0..51"},
-    "stabilize": {"smoothing": "0..120", "max_shift": "1..1000", "max_angle": "0..45", "crop": "keep|black", "max_zoom": "1..2", "crf": ">0..51"},
-    "video": {"fps": ">0..", "outscale": "1|2|3|4"},
-    "cutsilence": {"level": "light|medium|aggressive", "keep": "0..", "crf": ">0..51"},
-    "lowpass": {"cutoff": "20..20000", "transition": "0..60", "curve": "0..100", "easing": EASINGS, "order": "1|2|4", "resonance": "0.5..2", "occlusion": "0..12", "shelf": "50..2000", "start": "0..", "end": ">0.."},
-    "transition": {"at": "0..", "dur": "0.5..30", "gain_db": "-60..0", "curve": "0..100", "easing": EASINGS},
-    "riser": {"dur": "0.5..15", "style": "notes|glide", "gain_db": "-60..0", "tail": "0..5"},
-    "melody": {"start": "0..", "bars": "1..64", "bpm": "30..300", "gain_db": "-60..0", "duck_db": "0..24"},
-}
-
-
-def wrong(value: Column, rule: str) -> Column:
+    "zoom": {
+        "pct": Range(0, 200, above=True), "curve": Range(0, 100), "easing": EASINGS, "direction": ("grow", "shrink", "pulse"), "hold": Range(0, 0.9), "pulse_dur": Range(1, 30), "max_pulses": Range(1, 12), "ss": ("1", "2", "4"), "crf": Range(0, 51, above=True),
+    },
+    "magnify": {
+        "size": Range(0.02, 0.5), "zoom": Range(1.05, 20), "feather": Range(0, 0.5), "ring_width": Range(0, 0.3), "motion": ("static", "scan", "voice", "auto"), "hold": Range(0.2, 20), "move_dur": Range(0.2, 8), "min_gap": Range(0.5, 15), "sharpen": Range(0, 2), "crf": Range(0, 51, above=True),
+    },
+    "levitate": {
+        "at": Range(0, None), "lift": Range(0, 60), "dur": Range(0.05, 30), "bob": Range(0, 30), "motion": ("static", "float", "drift"), "move_x": Range(-100, 100), "move_y": Range(-100, 100), "rotate": Range(-180, 180), "scale": Range(-75, 300), "sway": Range(0, 30), "sway_period": Range(0.2, 30), "curve": Range(0, 100), "subject": ("auto", "person", "object"), "plate_samples": Range(2, 240), "feather": Range(0, 20), "shadow_strength": Range(0, 1), "crf": Range(0, 51, above=True),
+    },
+    "teleport": {
+        "time": Range(0, None), "dilate": Range(0, 50), "plate_samples": Range(2, 240), "crf": Range(0, 51, above=True),
+    },
+    "stabilize": {
+        "smoothing": Range(0, 120), "max_shift": Range(1, 1000), "max_angle": Range(0, 45), "crop": ("keep", "black"), "max_zoom": Range(1, 2), "crf": Range(0, 51, above=True),
+    },
+    "video": {
+        "fps": Range(0, None, above=True), "outscale": ("1", "2", "3", "4"),
+    },
+    "cutsilence": {
+        "level": ("light", "medium", "aggressive"), "keep": Range(0, None), "crf": Range(0, 51, above=True),
+    },
+    "lowpass": {
+        "cutoff": Range(20, 20000), "transition": Range(0, 60), "curve": Range(0, 100), "easing": EASINGS, "order": ("1", "2", "4"), "resonance": Range(0.5, 2), "occlusion": Range(0, 12), "shelf": Range(50, 2000), "start": Range(0, None), "end": Range(0, None, above=True),
+    },
+    "transition": {
+        "at": Range(0, None), "dur": Range(0.5, 30), "gain_db": Range(-60, 0), "curve": Range(0, 100), "easing": EASINGS,
+    },
+    "riser": {
+        "dur": Range(0.5, 15), "style": ("notes", "glide"), "gain_db": Range(-60, 0), "tail": Range(0, 5),
+    },
+    "melody": {
+        "start": Range(0, None), "bars": Range(1, 64), "bpm": Range(30, 300), "gain_db": Range(-60, 0), "duck_db": Range(0, 24),
+    },
+}
+
+
+def wrong(value: Column, rule: Range | tuple[str, ...]) -> Column:
     """Whether a text value breaks a rule; a null value breaks none (the default holds)."""
-    if ".." not in rule:
-        return ~value.isin(rule.split("|"))
-    low, high = rule.split("..")
+    if not isinstance(rule, Range):
+        return ~value.isin(*rule)
     number = value.try_cast("double")
     bad = number.isNull()
-    if low:
-        bad = bad | ((number <= float(low[1:])) if low.startswith(">") else (number < float(low)))
-    return bad | (number > float(high)) if high else bad
+    if rule.low is not None:
+        bad = bad | ((number <= rule.low) if rule.above else (number < rule.low))
+    return bad | (number > rule.high) if rule.high is not None else bad
 
 
 def violations(records: DataFrame, effect: str = "effect", options: str = "options") -> DataFrame:

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Commands of an edit spec, their arguments and kinds (n number, s text, xy two numbers "x,y", or choices).
+NUMBER, TEXT, POINT = "number", "text", "point"
 COMMANDS = {
-    "video zoom": {"pct": "n", "curve": "n", "easing": "smooth|out|in|linear", "direction": "grow|shrink|pulse", "anchor": "xy", "start": "n", "end": "n", "hold": "n", "pulse_dur": "n", "max_pulses": "n"},
-    "video magnify": {"center": "xy", "radius": "n", "grid": "s", "hold": "n", "move_dur": "n", "sharpen": "n", "start": "n", "end": "n"},
-    "video teleport": {"start": "n", "end": "n", "shift": "s"},
-    "video stabilize": {"smoothing": "n", "max_shift": "n"},
-    "audio lowpass": {"cutoff": "n", "transition": "n", "start": "n", "end": "n"},
-    "audio transition": {"from": "s", "to": "s", "at": "n", "dur": "n", "mood": "s", "key": "s", "curve": "n", "easing": "s", "gain": "n"},
-    "audio riser": {"mood": "s", "hit": "n", "dur": "n", "gain": "n", "seed": "n", "tail": "n"},
-    "audio melody": {"mood": "s", "from": "s", "to": "s", "duck": "n", "seed": "n", "gain": "n", "bars": "n", "start": "n"},
+    "video zoom": {"pct": NUMBER, "curve": NUMBER, "easing": ("smooth", "out", "in", "linear"), "direction": ("grow", "shrink", "pulse"), "anchor": POINT, "start": NUMBER, "end": NUMBER, "hold": NUMBER, "pulse_dur": NUMBER, "max_pulses": NUMBER},
+    "video magnify": {"center": POINT, "radius": NUMBER, "grid": TEXT, "hold": NUMBER, "move_dur": NUMBER, "sharpen": NUMBER, "start": NUMBER, "end": NUMBER},
+    "video teleport": {"start": NUMBER, "end": NUMBER, "shift": TEXT},
+    "video stabilize": {"smoothing": NUMBER, "max_shift": NUMBER},
+    "audio lowpass": {"cutoff": NUMBER, "transition": NUMBER, "start": NUMBER, "end": NUMBER},
+    "audio transition": {"from": TEXT, "to": TEXT, "at": NUMBER, "dur": NUMBER, "mood": TEXT, "key": TEXT, "curve": NUMBER, "easing": TEXT, "gain": NUMBER},
+    "audio riser": {"mood": TEXT, "hit": NUMBER, "dur": NUMBER, "gain": NUMBER, "seed": NUMBER, "tail": NUMBER},
+    "audio melody": {"mood": TEXT, "from": TEXT, "to": TEXT, "duck": NUMBER, "seed": NUMBER, "gain": NUMBER, "bars": NUMBER, "start": NUMBER},
 }
 LEVELS = ["light", "medium", "aggressive"]
 ASPECTS = ["9:16", "keep"]
-RESERVED = "id from recipient created_at enqueued_at dequeued_at completed_at role".split()
-ALLOWED = {"git_handoff": "type to priority task commit".split(), "note": "type to priority message".split()}
+RESERVED = ["id", "from", "recipient", "created_at", "enqueued_at", "dequeued_at", "completed_at", "role"]
+ALLOWED = {"git_handoff": ["type", "to", "priority", "task", "commit"], "note": ["type", "to", "priority", "message"]}
 
 
 def errors(rules: list[tuple[str, Column]]) -> Column:
@@ -45,8 +46,8 @@ def argument_errors(specs: DataFrame, spark_args: str = "args", command: str = "
 
     The allowed arguments are a constant table that is joined to the exploded maps.
     """
-    table = [(c, a, k) for c, args in COMMANDS.items() for a, k in args.items()]
-    allowed = F.broadcast(specs.sparkSession.createDataFrame(table, "__c string, __a string, __k string"))
+    table = [(c, a, k if isinstance(k, str) else "choice", [] if isinstance(k, str) else list(k)) for c, args in COMMANDS.items() for a, k in args.items()]
+    allowed = F.broadcast(specs.sparkSession.createDataFrame(table, "__c string, __a string, __k string, __choices array<string>"))
     given = specs.select(*specs.columns, F.explode_outer(spark_args).alias("arg", "value"))
     met = given.join(allowed, (F.col(command) == F.col("__c")) & (F.col("arg") == F.col("__a")), "left")
     number = F.col("value").try_cast("double").isNotNull() | F.col("value").isin("true", "false")
@@ -54,9 +55,9 @@ def argument_errors(specs: DataFrame, spark_args: str = "args", command: str = "
         F.when(~F.col(command).isin(*COMMANDS), "unknown command")
         .when(F.col("arg").isNull(), None)
         .when(F.col("__k").isNull(), "unknown argument")
-        .when((F.col("__k") == "n") & ~F.coalesce(number, F.lit(False)), "not a number")
-        .when((F.col("__k") == "xy") & ~F.coalesce(F.col("value").rlike("^\\[? *-?[0-9.]+ *, *-?[0-9.]+ *\\]?$"), F.lit(False)), "not a point")
-        .when(F.col("__k").contains("|") & ~F.coalesce(F.array_contains(F.split("__k", "\\|"), F.col("value")), F.lit(False)), "not a choice")
+        .when((F.col("__k") == NUMBER) & ~F.coalesce(number, F.lit(False)), "not a number")
+        .when((F.col("__k") == POINT) & ~F.coalesce(F.col("value").rlike("^\\[? *-?[0-9.]+ *, *-?[0-9.]+ *\\]?$"), F.lit(False)), "not a point")
+        .when((F.col("__k") == "choice") & ~F.coalesce(F.array_contains("__choices", F.col("value")), F.lit(False)), "not a choice")
     )
     return met.withColumn("error", bad).filter("error is not null").select(*[c for c in specs.columns if c != spark_args], "arg", "error").distinct()
 

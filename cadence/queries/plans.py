@@ -13,6 +13,7 @@ from cadence.operators import metrics as M
 from cadence.operators import voice as V
 from cadence.plans import options as O  # noqa: E741
 from cadence.plans import rules as P
+from cadence.plans import documents as W
 from cadence.plans import staged as D
 from cadence.queries.metrics import EVENTS_SQL, users
 from cadence.session import table
@@ -90,6 +91,20 @@ def brief_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("objective", "platform", "archetype", "duration_s", r6("end_card_s").alias("end_card_s"), F.size("beats").alias("beats"), F.array_join("missing", ",").alias("missing"))
 
 
+def spec_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Briefs made of parts: what their documents say of platform, archetype, beats and what is lacking."""
+    from cadence.plans.documents import edit_document
+
+    p = table(spark, sf_dir, "part")
+    word = lambda words, by: F.element_at(F.array(*[F.lit(w) for w in words]), (by % len(words) + 1).cast("int"))
+    b = p.select(
+        "p_partkey", word(["TikTok", "Reels", "shorts", "vimeo", ""], F.col("p_partkey")).alias("platform"), word(["tutorial", "reaction", "odd"], F.col("p_size")).alias("archetype"), F.when(F.col("p_size") % 4 > 0, "buy").alias("cta"),
+        F.when(F.col("p_size") > 3, F.col("p_size") / 2).alias("duration_s"), word(["yes", "no"], F.col("p_size")).alias("speech"), F.when(F.col("p_size") % 5 == 0, "a.mp4").alias("source_assets"),
+    )
+    d = edit_document(b).select("p_partkey", "document.*")
+    return d.select("p_partkey", "brief.platform", "platform_note", "strategy.cut_policy", "audio.priority", F.col("captions.enabled").alias("captions"), F.size("timeline").alias("beats"), F.element_at("timeline", -1)["text"].alias("last_text"), r6(F.element_at("timeline", -1)["start_s"]).alias("last_start"), F.array_join("next_input", ",").alias("next_input"))
+
+
 def rule_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), (F.col("event_id") / 8).alias("e"))
     return D.rule_plan(words, ["user_id"]).select("user_id", "version", "level", F.element_at("effects", 1)["args"]["hit"].cast("double").alias("hit"), "max_dur", "crf")
@@ -179,7 +194,7 @@ def rounded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", r6(V.count_confidence(F.col("n") % 20)).alias("confidence"), r6(R.clip(F.col("v") * 2 - 30, 0.0, 50.0)).alias("share"), S.is_percent(F.lit("5 %")).alias("percent"))
 
 
-QUERIES = {f.__name__: f for f in (report_questions, report_input, report_outcome, speech_gate, plosive_onsets, breath_runs, stationary_noise, self_apart, inspection_advice, brief_specs, rule_plans, plan_differences, effect_options, segments_kept, result_quality, size_choice, cache_answers, header_render, message_files, draft_errors, prefix_objects, frame_waypoints, rounded_rates)}
+QUERIES = {f.__name__: f for f in (report_questions, report_input, report_outcome, speech_gate, plosive_onsets, breath_runs, stationary_noise, self_apart, inspection_advice, brief_specs, spec_documents, rule_plans, plan_differences, effect_options, segments_kept, result_quality, size_choice, cache_answers, header_render, message_files, draft_errors, prefix_objects, frame_waypoints, rounded_rates)}
 
 _FRAMES = "fr as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as frame, value, event_id, value > 12 as active, event_id % 37 - 40.0::double as sub_db, event_id % 29 - 40.0::double as mid_db from events)"
 ORACLES = {
@@ -193,6 +208,12 @@ ORACLES = {
     "self_apart": "with recursive x as (select user_id, event_id, epoch_us(ts) as us from events), k as (select user_id, min(us) as us from x group by 1 union all select user_id, us from (select x.user_id, min(x.us) as us from k join x on x.user_id = k.user_id and x.us >= k.us + 72000000000 group by x.user_id)) select event_id from k join x using (user_id, us)",
     "inspection_advice": "with x as (select p_partkey as n, p_size as z from part) select n as p_partkey, concat_ws(',', case when n % 7 >= 5 then 'declick' end, case when n % 5 >= 3 then 'tame_breaths' end, case when n % 4 >= 2 then 'deplosive' end, case when (n % 6) / 2000.0::double > 0.001 then 'declip' end, case when z - 70 > -45 then 'dehum' end, case when n % 3 > 0 then 'dereverb' end, case when z < 15 then 'enhance' else 'master_only' end, case when n % 2 = 0 then 'stationary_noise' end) as advice from x",
     "brief_specs": "with x as (select *, case when p_size > 5 then p_size::double else 20.0::double end as d from part) select concat_ws('#', case when p_size % 2 = 0 then p_type end, p_partkey::varchar) as objective, ['tiktok', 'instagram_reels', 'youtube_shorts'][p_partkey % 3 + 1] as platform, ['tutorial', 'talking_head', 'story', 'product'][p_size % 4 + 1] as archetype, d as duration_s, round(greatest(0, case when d <= 10 then d - 0.8::double when d <= 30 then d - 1.5::double else d - 2.0::double end), 6) as end_card_s, case when d <= 8 then 4 else 5 end as beats, case when p_size % 3 = 0 then '' else 'cta' end as missing from x",
+    "spec_documents": f"""with x as (select *, ['tiktok', 'instagram_reels', 'youtube_shorts', 'vimeo', 'tiktok'][p_partkey % 5 + 1] as pf, case when p_size > 3 then p_size / 2.0::double else 20.0::double end as d, case when p_size % 4 > 0 then 'buy' else 'none' end as cta from part),
+y as (select *, case when d <= 10 then greatest(0, d - 0.8) when d <= 30 then greatest(0, d - 1.5) else greatest(0, d - 2) end as card, least(2.5, greatest(least(0.7, d) + 0.1, d * 0.18)) as promise from x)
+select p_partkey, pf as platform, case pf when 'tiktok' then '{W.PLATFORMS["tiktok"]}' when 'instagram_reels' then '{W.PLATFORMS["instagram_reels"]}' when 'youtube_shorts' then '{W.PLATFORMS["youtube_shorts"]}' else '{W.ELSEWHERE}' end as platform_note,
+case p_size % 3 when 0 then '{W.ARCHETYPES["tutorial"][0]}' when 1 then '{W.ARCHETYPES["reaction"][0]}' else '{W.ARCHETYPES["talking_head"][0]}' end as cut_policy, case when p_size % 2 = 0 then 'voice > music > effects' else 'music > effects' end as priority, p_size % 2 = 0 as captions,
+case when d <= 8 then 4 else 5 end as beats, replace(case when d <= 8 then '{W.BEATS["payoff"][2]}' else '{W.BEATS["payoff_cta"][2]}' end, '{{cta}}', cta) as last_text,
+round(round(case when d <= 8 then greatest(promise, d - 1) else greatest(least(8, greatest(promise + 0.5, d * 0.38)), card) end, 3), 6) as last_start, case when p_size % 5 = 0 then 'transcript_or_timecodes' else 'source_assets,transcript_or_timecodes' end as next_input from y""",
     "rule_plans": "select user_id, 1 as version, 'medium' as level, round(max(event_id) / 8.0::double, 2) as hit, 60.0::double as max_dur, 18 as crf from events group by 1",
     "plan_differences": "select p_partkey, 'p_size' as \"column\" from part where p_partkey % 5 = 0 union all select p_partkey, 'p_brand' from part where p_partkey % 7 = 0 and p_brand <> 'other'",
     "effect_options": "with x as (select *, p_partkey % 2 = 0 as z from part) select p_partkey, concat_ws(';', case when z and (p_size * 8 > 200 or p_size * 8 <= 0) then 'zoom.pct' end, case when z and p_size % 3 > 0 then 'zoom.direction' end, case when not z and (p_size * 700 > 20000 or p_size * 700 < 20) then 'lowpass.cutoff' end, case when not z and p_size % 2 = 1 then 'lowpass.order' end, case when z and p_size % 3 = 0 and p_size * 8 >= 100 then 'shrink to nothing' end, case when not z and p_size % 2 = 0 then 'resonance of a first-order filter' end) as errors from x",

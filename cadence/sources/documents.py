@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,31 +68,8 @@ def votes(spark: SparkSession, files: str | None = None, server: str | None = No
 
 
 def wav(spark: SparkSession, path: str, block: int = 48_000) -> DataFrame:
-    """WAV files as mono blocks: path, rate, block and samples (float, -1..1); two channels are averaged, other layouts fail."""
-
-    def run(batches: Iterator) -> Iterator:
-        import io
-        import wave
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with wave.open(io.BytesIO(content)) as w:
-                    width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-                    if channels > 2 or width not in (1, 2, 3, 4) or not w.getnframes():
-                        raise ValueError(f"{name}: {channels} channels of {width} bytes, {w.getnframes()} frames")
-                    number = 0
-                    while raw := w.readframes(block):
-                        if width == 3:
-                            b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-                            x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
-                        else:
-                            x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-                            x = (x - 128) / 128 if width == 1 else x / 2.0 ** (8 * width - 1)
-                        x = x.reshape(-1, channels).mean(1).astype(np.float32)
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rate], pa.int32()), pa.array([number], pa.int64()), pa.array([x], pa.list_(pa.float32()))], ["path", "rate", "block", "samples"])
-                        number += 1
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, rate int, block long, samples array<float>")
+    """WAV files as mono blocks: path, rate, block and samples (float, -1..1), read in ranges; other layouts and rates fail."""
+    from cadence.sources.recordings import register
+
+    register(spark)
+    return spark.read.format("wav").options(path=path, block=block).load().select("path", "rate", "block", F.col("samples").cast("array<float>").alias("samples"))

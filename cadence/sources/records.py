@@ -14,51 +14,51 @@ from cadence.functions.scalars import normalize_key
 
 # Names under which each canonical column is found, the first that is there wins; objects that are unfolded.
 ALIASES = {
-    "id": "id video_id content_id video title nombre",
-    "platform": "platform plataforma source_platform network",
-    "date": "date fecha published_at publish_date",
-    "period": "period periodo date_range window",
-    "organic_or_ads": "organic_or_ads organic_ads traffic_type source_type",
-    "country": "country pais country_code",
-    "language": "language idioma lang",
-    "audience": "audience segment audience_segment",
-    "topic": "topic tema content_topic category",
-    "hook_type": "hook_type hook tipo_hook opening_type",
-    "edit_style": "edit_style editing_style estilo_edicion format",
-    "audio_type": "audio_type music_type audio_role sound_type",
-    "captioned": "captioned captions subtitles subtitulado",
-    "cta": "cta call_to_action action",
-    "experiment_id": "experiment_id experiment test_id variant_group",
-    "variable_changed": "variable_changed changed_variable test_variable",
-    "duration_s": "duration_s duration duration_seconds video_length duracion",
-    "views": "views view plays play_count video_views reproducciones",
-    "reach": "reach accounts_reached unique_reach alcance",
-    "impressions": "impressions impression impresiones",
-    "watch_time_s": "watch_time_s watch_time total_watch_time watch_time_seconds",
-    "average_watch_time_s": "average_watch_time_s average_watch_time avg_watch_time average_view_duration avg_view_duration tiempo_medio",
-    "average_percentage_viewed": "average_percentage_viewed avg_percentage_viewed average_viewed apv porcentaje_medio_visto",
-    "completion_rate": "completion_rate completion completion_percentage full_watch_rate finalizacion",
-    "engaged_views": "engaged_views engaged_view vistas_con_interaccion",
-    "stayed_to_watch_rate": "stayed_to_watch_rate stayed_to_watch chose_to_view viewed_rate stayed_rate",
-    "retention_2s": "retention_2s retention_2_sec 2s 2_sec view_2s",
-    "retention_3s": "retention_3s retention_3_sec 3s 3_sec view_3s",
-    "retention_6s": "retention_6s retention_6_sec 6s 6_sec view_6s",
-    "retention_25": "retention_25 retention_25pct 25_percent 25",
-    "retention_50": "retention_50 retention_50pct 50_percent 50",
-    "retention_75": "retention_75 retention_75pct 75_percent 75",
-    "retention_100": "retention_100 retention_100pct 100_percent 100",
-    "likes": "likes like_count me_gusta me_gusta_count",
-    "comments": "comments comment_count comentarios",
-    "shares": "shares share_count compartidos",
-    "saves": "saves save_count guardados",
-    "follows": "follows followers_gained new_followers seguidores_ganados",
-    "clicks": "clicks link_clicks outbound_clicks clics",
-    "conversions": "conversions conversion_count purchases leads conversiones",
-    "revenue": "revenue sales income ingresos",
-    "spend": "spend cost ad_spend gasto",
+    "id": ("id", "video_id", "content_id", "video", "title", "nombre"),
+    "platform": ("platform", "plataforma", "source_platform", "network"),
+    "date": ("date", "fecha", "published_at", "publish_date"),
+    "period": ("period", "periodo", "date_range", "window"),
+    "organic_or_ads": ("organic_or_ads", "organic_ads", "traffic_type", "source_type"),
+    "country": ("country", "pais", "country_code"),
+    "language": ("language", "idioma", "lang"),
+    "audience": ("audience", "segment", "audience_segment"),
+    "topic": ("topic", "tema", "content_topic", "category"),
+    "hook_type": ("hook_type", "hook", "tipo_hook", "opening_type"),
+    "edit_style": ("edit_style", "editing_style", "estilo_edicion", "format"),
+    "audio_type": ("audio_type", "music_type", "audio_role", "sound_type"),
+    "captioned": ("captioned", "captions", "subtitles", "subtitulado"),
+    "cta": ("cta", "call_to_action", "action"),
+    "experiment_id": ("experiment_id", "experiment", "test_id", "variant_group"),
+    "variable_changed": ("variable_changed", "changed_variable", "test_variable"),
+    "duration_s": ("duration_s", "duration", "duration_seconds", "video_length", "duracion"),
+    "views": ("views", "view", "plays", "play_count", "video_views", "reproducciones"),
+    "reach": ("reach", "accounts_reached", "unique_reach", "alcance"),
+    "impressions": ("impressions", "impression", "impresiones"),
+    "watch_time_s": ("watch_time_s", "watch_time", "total_watch_time", "watch_time_seconds"),
+    "average_watch_time_s": ("average_watch_time_s", "average_watch_time", "avg_watch_time", "average_view_duration", "avg_view_duration", "tiempo_medio"),
+    "average_percentage_viewed": ("average_percentage_viewed", "avg_percentage_viewed", "average_viewed", "apv", "porcentaje_medio_visto"),
+    "completion_rate": ("completion_rate", "completion", "completion_percentage", "full_watch_rate", "finalizacion"),
+    "engaged_views": ("engaged_views", "engaged_view", "vistas_con_interaccion"),
+    "stayed_to_watch_rate": ("stayed_to_watch_rate", "stayed_to_watch", "chose_to_view", "viewed_rate", "stayed_rate"),
+    "retention_2s": ("retention_2s", "retention_2_sec", "2s", "2_sec", "view_2s"),
+    "retention_3s": ("retention_3s", "retention_3_sec", "3s", "3_sec", "view_3s"),
+    "retention_6s": ("retention_6s", "retention_6_sec", "6s", "6_sec", "view_6s"),
+    "retention_25": ("retention_25", "retention_25pct", "25_percent", "25"),
+    "retention_50": ("retention_50", "retention_50pct", "50_percent", "50"),
+    "retention_75": ("retention_75", "retention_75pct", "75_percent", "75"),
+    "retention_100": ("retention_100", "retention_100pct", "100_percent", "100"),
+    "likes": ("likes", "like_count", "me_gusta", "me_gusta_count"),
+    "comments": ("comments", "comment_count", "comentarios"),
+    "shares": ("shares", "share_count", "compartidos"),
+    "saves": ("saves", "save_count", "guardados"),
+    "follows": ("follows", "followers_gained", "new_followers", "seguidores_ganados"),
+    "clicks": ("clicks", "link_clicks", "outbound_clicks", "clics"),
+    "conversions": ("conversions", "conversion_count", "purchases", "leads", "conversiones"),
+    "revenue": ("revenue", "sales", "income", "ingresos"),
+    "spend": ("spend", "cost", "ad_spend", "gasto"),
 }
-FOLDED = "metrics data analytics metadata creative attributes retention retention_curve".split()
-LISTS = "videos items data records".split()
+FOLDED = ["metrics", "data", "analytics", "metadata", "creative", "attributes", "retention", "retention_curve"]
+LISTS = ["videos", "items", "data", "records"]
 
 
 def pick(column: str, names: list[str]) -> Column:
@@ -82,7 +82,7 @@ def flatten(records: DataFrame, column: str = "record") -> DataFrame:
 
 def canonical(flat: DataFrame, column: str = "flat") -> DataFrame:
     """All canonical columns as text from a flat map, by their aliases."""
-    return flat.select(*[c for c in flat.columns if c != column], *[pick(column, list(dict.fromkeys([name, *names.split()]))).alias(name) for name, names in ALIASES.items()])
+    return flat.select(*[c for c in flat.columns if c != column], *[pick(column, list(dict.fromkeys([name, *names]))).alias(name) for name, names in ALIASES.items()])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -130,6 +130,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     have = {r["k"]: raw.columns[r["i"]] for r in names}  # one row a column of the header
     chosen = []
     for name, aliases in ALIASES.items():
-        found = next((have[a] for a in dict.fromkeys([name, *aliases.split()]) if a in have), None)
+        found = next((have[a] for a in dict.fromkeys([name, *aliases]) if a in have), None)
         chosen.append((F.col(f"`{found}`") if found else F.lit(None).cast("string")).alias(name))
     return raw.select(*chosen)

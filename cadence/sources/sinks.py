@@ -57,17 +57,18 @@ def manifest_json(name: str, config: dict, inputs: list[str], stages: list[dict]
     return report_json({"name": name, "config": config, "config_sha256": digest, "inputs": sorted(inputs), "stages": stages, "outputs": sorted(outputs), "ok": all(s.get("ok", False) for s in stages)})
 
 
-def write_wav(samples, rate: int, path: str) -> None:
-    """One clip as a file of 16-bit samples."""
-    import wave
+def write_wav(samples, rate: int, path: str, bits: int = 24) -> None:
+    """One clip as a file of 24- or 16-bit samples."""
+    from cadence.sources.recordings import encode, head
 
-    import numpy as np
+    data = encode(samples, bits // 8)
+    with open(path, "wb") as f:
+        f.write(head(len(samples), rate, bits // 8) + data + b"\0" * (len(data) % 2))
 
-    with wave.open(path, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes((np.clip(np.asarray(samples, float), -1, 1) * 32767).round().astype("<i2").tobytes())
+
+def drift(before: Column, after: Column, most: float = 0.05) -> Column:
+    """Whether a length of seconds has drifted by more than most."""
+    return F.abs(before - after) > most
 
 
 def json_lines(df: DataFrame, path: str) -> None:
