@@ -22,7 +22,7 @@ def rotate(turns: DataFrame, most: int = TURNS, conv_col: str = "conv_id", turn_
     mask: "start:end" of each trained span, code points from the part's beginning, joined by commas (empty
     if the participant does not speak in that part); n_trained: their sum. Part k has turn numbers k*most and
     on, n_turns of them; the conversation's first system turn (of several with that number the first by text) leads every part
-    that does not have it. Null turns are the parts -1, -2 ..., as many as hold about most each, dealt by a hash of speaker and text.
+    that does not have it. Null turns are the parts before the first with a negative number, or before 0: as many as hold about most each, dealt by a hash of speaker and text.
     Equal turn numbers are ordered by speaker and text; repeated rows are rendered
     as often as they are there. A null role is the speaker ``unknown``, a null text empty; rows with a null
     conversation are one conversation. A conversation of system turns only, or an empty table, gives no rows;
@@ -35,9 +35,11 @@ def rotate(turns: DataFrame, most: int = TURNS, conv_col: str = "conv_id", turn_
         F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
     )
     nulls = rows.filter("turn is null").groupBy(F.col("conv").alias("of")).agg(F.ceil(F.count("*") / most).alias("buckets"))
+    low = rows.filter("turn < 0").groupBy(F.col("conv").alias("under")).agg(F.floor(F.min("turn") / F.lit(most)).cast("long").alias("low"))
+    nulls = nulls.join(low, nulls["of"].eqNullSafe(low["under"]), "left").select("of", "buckets", F.coalesce("low", F.lit(0)).alias("low"))
     rows = rows.join(nulls, rows["conv"].eqNullSafe(nulls["of"]), "left").drop("of")
     dealt = F.conv(F.substring(F.md5(F.concat("speaker", F.lit("\n"), "said")), 1, 8), 16, 10).cast("long") % F.col("buckets")
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / F.lit(most)).cast("long"), -1 - dealt)).drop("buckets")
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / F.lit(most)).cast("long"), F.col("low") - 1 - dealt)).drop("buckets", "low")
     who = rows.filter(F.col("speaker") != SYSTEM).select(F.col("conv").alias("of"), F.col("speaker").alias("participant")).distinct()
     told = rows.filter((F.col("speaker") == SYSTEM) & F.col("turn").isNotNull()).groupBy(F.col("conv").alias("told")).agg(F.min(F.struct("turn", "said", "part")).alias("s"))
     lead = told.select("told", F.col("s.part").alias("lead_part"), F.concat(F.lit(f"{BEGIN}system\n"), F.col("s.said"), F.lit(END)).alias("lead"))
@@ -68,9 +70,9 @@ ORACLE = f"""
 with r as (
   select conv_id, turn, coalesce(role, 'unknown') as speaker, replace(coalesce(text, ''), '<|', '< |') as said
   from conversations),
-b as (select conv_id as of_conv, ceil(count(*) / {TURNS}.0) as buckets from r where turn is null group by 1),
+b as (select conv_id as of_conv, ceil(count(*) filter (where turn is null) / {TURNS}.0) as buckets, cast(least(0, coalesce(floor(min(turn) / {TURNS}.0), 0)) as bigint) as low from r group by 1),
 t as (
-  select r.*, coalesce(cast(floor(turn / {TURNS}.0) as bigint), -1 - cast(('0x' || substr(md5(speaker || chr(10) || said), 1, 8))::bigint % buckets as bigint)) as part
+  select r.*, coalesce(cast(floor(turn / {TURNS}.0) as bigint), low - 1 - cast(('0x' || substr(md5(speaker || chr(10) || said), 1, 8))::bigint % buckets as bigint)) as part
   from r left join b on conv_id is not distinct from of_conv),
 w as (select distinct conv_id as of_conv, speaker as participant from t where speaker <> '{SYSTEM}'),
 y as (

@@ -242,9 +242,10 @@ def brute_rotation(rows: list[tuple], most: int) -> set:
     for conv in {r[0] for r in rows}:
         own = [(t, s or "unknown", (x or "").replace("<|", "< |")) for c, t, s, x in rows if c == conv]
         buckets = -(-sum(t is None for t, _, _ in own) // most)
+        low = min((t // most for t, _, _ in own if t is not None and t < 0), default=0)
 
         def part_of(r):
-            return r[0] // most if r[0] is not None else -1 - int(hashlib.md5(f"{r[1]}\n{r[2]}".encode()).hexdigest()[:8], 16) % buckets  # noqa: B023
+            return r[0] // most if r[0] is not None else low - 1 - int(hashlib.md5(f"{r[1]}\n{r[2]}".encode()).hexdigest()[:8], 16) % buckets  # noqa: B023
 
         first = min(((t, x) for t, s, x in own if s == "system" and t is not None), default=None)
         for who in {s for _, s, _ in own if s != "system"}:
@@ -265,6 +266,8 @@ def brute_rotation(rows: list[tuple], most: int) -> set:
 
 def test_rotation(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hé 🙂"), (1, 2, "ann", None), (1, 3, "bob", ""), (1, 3, "bob", ""), (2, 0, None, "who?"), (None, 5, "eve", "alone"), (1, None, "ann", "when"), (3, 0, "system", "only")] + [(4, None, "ann", f"n{k}") for k in range(7)] + [(4, 9, "system", "late"), (4, 9, "system", "later")]
+    # negative numbers beside null ones
+    rows += [(5, -3, "ann", "before"), (5, None, "bob", "when"), (5, 1, "ann", "after"), (5, -300, "bob", "long before"), (6, -1, "ann", "one"), (6, -2, "bob", "two")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, part string")
     for most in (256, 2):
         got = {tuple(r) for r in chat.rotate(df, most).collect()}
