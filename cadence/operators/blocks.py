@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -35,10 +35,9 @@ def cut(samples: DataFrame, keys: list[str], at: str, value: str, size: int) ->
     return held.select(*keys, "block", F.transform("__s", lambda s: s["v"]).alias("samples"))
 
 
-def uncut(blocks: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Single samples (keys, at, value) of blocks that all have one size but a key's last."""
-    size = blocks.agg(F.max(F.size("samples")).alias("__size"))
-    return blocks.crossJoin(F.broadcast(size)).select(*keys, "block", "__size", F.posexplode("samples").alias("__k", value)).select(*keys, (F.col("block") * F.col("__size") + F.col("__k")).alias("at"), value)
+def uncut(blocks: DataFrame, keys: list[str], size: int, value: str = "value") -> DataFrame:
+    """Single samples (keys, at, value) of blocks of ``size``; a key's last may be shorter."""
+    return blocks.select(*keys, "block", F.posexplode("samples").alias("__k", value)).select(*keys, (F.col("block") * size + F.col("__k")).alias("at"), value)
 
 
 # --- states carried from block to block ---

@@ -28,14 +28,14 @@ def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample after three recursive sections, whose state goes through all blocks."""
-    out = B.uncut(B.filtered(recording(spark, sf_dir), ["label"], *SECTIONS), ["label"])
+    out = B.uncut(B.filtered(recording(spark, sf_dir), ["label"], *SECTIONS), ["label"], SIZE)
     return out.select("label", F.col("at").alias("place"), r6("value").alias("value"))
 
 
 def block_follower(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels as gains, smoothed over each recording."""
     gains = recording(spark, sf_dir).withColumn("samples", F.transform("samples", lambda v: F.abs(v)))
-    out = B.uncut(B.followed(gains, ["label"], 0.3, 0.04), ["label"])
+    out = B.uncut(B.followed(gains, ["label"], 0.3, 0.04), ["label"], SIZE)
     return out.select("label", F.col("at").alias("place"), r6("value").alias("value"))
 
 
