@@ -165,7 +165,7 @@ def test_near_copies_are_brute_force(spark, monkeypatch, tile):
     assert [got[i] for i in range(len(rows))] == want and len(set(want)) > 6
 
 
-def test_rows_are_kept_by_id_and_text(spark):
+def test_each_text_of_an_id_goes_with_its_class(spark):
     """Null ids stay beside a repeated row; of one id each text stays or goes with its own class."""
     a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
     rows = [(None, a), (None, b), (None, b), (1, c), (2, c), (2, d), (3, e), (3, e), (4, a), (4, d)]
