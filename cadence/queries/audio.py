@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.operators import blocks as B
+from cadence.operators import mastering as M
 from cadence.operators import signal as K
 from cadence.operators import tones
 from cadence.session import table
@@ -87,6 +88,19 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", mood.alias("mood"), F.when(n % 3 == 0, 2.0 + n % 5).alias("hit"), F.when(n % 2 == 0, (n % 4) / 4.0).alias("tail"), F.when(n % 5 == 0, 60.0 + n % 90).alias("bpm"), F.when(n % 7 == 0, F.col("value") / 50).alias("start"), F.lit(None).cast("double").alias("end"), (8.0 + n % 30).alias("duration_s"))
 
 
+def band_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a short clip: level, share that is clipped, level of two bands and flatness of its spectrum, hum that its bins can't tell."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0)).cast("float")).alias("samples"))
+    m = K.measure(e, ["vec_id"])
+    return m.select("vec_id", *[F.round(c, 4).alias(c) for c in ("rms_db", "clip_ratio", "low_db", "mid_db", "high_db", "flatness_db", "h50")])
+
+
+def provenance_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What made a result, as texts that leave out what is not known."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", M.provenance(seed=F.when(F.col("p_size") % 2 == 0, F.col("p_size")), preset=F.lower("p_type"), seconds=F.when(F.col("p_size") > 25, F.col("p_size") / 4)).alias("text"))
+
+
 def tone_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What requests leave open, from the mood and the clip."""
     return tones.resolved(_requests(spark, sf_dir)).select("event_id", r6("hit").alias("hit"), r6("bpm").alias("bpm"), r6("segment_s").alias("segment_s"))
@@ -99,7 +113,7 @@ def riser_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.groupBy("event_id").agg(F.count("*").alias("notes"), F.sum("midi").alias("pitches"), r6(F.max("t_on")).alias("last_on"), r6(F.sum("dur")).alias("sounding"))
 
 
-QUERIES = {f.__name__: f for f in (block_filter, block_follower, gated_loudness, true_peaks, wav_round_trip, catalogue_scan, tone_options, riser_notes)} | {"resampled_tones": resampled}
+QUERIES = {f.__name__: f for f in (block_filter, block_follower, gated_loudness, true_peaks, wav_round_trip, catalogue_scan, band_levels, provenance_texts, tone_options, riser_notes)} | {"resampled_tones": resampled}
 
 _SAMPLES = """rec as (select label, row_number() over (partition by label order by vec_id) - 1 as block, embedding from embeddings),
 flat as (select label, block, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as k from rec),
@@ -150,4 +164,10 @@ ORACLES = {
     "catalogue_scan": "select p_partkey, p_name, p_size from part where p_size >= 10 and p_size < 20 and p_type = 'ECONOMY' and p_name like '%ring%'",
     "tone_options": f"{_asked()} select event_id, round(coalesce(hit, duration_s - coalesce(tail, 0)), 6) as hit, round(coalesce(bpm, tempo), 6) as bpm, round(duration_s - coalesce(start, 0), 6) as segment_s from q",
     "riser_notes": f"{_asked()}, n as (select event_id, len(pitches) as n, pitches, coalesce(hit, duration_s - coalesce(tail, 0)) as h, coalesce(tail, 0) as tail from q), k as (select *, unnest(range(n)) as k from n) select event_id, count(*) * 3 as notes, cast(sum(3 * pitches[k + 1] + 19) as bigint) as pitches, round(max(h * (1 - pow(0.72::double, k)) / (1 - pow(0.72::double, n))), 6) as last_on, round(3 * sum(0.9 * h * pow(0.72::double, k) * 0.28 / (1 - pow(0.72::double, n)) + case when k = n - 1 then tail else 0 end), 6) as sounding from k group by 1",
+    "band_levels": """with x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), y as (select vec_id, i, least(greatest(v, -1), 1)::float::double as v from x),
+l as (select vec_id, round(20 * log10(sqrt(avg(v * v)) + 1e-12), 4) as rms_db, round(avg(case when abs(v) >= 0.999 then 1.0 else 0.0 end), 4) as clip_ratio from y group by 1),
+f as (select vec_id, k, (sum(v * cos(2 * pi() * k * i / 64)) ** 2 + sum(v * sin(2 * pi() * k * i / 64)) ** 2) as p from y, range(33) t(k) group by 1, 2),
+b as (select vec_id, round(10 * log10(coalesce(sum(p) filter (where k between 1 and 5), 0) / 4096 + 1e-30), 4) as mid_db, round(10 * log10(coalesce(sum(p) filter (where k between 6 and 21), 0) / 4096 + 1e-30), 4) as high_db, round(10 * log10(exp(avg(ln(p + 1e-30)) filter (where k between 1 and 13)) / avg(p + 1e-30) filter (where k between 1 and 13)), 4) as flatness_db from f group by 1)
+select vec_id, rms_db, clip_ratio, -300.0::double as low_db, mid_db, high_db, flatness_db, -300.0::double as h50 from l join b using (vec_id)""",
+    "provenance_texts": """select p_partkey, '{"cadence_version":"2","device":"cpu","sample_rate":48000' || case when p_size % 2 = 0 then ',"seed":' || p_size else '' end || ',"preset":"' || lower(p_type) || '"' || case when p_size > 25 then ',"seconds":' || (p_size / 4.0::double)::varchar else '' end || '}' as text from part""",
 }
