@@ -21,7 +21,7 @@ def levels(rows: DataFrame, keys: list[str], at: str, value: str, size: int) ->
 
 def active(frames: DataFrame, keys: list[str], level: str, share: float = 0.75, below: float = 12.0, floor: float = -50.0) -> DataFrame:
     """Frames with ``active``: above the key's share-quantile (interpolated) less ``below``, and above the floor."""
-    limits = frames.groupBy(*keys).agg(F.greatest(F.lit(floor), F.percentile(level, share) - below).alias("__limit"))
+    limits = ranges.quantiles(frames, keys, level, share).select(*keys, F.greatest(F.lit(floor), F.col("quantile") - below).alias("__limit"))
     return frames.join(limits, keys).withColumn("active", F.col(level) > F.col("__limit")).drop("__limit")
 
 

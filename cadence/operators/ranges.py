@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return met.filter(middle).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("median"))
 
 
+def _blend(low: float, high: float, part: float) -> float:
+    return math.fma(low, 1 - part, high * part)
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, quantile) of the values that are not null, interpolated between the two places around share * (n - 1) and rounded as DuckDB does it
+    (low * (1 - part) fused with high * part); null for a key of nulls only. Nothing but counts is held for a key."""
+    held = placed(rows.select(*keys, value), keys, [value])
+    sizes = held.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(value).alias("__n"), (F.count("*") - F.count(value)).alias("__nulls"))
+    at = F.lit(float(share)) * (F.col("__n") - 1)
+    met = held.join(sizes, same([F.col(k) for k in keys], [F.col(f"__{k}") for k in keys])).withColumns({"__at": at, "__low": F.floor(at) + F.col("__nulls"), "__part": at - F.floor(at)})
+    pick = lambda place: F.max(F.when(F.col("place") == place, F.col(value).cast("double")))
+    around = met.groupBy(*keys).agg(pick(F.col("__low")).alias("__a"), pick(F.col("__low") + 1).alias("__b"), F.max("__part").alias("__part"))
+    blend = F.pandas_udf(lambda a, b, p: a.combine(b.fillna(a), lambda x, y: (x, y)).combine(p, lambda v, d: _blend(*v, d)).astype(float), "double")
+    mixed = F.when(F.col("__part") > 0, blend("__a", "__b", "__part")).otherwise(F.col("__a"))
+    return around.select(*keys, F.when(F.col("__a").isNotNull(), mixed).alias("quantile"))
+
+
 def islands(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Rows with ``place`` grouped where places follow each other: keys, first, last (of ``at``) and length. A key's rows are numbered again
     among those given; an island is a group, added up before it is shuffled."""

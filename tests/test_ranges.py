@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,24 @@ def test_places(rows):
     assert sorted(r.place for r in ranges.placed(df, [], ["k", "t"]).collect()) == list(range(len(data)))
 
 
+def test_quantiles_are_those_of_duckdb_to_the_last_place(spark):
+    rng = random.Random(4)
+    data = [(k, round(rng.expovariate(0.02), 2)) for k in range(400) for _ in range(1 + k % 40)] + [(0, None), (-1, None)]
+    # an upper quartile of 55.56: 43.56 is not above it less 12
+    data += [(-2, v) for v in [1.0, 43.56, *[53.0] * 51, 54.61, *[58.41] * 18]]
+    df = spark.createDataFrame(data, "k int, v double").repartition(5)
+    con = duckdb.connect()
+    con.execute("create table t (k int, v double)")
+    con.executemany("insert into t values (?, ?)", data)
+    for share in (0.75, 0.1, 0.5, 1.0):
+        want = con.execute(f"select k, quantile_cont(v, {share}) from t group by k").fetchall()
+        assert {r.k: r["quantile"] for r in ranges.quantiles(df, ["k"], "v", share).collect()} == dict(want)
+    got = {(r.k, r.v): r.active for r in frames.active(df, ["k"], "v").collect()}
+    assert got[(-2, 43.56)] is False and got[(-2, 53.0)] is True and got[(-1, None)] is None
+    want = con.execute("select k, v, v > greatest(-50, q - 12) from t join (select k, quantile_cont(v, 0.75) as q from t group by k) using (k)").fetchall()
+    assert all(got[(k, v)] == on for k, v, on in want)
+
+
 def test_windows_over_cut_keys(rows):
     data, df = rows
     got = {(r.k, r.t): (r.median, r.v) for r in frames.rolling_median(df, ["k"], "t", "v", 5).collect()}
