@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
 from cadence.operators import signal as K
 from cadence.plans.staged import resolve_preset
@@ -280,20 +280,24 @@ def quieten(x: np.ndarray, breaths: list[tuple[int, int]] | None = None, clicks:
     return remove_regions(x, breaths or [], fade) if remove else np.asarray(x, float)
 
 
+def _levels(x: np.ndarray, size: int) -> np.ndarray:
+    frames = np.asarray(x, float)[: len(x) // size * size].reshape(-1, size)
+    return 10 * np.log10(np.einsum("ij,ij->i", frames, frames) / size + 1e-12)
+
+
 def speech_frames(clips: DataFrame, keys: list[str], rate: int = RATE, ms: int = 30, above: float = 9.0, floor: float = -50.0) -> DataFrame:
-    """(keys, frame, level_db, active): frames of 30 ms, and whether their level stands well above the clip's quiet tenth. Built-in functions only."""
+    """(keys, frame, level_db, active): frames of 30 ms, and whether their level stands well above the clip's quiet tenth."""
     size = rate * ms // 1000
-    parts = F.sequence(F.lit(0), F.floor(F.size("samples") / size).cast("int") - 1)
-    held = clips.filter(F.size("samples") >= size).select(*keys, F.posexplode(F.transform(parts, lambda k: F.slice("samples", k * size + 1, size))).alias("frame", "__x"))
-    mean = F.aggregate("__x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) / size
-    held = held.select(*keys, "frame", (10 * F.log10(mean + 1e-12)).alias("level_db"))
+    fn = F.pandas_udf(lambda s: s.map(lambda x: _levels(x, size)), ArrayType(DoubleType()))
+    held = clips.filter(F.size("samples") >= size).select(*keys, F.posexplode(fn("samples")).alias("frame", "level_db"))
     quiet = F.percentile("level_db", 0.1).over(Window.partitionBy(*keys))
     return held.withColumn("active", F.col("level_db") > F.greatest(quiet + above, F.lit(floor)))
 
 
-def measures(clips: DataFrame, keys: list[str]) -> DataFrame:
-    """Short-term maximum, loudness range and true peak of each clip at RATE, beside what ``signal.measure`` gives."""
-    names = ["short_term_max", "loudness_range", "true_peak_db"]
+def measures(clips: DataFrame, keys: list[str], lufs: bool = False) -> DataFrame:
+    """Short-term maximum, loudness range and true peak of each clip at RATE, beside what ``signal.measure`` gives; of that the loudness as well,
+    if asked for, so that clips which are dear to make are made once."""
+    names = ["short_term_max", "loudness_range", "true_peak_db", *(["lufs"] if lufs else [])]
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -303,7 +307,7 @@ def measures(clips: DataFrame, keys: list[str]) -> DataFrame:
             for *key, samples in batch[[*keys, "samples"]].itertuples(index=False):
                 x = np.asarray(samples, float)
                 st = short_term(x)
-                rows.append((*key, float(st.max()) if len(st) else None, loudness_range(x), true_peak(x) if len(x) else None))
+                rows.append((*key, float(st.max()) if len(st) else None, loudness_range(x), true_peak(x) if len(x) else None, *([K.loudness(x)] if lufs else [])))
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     schema = clips.select(*keys).schema

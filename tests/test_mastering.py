@@ -215,3 +215,13 @@ def test_records_from_standard_input(spark, tmp_path, monkeypatch):
 def test_execution_manifest():
     got = json.loads(sinks.manifest_json("edit", {"crf": 18}, ["b", "a"], [{"stage": "cut", "ok": True}], ["x"]))
     assert got["inputs"] == ["a", "b"] and got["ok"] and len(got["config_sha256"]) == 16
+
+
+def test_clips_are_spread_over_tasks_and_the_chain_runs_once(spark):
+    """Rows that make clips are small, so adaptive execution would join them to one task."""
+    from cadence.queries import timeline
+
+    made = timeline.clips(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = timeline.mastered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 3  # bursts, chain, measures
