@@ -7,6 +7,7 @@ Coefficients are the published audio-equaliser formulas and the loudness standar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,12 +20,19 @@ def response(b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
     return np.polyval(b[::-1], z) / np.polyval(a[::-1], z)
 
 
+@lru_cache(maxsize=8)
+def _cascade(sections: tuple, n: int) -> np.ndarray:
+    """Response of sections in a row, kept for the clips of like length that follow."""
+    h = np.ones(n // 2 + 1, complex)
+    for b, a in sections:
+        h = h * response(np.array(b), np.array(a), n)
+    return h
+
+
 def apply_filter(x: np.ndarray, *sections: tuple) -> np.ndarray:
     """Recursive sections over a whole signal, by their response over twice its length (their tail dies out there)."""
     n = 1 << int(np.ceil(np.log2(max(2 * len(x), len(x) + 65536))))
-    h = np.ones(n // 2 + 1, complex)
-    for b, a in sections:
-        h = h * response(np.asarray(b, float), np.asarray(a, float), n)
+    h = _cascade(tuple(tuple(tuple(map(float, c)) for c in s) for s in sections), n)
     return np.fft.irfft(np.fft.rfft(x, n) * h, n)[: len(x)]
 
 
