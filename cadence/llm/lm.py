@@ -5,9 +5,9 @@ same state, over the pieces of a group, so every piece of the vocabulary is pred
 mixes that of its pieces with its discounted share of all training tokens (absolute discounting; what the discount leaves
 is spelt by the pieces): over all words and the end of a text it sums to one.
 
-What is learnt grows with the corpus: words and pieces are counted over all training documents, and the weights are
-fitted on one word in so many of every training document, long ones in proportion. A bounded part of that starts the weights
-on the driver; executors then read all of it, each from the same start, and their weights are averaged.
+All is learnt from all training documents: words and pieces are counted over them, and the weights are fitted on every
+piece of them. A bounded part starts the weights on the driver; executors then read every training text whole, each from
+the same start, and their weights are averaged. The mixture is the one that suits all training tokens, each counted without itself.
 
 Scoring reads overlapping context windows: each window scores its last pieces, so that every piece is scored
 once with at least ``window - fresh`` pieces before it (or all there are), many windows at a time by masked matrix
@@ -39,9 +39,10 @@ from cadence.llm._common import fold, slices, staged, tokenizer_path, trim
 @dataclass(frozen=True)
 class Settings:
     """window, fresh: pieces of a window and those that it scores; width: of the model; heads: groups of pieces of like weight that the
-    first softmax tells apart; widest: pieces of a group; inputs: pieces with an embedding of their own; the weights are fitted on one word in
-    ``share`` of every training text, in runs of ``run`` words, and on no less than ``least`` bytes of text or all there are; first: pieces of that
-    which the driver starts the weights with at most; learner: pieces that one executor task goes on with at least; steps, batch, rate: of the start; slow: rate of the learners; block: bytes of text in a block of documents."""
+    first softmax tells apart; widest: pieces of a group; inputs: pieces with an embedding of their own; the weights start on one word in
+    ``share`` of training texts, in runs of ``run`` words, out of no less than ``least`` bytes of text or all there are; first: pieces of that
+    which the driver reads at most; steps, batch, rate: of the start. All training texts follow: learner: pieces after which the next learner begins; gather: batches of one of its steps;
+    slow: its rate. block: bytes of text in a block of documents."""
 
     model: str = "piece_bpe_32k.model"
     window: int = 32
@@ -54,7 +55,8 @@ class Settings:
     least: int = 8 << 20
     run: int = 36
     first: int = 1_500_000
-    learner: int = 400_000
+    learner: int = 8_000_000
+    gather: int = 4
     steps: int = 900
     batch: int = 256
     rate: float = 0.02
@@ -139,81 +141,117 @@ class Attention:
         x = w["emb"][ins]
         x += w["pos"]
         own = x[:, s.window - s.fresh :]
-        q, k, v = own @ w["q"], x @ w["k"], x @ w["v"]
+        q, k, v = (own.reshape(-1, s.width) @ w["q"]).reshape(own.shape), (x.reshape(-1, s.width) @ w["k"]).reshape(x.shape), (x.reshape(-1, s.width) @ w["v"]).reshape(x.shape)
         a = np.matmul(q, k.transpose(0, 2, 1))
         a *= s.width**-0.5
         a += bias
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True) + 1e-30
+        a /= (a @ np.ones(s.window, a.dtype) + 1e-30)[..., None]
         c = np.matmul(a, v)
-        h = own + c @ w["o"]
+        h = own + (c.reshape(-1, s.width) @ w["o"]).reshape(own.shape)
         return x, q, k, v, a, c, h
 
-    def _gradients(self, i: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[int, int, np.ndarray]]]:
-        """Of the mean cross entropy of pieces y: dense ones by name, and (first place, end, rows) of the groups that occur."""
-        s, w = self.s, self.w
-        x, q, k, v, a, c, h = self._forward(i, bias)
+    @staticmethod
+    def _powers(logits: np.ndarray) -> np.ndarray:
+        """Each row's softmax; the logits' room is used up."""
+        if logits.size and not (logits.max() < 80 and logits.min() > -80):  # else single precision holds all powers
+            logits -= logits.max(-1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+        return logits
+
+    def _gradients(self, i: np.ndarray, bias: np.ndarray, y: np.ndarray, live: np.ndarray | None = None, rows: int = 256) -> tuple[dict[str, np.ndarray], list[tuple[int, int, np.ndarray]]]:
+        """Of the mean cross entropy of pieces y (those that are live): dense ones by name, and (first place, end, rows) of the groups that occur.
+        rows: windows at a time, so that they stay in the cache; the pieces of a group go all at once."""
+        s, w, d = self.s, self.w, self.s.width
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        hf, target = flat(h), y.reshape(-1)
-        logits = hf @ w["u"] + w["b"]
-        p = np.exp(logits - logits.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        group = self.group[target]
-        p[np.arange(len(target)), group] -= 1
-        p /= len(target)
-        g = {"b": p.sum(0), "u": hf.T @ p}
-        dh = p @ w["u"].T
-        inner, order = [], np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(self.many + 1))
+        kind, back, target = w["u"].dtype, s.window - s.fresh, y.reshape(-1)
+        group, part, live = self.group[target].astype(np.int16), 1 / len(target), None if live is None else live.reshape(-1)
+        if live is not None:
+            part = 1 / max(1, int(live.sum()))
+        held = [self._forward(i[a : a + rows], bias[a : a + rows]) for a in range(0, len(i), rows)]
+        state = np.ones((len(target), d + 1), kind)  # the last is the bias' input
+        state[:, :d] = np.concatenate([flat(x[-1]) for x in held])
+        # shares within groups
+        inner, order = [], np.argsort(group if live is None else np.where(live, group, self.many).astype(np.int16), kind="stable")
+        edge = np.searchsorted(group[order] if live is None else np.where(live, group, self.many)[order], np.arange(self.many + 1))
+        own, place, back_in = state[order], self.place[target[order]], np.zeros((len(order), d), kind)
         for n in np.flatnonzero(self.wide & (np.diff(edge) > 0)).tolist():
-            rows, lo, hi = order[edge[n] : edge[n + 1]], int(self.cut[n]), int(self.cut[n + 1])
-            own = np.hstack([hf[rows], np.ones((len(rows), 1), np.float32)])
-            z = own @ w["inner"][lo:hi].T
-            z = np.exp(z - z.max(-1, keepdims=True))
-            z /= z.sum(-1, keepdims=True)
-            z[np.arange(len(rows)), self.place[target[rows]] - lo] -= 1
-            z /= len(target)
-            inner.append((lo, hi, z.T @ own))
-            dh[rows] += z @ w["inner"][lo:hi, :-1]
-        dh = dh.reshape(h.shape)
-        back = s.window - s.fresh
-        g["o"] = flat(c).T @ flat(dh)
-        dc = dh @ w["o"].T
-        da = np.matmul(dc, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dc)
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * s.width**-0.5
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        g["q"], g["k"], g["v"] = flat(x[:, back:]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, back:] += dh + dq @ w["q"].T
-        g["pos"] = dx.sum(0)
-        g["emb"] = np.stack([np.bincount(i.reshape(-1), flat(dx)[:, j], len(w["emb"])) for j in range(s.width)], 1).astype(np.float32)
+            e, f, lo, hi = int(edge[n]), int(edge[n + 1]), int(self.cut[n]), int(self.cut[n + 1])
+            grad, most = 0, max(1, (1 << 18) // (hi - lo))
+            for e in range(e, f, most):
+                z = self._powers(own[e : min(f, e + most)] @ w["inner"][lo:hi].T)
+                z[np.arange(len(z)), place[e : e + len(z)] - lo] -= 1
+                z *= part
+                grad = grad + z.T @ own[e : e + len(z)]
+                back_in[e : e + len(z)] = z @ w["inner"][lo:hi, :-1]
+            inner.append((lo, hi, grad))
+        dh_in = np.empty_like(back_in)
+        dh_in[order] = back_in
+        # groups, then back through the layer
+        out, kv = np.vstack([w["u"], w["b"][None]]), np.hstack([w["k"], w["v"]])
+        g, outer, both_g = {k: np.zeros_like(w[k]) for k in ("q", "o", "pos", "emb")}, np.zeros_like(out.T), np.zeros_like(kv)
+        for m, (x, q, k, v, a, c, h) in enumerate(held):
+            part_of = slice(m * rows * s.fresh, m * rows * s.fresh + len(h) * s.fresh)
+            p = self._powers(state[part_of] @ out)
+            p[np.arange(len(p)), group[part_of]] -= 1
+            p *= part
+            if live is not None:
+                p[~live[part_of]] = 0
+            outer += p.T @ state[part_of]
+            dh = p @ w["u"].T
+            dh += dh_in[part_of]
+            g["o"] += flat(c).T @ dh
+            dc = (dh @ w["o"].T).reshape(h.shape)
+            ds = np.matmul(dc, v.transpose(0, 2, 1))
+            ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+            ds *= a
+            ds *= d**-0.5
+            both = np.empty((*x.shape[:2], 2 * d), kind)
+            both[..., :d], both[..., d:] = np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dc)
+            dq = flat(np.matmul(ds, k))
+            g["q"] += flat(x[:, back:]).T @ dq
+            both_g += flat(x).T @ flat(both)
+            dx = (flat(both) @ kv.T).reshape(x.shape)
+            dh += dq @ w["q"].T
+            dx[:, back:] += dh.reshape(h.shape)
+            g["pos"] += dx.sum(0)
+            at = i[m * rows : m * rows + len(x)].reshape(-1)
+            order = np.argsort(at.astype(np.int16) if len(w["emb"]) < 1 << 15 else at, kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            g["emb"][at[first]] += np.add.reduceat(flat(dx)[order], first)
+        g["k"], g["v"], g["u"], g["b"] = both_g[:, :d], both_g[:, d:], outer[:, :d].T, outer[:, d]
         return g, inner
 
-    def fit(self, pieces: np.ndarray, sizes: np.ndarray, at_begin: np.ndarray, steps: int | None = None, rate: float | None = None) -> int:
+    def fit(self, pieces: np.ndarray, sizes: np.ndarray, at_begin: np.ndarray, steps: int | None = None, rate: float | None = None, whole: bool = False, gather: int = 1) -> int:
         """Adam on the cross entropy of pieces over full windows of runs; at_begin: whether a run begins its text. Without steps
-        every window is read once, in random order. Gives the number of steps."""
+        every window is read once, in random order. whole: what is left at a run's end is learnt as well, so that every piece counts once;
+        gather: batches whose gradients make one step. Gives the number of steps."""
         s, w = self.s, self.w
         back = s.window - s.fresh
         begins = np.cumsum(sizes) - sizes
         ins = self.inputs_of(pieces, begins)
         ins[begins[~at_begin]] = self.begin  # never read: such a run's first pieces are context only
         skip = np.where(at_begin, 0, back)
-        n = np.maximum(0, (sizes - skip) // s.fresh)
+        long = np.maximum(0, sizes - skip)
+        n = -(-long // s.fresh) if whole else long // s.fresh
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(begins + skip, n) + k * s.fresh
         first = (k == 0) & np.repeat(at_begin, n)
+        many = np.minimum(s.fresh, np.repeat(long, n) - k * s.fresh)
         if not len(start):
             return 0
-        rng = np.random.default_rng(62)
-        order = rng.permutation(len(start)) if steps is None else rng.integers(0, len(start), steps * s.batch)
+        rng, batch = np.random.default_rng(62), s.batch * gather
+        order = rng.permutation(len(start)) if steps is None else rng.integers(0, len(start), steps * batch)
         m1, m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-        steps, rate = -(-len(order) // s.batch), rate or s.rate
+        steps, rate, fresh = -(-len(order) // batch), rate or s.rate, np.arange(s.fresh)
         for step in range(1, steps + 1):
-            pick = order[(step - 1) * s.batch : step * s.batch]
-            at = np.maximum(start[pick][:, None] - back + np.arange(s.window), 0)
-            g, inner = self._gradients(ins[at], np.where(first[pick][:, None, None], self.first, self.later), pieces[start[pick][:, None] + np.arange(s.fresh)])
+            own = order[(step - 1) * batch : step * batch]
+            at = np.clip(start[own][:, None] - back + np.arange(s.window), 0, len(ins) - 1)
+            live = fresh < many[own][:, None]
+            g, inner = self._gradients(ins[at], np.where(first[own][:, None, None], self.first, self.later), pieces[at[:, back:]], None if live.all() else live)
             now = rate * min(1, step / 20) * (0.5 + 0.5 * np.cos(np.pi * step / (steps + 1)))
             fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
             for own, own1, own2, grad in [*((w[k], m1[k], m2[k], g[k]) for k in g), *((w["inner"][a:b], m1["inner"][a:b], m2["inner"][a:b], x) for a, b, x in inner)]:
@@ -223,9 +261,9 @@ class Attention:
         return steps
 
     def _scorer(self, rows: int):
-        """Weights as scoring uses them: keys and values in one product, the output's bias as one more input, logits of base 2, room for a batch."""
+        """Weights as scoring uses them: keys and values in one product, the output's bias as one more input, room for a batch."""
         w, s = self.w, self.s
-        out = np.vstack([w["u"], w["b"][None]]) * np.float32(np.log2(np.e))
+        out = np.vstack([w["u"], w["b"][None]])
         return np.hstack([w["k"], w["v"]]), w["q"] * np.float32(s.width**-0.5), out, np.ones((rows, s.fresh, s.width + 1), np.float32), np.empty((rows, s.fresh, self.many), np.float32)
 
     def _states(self, ins: np.ndarray, bias: np.ndarray, ready) -> np.ndarray:
@@ -242,20 +280,19 @@ class Attention:
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         c = np.matmul(a, v)
-        c /= a.sum(-1, keepdims=True) + np.float32(1e-30)
+        c /= (a @ np.ones(s.window, np.float32) + np.float32(1e-30))[..., None]
         np.add(own, c @ w["o"], out=h[..., :-1])
         return h
 
     @staticmethod
     def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Base 2 logarithm of the share of one logit a row; the logits' room is used up."""
-        got = np.take_along_axis(logits, own[:, None], 1)[:, 0]
-        top = logits.max() if logits.size else 0
-        if top < 120:  # single precision holds all powers
-            np.exp2(logits, out=logits)
-            return got - np.log2(logits @ np.ones(logits.shape[1], np.float32))
+        """Logarithm of the share of one logit a row; the logits' room is used up."""
+        got = logits[np.arange(len(own)), own]
+        if not logits.size or logits.max() < 80 and logits.min() > -80:  # single precision holds all powers
+            np.exp(logits, out=logits)
+            return got - np.log(logits @ np.ones(logits.shape[1], np.float32))
         high = logits.max(-1)
-        return got - high - np.log2(np.exp2(logits - high[:, None]).sum(-1))
+        return got - high - np.log(np.exp(logits - high[:, None]).sum(-1))
 
     def score(self, pieces: np.ndarray, begins: np.ndarray, sizes: np.ndarray, rows: int = 64, gather: int = 1 << 16) -> np.ndarray:
         """Natural log probability of each piece after those before it in its text."""
@@ -263,7 +300,7 @@ class Attention:
         ins, group = self.inputs_of(pieces, begins), self.group[pieces]
         start, n, first = self.windows(begins, sizes)
         back, fresh, ready = s.window - s.fresh, np.arange(s.fresh), self._scorer(rows)
-        inner = self.w["inner"].T * np.float32(np.log2(np.e))
+        inner = self.w["inner"].T
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def within() -> None:
@@ -272,7 +309,7 @@ class Attention:
             state = np.concatenate([x for _, x in held])
             held.clear()
             own = group[spot]
-            order = np.argsort(own, kind="stable")
+            order = np.argsort(own.astype(np.int16), kind="stable")
             edge = np.searchsorted(own[order], np.arange(self.many + 1))
             for g in np.flatnonzero(np.diff(edge)).tolist():
                 lo, hi = int(self.cut[g]), int(self.cut[g + 1])
@@ -294,7 +331,7 @@ class Attention:
                 logits = ready[4][: len(pick)].reshape(-1, self.many)
                 flat = h.reshape(-1, s.width + 1)
                 np.matmul(flat, ready[2], out=logits)
-                got = self._log_share(logits, group[place].astype(np.int64))
+                got = self._log_share(logits, group[place])
                 out[place[scored]] = got[scored]
                 more = np.flatnonzero(scored & self.wide[group[place]])
                 held.append((place[more], flat[more]))
@@ -304,7 +341,7 @@ class Attention:
                     waiting = 0
         if held:
             within()
-        return out * np.float32(np.log(2))
+        return out
 
 
 class Block:
@@ -351,21 +388,29 @@ class Tally:
         return once / (once + 2 * twice) if once else 0.0
 
 
-def mixed(by_pieces: np.ndarray, counts: np.ndarray, t: Tally) -> np.ndarray:
-    """log10 of (1 - mix) (max(c - D, 0) / N + D V / N spelt) + mix spelt; spelt: the probability of the word's pieces."""
-    if not t.total:
-        return by_pieces / np.log(10)
-    with np.errstate(divide="ignore"):
-        a = by_pieces + np.log(t.mix + (1 - t.mix) * t.discount * t.distinct / t.total)
-        b = np.log(np.maximum(counts - t.discount, 0) / t.total * (1 - t.mix))
-    return np.logaddexp(a, b) / np.log(10)
+#: parts of the pieces to choose from
+MIXES = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def mixed(by_pieces: np.ndarray, counts: np.ndarray, t: Tally, mixes: tuple[float, ...] | None = None) -> np.ndarray:
+    """log10 of (1 - mix) (max(c - D, 0) / N + D V / N spelt) + mix spelt; spelt: the probability of the word's pieces. With mixes a row for each."""
+    each = (t.mix,) if mixes is None else mixes
+    out = np.repeat(by_pieces[None], len(each), 0)
+    if t.total:
+        share = (np.maximum(counts - t.discount, 0) / t.total).astype(by_pieces.dtype)
+        some = np.flatnonzero(share)
+        share, spelt = share[some], np.exp(by_pieces[some])
+        for row, m in zip(out, each):
+            left = m + (1 - m) * t.discount * t.distinct / t.total
+            row += np.log(left)  # of what was never counted: spelt alone, however small
+            row[some] = np.log(share * (1 - m) + spelt * left)
+    out /= np.log(10)
+    return out[0] if mixes is None else out
 
 
 def choose_mix(by_pieces: np.ndarray, counts: np.ndarray, t: Tally) -> Tally:
     """The part of the pieces that suits tokens which are counted without themselves."""
-    grid = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
-    left = np.maximum(counts - 1, 0)
-    return max((replace(t, mix=m) for m in grid), key=lambda own: mixed(by_pieces, left, own).sum())
+    return replace(t, mix=MIXES[int(mixed(by_pieces, np.maximum(counts - 1, 0), t, MIXES).sum(1).argmax())])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -443,7 +488,7 @@ def _blocks(s: Settings, kind):
             pieces, each = spell(words)
             counted = np.bincount(pieces, np.repeat(train, each)) if len(pieces) else np.zeros(1)
             have = np.flatnonzero(counted)
-            # runs to learn from: their pieces (the number after the last piece ends a text), sizes (negative at a text's begin) and words
+            # runs to learn from: their pieces (the number after the last piece ends a text) and sizes (negative at a text's begin)
             text, first, tokens = runs(sizes + 1, taught, s, np.random.default_rng([part, number]))
             stop = first + tokens > sizes[text]
             spot = ragged((np.cumsum(sizes, dtype=np.int64) - sizes)[text] + first, tokens - stop)
@@ -459,9 +504,9 @@ def _blocks(s: Settings, kind):
                     pa.array([_pack(sizes)]), pa.array([_pack(flat)]), _lists(names_of(words)), _lists(train.astype(np.int64)),
                     pa.array([_pack(pieces)]), pa.array([_pack(each)]),
                     _lists(have.astype(np.int32)), _lists(counted[have].astype(np.int64)),
-                    pa.array([drill.astype(np.uint32).tobytes()], pa.binary()), pa.array([signed.astype(np.int32).tobytes()], pa.binary()), pa.array([" ".join([words[c] for c in drilled.tolist()])], pa.string()),
+                    pa.array([drill.astype(np.uint32).tobytes()], pa.binary()), pa.array([signed.astype(np.int32).tobytes()], pa.binary()),
                 ],
-                ["block", "ids", "held", "sizes", "codes", "words", "train", "pieces", "each", "piece", "piece_n", "drill", "runs", "said"],
+                ["block", "ids", "held", "sizes", "codes", "words", "train", "pieces", "each", "piece", "piece_n", "drill", "runs"],
             )
 
         ids, helds, texts, size = [], [], [], 0
@@ -498,7 +543,7 @@ def scores(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
     kind = rows.schema["id"].dataType
     size = rows.agg(F.sum(F.when(~F.col("held"), F.octet_length("text")))).first()[0] or 0
     s = replace(s, share=max(1.0, min(s.share, size / s.least)))
-    shape = f"block long, ids array<{kind.simpleString()}>, held array<boolean>, sizes binary, codes binary, words array<long>, train array<long>, pieces binary, each binary, piece array<int>, piece_n array<long>, drill binary, runs binary, said string"
+    shape = f"block long, ids array<{kind.simpleString()}>, held array<boolean>, sizes binary, codes binary, words array<long>, train array<long>, pieces binary, each binary, piece array<int>, piece_n array<long>, drill binary, runs binary"
     blocks = staged(rows.mapInArrow(_blocks(s, to_arrow_type(kind)), shape))
 
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
@@ -508,8 +553,7 @@ def scores(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
     tally = Tally((seen[0] or 0) + ends, seen[1] + (1 if ends else 0), ends, Tally.discount_of(seen[2] + (ends == 1), seen[3] + (ends == 2)))
     # a row for each piece of the vocabulary at most
     pieces = blocks.select(F.explode(F.arrays_zip("piece", "piece_n")).alias("p")).groupBy("p.piece").agg(F.sum("p.piece_n").alias("n")).collect()
-    model, tally = _learn(blocks, s, {r["piece"]: r["n"] for r in pieces}, tally, counts)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(_learn(blocks, s, {r["piece"]: r["n"] for r in pieces}, tally))
 
     known = words.join(counts, "word").groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))
     joined = blocks.select("block", "ids", "held", "sizes", "codes", "pieces", "each").join(known, "block", "left").drop("block")
@@ -520,21 +564,34 @@ def scores(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, flags = (batch.column(i)[k].values for i in (0, 1))
-                sizes, codes, flat, each = (_unpack(batch.column(i)[k].as_py(), t) for i, t in ((2, np.int32), (3, np.uint32), (4, np.uint32), (5, np.int32)))
-                block = Block(codes.astype(np.int64), sizes.astype(np.int64), flat.astype(np.int64), each, m.size - 1)
+                block, each = _block(batch, k, 2, m.size - 1)
                 c = np.zeros(len(each) + 1, np.float64)
                 if batch.column(6)[k].is_valid:
                     c[batch.column(6)[k].values.to_numpy()] = batch.column(7)[k].values.to_numpy()
                 c[-1] = tally.ends
                 own = c[block.codes]
                 base = np.add.reduceat(np.log10((c + 1) / price)[block.codes], block.first_word)
-                score = np.add.reduceat(mixed(block.words_logp(m), own, tally), block.first_word)
-                n = len(block.sizes)
+                by = block.words_logp(m).astype(np.float32)
+                score = np.add.reduceat(mixed(by, own, tally, MIXES), block.first_word, axis=1, dtype=np.float64)
+                # how each mixture suits the block's training tokens, each counted without itself: beside the block's first text
+                taught = np.repeat(~np.asarray(flags), block.sizes)
+                suits = mixed(by[taught], np.maximum(own[taught] - 1, 0), tally, MIXES).sum(1, dtype=np.float64)
+                n, many = len(block.sizes), len(MIXES)
                 met = np.add.reduceat((own > 0).astype(np.int64), block.first_word)
-                yield pa.RecordBatch.from_arrays([ids, flags, pa.array(block.sizes), pa.array(met), pa.array(np.full(n, tally.total, np.int64)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * many), pa.array(score.T.reshape(-1)))
+                beside = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(n + 1, dtype=np.int32), 1) * many), pa.array(suits))
+                yield pa.RecordBatch.from_arrays([ids, flags, pa.array(block.sizes), pa.array(met), pa.array(np.full(n, tally.total, np.int64)), pa.array(base), lists, beside], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "scores", "suits"])
 
-    out = joined.mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+    out = staged(joined.mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, suits array<double>"))
+    suits = {r["pos"]: r["s"] for r in out.select(F.posexplode("suits")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
+    best = max(range(len(MIXES)), key=lambda k: suits.get(k, 0.0))
+    return out.withColumn("score", F.col("scores")[best]).drop("scores", "suits").withColumnRenamed("id", id_col)
+
+
+def _block(batch: pa.RecordBatch, k: int, at: int, end: int) -> tuple[Block, np.ndarray]:
+    """Row k's block, and the pieces of each word of its dictionary, from the columns sizes, codes, pieces and each."""
+    sizes, codes, flat, each = (_unpack(batch.column(at + i)[k].as_py(), t) for i, t in enumerate((np.int32, np.uint32, np.uint32, np.int32)))
+    return Block(codes.astype(np.int64), sizes.astype(np.int64), flat.astype(np.int64), each, end), each
 
 
 def _drilled(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -544,87 +601,78 @@ def _drilled(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, n
     return pieces, np.abs(signed), signed < 0
 
 
-def _learn(blocks: DataFrame, s: Settings, pieces: dict[int, int], tally: Tally, counts: DataFrame) -> tuple[Attention, Tally]:
-    """Groups and shares from the corpus counts, the start of the weights and the mixture on the driver, the rest by the executors."""
+def _learn(blocks: DataFrame, s: Settings, pieces: dict[int, int], tally: Tally) -> Attention:
+    """Groups and shares from the corpus counts, the start of the weights on the driver, the fit on all training texts by the executors."""
     number = np.zeros(library(s.model).get_piece_size() + 1, np.float64)
     for p, n in pieces.items():
         number[p] = n
     number[-1] = tally.ends
     model = Attention(number, s)
-    drills = blocks.select("block", "drill", "runs", "said").filter(F.octet_length("drill") > 0)
+    drills = blocks.select("block", "drill", "runs").filter(F.octet_length("drill") > 0)
     size = drills.agg(F.count("*"), F.sum(F.octet_length("drill") / 4)).first()
-    if not size[0]:
-        return model, tally
-    most = max(1, min(size[0], int(s.first * size[0] / size[1])))
-    picked = [r["block"] for r in drills.select("block").orderBy(F.xxhash64("block"), "block").limit(most).collect()]
-    start = drills.filter(F.col("block").isin(picked)).orderBy("block").collect()  # s.first pieces, or one block
-    flat, sizes, begun = _drilled([(r["drill"], r["runs"]) for r in start])
-    # one run in eight is kept for the mixture
-    apart = np.arange(len(sizes)) % 8 == 7
-    inside = np.repeat(~apart, sizes)
-    model.fit(flat[inside], sizes[~apart], begun[~apart], steps=s.steps)
-    names = [w for r in start for w in r["said"].split(" ") if w]
-    end = flat == len(number) - 1
-    if apart.any():
-        uniq = list(dict.fromkeys(names))
-        spelt = dict(zip(uniq, (max(1, len(x)) for x in library(s.model).encode(uniq, num_threads=1))))
-        # words of all runs in order, ends where the pieces have one
-        ends_at = np.flatnonzero(end)
-        lengths = np.array([spelt[w] for w in names], np.int64)
-        starts = np.flatnonzero(~end)[np.cumsum(lengths) - lengths] if len(names) else np.empty(0, np.int64)
-        first = np.sort(np.concatenate([starts, ends_at]))
-        named = dict(zip(uniq, names_of(uniq).tolist()))
-        held = {r["word"]: r["c"] for r in _as_table(blocks, list(named.values())).join(counts, "word").collect()}
-        c = np.zeros(len(flat))
-        c[starts] = [held.get(named[w], 0) for w in names]
-        c[ends_at] = tally.ends
-        by = np.add.reduceat(model.score(flat, np.cumsum(sizes) - sizes, sizes).astype(np.float64), first)
-        tested = ~inside[first]
-        tally = choose_mix(by[tested], c[first][tested], tally)
-    return _go_on(model, drills, s, int(size[1])), tally
-
-
-def _go_on(model: Attention, drills: DataFrame, s: Settings, pieces: int) -> Attention:
-    """Every executor task fits the started weights on its share of the runs of the whole corpus; their mean, by steps, is the model."""
-    context = drills.sparkSession.sparkContext
-    learners = max(1, min(context.defaultParallelism, pieces // s.learner))
+    if size[0]:
+        most = max(1, min(size[0], int(s.first * size[0] / size[1])))
+        picked = [r["block"] for r in drills.select("block").orderBy(F.xxhash64("block"), "block").limit(most).collect()]
+        start = drills.filter(F.col("block").isin(picked)).orderBy("block").collect()  # s.first pieces, or one block
+        model.fit(*_drilled([(r["drill"], r["runs"]) for r in start]), steps=s.steps)
+    return _go_on(model, blocks, s)
+
+
+def _go_on(model: Attention, blocks: DataFrame, s: Settings) -> Attention:
+    """Learners fit the started weights on every piece of the training texts, each on blocks of one partition in order, where they lie; their
+    mean, by steps, is the model. What a learner reads depends on the blocks, not on the number of tasks."""
+    context = blocks.sparkSession.sparkContext
     started, names = context.broadcast(model), list(model.w)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, rows, done, total = deepcopy(started.value), [], 0, None
+        m, done, total = deepcopy(started.value), 0, None
+        pieces, sizes, held, part = [], [], 0, None
 
         def go() -> None:
-            nonlocal done, total
+            nonlocal done, total, held
             m.w = {k: started.value.w[k].copy() for k in names}
-            n = m.fit(*_drilled(rows), rate=s.slow)
-            rows.clear()
-            if n:
-                x = np.concatenate([m.w[k].reshape(-1) for k in names]).astype(np.float64) * n
-                done, total = done + n, x if total is None else total + x
+            long = np.concatenate(sizes)
+            n = m.fit(np.concatenate(pieces), long, np.ones(len(long), bool), rate=s.slow, whole=True, gather=s.gather)
+            pieces.clear()
+            sizes.clear()
+            held = 0
+            x = np.concatenate([m.w[k].reshape(-1) for k in names]).astype(np.float64) * n
+            done, total = done + n, x if total is None else total + x
 
         for batch in batches:
             for k in range(batch.num_rows):
-                rows.append((batch.column(1)[k].as_py(), batch.column(2)[k].as_py()))
-                if sum(len(d) for d, _ in rows) >= 16 * s.learner * 4:
+                own = batch.column(0)[k].as_py() >> 32
+                if held and (own != part or held >= s.learner):
                     go()
-        if rows:
+                part = own
+                block = _block(batch, k, 2, m.size - 1)[0]
+                taught = ~np.asarray(batch.column(1)[k].values)
+                pieces.append(block.pieces[np.repeat(taught, block.piece_sizes)].astype(np.int32))
+                sizes.append(block.piece_sizes[taught])
+                held += len(pieces[-1])
+        if held:
             go()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([(total / done).astype(np.float32).tobytes()], pa.binary())], ["steps", "weights"])
+            yield _weights(done, total)
+        trim()
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, total = 0, 0.0
         for batch in batches:
-            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                done, total = done + n, total + n * np.frombuffer(x, np.float32).astype(np.float64)
+            for n, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                done, total = done + n, total + n * np.frombuffer(x.as_py(), np.float32).astype(np.float64)
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([(total / done).astype(np.float32).tobytes()], pa.binary())], ["steps", "weights"])
-
-    found = drills.select("block", "drill", "runs").repartition(learners, "block").sortWithinPartitions("block").mapInArrow(fitted, "steps long, weights binary")
-    found = found.repartition(int(np.ceil(learners**0.5))).mapInArrow(mean, "steps long, weights binary").collect()  # the root of the learners' number of models
-    done = sum(r["steps"] for r in found)
+            yield _weights(done, total)
+
+    read = blocks.select("block", "held", "sizes", "codes", "pieces", "each")
+    found, many = read.mapInArrow(fitted, "steps long, weights binary"), read.rdd.getNumPartitions()
+    while many > 16:  # what reaches the driver doesn't grow with the corpus
+        many = -(-many // 16)
+        found = found.repartition(many).mapInArrow(mean, "steps long, weights binary")
+    rows = found.collect()
+    done = sum(r["steps"] for r in rows)
     if done:
-        flat, at = sum(r["steps"] * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in found) / done, 0
+        flat, at = sum(r["steps"] * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in rows) / done, 0
         for k in names:
             n = model.w[k].size
             model.w[k] = flat[at : at + n].reshape(model.w[k].shape).astype(np.float32)
@@ -632,8 +680,6 @@ def _go_on(model: Attention, drills: DataFrame, s: Settings, pieces: int) -> Att
     return model
 
 
-def _as_table(like: DataFrame, names: list[int]) -> DataFrame:
-    """The words of the bounded start as a table."""
-    import pandas as pd
-
-    return F.broadcast(like.sparkSession.createDataFrame(pd.DataFrame({"word": pd.Series(names, dtype="int64")}), "word long"))
+def _weights(steps: int, total: np.ndarray) -> pa.RecordBatch:
+    """A row with the mean of weights that are summed by steps."""
+    return pa.RecordBatch.from_arrays([pa.array([steps], pa.int64()), pa.array([(total / steps).astype(np.float32).tobytes()], pa.binary())], ["steps", "weights"])

@@ -157,6 +157,55 @@ def test_runs_take_a_share_of_every_text():
     assert np.allclose(taken / 400 / sizes, 0.25, rtol=0.25) and not len(lm.runs(sizes, np.zeros(5, int), s, rng)[0])
 
 
+def test_every_training_text_is_learnt(spark):
+    """Words in a fixed order, all but one run of them outside what starts the weights: the order is learnt however the tables are read."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join((words * 8)[i % 40 : i % 40 + 200])) for i in range(300)], "doc_id long, text string").repartition(3).localCheckpoint()
+    s = lm.Settings(steps=1, batch=8, share=1e12, least=1, learner=30_000, gather=1, slow=0.03, block=1 << 14)
+    found = []
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4m" if size == "128m" else "1k")
+        try:
+            found.append(lm.scores(docs, s).toPandas().sort_values("doc_id"))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    held_out = found[0][found[0]["held_out"]]
+    assert len(held_out) and held_out["score"].sum() / held_out["n_tokens"].sum() > held_out["base_score"].sum() / held_out["n_tokens"].sum() + 0.3
+    assert np.allclose(found[0]["score"], found[1]["score"], rtol=1e-3)
+
+
+def test_every_piece_of_a_run_counts_once(model):
+    _, pieces, begins, sizes = model
+    m = lm.Attention(np.bincount(pieces, minlength=501).astype(float), lm.Settings(window=8, fresh=5, width=6, heads=20, widest=64, inputs=64, batch=32))
+    seen, plain = [], m._gradients
+    m._gradients = lambda i, bias, y, live=None: seen.append(y.reshape(-1) if live is None else y[live]) or plain(i, bias, y, live)
+    steps = m.fit(pieces, sizes, np.ones(5, bool), whole=True, gather=2)
+    assert steps == -(-int((-(-sizes // 5)).sum()) // 64) and np.array_equal(np.sort(np.concatenate(seen)), np.sort(pieces))
+
+
+def test_gradients_of_windows_that_are_not_full(model):
+    """Pieces that don't count give nothing, parts of a batch add up."""
+    m, pieces, begins, sizes = model
+    back = m.s.window - m.s.fresh
+    at = np.arange(40, 47)[:, None] * 7 - back + np.arange(m.s.window)
+    i, y, bias = m.inputs_of(pieces, begins)[at], pieces[at[:, back:]], np.repeat(m.later[None], 7, 0)
+    live = np.arange(m.s.fresh) < np.array([5, 2, 5, 1, 4, 5, 3])[:, None]
+    junk = np.where(live, y, 17)
+    one, two = m._gradients(i, bias, y, live), m._gradients(i, bias, junk, live, rows=2)
+    assert all(np.allclose(one[0][k], two[0][k], atol=1e-5) for k in m.w if k != "inner")
+    assert [x[:2] for x in one[1]] == [x[:2] for x in two[1]] and all(np.allclose(a[2], b[2], atol=1e-5) for a, b in zip(one[1], two[1]))
+
+
+def test_mixtures_side_by_side():
+    counts, by = np.array([5.0, 0, 1, 2, 0, 3]), np.array([-2.0, -1000, -1000, -9, -5, -0.1])
+    t = lm.Tally(12, 5, 3, 0.5)
+    got = lm.mixed(by, counts, t, lm.MIXES)
+    assert np.isfinite(got).all() and all(np.allclose(row, lm.mixed(by, counts, lm.replace(t, mix=m))) for row, m in zip(got, lm.MIXES))
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     got = lm.scores(table(spark, "/root/testdata/sf0.01", "documents")).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
     assert got["s"] / got["n"] > got["b"] / got["n"] + 0.01
