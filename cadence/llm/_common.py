@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadence.pinning import pinned, shared_dir
 
-__all__ = ["fold", "pinned", "shared_dir", "slices", "staged", "texts_of", "tokenizer_path", "trim"]
+__all__ = ["fold", "hold", "pinned", "shared_dir", "slices", "staged", "texts_of", "tokenizer_path", "trim"]
 
 #: Text bytes that one slice of an Arrow batch holds at most (a single longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -44,6 +44,18 @@ def trim() -> None:
         pass  # another C library: it keeps its memory
 
 
+def hold() -> None:
+    """Keep up to 64 MB of freed memory for the next arrays of this process until trim(): pages that come anew for every array cost a
+    good part of the time of numpy's short steps."""
+    import ctypes
+
+    try:
+        for name, size in ((-1, 64 << 20), (-3, 32 << 20)):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(name, size)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps what it likes
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches again, in slices of at most limit bytes of text."""
     import numpy as np

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm._common import fold, slices, staged, tokenizer_path, trim
+from cadence.llm._common import fold, hold, slices, staged, tokenizer_path, trim
 
 
 @dataclass(frozen=True)
@@ -92,8 +92,9 @@ class Attention:
         order = np.argsort(-counts, kind="stable")
         weight = counts[order] + 0.1
         target, groups, held, most = weight.sum() / s.heads, [0], 0.0, 0
+        known = int((counts > 0).sum()) or self.size  # pieces that no training text has are alike: one group, whose shares nothing moves
         for k, w in enumerate(weight.tolist()):
-            if most and (held + w > target or most >= s.widest):
+            if most and (k == known or k < known and (held + w > target or most >= s.widest)):
                 groups.append(k)
                 held, most = 0.0, 0
             held, most = held + w, most + 1
@@ -136,29 +137,36 @@ class Attention:
         start = np.repeat(begins, n) + k * self.s.fresh
         return start, np.minimum(self.s.fresh, np.repeat(begins + sizes, n) - start), k == 0
 
+    def _products(self) -> tuple[np.ndarray, np.ndarray]:
+        """The layer on its inputs: queries times keys as one form of two inputs, values times the output as one map."""
+        w = self.w
+        return w["q"] @ w["k"].T * w["q"].dtype.type(self.s.width**-0.5), w["v"] @ w["o"]
+
     def _forward(self, ins: np.ndarray, bias: np.ndarray):
         w, s = self.w, self.s
-        x = w["emb"][ins]
+        form, through = self._products()
+        x = w["emb"].take(ins, 0, mode="clip")
         x += w["pos"]
-        own = x[:, s.window - s.fresh :]
-        q, k, v = (own.reshape(-1, s.width) @ w["q"]).reshape(own.shape), (x.reshape(-1, s.width) @ w["k"]).reshape(x.shape), (x.reshape(-1, s.width) @ w["v"]).reshape(x.shape)
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= s.width**-0.5
+        own = np.ascontiguousarray(x[:, s.window - s.fresh :])
+        q = (own.reshape(-1, s.width) @ form).reshape(own.shape)
+        a = np.matmul(q, x.transpose(0, 2, 1))
         a += bias
-        np.minimum(a, 60, out=a)
+        if a.size and a.max() > 60:
+            np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a /= (a @ np.ones(s.window, a.dtype) + 1e-30)[..., None]
-        c = np.matmul(a, v)
-        h = own + (c.reshape(-1, s.width) @ w["o"]).reshape(own.shape)
-        return x, q, k, v, a, c, h
+        c = np.matmul(a, x)
+        more = (c.reshape(-1, s.width) @ through).reshape(own.shape)
+        return x, own, q, a, c, more, more + own
 
     @staticmethod
-    def _powers(logits: np.ndarray) -> np.ndarray:
-        """Each row's softmax; the logits' room is used up."""
+    def _powers(logits: np.ndarray, weight: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Each row's softmax less one at its own place, times its weight; the logits' room is used up."""
         if logits.size and not (logits.max() < 80 and logits.min() > -80):  # else single precision holds all powers
             logits -= logits.max(-1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+        logits *= (weight / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+        logits[np.arange(len(own)), own] -= weight
         return logits
 
     def _gradients(self, i: np.ndarray, bias: np.ndarray, y: np.ndarray, live: np.ndarray | None = None, rows: int = 256) -> tuple[dict[str, np.ndarray], list[tuple[int, int, np.ndarray]]]:
@@ -167,62 +175,60 @@ class Attention:
         s, w, d = self.s, self.w, self.s.width
         flat = lambda z: z.reshape(-1, z.shape[-1])
         kind, back, target = w["u"].dtype, s.window - s.fresh, y.reshape(-1)
-        group, part, live = self.group[target].astype(np.int16), 1 / len(target), None if live is None else live.reshape(-1)
+        group, weight = self.group[target], np.full(len(target), 1 / max(1, len(target) if live is None else int(live.sum())), kind)
         if live is not None:
-            part = 1 / max(1, int(live.sum()))
-        held = [self._forward(i[a : a + rows], bias[a : a + rows]) for a in range(0, len(i), rows)]
-        state = np.ones((len(target), d + 1), kind)  # the last is the bias' input
-        state[:, :d] = np.concatenate([flat(x[-1]) for x in held])
+            weight *= live.reshape(-1)
+        held, state = [], np.ones((len(target), d + 1), kind)  # the last is the bias' input
+        for a in range(0, len(i), rows):
+            x, _, q, e, c, _, h = self._forward(i[a : a + rows], bias[a : a + rows])
+            state[a * s.fresh : (a + len(h)) * s.fresh, :d] = flat(h)
+            held.append((x, q, e, c))
         # shares within groups
-        inner, order = [], np.argsort(group if live is None else np.where(live, group, self.many).astype(np.int16), kind="stable")
-        edge = np.searchsorted(group[order] if live is None else np.where(live, group, self.many)[order], np.arange(self.many + 1))
-        own, place, back_in = state[order], self.place[target[order]], np.zeros((len(order), d), kind)
-        for n in np.flatnonzero(self.wide & (np.diff(edge) > 0)).tolist():
+        inner, spot = [], np.flatnonzero(self.wide[group] & (weight > 0))
+        order = spot[np.argsort(group[spot].astype(np.int16), kind="stable")]
+        edge = np.searchsorted(group[order], np.arange(self.many + 1))
+        own, place, part, back_in = state.take(order, 0), self.place[target[order]], weight[order], np.empty((len(order), d), kind)
+        for n in np.flatnonzero(np.diff(edge)).tolist():
             e, f, lo, hi = int(edge[n]), int(edge[n + 1]), int(self.cut[n]), int(self.cut[n + 1])
-            grad, most = 0, max(1, (1 << 18) // (hi - lo))
+            grad, most, side = 0, max(1, (1 << 18) // (hi - lo)), w["inner"][lo:hi]
             for e in range(e, f, most):
-                z = self._powers(own[e : min(f, e + most)] @ w["inner"][lo:hi].T)
-                z[np.arange(len(z)), place[e : e + len(z)] - lo] -= 1
-                z *= part
-                grad = grad + z.T @ own[e : e + len(z)]
-                back_in[e : e + len(z)] = z @ w["inner"][lo:hi, :-1]
+                g = min(f, e + most)
+                z = self._powers(own[e:g] @ side.T, part[e:g], place[e:g] - lo)
+                grad = grad + z.T @ own[e:g]
+                np.matmul(z, side[:, :-1], out=back_in[e:g])
             inner.append((lo, hi, grad))
-        dh_in = np.empty_like(back_in)
+        dh_in = np.zeros((len(target), d), kind)
         dh_in[order] = back_in
         # groups, then back through the layer
-        out, kv = np.vstack([w["u"], w["b"][None]]), np.hstack([w["k"], w["v"]])
-        g, outer, both_g = {k: np.zeros_like(w[k]) for k in ("q", "o", "pos", "emb")}, np.zeros_like(out.T), np.zeros_like(kv)
-        for m, (x, q, k, v, a, c, h) in enumerate(held):
-            part_of = slice(m * rows * s.fresh, m * rows * s.fresh + len(h) * s.fresh)
-            p = self._powers(state[part_of] @ out)
-            p[np.arange(len(p)), group[part_of]] -= 1
-            p *= part
-            if live is not None:
-                p[~live[part_of]] = 0
+        out, (form, through) = np.vstack([w["u"], w["b"][None]]), self._products()
+        g, outer = {k: np.zeros_like(w[k]) for k in ("pos", "emb")}, np.zeros_like(out.T)
+        of_form, of_through = np.zeros_like(form), np.zeros_like(through)
+        for m, (x, q, a, c) in enumerate(held):
+            part_of = slice(m * rows * s.fresh, m * rows * s.fresh + len(x) * s.fresh)
+            p = self._powers(state[part_of] @ out, weight[part_of], group[part_of])
             outer += p.T @ state[part_of]
-            dh = p @ w["u"].T
-            dh += dh_in[part_of]
-            g["o"] += flat(c).T @ dh
-            dc = (dh @ w["o"].T).reshape(h.shape)
-            ds = np.matmul(dc, v.transpose(0, 2, 1))
-            ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+            dh = dh_in[part_of]
+            dh += p @ w["u"].T
+            of_through += flat(c).T @ dh
+            dc = (dh @ through.T).reshape(c.shape)
+            ds = np.matmul(dc, x.transpose(0, 2, 1))
+            ds -= np.einsum("bij,bij->bi", dc, c)[..., None]
             ds *= a
-            ds *= d**-0.5
-            both = np.empty((*x.shape[:2], 2 * d), kind)
-            both[..., :d], both[..., d:] = np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dc)
-            dq = flat(np.matmul(ds, k))
-            g["q"] += flat(x[:, back:]).T @ dq
-            both_g += flat(x).T @ flat(both)
-            dx = (flat(both) @ kv.T).reshape(x.shape)
-            dh += dq @ w["q"].T
-            dx[:, back:] += dh.reshape(h.shape)
+            dx = np.matmul(a.transpose(0, 2, 1), dc)
+            dx += np.matmul(ds.transpose(0, 2, 1), q)
+            dq = flat(np.matmul(ds, x))
+            of_form += x[:, back:].reshape(-1, d).T @ dq
+            dh += dq @ form.T
+            dx[:, back:] += dh.reshape(c.shape)
             g["pos"] += dx.sum(0)
             at = i[m * rows : m * rows + len(x)].reshape(-1)
             order = np.argsort(at.astype(np.int16) if len(w["emb"]) < 1 << 15 else at, kind="stable")
             at = at[order]
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            g["emb"][at[first]] += np.add.reduceat(flat(dx)[order], first)
-        g["k"], g["v"], g["u"], g["b"] = both_g[:, :d], both_g[:, d:], outer[:, :d].T, outer[:, d]
+            g["emb"][at[first]] += np.add.reduceat(flat(dx).take(order, 0), first)
+        of_form *= kind.type(d**-0.5)
+        g["q"], g["k"], g["v"], g["o"] = of_form @ w["k"], of_form.T @ w["q"], of_through @ w["o"].T, w["v"].T @ of_through
+        g["u"], g["b"] = outer[:, :d].T, outer[:, d]
         return g, inner
 
     def fit(self, pieces: np.ndarray, sizes: np.ndarray, at_begin: np.ndarray, steps: int | None = None, rate: float | None = None, whole: bool = False, gather: int = 1) -> int:
@@ -234,12 +240,13 @@ class Attention:
         begins = np.cumsum(sizes) - sizes
         ins = self.inputs_of(pieces, begins)
         ins[begins[~at_begin]] = self.begin  # never read: such a run's first pieces are context only
+        ins, targets = self._views(ins, pieces)
         skip = np.where(at_begin, 0, back)
         long = np.maximum(0, sizes - skip)
         n = -(-long // s.fresh) if whole else long // s.fresh
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(begins + skip, n) + k * s.fresh
-        first = (k == 0) & np.repeat(at_begin, n)
+        first, masks = ((k == 0) & np.repeat(at_begin, n)).astype(np.int8), np.stack([self.later, self.first])
         many = np.minimum(s.fresh, np.repeat(long, n) - k * s.fresh)
         if not len(start):
             return 0
@@ -249,39 +256,53 @@ class Attention:
         steps, rate, fresh = -(-len(order) // batch), rate or s.rate, np.arange(s.fresh)
         for step in range(1, steps + 1):
             own = order[(step - 1) * batch : step * batch]
-            at = np.clip(start[own][:, None] - back + np.arange(s.window), 0, len(ins) - 1)
             live = fresh < many[own][:, None]
-            g, inner = self._gradients(ins[at], np.where(first[own][:, None, None], self.first, self.later), pieces[at[:, back:]], None if live.all() else live)
+            g, inner = self._gradients(ins[start[own]], masks.take(first[own], 0), targets[start[own]], None if live.all() else live)
             now = rate * min(1, step / 20) * (0.5 + 0.5 * np.cos(np.pi * step / (steps + 1)))
             fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
-            for own, own1, own2, grad in [*((w[k], m1[k], m2[k], g[k]) for k in g), *((w["inner"][a:b], m1["inner"][a:b], m2["inner"][a:b], x) for a, b, x in inner)]:
+            for own, own1, own2, grad in [*((w[k], m1[k], m2[k], g[k]) for k in g), *((w["inner"][a:b], m1["inner"][a:b], m2["inner"][a:b], x) for a, b, x in self._joined(inner))]:
                 own1 += 0.1 * (grad - own1)
                 own2 += 0.01 * (grad**2 - own2)
                 own -= (now * (own1 / fix1) / (np.sqrt(own2 / fix2) + 1e-8)).astype(np.float32)
         return steps
 
+    @staticmethod
+    def _joined(inner: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, np.ndarray]]:
+        """Groups that follow each other as one."""
+        cut = [k for k, x in enumerate(inner) if not k or x[0] != inner[k - 1][1]]
+        return [(inner[a][0], inner[b - 1][1], np.concatenate([x for *_, x in inner[a:b]])) for a, b in zip(cut, [*cut[1:], len(inner)])]
+
+    def _views(self, ins: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the place of its first scored piece, a window's inputs and the pieces it scores; what is beyond the texts is never live."""
+        from numpy.lib.stride_tricks import sliding_window_view
+
+        s = self.s
+        wide = np.concatenate([np.full(s.window - s.fresh, self.begin, ins.dtype), ins, np.full(s.fresh, self.begin, ins.dtype)])
+        return sliding_window_view(wide, s.window), sliding_window_view(np.append(pieces, np.zeros(s.fresh, pieces.dtype)), s.fresh)
+
     def _scorer(self, rows: int):
-        """Weights as scoring uses them: keys and values in one product, the output's bias as one more input, room for a batch."""
+        """Weights as scoring uses them: the layer's products, the output's bias as one more input, room for a batch."""
         w, s = self.w, self.s
         out = np.vstack([w["u"], w["b"][None]])
-        return np.hstack([w["k"], w["v"]]), w["q"] * np.float32(s.width**-0.5), out, np.ones((rows, s.fresh, s.width + 1), np.float32), np.empty((rows, s.fresh, self.many), np.float32)
+        room = (np.empty((rows, s.window, s.width), np.float32), np.empty((rows, s.fresh, s.window), np.float32))
+        return *self._products(), out, np.ones((rows, s.fresh, s.width + 1), np.float32), np.empty((rows, s.fresh, self.many), np.float32), room
 
     def _states(self, ins: np.ndarray, bias: np.ndarray, ready) -> np.ndarray:
         """Attended states, with a one for the bias, of a batch of windows."""
         w, s = self.w, self.s
-        kv, wq, h = ready[0], ready[1], ready[3][: len(ins)]
-        x = w["emb"][ins]
+        form, through, h = ready[0], ready[1], ready[3][: len(ins)]
+        x, a = (z[: len(ins)] for z in ready[5])
+        w["emb"].take(ins, 0, out=x, mode="clip")
         x += w["pos"]
-        own = x[:, s.window - s.fresh :]
-        both = x.reshape(-1, s.width) @ kv
-        k, v = (both[:, i * s.width : (i + 1) * s.width].reshape(len(ins), s.window, s.width) for i in (0, 1))
-        a = np.matmul(own @ wq, k.transpose(0, 2, 1))
+        own = x[:, s.window - s.fresh :].reshape(-1, s.width)
+        np.matmul((own @ form).reshape(-1, s.fresh, s.width), x.transpose(0, 2, 1), out=a)
         a += bias
-        np.minimum(a, 60, out=a)
+        if a.size and a.max() > 60:
+            np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        c = np.matmul(a, v)
-        c /= (a @ np.ones(s.window, np.float32) + np.float32(1e-30))[..., None]
-        np.add(own, c @ w["o"], out=h[..., :-1])
+        c = np.matmul(a, x).reshape(-1, s.width)
+        c /= (a.reshape(-1, s.window) @ np.ones(s.window, np.float32) + np.float32(1e-30))[:, None]
+        np.add(own, c @ through, out=h.reshape(-1, s.width + 1)[:, :-1])
         return h
 
     @staticmethod
@@ -294,12 +315,12 @@ class Attention:
         high = logits.max(-1)
         return got - high - np.log(np.exp(logits - high[:, None]).sum(-1))
 
-    def score(self, pieces: np.ndarray, begins: np.ndarray, sizes: np.ndarray, rows: int = 64, gather: int = 1 << 16) -> np.ndarray:
+    def score(self, pieces: np.ndarray, begins: np.ndarray, sizes: np.ndarray, rows: int = 128, gather: int = 1 << 16) -> np.ndarray:
         """Natural log probability of each piece after those before it in its text."""
         s, out = self.s, np.zeros(len(pieces), np.float32)
-        ins, group = self.inputs_of(pieces, begins), self.group[pieces]
-        start, n, first = self.windows(begins, sizes)
-        back, fresh, ready = s.window - s.fresh, np.arange(s.fresh), self._scorer(rows)
+        group, (start, n, first) = self.group[pieces], self.windows(begins, sizes)
+        ins, groups = self._views(self.inputs_of(pieces, begins), group)
+        fresh, ready = np.arange(s.fresh), self._scorer(rows)
         inner = self.w["inner"].T
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -308,33 +329,38 @@ class Attention:
             spot = np.concatenate([x for x, _ in held])
             state = np.concatenate([x for _, x in held])
             held.clear()
-            own = group[spot]
-            order = np.argsort(own.astype(np.int16), kind="stable")
-            edge = np.searchsorted(own[order], np.arange(self.many + 1))
+            found = group[spot]
+            order = np.argsort(found.astype(np.int16), kind="stable")
+            edge = np.searchsorted(found[order], np.arange(self.many + 1))
+            spot, state = spot[order], state.take(order, 0)
+            place = self.place[pieces[spot]]
             for g in np.flatnonzero(np.diff(edge)).tolist():
                 lo, hi = int(self.cut[g]), int(self.cut[g + 1])
                 side = np.ascontiguousarray(inner[:, lo:hi])
                 most = max(1, (1 << 20) // (hi - lo))
+                if not side[:-1].any():  # nothing was learnt from: the same shares after any state
+                    own = slice(int(edge[g]), int(edge[g + 1]))
+                    out[spot[own]] += (side[-1] - np.log(np.exp(side[-1].astype(np.float64)).sum()))[place[own] - lo].astype(np.float32)
+                    continue
                 for a in range(int(edge[g]), int(edge[g + 1]), most):
-                    take = order[a : min(a + most, int(edge[g + 1]))]
-                    out[spot[take]] += self._log_share(state[take] @ side, self.place[pieces[spot[take]]] - lo)
+                    b = min(a + most, int(edge[g + 1]))
+                    out[spot[a:b]] += self._log_share(state[a:b] @ side, place[a:b] - lo)
 
         waiting = 0
         for kind, bias in ((True, self.first), (False, self.later)):
             chosen = np.flatnonzero(first == kind)
             for a in range(0, len(chosen), rows):
                 pick = chosen[a : a + rows]
-                at = start[pick][:, None] - back + np.arange(s.window)
-                h = self._states(ins[np.clip(at, 0, len(ins) - 1)], bias, ready)
-                scored = (fresh < n[pick][:, None]).reshape(-1)
-                place = np.minimum(start[pick][:, None] + fresh, len(pieces) - 1).reshape(-1)
+                h = self._states(ins[start[pick]], bias, ready)
+                scored, own = np.flatnonzero(fresh < n[pick][:, None]), groups[start[pick]].reshape(-1)
+                place = (start[pick][:, None] + fresh).reshape(-1)
                 logits = ready[4][: len(pick)].reshape(-1, self.many)
                 flat = h.reshape(-1, s.width + 1)
                 np.matmul(flat, ready[2], out=logits)
-                got = self._log_share(logits, group[place])
+                got = self._log_share(logits, own)
                 out[place[scored]] = got[scored]
-                more = np.flatnonzero(scored & self.wide[group[place]])
-                held.append((place[more], flat[more]))
+                more = scored[self.wide[own[scored]]]
+                held.append((place[more], flat.take(more, 0)))
                 waiting += len(more)
                 if waiting >= gather:
                     within()
@@ -459,6 +485,26 @@ def runs(sizes: np.ndarray, train: np.ndarray, s: Settings, rng: np.random.Gener
     return text, first, whole[text]
 
 
+class Spelling:
+    """Pieces of a block's words. Words of the blocks before are not spelt again; when they become too many, those that recur stay."""
+
+    def __init__(self, model: str, most: int = 250_000):
+        self.model, self.most = model, most
+        self.spelt: dict[str, list[int]] = {}
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spelt = self.spelt
+        new = [w for w in words if w not in spelt]
+        if len(spelt) + len(new) > self.most:
+            spelt = self.spelt = {w: spelt[w] for w in words if w in spelt}
+        for a in range(0, len(new), 50_000):
+            own = new[a : a + 50_000]
+            spelt.update((w, x or [0]) for w, x in zip(own, library(self.model).encode(own, num_threads=1)))
+        found = list(map(spelt.__getitem__, words))
+        each = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(each.sum())), each
+
+
 def _blocks(s: Settings, kind):
     """Rows (id, held, text) -> a row for each block of documents."""
 
@@ -466,19 +512,7 @@ def _blocks(s: Settings, kind):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        spelt: dict[str, list[int]] = {}  # pieces of words of the blocks before
-
-        def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            new = [w for w in words if w not in spelt]
-            if len(spelt) + len(new) > 250_000:
-                spelt.clear()
-                new = words
-            for a in range(0, len(new), 50_000):
-                own = new[a : a + 50_000]
-                spelt.update((w, x or [0]) for w, x in zip(own, library(s.model).encode(own, num_threads=1)))
-            found = list(map(spelt.__getitem__, words))
-            each = np.fromiter(map(len, found), np.int32, len(found))
-            return np.fromiter(chain.from_iterable(found), np.uint32, int(each.sum())), each
+        spell = Spelling(s.model)
 
         def give(ids, helds, texts):
             words, flat, sizes = coded(texts)
@@ -521,7 +555,7 @@ def _blocks(s: Settings, kind):
                 ids, helds, texts, size, number = [], [], [], 0, number + 1
         if ids:
             yield give(ids, helds, texts)
-        spelt.clear()
+        spell.spelt.clear()
         trim()
 
     return run
@@ -560,6 +594,7 @@ def scores(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
     price = tally.total + tally.distinct + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         m = held.value
         for batch in batches:
             for k in range(batch.num_rows):
@@ -572,7 +607,7 @@ def scores(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
                 own = c[block.codes]
                 base = np.add.reduceat(np.log10((c + 1) / price)[block.codes], block.first_word)
                 by = block.words_logp(m).astype(np.float32)
-                score = np.add.reduceat(mixed(by, own, tally, MIXES), block.first_word, axis=1, dtype=np.float64)
+                score = np.stack([np.add.reduceat(x, block.first_word, dtype=np.float64) for x in mixed(by, own, tally, MIXES)])
                 # how each mixture suits the block's training tokens, each counted without itself: beside the block's first text
                 taught = np.repeat(~np.asarray(flags), block.sizes)
                 suits = mixed(by[taught], np.maximum(own[taught] - 1, 0), tally, MIXES).sum(1, dtype=np.float64)
@@ -625,6 +660,7 @@ def _go_on(model: Attention, blocks: DataFrame, s: Settings) -> Attention:
     started, names = context.broadcast(model), list(model.w)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         m, done, total = deepcopy(started.value), 0, None
         pieces, sizes, held, part = [], [], 0, None
 

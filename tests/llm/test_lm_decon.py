@@ -186,6 +186,36 @@ def test_every_piece_of_a_run_counts_once(model):
     assert steps == -(-int((-(-sizes // 5)).sum()) // 64) and np.array_equal(np.sort(np.concatenate(seen)), np.sort(pieces))
 
 
+def test_pieces_without_texts_take_one_group():
+    counts = np.zeros(5_000)
+    counts[::50] = np.arange(100, 200)
+    m = lm.Attention(counts, lm.Settings(heads=10, widest=64, inputs=64))
+    unseen = np.flatnonzero(counts == 0)
+    assert len(set(m.group[unseen].tolist())) == 1 and not set(m.group[unseen].tolist()) & set(m.group[counts > 0].tolist())
+    assert np.diff(m.cut)[:-1].max() <= 64 and m.many <= 12
+    none = lm.Attention(np.zeros(200), lm.Settings(heads=10, widest=64, inputs=64))
+    assert np.diff(none.cut).max() <= 64 and none.cut[-1] == 200
+
+
+def test_words_that_recur_are_spelt_once(monkeypatch):
+    asked, plain = Counter(), lm.library(lm.Settings.model)
+
+    class Watched:
+        @staticmethod
+        def encode(words, num_threads):
+            asked.update(words)
+            return plain.encode(words, num_threads=num_threads)
+
+    monkeypatch.setattr(lm, "library", lambda model: Watched)
+    spell, common = lm.Spelling(lm.Settings.model, most=100), [f"often{k}" for k in range(30)]
+    for n in range(6):
+        words = [*common, "", *(f"once{n}x{k}" for k in range(50))]
+        flat, each = spell(words)
+        want = [x or [0] for x in plain.encode(words)]
+        assert flat.tolist() == [p for x in want for p in x] and each.tolist() == list(map(len, want)) and len(spell.spelt) <= 100
+    assert all(asked[w] == 1 for w in common)
+
+
 def test_gradients_of_windows_that_are_not_full(model):
     """Pieces that don't count give nothing, parts of a batch add up."""
     m, pieces, begins, sizes = model
