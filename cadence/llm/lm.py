@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass, replace
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -459,7 +459,7 @@ def coded(texts: list[pa.Array]) -> tuple[list[str], np.ndarray, np.ndarray]:
     some = np.asarray(pc.binary_length(flat)) > 0  # white space at an end leaves an empty word
     sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
     found = flat.filter(pa.array(some)).dictionary_encode()
-    return found.dictionary.to_pylist(), np.asarray(found.indices, np.uint32), sizes.astype(np.int32)
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(found.indices, np.uint32), sizes.astype(np.int32)
 
 
 def names_of(words: list[str]) -> np.ndarray:
@@ -490,19 +490,31 @@ class Spelling:
 
     def __init__(self, model: str, most: int = 250_000):
         self.model, self.most = model, most
-        self.spelt: dict[str, list[int]] = {}
+        self.spelt: dict[str, int] = {}  # each word's number
+        self.pieces, self.each = np.empty(0, np.uint32), np.empty(0, np.int32)
+
+    def _of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = self.each[numbers]
+        return self.pieces[ragged((np.cumsum(self.each, dtype=np.int64) - self.each)[numbers], each)], each
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        spelt = self.spelt
-        new = [w for w in words if w not in spelt]
-        if len(spelt) + len(new) > self.most:
-            spelt = self.spelt = {w: spelt[w] for w in words if w in spelt}
+        at = np.fromiter(map(self.spelt.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[k] for k in np.flatnonzero(at < 0).tolist()]
+        if len(self.spelt) + len(new) > self.most:
+            again = np.flatnonzero(at >= 0)
+            self.pieces, self.each = self._of(at[again])
+            at[again] = np.arange(len(again))
+            self.spelt = {words[k]: n for n, k in enumerate(again.tolist())}
+        first = len(self.each)
+        pieces, each = [self.pieces], [self.each]
         for a in range(0, len(new), 50_000):
-            own = new[a : a + 50_000]
-            spelt.update((w, x or [0]) for w, x in zip(own, library(self.model).encode(own, num_threads=1)))
-        found = list(map(spelt.__getitem__, words))
-        each = np.fromiter(map(len, found), np.int32, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(each.sum())), each
+            found = [x or [0] for x in library(self.model).encode(new[a : a + 50_000], num_threads=1)]
+            each.append(np.fromiter(map(len, found), np.int32, len(found)))
+            pieces.append(np.fromiter(chain.from_iterable(found), np.uint32, int(each[-1].sum())))
+        self.pieces, self.each = np.concatenate(pieces), np.concatenate(each)
+        self.spelt.update(zip(new, range(first, first + len(new))))
+        at[at < 0] = np.arange(first, first + len(new))
+        return self._of(at)
 
 
 def _blocks(s: Settings, kind):
@@ -511,6 +523,7 @@ def _blocks(s: Settings, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        hold()
         part, number = TaskContext.get().partitionId(), 0
         spell = Spelling(s.model)
 
@@ -555,7 +568,7 @@ def _blocks(s: Settings, kind):
                 ids, helds, texts, size, number = [], [], [], 0, number + 1
         if ids:
             yield give(ids, helds, texts)
-        spell.spelt.clear()
+        del spell
         trim()
 
     return run
