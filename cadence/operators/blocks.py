@@ -10,7 +10,6 @@ halo of samples or sums of short parts instead. Keys are never null.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,8 +21,8 @@ from cadence.operators import signal as K
 from cadence.pinning import pinned
 from cadence.plans.staged import resolve_preset
 
-#: Blocks (or spans) that one fold goes over, and samples that a filter takes in one step.
-SPAN, STEP = 1024, 64
+#: Blocks (or spans) that one fold goes over.
+SPAN = 1024
 
 Section = tuple
 
@@ -100,61 +99,12 @@ def starts(maps: DataFrame, keys: list[str], compose: Callable, apply: Callable,
 # --- recursive filters ---
 
 
-class Cascade:
-    """Second-order sections in a row as one linear system, and STEP samples of it as one product of matrices."""
-
-    def __init__(self, sections: tuple[Section, ...]):
-        self.sections = [(np.pad(np.asarray(b, float), (0, 3 - len(b))), np.pad(np.asarray(a, float), (0, 3 - len(a)))) for b, a in sections]
-        n = self.order = 2 * len(self.sections)
-        # state after, and output of, one sample for each unit state and a unit input
-        rows = [self._one(state, x) for state, x in [*((row, 0.0) for row in np.eye(n)), (np.zeros(n), 1.0)]]
-        self.a = np.array([r[0] for r in rows[:n]]).T
-        b, c, d = rows[n][0], np.array([r[1] for r in rows[:n]]), rows[n][1]
-        self.a_step = np.linalg.matrix_power(self.a, STEP)
-        seen, pushed = [c], [b]
-        for _ in range(STEP - 1):
-            seen.append(seen[-1] @ self.a)
-            pushed.append(self.a @ pushed[-1])
-        self.seen = np.array(seen)  # of the state in each output
-        self.pushed = np.array(pushed[::-1])  # of each input in the state after
-        hit = np.array([d, *[s @ b for s in seen[:-1]]])
-        self.hit = np.array([np.concatenate([np.zeros(k), hit[: STEP - k]]) for k in range(STEP)])  # of each input in each output
-
-    def _one(self, state: np.ndarray, x: float) -> tuple[np.ndarray, float]:
-        after = np.empty(len(state))
-        for k, (b, a) in enumerate(self.sections):
-            one, two = state[2 * k : 2 * k + 2]
-            y = b[0] * x + one
-            after[2 * k : 2 * k + 2] = b[1] * x - a[1] * y + two, b[2] * x - a[2] * y
-            x = y
-        return after, x
-
-    @lru_cache(maxsize=64)  # noqa: B019  a cascade lives as long as its batch
-    def power(self, n: int) -> np.ndarray:
-        return np.linalg.matrix_power(self.a, n)
-
-    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Outputs of a block that begins in a state, and the state after it."""
-        x = np.asarray(x, float)
-        whole = len(x) // STEP * STEP
-        parts = x[:whole].reshape(-1, STEP)
-        fresh, states = parts @ self.pushed, np.empty((len(parts), self.order))
-        for k in range(len(parts)):
-            states[k] = state
-            state = self.a_step @ state + fresh[k]
-        out = [(parts @ self.hit + states @ self.seen.T).reshape(-1)]
-        for v in x[whole:].tolist():
-            state, y = self._one(state, v)
-            out.append(np.array([y]))
-        return np.concatenate(out), state
-
-
 def filtered(blocks: DataFrame, keys: list[str], *sections: Section) -> DataFrame:
     """The blocks through second-order sections whose state goes on from block to block: equal to one pass over the whole recording."""
     order = 2 * len(sections)
 
     def ends(batches: Iterator) -> Iterator:
-        own = Cascade(sections)
+        own = K.Cascade(sections)
         for batch in batches:
             yield batch.assign(map=[[float(len(x)), *own.run(x, np.zeros(order))[1]] for x in batch["samples"]])[[*keys, "block", "map"]]
 
@@ -162,7 +112,7 @@ def filtered(blocks: DataFrame, keys: list[str], *sections: Section) -> DataFram
 
     def power(n: int) -> np.ndarray:
         if n not in powers:
-            powers[n] = Cascade(sections).power(n)
+            powers[n] = K.Cascade(sections).power(n)
         return powers[n]
 
     def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,7 +122,7 @@ def filtered(blocks: DataFrame, keys: list[str], *sections: Section) -> DataFram
         return power(int(m[0])) @ state + m[1:]
 
     def finish(batches: Iterator) -> Iterator:
-        own = Cascade(sections)
+        own = K.Cascade(sections)
         for batch in batches:
             yield batch.assign(samples=[own.run(x, np.asarray(s, float))[0] for x, s in zip(batch["samples"], batch["state"])]).drop(columns="state")
 

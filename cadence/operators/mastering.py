@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StringType, StructField, StructType
 
 from cadence.operators import signal as K
 from cadence.plans.staged import resolve_preset
 
-#: Fixed: rates that are admitted, and the one all kernels work at.
-RATES, RATE = (16_000, 22_050, 44_100, 48_000), 48_000
+#: Fixed: rates that are admitted, and the one all kernels work at. Clips that a task masters side by side.
+RATES, RATE, TOGETHER = (16_000, 22_050, 44_100, 48_000), 48_000, 16
 
 
 def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
@@ -50,11 +51,7 @@ def vocal_eq(x: np.ndarray, rate: int = RATE, mud: float = 0.0, boxiness: float
 
 def follow(gains: np.ndarray, attack: float, release: float) -> np.ndarray:
     """One-pole smoothing from 1 on: falls by attack, rises by release (0..1)."""
-    out, state = np.empty(len(gains)), 1.0
-    for i, g in enumerate(gains.tolist()):
-        state += (attack if g < state else release) * (g - state)
-        out[i] = state
-    return out
+    return K.followed([gains], release, attack, 1.0)[0]
 
 
 def spread(gains: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -94,33 +91,62 @@ def deess(x: np.ndarray, rate: int = RATE, threshold: float = -8.0, most: float
 
 def compress(x: np.ndarray, rate: int = RATE, threshold: float = -24.0, ratio: float = 2.0, attack: float = 0.010, release: float = 0.150) -> np.ndarray:
     """Levels above the threshold grow by 1/ratio; the level is the signal's size, followed sample by sample."""
-    x, top = np.asarray(x, float), 10 ** (threshold / 20)
-    up, down = 1 - np.exp(-1 / (attack * rate)), 1 - np.exp(-1 / (release * rate))
-    level, state = np.empty(len(x)), 0.0
-    for i, v in enumerate(np.abs(x).tolist()):
-        state += (up if v > state else down) * (v - state)
-        level[i] = state
-    return x * np.where(level > top, (np.maximum(level, top) / top) ** (1 / ratio - 1), 1.0)
+    return compress_all([np.asarray(x, float)], rate, threshold, ratio, attack, release)[0]
+
+
+def compress_all(signals: list[np.ndarray], rate: int = RATE, threshold: float = -24.0, ratio: float = 2.0, attack: float = 0.010, release: float = 0.150) -> list[np.ndarray]:
+    """``compress`` of each signal, their levels followed side by side."""
+    top = 10 ** (threshold / 20)
+    levels = K.followed([np.abs(x) for x in signals], 1 - np.exp(-1 / (attack * rate)), 1 - np.exp(-1 / (release * rate)), 0.0)
+    return [x * (np.maximum(level, top) / top) ** (1 / ratio - 1) for x, level in zip(signals, levels)]
 
 
 def limit(x: np.ndarray, rate: int = RATE, threshold: float = -1.0, release: float = 0.050, ahead: float = 0.005) -> np.ndarray:
     """No sample above the threshold: the gain that a peak needs is there ``ahead`` of it and is given back by release."""
     x, top, n = np.asarray(x, float), 10 ** (threshold / 20), max(1, int(ahead * rate))
-    need = np.minimum(1.0, top / np.maximum(np.abs(x), 1e-12))
-    if not len(x) or need.min() >= 1:
+    if not len(x) or max(x.max(), -x.min()) <= top:
         return x
-    padded = np.concatenate([need, np.ones(n)])
-    least = np.lib.stride_tricks.sliding_window_view(padded, n + 1).min(1)  # over the next n samples
-    out, state, back = np.empty(len(x)), 1.0, 1 - np.exp(-1 / (release * rate))
-    for i, g in enumerate(least.tolist()):
-        state = g if g < state else state + back * (g - state)
-        out[i] = state
+    need = np.minimum(1.0, top / np.maximum(np.abs(x), 1e-12))
+    least, reach = np.concatenate([need, np.ones(n)]), 1  # over the next n samples: of windows twice as wide, then of two that overlap
+    while 2 * reach <= n + 1:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    least = np.minimum(least[: len(x)], least[n + 1 - reach :][: len(x)])
+    out = K.followed([least], 1 - np.exp(-1 / (release * rate)), 1.0, 1.0)[0]
     return x * np.minimum(out, need)
 
 
-def true_peak(x: np.ndarray) -> float:
-    """The highest level between the samples as well, from four times as many."""
-    return float(20 * np.log10(np.abs(resample(x, 1, 4)).max(initial=0.0) + 1e-12)) if len(x) else float("-inf")
+@lru_cache(maxsize=4)
+def _turns(n: int) -> np.ndarray:
+    """What a quarter of a sample turns each bin of a real transform of n by."""
+    return np.exp(0.5j * np.pi / n * np.arange(n // 2 + 1))
+
+
+def true_peak(x: np.ndarray, above: float | None = None) -> float:
+    """The highest level between the samples as well, from four times as many: the spectrum turned by quarters of a sample. Where a bound
+    is not ``above`` so many decibels, the bound is given instead."""
+    if not len(x):
+        return float("-inf")
+    n, x, db = len(x), np.asarray(x, float), lambda v: float(20 * np.log10(v + 1e-12))
+    f = np.fft.rfft(x)
+    last = f[-1].real / n if n % 2 == 0 else 0.0
+    if n % 2 == 0:
+        f[-1] *= 2  # as in a longer transform, where this bin is not the last
+    if above is not None:
+        # the lower quarter of the bins by its samples, of which there are eight a period at least; of the others the sum
+        low = np.fft.irfft(f[: n // 8], n) if n >= 64 else np.zeros(1)
+        rest = f[n // 8 :] if n >= 64 else f
+        bound = db(max(low.max(), -low.min()) / np.cos(np.pi / 8) + 2 * np.abs(rest).sum() / n)
+        if bound < above - 1e-6:
+            return bound
+    y = [x[::2] + last, x[1::2] - last]
+    top = max(max(v.max(initial=0.0), -v.min(initial=0.0)) for v in y)
+    turn = _turns(n) if n <= 1 << 20 else _turns.__wrapped__(n)
+    for _ in range(3):
+        f *= turn
+        y = np.fft.irfft(f, n)
+        top = max(top, y.max(), -y.min())
+    return db(top)
 
 
 def to_loudness(x: np.ndarray, rate: int = RATE, target: float = -16.0) -> np.ndarray:
@@ -129,7 +155,7 @@ def to_loudness(x: np.ndarray, rate: int = RATE, target: float = -16.0) -> np.nd
     if now is None or not np.isfinite(now) or now < -70:
         return np.asarray(x, float)
     y = np.asarray(x, float) * 10 ** ((target - now) / 20)
-    if true_peak(y) > -1:
+    if true_peak(y, above=-1) > -1:
         y = limit(y, rate, -3.0)
         if (over := true_peak(y) + 1) > 0:
             y = y * 10 ** (-over / 20)
@@ -141,7 +167,7 @@ def short_term(x: np.ndarray, rate: int = RATE, size: float = 3.0) -> np.ndarray
     n, hop = int(size * rate), rate // 10
     if len(x) < n:
         return np.empty(0)
-    p = np.cumsum(np.concatenate([[0.0], K.apply_filter(np.asarray(x, float), *K.K_WEIGHTING) ** 2]))
+    p = np.cumsum(np.concatenate([[0.0], K.recursed(np.asarray(x, float), *K.K_WEIGHTING) ** 2]))
     at = np.arange(0, len(x) - n + 1, hop)
     return -0.691 + 10 * np.log10((p[at + n] - p[at]) / n + 1e-30)
 
@@ -158,39 +184,49 @@ def loudness_range(x: np.ndarray, rate: int = RATE) -> float | None:
 
 def process(x: np.ndarray, preset: str | None = None, rate: int = RATE, lufs: float | None = None, dehum: int | None = None, no_eq: bool = False, no_comp: bool = False, no_limit: bool = False, no_loudnorm: bool = False) -> tuple[np.ndarray, list[str]]:
     """The whole chain in its fixed order, with the stages that ran."""
-    p, x, ran = resolve_preset(preset), np.asarray(x, float), ["dc_block", "highpass"]
+    return process_all([x], preset, rate, lufs, dehum, no_eq, no_comp, no_limit, no_loudnorm)[0]
+
+
+def process_all(signals: list[np.ndarray], preset: str | None = None, rate: int = RATE, lufs: float | None = None, dehum: int | None = None, no_eq: bool = False, no_comp: bool = False, no_limit: bool = False, no_loudnorm: bool = False) -> list[tuple[np.ndarray, list[str]]]:
+    """``process`` of each signal, stage by stage: what goes sample by sample is done for all side by side."""
+    p, xs, ran = resolve_preset(preset), [np.asarray(x, float) for x in signals], ["dc_block", "highpass"]
     second = K.highpass(p["highpass_hz"], rate)
-    x = K.apply_filter(x, K.dc_block(rate), second, second)
+    sections = [K.dc_block(rate), second, second]
     if dehum:
-        x = K.apply_filter(x, K.notch(float(dehum), rate))
+        sections.append(K.notch(float(dehum), rate))
         ran.append("dehum")
     if not no_eq:
-        x = vocal_eq(x, rate, p["mud"], p["boxiness"], p["presence"], p["air"])
+        sections += eq_sections(rate, p["mud"], p["boxiness"], p["presence"], p["air"])
         ran.append("eq")
-        if p["deesser"]:
-            x = deess(x, rate, p["deesser_threshold"])
-            ran.append("deesser")
+    xs = [K.recursed(x, *sections) for x in xs]
+    if not no_eq and p["deesser"]:
+        xs = [deess(x, rate, p["deesser_threshold"]) for x in xs]
+        ran.append("deesser")
     if not no_comp:
-        x = compress(x, rate, p["comp_threshold"], p["comp_ratio"])
+        xs = compress_all(xs, rate, p["comp_threshold"], p["comp_ratio"])
         ran.append("compressor")
     if not no_limit:
-        x = limit(x, rate)
+        xs = [limit(x, rate) for x in xs]
         ran.append("limiter")
     if not no_loudnorm:
-        x = to_loudness(x, rate, p["lufs"] if lufs is None else lufs)
+        xs = [to_loudness(x, rate, p["lufs"] if lufs is None else lufs) for x in xs]
         ran.append("loudness")
-    return x, ran
+    return [(x, list(ran)) for x in xs]
 
 
 def master(clips: DataFrame, preset: str | None = None, **switches) -> DataFrame:
-    """Clips (…, samples) through the chain, with ``stages``: what ran. One narrow pass; a clip is a row and bounded by its length."""
+    """Clips (…, samples) through the chain, with ``stages``: what ran. One narrow pass; a clip is a row and bounded by its length.
+    Samples may be packed (``signal.packed``) and stay so."""
     resolve_preset(preset)  # an unknown one fails before anything runs
     schema = StructType([*[f for f in clips.schema if f.name != "stages"], StructField("stages", ArrayType(StringType()))])
+    form = K.packed if isinstance(clips.schema["samples"].dataType, BinaryType) else lambda x: x.astype(np.float32)
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            done = [process(x, preset, **switches) for x in batch["samples"]]
-            yield batch.assign(samples=[x.astype(np.float32) for x, _ in done], stages=[s for _, s in done])[schema.names]
+            for a in range(0, len(batch), TOGETHER):
+                part = batch.iloc[a : a + TOGETHER]
+                done = process_all([K.unpacked(x) for x in part["samples"]], preset, **switches)
+                yield part.assign(samples=[form(x) for x, _ in done], stages=[s for _, s in done])[schema.names]
 
     return clips.drop("stages").mapInPandas(run, schema)
 
@@ -296,7 +332,7 @@ def speech_frames(clips: DataFrame, keys: list[str], rate: int = RATE, ms: int =
 
 def measures(clips: DataFrame, keys: list[str], lufs: bool = False) -> DataFrame:
     """Short-term maximum, loudness range and true peak of each clip at RATE, beside what ``signal.measure`` gives; of that the loudness as well,
-    if asked for, so that clips which are dear to make are made once."""
+    if asked for, so that clips which are dear to make are made once. Samples may be packed."""
     names = ["short_term_max", "loudness_range", "true_peak_db", *(["lufs"] if lufs else [])]
 
     def run(batches: Iterator) -> Iterator:
@@ -305,7 +341,7 @@ def measures(clips: DataFrame, keys: list[str], lufs: bool = False) -> DataFrame
         for batch in batches:
             rows = []
             for *key, samples in batch[[*keys, "samples"]].itertuples(index=False):
-                x = np.asarray(samples, float)
+                x = K.unpacked(samples)
                 st = short_term(x)
                 rows.append((*key, float(st.max()) if len(st) else None, loudness_range(x), true_peak(x) if len(x) else None, *([K.loudness(x)] if lufs else [])))
             yield pd.DataFrame(rows, columns=[*keys, *names])

@@ -1,6 +1,6 @@
 """Kernels over signals: spectra, bands, hum, loudness, filters and repairs. Numpy inside Arrow batches, one clip at a time.
 
-A clip is a row (keys, samples ARRAY<FLOAT>); clips are bounded by their length, and nothing is gathered across them.
+A clip is a row (keys, samples ARRAY<FLOAT>, or packed where it says so); clips are bounded by their length, and nothing is gathered across them.
 Coefficients are the published audio-equaliser formulas and the loudness standard's two filters.
 """
 
@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A clip's samples as the bytes of 32-bit floats: between two passes of Python an array is taken apart to objects, bytes are copied."""
+    return np.asarray(x, "<f4").tobytes()
+
+
+def unpacked(x: np.ndarray | bytes) -> np.ndarray:
+    """Samples as doubles, packed or not."""
+    return np.asarray(np.frombuffer(x, "<f4") if isinstance(x, bytes | bytearray | memoryview) else x, float)
+
+
 def response(b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
     """Frequency response of b/a at the bins of a real transform of n."""
     z = np.exp(-2j * np.pi * np.arange(n // 2 + 1) / n)
@@ -21,7 +31,7 @@ def response(b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _cascade(sections: tuple, n: int) -> np.ndarray:
+def _response(sections: tuple, n: int) -> np.ndarray:
     """Response of sections in a row, kept for the clips of like length that follow."""
     h = np.ones(n // 2 + 1, complex)
     for b, a in sections:
@@ -32,10 +42,142 @@ def _cascade(sections: tuple, n: int) -> np.ndarray:
 def apply_filter(x: np.ndarray, *sections: tuple) -> np.ndarray:
     """Recursive sections over a whole signal, by their response over twice its length (their tail dies out there)."""
     n = 1 << int(np.ceil(np.log2(max(2 * len(x), len(x) + 65536))))
-    h = _cascade(tuple(tuple(tuple(map(float, c)) for c in s) for s in sections), n)
+    h = _response(tuple(tuple(tuple(map(float, c)) for c in s) for s in sections), n)
     return np.fft.irfft(np.fft.rfft(x, n) * h, n)[: len(x)]
 
 
+#: Samples that a filter takes in one step, and steps whose states are found side by side.
+STEP, GROUP = 64, 32
+
+
+class Cascade:
+    """Second-order sections in a row as one linear system, and STEP samples of it as one product of matrices."""
+
+    def __init__(self, sections: tuple[tuple, ...]):
+        self.sections = [(np.pad(np.asarray(b, float), (0, 3 - len(b))) / a[0], np.pad(np.asarray(a, float), (0, 3 - len(a))) / a[0]) for b, a in sections]
+        self.settles = all(abs(a[2]) < 1 and abs(a[1]) < 1 + a[2] for _, a in self.sections)
+        n = self.order = 2 * len(self.sections)
+        # state after, and output of, one sample for each unit state and a unit input
+        rows = [self._one(state, x) for state, x in [*((row, 0.0) for row in np.eye(n)), (np.zeros(n), 1.0)]]
+        self.a = np.array([r[0] for r in rows[:n]]).T
+        b, c, d = rows[n][0], np.array([r[1] for r in rows[:n]]), rows[n][1]
+        a_step = np.linalg.matrix_power(self.a, STEP)
+        self.steps = np.array([np.linalg.matrix_power(a_step, k) for k in range(GROUP + 1)])  # of the state so many steps before
+        seen, pushed = [c], [b]
+        for _ in range(STEP - 1):
+            seen.append(seen[-1] @ self.a)
+            pushed.append(self.a @ pushed[-1])
+        self.seen = np.array(seen)  # of the state in each output
+        self.pushed = np.array(pushed[::-1])  # of each input in the state after
+        hit = np.array([d, *[s @ b for s in seen[:-1]]])
+        self.hit = np.array([np.concatenate([np.zeros(k), hit[: STEP - k]]) for k in range(STEP)])  # of each input in each output
+
+    def _one(self, state: np.ndarray, x: float) -> tuple[np.ndarray, float]:
+        after = np.empty(len(state))
+        for k, (b, a) in enumerate(self.sections):
+            one, two = state[2 * k : 2 * k + 2]
+            y = b[0] * x + one
+            after[2 * k : 2 * k + 2] = b[1] * x - a[1] * y + two, b[2] * x - a[2] * y
+            x = y
+        return after, x
+
+    @lru_cache(maxsize=64)  # noqa: B019  a cascade lives as long as its batch
+    def power(self, n: int) -> np.ndarray:
+        return np.linalg.matrix_power(self.a, n)
+
+    def _states(self, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state before each step, from what each step adds, and the state after the last: groups of steps side by side from zero,
+        then what the groups before leave."""
+        n = len(fresh)
+        held = np.zeros((-(-n // GROUP), GROUP, self.order))
+        held.reshape(-1, self.order)[:n] = fresh
+        own, now = np.empty_like(held), np.zeros((len(held), self.order))
+        for k in range(GROUP):
+            own[:, k] = now
+            now = now @ self.steps[1].T + held[:, k]
+        led = np.empty_like(now)
+        for k in range(len(led)):
+            led[k] = state
+            state = self.steps[GROUP] @ state + now[k]
+        own += np.einsum("gj,kij->gki", led, self.steps[:GROUP], optimize=True)
+        states = own.reshape(-1, self.order)[:n]
+        return states, self.steps[1] @ states[-1] + fresh[-1]
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs of a block that begins in a state, and the state after it."""
+        x, state = np.asarray(x, float), np.asarray(state, float)
+        whole = len(x) // STEP * STEP
+        out = np.empty(len(x))
+        if whole:
+            parts = x[:whole].reshape(-1, STEP)
+            states, state = self._states(parts @ self.pushed, state)
+            out[:whole] = (parts @ self.hit + states @ self.seen.T).reshape(-1)
+        if n := len(x) - whole:
+            rest = x[whole:]
+            out[whole:] = rest @ self.hit[:n, :n] + self.seen[:n] @ state
+            state = np.linalg.matrix_power(self.a, n) @ state + rest @ self.pushed[STEP - n :]
+        return out, state
+
+
+@lru_cache(maxsize=32)
+def _cascade(sections: tuple) -> Cascade:
+    """Sections in a row, kept for the clips that follow."""
+    with np.errstate(over="ignore", invalid="ignore"):  # powers of those that do not settle
+        return Cascade(sections)
+
+
+def recursed(x: np.ndarray, *sections: tuple) -> np.ndarray:
+    """Recursive sections over a whole signal that begins at rest, by steps. Those that grow without end (a corner above half the rate)
+    are left to their response."""
+    own = _cascade(tuple(tuple(tuple(map(float, c)) for c in s) for s in sections))
+    return own.run(x, np.zeros(own.order))[0] if own.settles else apply_filter(x, *sections)
+
+
+def _rounds(held: np.ndarray, first: float, lead: np.ndarray, began: np.ndarray, rise: float, fall: float, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """States after each sample of stretches (columns of ``held``, a signal's in a row, its first marked by lead), and what they begin with:
+    Newton's rule from ``began`` on, until no beginning moves by more than a share ``near`` of it."""
+    size, n = held.shape
+    out, both = np.empty_like(held), np.maximum if rise >= fall else np.minimum
+    by_rise, by_fall, d = np.empty(n), np.empty(n), np.empty(n)
+    for _ in range(n + 1):  # each round settles one more stretch of each signal at least
+        state = began
+        for v, to in zip(held, out):
+            np.subtract(v, state, out=d)
+            np.multiply(d, rise, out=by_rise)
+            np.multiply(d, fall, out=by_fall)
+            state = np.add(state, both(by_rise, by_fall, out=by_rise), out=to)
+        above = np.count_nonzero(held[1:] > out[:-1], axis=0) + (held[0] > began)
+        slope = (1 - rise) ** above * (1 - fall) ** (size - above)
+        now, better = first, []
+        for leads, start, end, s in zip(lead.tolist(), began.tolist(), state.tolist(), slope.tolist()):
+            now = first if leads else now
+            better.append(now)
+            now = end + s * (now - start)
+        was, began = began, np.array(better)
+        if ((np.abs(began - was) <= near * np.abs(began) + 1e-300) | (began == was) | (np.isnan(began) & np.isnan(was))).all():
+            break
+    return out, began
+
+
+def followed(signals: list[np.ndarray], rise: float, fall: float, first: float) -> list[np.ndarray]:
+    """One-pole smoothing of each signal from ``first`` on: rises and falls by its own share (0..1) of the distance, sample by sample.
+
+    All signals' stretches are followed side by side. A stretch's end is an increasing function of the state it begins with and piecewise
+    linear, so the states at the stretches' borders are bettered by Newton's rule until they are those of the sequence. The first
+    guess is what one sample in eight makes of them.
+    """
+    size = int(min(512, max(16, sum(map(len, signals)) ** 0.5))) // 8 * 8
+    ends = np.cumsum([0, *(-(-len(x) // size) for x in signals)])
+    held = np.zeros((ends[-1], size))
+    for x, a, b in zip(signals, ends, ends[1:]):
+        held[a:b].reshape(-1)[: len(x)] = x
+    held = np.ascontiguousarray(held.T)
+    lead = np.isin(np.arange(ends[-1]), ends)
+    _, began = _rounds(held[::8], first, lead, np.full(ends[-1], float(first)), 1 - (1 - rise) ** 8, 1 - (1 - fall) ** 8, 1e-3)
+    out = _rounds(held, first, lead, began, rise, fall, 1e-13)[0].T
+    return [out[a:b].reshape(-1)[: len(x)] for x, a, b in zip(signals, ends, ends[1:])]
+
+
 def _rbj(f0: float, rate: float, q: float):
     w = 2 * np.pi * f0 / rate
     return np.cos(w), np.sin(w) / (2 * q), w
@@ -87,7 +229,7 @@ def loudness(x: np.ndarray, rate: int = 48_000) -> float | None:
     size, hop = int(0.4 * rate), int(0.1 * rate)
     if len(x) < size:
         return None
-    p = np.cumsum(np.concatenate([[0.0], apply_filter(x, *K_WEIGHTING) ** 2]))
+    p = np.cumsum(np.concatenate([[0.0], recursed(x, *K_WEIGHTING) ** 2]))
     starts = np.arange(0, len(x) - size + 1, hop)
     power = (p[starts + size] - p[starts]) / size
     level = -0.691 + 10 * np.log10(power + 1e-30)

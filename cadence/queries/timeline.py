@@ -92,21 +92,25 @@ def gain_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", "sample", r6("gain").alias("gain"))
 
 
-def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tone burst for each user: 1.5 s at the events' number and mean value, quiet for its last third."""
+def clips(spark: SparkSession, sf_dir: str, packed: bool = False) -> DataFrame:
+    """A tone burst for each user: 1.5 s at the events' number and mean value, quiet for its last third; samples packed if asked for."""
     u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
     # a row here is small and its clip is not: without a number of their own these partitions are joined to one
     u = u.repartition(max(200, 4 * spark.sparkContext.defaultParallelism), "user_id")
-    return u.mapInPandas(_bursts, "user_id long, samples array<float>")
+    return u.mapInPandas(lambda batches: _bursts(batches, packed), f"user_id long, samples {'binary' if packed else 'array<float>'}")
 
 
-def _bursts(batches: Iterator) -> Iterator:
-    at = np.arange(72_000)
+def _bursts(batches: Iterator, packed: bool) -> Iterator:
+    at, loud = np.arange(72_000.0), 48_000
     for batch in batches:
         for start in range(0, len(batch), 32):  # a clip is 300 kB
             own = batch.iloc[start : start + 32]
-            level = np.fmin(0.9, 0.05 + own["v"].astype(float) / 200)
-            made = [(np.where(at < 48_000, top, top / 200) * np.sin(at * (100.0 + n * 40) * (6.283185307179586 / 48_000))).astype(np.float32) for n, top in zip(own["n"], level)]
+            level, made = np.fmin(0.9, 0.05 + own["v"].astype(float) / 200), []
+            for n, top in zip(own["n"], level):
+                x = np.sin(at * (100.0 + n * 40) * (6.283185307179586 / 48_000))
+                x[:loud] *= top
+                x[loud:] *= top / 200
+                made.append(signal.packed(x) if packed else x.astype(np.float32))
             yield own[["user_id"]].assign(samples=made)
 
 
@@ -117,7 +121,7 @@ def speech_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mastered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The podcast chain over a burst for each user: loudness and true peak afterwards."""
-    done = M.measures(M.master(clips(spark, sf_dir), "podcast"), ["user_id"], lufs=True)
+    done = M.measures(M.master(clips(spark, sf_dir, packed=True), "podcast"), ["user_id"], lufs=True)
     return done.select("user_id", F.round("lufs", 2).alias("lufs"), (F.col("true_peak_db") <= -0.99).alias("below_peak"))
 
 

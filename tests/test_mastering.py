@@ -3,6 +3,7 @@
 import io
 import json
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -225,3 +226,81 @@ def test_clips_are_spread_over_tasks_and_the_chain_runs_once(spark):
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     plan = timeline.mastered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 3  # bursts, chain, measures
+
+
+def _loop(values, rise, fall, first):
+    """Sample by sample, as it is defined."""
+    out, state = np.empty(len(values)), first
+    for i, v in enumerate(values.tolist()):
+        state += (rise if v > state else fall) * (v - state)
+        out[i] = state
+    return out
+
+
+def test_signals_followed_side_by_side_are_followed_one_by_one():
+    rng = np.random.default_rng(4)
+    t = np.arange(50_001) / RATE
+    signals = [np.abs(np.sin(2 * np.pi * 3000 * t)) * (t < 0.7), rng.random(777), np.full(9000, 0.3), np.empty(0), np.zeros(5000), rng.normal(0, 1, 20_000) * (rng.random(20_000) < 0.01)]
+    for rise, fall, first in ((0.002, 0.0001, 0.0), (0.0004, 1.0, 1.0), (0.03, 0.4, 1.0), (0.5, 0.0, 0.2), (0.1, 0.1, 0.0)):
+        for x, got in zip(signals, K.followed(signals, rise, fall, first)):
+            assert len(got) == len(x) and np.allclose(got, _loop(x, rise, fall, first), rtol=1e-11, atol=1e-14)
+    holed = np.where(np.arange(3000) == 1500, np.nan, 0.1)
+    got = K.followed([holed, signals[1]], 0.002, 0.0001, 0.0)
+    assert not np.isnan(got[0][:1500]).any() and np.isnan(got[0][1500:]).all() and np.allclose(got[1], _loop(signals[1], 0.002, 0.0001, 0.0))
+
+
+def test_a_clips_level_takes_no_step_of_python_a_sample():
+    x = 0.3 * np.sin(np.arange(10 * RATE) / 7)
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    rise, fall = 1 - np.exp(-1 / (0.010 * RATE)), 1 - np.exp(-1 / (0.150 * RATE))
+    assert min(seconds(lambda: M.compress(x)) for _ in range(3)) < 0.5 * min(seconds(lambda: _loop(np.abs(x), rise, fall, 0.0)) for _ in range(3))
+
+
+def test_limiter_and_true_peak_are_their_definitions():
+    rng = np.random.default_rng(6)
+    t = np.arange(9001) / RATE
+    for x in (rng.normal(0, 0.8, 9001), 1.5 * np.sin(2 * np.pi * 400 * t) * (t > 0.1), np.where(rng.random(800) < 0.01, -1.0, 0.01), np.ones(3), np.tile([0.5, -0.5], 64)):
+        top, n = 10 ** (-1 / 20), 240
+        need = np.minimum(1.0, top / np.maximum(np.abs(x), 1e-12))
+        least = np.array([need[i : i + n + 1].min() for i in range(len(x))])
+        want = x * np.minimum(_loop(least, 1 - np.exp(-1 / (0.050 * RATE)), 1.0, 1.0), need)
+        assert np.allclose(M.limit(x), want, rtol=1e-11, atol=1e-14)
+        for part in (x, x[:-1]):
+            peak = 20 * np.log10(np.abs(M.resample(part, 1, 4)).max() + 1e-12)
+            assert abs(M.true_peak(part) - peak) < 1e-9
+            assert M.true_peak(part, above=60.0) > peak - 1e-9 and abs(M.true_peak(part, above=-60.0) - peak) < 1e-9
+    assert M.true_peak(np.empty(0)) == float("-inf")
+
+
+def test_filters_are_the_recursion_of_any_length():
+    b, a = K.highpass(80.0, RATE)
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 63, 64, 65, 64 * 33 + 5):
+        x, y = rng.standard_normal(n), np.zeros(n)
+        for i in range(n):
+            y[i] = sum(b[k] * x[i - k] for k in range(3) if i >= k) - sum(a[k] * y[i - k] for k in (1, 2) if i >= k)
+        assert np.allclose(K.recursed(x, (b, a)), y, atol=1e-9)
+    high = K.lowpass(7000.0, 8000)  # a corner that the rate can't hold
+    assert np.array_equal(K.recursed(x, high), K.apply_filter(x, high))
+
+
+def test_packed_clips_are_mastered_alike(spark):
+    from cadence.queries import timeline
+
+    clips = [(k, (tone(200 + 300 * k, 0.5 + 0.1 * k, 0.2 + 0.1 * k)).astype(np.float32)) for k in range(5)]
+    plain = spark.createDataFrame([(k, x.tolist()) for k, x in clips], "k int, samples array<float>").coalesce(1)
+    tight = spark.createDataFrame([(k, bytearray(K.packed(x))) for k, x in clips], "k int, samples binary").coalesce(1)
+    want = {r.k: r for r in M.master(plain, "podcast").collect()}
+    for r in M.master(tight, "podcast").collect():
+        assert np.array_equal(K.unpacked(bytes(r.samples)), np.asarray(want[r.k].samples)) and r.stages == want[r.k].stages
+    a, b = (sorted(M.measures(M.master(df, "podcast"), ["k"], lufs=True).collect()) for df in (plain, tight))
+    assert a == b
+    # the query's samples go from pass to pass as bytes
+    made = timeline.clips(spark, "/root/testdata/sf0.001", packed=True)
+    rows = {r.user_id: r.samples for r in timeline.clips(spark, "/root/testdata/sf0.001").collect()}
+    assert made.schema["samples"].dataType.typeName() == "binary" and all(np.array_equal(K.unpacked(bytes(r.samples)), np.asarray(rows[r.user_id])) for r in made.collect())
